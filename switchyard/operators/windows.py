@@ -2,10 +2,12 @@
 
 ``row_number() OVER (PARTITION BY g ORDER BY k)`` sends a whole group to one
 task.  When a group may hold a large share of all rows (a few servers, one
-hot list), ``ranked`` numbers rows without that: it range-partitions on
-(g, k) so a hot group spans many tasks, numbers rows locally in sorted order,
-and adds per-(task, group) offsets computed from a table with at most one row
-per task and group.
+hot list), ``ranked`` numbers rows without that: it cuts the (g, k) order
+into buckets at sampled bounds, so a hot group spans many buckets, numbers
+rows inside each (bucket, group), and adds per-(bucket, group) offsets from
+a table with at most one row per bucket and group.  Bucket bounds are
+literals in the plan, so every branch and every retry assigns the same
+bucket to the same row.
 """
 
 from __future__ import annotations
@@ -17,35 +19,78 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 
+SAMPLE_PER_BUCKET = 20
+MAX_BUCKETS = 256
+
 
 def _cols(cs: Sequence[str | Column]) -> list[Column]:
     return [X.col(c) for c in cs]
 
 
-def ranked(df: DataFrame, part: Sequence[str], order: Sequence[str | Column], out: str = "rn",
+def sample_bounds(df: DataFrame, keys: Sequence[str], buckets: int, seed: int = 7) -> list[tuple]:
+    """``buckets - 1`` ascending bounds of the ``keys`` order (NULLs first).
+
+    A bounded sample (about 60 rows per bucket) is brought to the driver,
+    as Spark's own range partitioner does.
+    """
+    total = df.count()
+    if total == 0 or buckets <= 1:
+        return []
+    frac = min(1.0, 3.0 * SAMPLE_PER_BUCKET * buckets / total)
+    rows = [tuple(r) for r in df.select(*keys).sample(False, frac, seed).collect()]
+    if not rows:
+        return []
+    rows.sort(key=lambda r: tuple((v is not None, v) for v in r))
+    out = []
+    for i in range(1, buckets):
+        b = rows[min(len(rows) - 1, (i * len(rows)) // buckets)]
+        if not out or out[-1] != b:
+            out.append(b)
+    return out
+
+
+def _greater(keys: Sequence[str], bound: tuple) -> Column:
+    """Lexicographic ``keys > bound`` with NULLs ordered first."""
+    result = F.lit(False)
+    for k, v in reversed(list(zip(keys, bound))):
+        c = F.col(k)
+        if v is None:
+            gt, eq = c.isNotNull(), c.isNull()
+        else:
+            gt, eq = F.coalesce(c > F.lit(v), F.lit(False)), F.coalesce(c == F.lit(v), F.lit(False))
+        result = gt | (eq & result)
+    return result
+
+
+def bucket_of(keys: Sequence[str], bounds: Sequence[tuple]) -> Column:
+    """Index of the bucket holding a row: how many bounds it exceeds."""
+    if not bounds:
+        return F.lit(0)
+    total = F.lit(0)
+    for b in bounds:
+        total = total + _greater(keys, b).cast("int")
+    return total
+
+
+def ranked(df: DataFrame, part: Sequence[str], order: Sequence[str], out: str = "rn",
            num_partitions: int | None = None) -> DataFrame:
-    """``row_number()`` per ``part`` ordered by ``order``, skew-safe.
+    """``row_number()`` per ``part`` ordered by ``order`` (ascending), skew-safe.
 
     ``order`` must make the order total inside each group (add a unique
     tie-break column); the result is then deterministic.
     """
     spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [*_cols(part), *_cols(order)]
-    base = (
-        df.repartitionByRange(n, *keys)
-        .sortWithinPartitions(*keys)
-        .withColumn("_pid", F.spark_partition_id())
-        .withColumn("_mid", F.monotonically_increasing_id())
-    )
-    pcols = list(part)
-    runs = base.groupBy("_pid", *pcols).agg(F.min("_mid").alias("_first"), F.count("*").alias("_n"))
-    before = Window.partitionBy(*pcols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    n = min(MAX_BUCKETS, num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pcols, ocols = list(part), list(order)
+    bounds = sample_bounds(df, pcols + ocols, n)
+    b = df.withColumn("_bucket", bucket_of(pcols + ocols, bounds))
+    local = Window.partitionBy("_bucket", *pcols).orderBy(*ocols)
+    numbered = b.withColumn("_local", F.row_number().over(local))
+    runs = b.groupBy("_bucket", *pcols).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*pcols).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = runs.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    joined = base.join(offsets, on=["_pid", *pcols], how="inner")
-    return joined.withColumn(out, (F.col("_offset") + F.col("_mid") - F.col("_first") + 1).cast("long")).drop(
-        "_pid", "_mid", "_first", "_offset"
-    )
+    joined = numbered.join(offsets, on=["_bucket", *pcols], how="inner")
+    return joined.withColumn(out, (F.col("_offset") + F.col("_local")).cast("long")).drop("_bucket", "_local", "_offset")
 
 
 def share_of_total(df: DataFrame, key: str = "status", n: int | None = 20, count_col: str = "count",

@@ -19,7 +19,8 @@ from ..operators.aggregates import size_gate
 from ..operators.setops import union_all
 
 CSV_WRITE_OPTIONS = {"header": "true", "escape": '"', "nullValue": "", "emptyValue": '""'}
-CSV_READ_OPTIONS = {"header": "true", "escape": '"', "nullValue": "\u0000"}
+# multiLine: quoted values may hold newlines; each written part file is one read task.
+CSV_READ_OPTIONS = {"header": "true", "escape": '"', "nullValue": "\u0000", "multiLine": "true"}
 
 
 def export_leads_csv(leads: DataFrame, path: str, single_file: bool = False) -> DataFrame:

@@ -81,7 +81,7 @@ def check_key(spark, key: str, sf_dir: str, con=None) -> tuple[bool, str, float]
     if key not in ORACLES:
         return True, f"rows-only: {stbl.num_rows} rows", el
     con = con or duck(sf_dir)
-    otbl = con.sql(ORACLES[key]).fetch_arrow_table()
+    otbl = con.sql(ORACLES[key]).to_arrow_table()
     ok, msg = compare(stbl, otbl)
     return ok, msg, el
 
