@@ -215,17 +215,18 @@ AGE_POLICY = (
 
 def expired_files(files: DataFrame, as_of: str, policy=AGE_POLICY, path_col: str = "path",
                   mtime_col: str = "modification_time") -> DataFrame:
-    """Files older than the policy's whole days, one row per matching policy."""
-    spark = files.sparkSession
-    pol = literal_table(
-        spark, [(r, X.glob_to_regex(g), g, d) for r, g, d in policy],
-        "root string, name_regex string, name_glob string, days int",
-    )
+    """Files older than the policy's whole days, one row per matching policy.
+
+    The policy is a short literal list, so it is matched inside each row
+    (``filter`` over a literal array, then ``explode``): no join at all.
+    """
+    pol = F.array(*[F.struct(F.lit(r).alias("root"), F.lit(X.glob_to_regex(g)).alias("name_regex"),
+                             F.lit(g).alias("name_glob"), F.lit(d).alias("days")) for r, g, d in policy])
     age_days = F.floor(X.seconds_between(mtime_col, X.ts_literal(as_of)) / 86400).cast("long")
-    cand = files.select(
-        F.col(path_col).alias("path"), X.basename(path_col).alias("_name"), age_days.alias("age_days")
-    )
-    cond = F.col("path").startswith(F.concat(F.col("root"), F.lit("/"))) & F.regexp_like(F.col("_name"), F.col("name_regex"))
-    return cand.join(pol, cond, "inner").where(F.col("age_days") > F.col("days")).select(
-        "path", "root", "name_glob", "days", "age_days"
-    )
+    base = files.select(F.col(path_col).alias("_path"), X.basename(path_col).alias("_name"), age_days.alias("age_days"))
+    hits = F.filter(pol, lambda p: F.col("_path").startswith(F.concat(p["root"], F.lit("/")))
+                    & F.regexp_like(F.col("_name"), p["name_regex"]))
+    cand = base.select("_path", "age_days", F.explode(hits).alias("p"))
+    return cand.where(F.col("age_days") > F.col("p.days")).select(
+        F.col("_path").alias("path"), F.col("p.root").alias("root"), F.col("p.name_glob").alias("name_glob"), F.col("p.days").alias("days"),
+        "age_days")

@@ -114,8 +114,13 @@ def topn_per_key(df: DataFrame, key: str, order: Sequence[str | Column], n: int,
     the shuffle (n within ``spark.sql.optimizer.windowGroupLimitThreshold``),
     so a hot key ships at most n rows per map task.
     """
-    w = Window.partitionBy(key).orderBy(*_cols(order))
     tmp = rn_col or "_rn"
+    threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if n > threshold and all(isinstance(c, str) for c in order):
+        # no partial limit above the threshold: number rows skew-safely instead
+        out = ranked(df, [key], list(order), out=tmp).where(F.col(tmp) <= n)
+        return out if rn_col else out.drop(tmp)
+    w = Window.partitionBy(key).orderBy(*_cols(order))
     out = df.withColumn(tmp, F.row_number().over(w)).where(F.col(tmp) <= n)
     out = out.withColumn(tmp, F.col(tmp).cast("long"))
     return out if rn_col else out.drop(tmp)

@@ -30,7 +30,10 @@ def export_leads_csv(leads: DataFrame, path: str, single_file: bool = False) ->
     files in list order); ``single_file`` coalesces to one file for small
     exports.  Returns the data rows read back (the header is not a row).
     """
-    out = filters.project_leads(leads).orderBy("list_id")
+    # (list_id, lead_id) is a total order, so range partitioning can split a
+    # list holding a large share of all leads over many tasks
+    keys = ["list_id", "lead_id"] if "lead_id" in leads.columns else ["list_id"]
+    out = filters.project_leads(leads.orderBy(*keys))
     if single_file:
         out = out.coalesce(1)
     out.write.mode("overwrite").options(**CSV_WRITE_OPTIONS).csv(path)
