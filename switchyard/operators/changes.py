@@ -160,6 +160,15 @@ def clone_phones(phones: DataFrame, eligible: DataFrame, suffix: str = "_B", off
     return src.withColumns(upd)
 
 
+def slot_holders(slots: DataFrame) -> DataFrame:
+    """(server_ip, holder, conf_exten) for every name a slot's extension
+    names: the extension itself and, for 'SIP/<name>', the bare name."""
+    ext = F.col("extension")
+    names = F.array_distinct(F.array_compact(F.array(
+        ext, F.when(ext.startswith("SIP/"), F.substring(ext, 5, 1 << 20)))))
+    return slots.where(ext.isNotNull()).select("server_ip", "conf_exten", F.explode(names).alias("holder"))
+
+
 def slot_table_for(servers: DataFrame) -> DataFrame:
     """Which slot table each server uses: conference bridges or meet-me rooms."""
     return servers.select("server_ip", F.when(F.col("conf_engine") == "CONFBRIDGE", "confbridges")
@@ -176,11 +185,11 @@ def assign_slots(needs: DataFrame, slots: DataFrame, servers: DataFrame, suffix:
     runs out.  Returns one row per agent with the slot it gets.
     """
     shadow = F.concat(F.col("user_name"), F.lit(suffix))
-    held = slots.where(F.col("extension").isNotNull()).select(
-        F.col("server_ip").alias("_ip"), F.col("extension").alias("_ext"), F.col("conf_exten").alias("_held"))
+    held = slot_holders(slots).select(F.col("server_ip").alias("_ip"), F.col("holder").alias("_holder"),
+                                      F.col("conf_exten").alias("_held"))
     n = needs.select("user_name", "server_ip")
-    have = n.join(held, (F.col("server_ip") == F.col("_ip"))
-                  & ((F.col("_ext") == F.concat(F.lit("SIP/"), shadow)) | (F.col("_ext") == shadow)), "inner") \
+    # one equi-join on (server, holder name); no OR inside the join condition
+    have = n.join(held, (F.col("server_ip") == F.col("_ip")) & (shadow == F.col("_holder")), "inner") \
         .groupBy("user_name", "server_ip").agg(F.min("_held").alias("held_conf"))
     todo = n.join(have.select("user_name", "server_ip"), ["user_name", "server_ip"], "left_anti")
     free = slots.where(F.col("extension").isNull() | (F.col("extension") == "")).select("server_ip", "conf_exten")

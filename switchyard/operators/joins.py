@@ -114,17 +114,17 @@ def missing_shadows(eligible: DataFrame, users: DataFrame, phones: DataFrame, sl
     base = eligible.select("user_name", "server_ip")
     base = _flag_from(base, shadow, users.select("user_name"), "has_user")
     base = _flag_from(base, shadow, phones.select("extension"), "has_phone")
-    slot_keys = slots.where(F.col("extension").isNotNull()).select(
-        F.concat(F.col("server_ip"), F.lit("|"), F.col("extension")).alias("k"))
-    slot_match = (F.concat(F.col("server_ip"), F.lit("|SIP/"), shadow))
-    slot_match_bare = (F.concat(F.col("server_ip"), F.lit("|"), shadow))
-    base = _flag_from(base, slot_match, slot_keys, "_slot_sip")
-    base = _flag_from(base, slot_match_bare, slot_keys, "_slot_bare")
+    from .changes import slot_holders
+
+    holders = slot_holders(slots).select(F.col("server_ip").alias("_ip"), F.col("holder").alias("_h")) \
+        .distinct().withColumn("has_slot", F.lit(True))
+    base = base.join(holders, (F.col("server_ip") == F.col("_ip")) & (shadow == F.col("_h")), "left") \
+        .drop("_ip", "_h")
     return base.select(
         "user_name", "server_ip",
         (~F.col("has_user")).alias("missing_user"),
         (~F.col("has_phone")).alias("missing_phone"),
-        (~(F.col("_slot_sip") | F.col("_slot_bare"))).alias("missing_slot"),
+        F.col("has_slot").isNull().alias("missing_slot"),
     )
 
 

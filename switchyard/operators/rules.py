@@ -27,7 +27,7 @@ HOST_RULES = (
     ("iowait", 10.0, None, "FAIL", "SERVER", "High iowait: disk I/O is stalling the kernel"),
     ("mem_avail_mb", None, 256.0, "FAIL", "SERVER", "Less than 256MB RAM available"),
     ("mem_avail_mb", None, 512.0, "WARN", "SERVER", "Under 512MB RAM available"),
-    ("nice", 0.0, None, "WARN", "SERVER", "Asterisk has a positive nice value"),
+    ("nice", 0.0, None, "WARN", "SERVER", "Telephony server process has a positive nice value"),
     ("timing_pct", None, 99.95, "FAIL", "SERVER", "Timing accuracy below 99.95%"),
     ("timing_pct", None, 99.98, "WARN", "SERVER", "Timing accuracy slightly degraded"),
     ("rtt_ms", 150.0, None, "FAIL", "CLIENT", "SIP RTT too high"),

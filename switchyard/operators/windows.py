@@ -19,29 +19,27 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 
-SAMPLE_PER_BUCKET = 20
+SAMPLE_PER_BUCKET = 60
 MAX_BUCKETS = 256
+SMALL_INPUT_ROWS = 100_000
 
 
 def _cols(cs: Sequence[str | Column]) -> list[Column]:
     return [X.col(c) for c in cs]
 
 
-def sample_bounds(df: DataFrame, keys: Sequence[str], buckets: int, seed: int = 7) -> list[tuple]:
-    """``buckets - 1`` ascending bounds of the ``keys`` order (NULLs first).
+def key_sample(df: DataFrame, keys: Sequence[str], k: int, seed: int = 7) -> list[tuple]:
+    """A uniform sample of at most ``k`` key rows in one job: each task keeps
+    its ``k`` rows with the smallest random number (TakeOrderedAndProject),
+    so the driver receives at most ``k`` rows, as with Spark's own range
+    partitioner.  Fewer than ``k`` rows means the input has fewer rows."""
+    return [tuple(r) for r in df.select(*keys, F.rand(seed).alias("_r")).orderBy("_r").limit(k).drop("_r").collect()]
 
-    A bounded sample (about 60 rows per bucket) is brought to the driver,
-    as Spark's own range partitioner does.
-    """
-    total = df.count()
-    if total == 0 or buckets <= 1:
-        return []
-    frac = min(1.0, 3.0 * SAMPLE_PER_BUCKET * buckets / total)
-    rows = [tuple(r) for r in df.select(*keys).sample(False, frac, seed).collect()]
-    if not rows:
-        return []
-    rows.sort(key=lambda r: tuple((v is not None, v) for v in r))
-    out = []
+
+def bounds_from_sample(rows: list[tuple], buckets: int) -> list[tuple]:
+    """``buckets - 1`` ascending bounds (NULLs first), duplicates dropped."""
+    rows = sorted(rows, key=lambda r: tuple((v is not None, v) for v in r))
+    out: list[tuple] = []
     for i in range(1, buckets):
         b = rows[min(len(rows) - 1, (i * len(rows)) // buckets)]
         if not out or out[-1] != b:
@@ -63,26 +61,43 @@ def _greater(keys: Sequence[str], bound: tuple) -> Column:
 
 
 def bucket_of(keys: Sequence[str], bounds: Sequence[tuple]) -> Column:
-    """Index of the bucket holding a row: how many bounds it exceeds."""
-    if not bounds:
-        return F.lit(0)
-    total = F.lit(0)
-    for b in bounds:
-        total = total + _greater(keys, b).cast("int")
-    return total
+    """Index of the bucket holding a row (how many bounds it exceeds), found
+    by binary search over the sorted bounds: log2(n) comparisons per row."""
+
+    def search(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi + 1) // 2
+        return F.when(_greater(keys, bounds[mid - 1]), search(mid, hi)).otherwise(search(lo, mid - 1))
+
+    return search(0, len(bounds))
 
 
 def ranked(df: DataFrame, part: Sequence[str], order: Sequence[str], out: str = "rn",
-           num_partitions: int | None = None) -> DataFrame:
+           num_partitions: int | None = None, materialize: bool = False,
+           small_rows: int = SMALL_INPUT_ROWS) -> DataFrame:
     """``row_number()`` per ``part`` ordered by ``order`` (ascending), skew-safe.
 
     ``order`` must make the order total inside each group (add a unique
-    tie-break column); the result is then deterministic.
+    tie-break column); the result is then deterministic.  One sampling job
+    decides the path: an input proven smaller than ``small_rows`` rows uses a
+    plain window (no group can exceed that bound); otherwise rows are
+    numbered per (bucket, group) with offsets, so a hot group spans many
+    tasks.  ``materialize`` first writes ``df`` with a reliable
+    ``checkpoint()`` to the shared checkpoint folder, so an expensive input
+    is computed once for the sample and both branches.
     """
     spark = df.sparkSession
+    if materialize:
+        df = df.checkpoint(eager=True)
     n = min(MAX_BUCKETS, num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
     pcols, ocols = list(part), list(order)
-    bounds = sample_bounds(df, pcols + ocols, n)
+    k = max(SAMPLE_PER_BUCKET * n, small_rows)
+    sample = key_sample(df, pcols + ocols, k)
+    if len(sample) < k or n <= 1:
+        w = Window.partitionBy(*pcols).orderBy(*ocols)
+        return df.withColumn(out, F.row_number().over(w).cast("long"))
+    bounds = bounds_from_sample(sample, n)
     b = df.withColumn("_bucket", bucket_of(pcols + ocols, bounds))
     local = Window.partitionBy("_bucket", *pcols).orderBy(*ocols)
     numbered = b.withColumn("_local", F.row_number().over(local))

@@ -170,8 +170,9 @@ def test_ranked_hot_group(spark):
     n = 3000
     df = spark.range(n).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise((F.col("id") % 50).cast("string"))
                                .alias("g"), ((F.col("id") * 7919) % n).alias("k"))
-    got = W.ranked(df, ["g"], ["k"], out="rn", num_partitions=7)
+    got = W.ranked(df, ["g"], ["k"], out="rn", num_partitions=7, small_rows=0)
     ref = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("k")).cast("long"))
     assert sorted(got.collect()) == sorted(ref.collect())
-    glob = W.ranked(df, [], ["k"], out="rn", num_partitions=5)
+    glob = W.ranked(df, [], ["k"], out="rn", num_partitions=5, small_rows=0)
+    assert sorted(r.rn for r in W.ranked(df, [], ["k"], out="rn").collect()) == list(range(1, n + 1))
     assert sorted(r.rn for r in glob.collect()) == list(range(1, n + 1))
