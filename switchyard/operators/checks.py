@@ -278,7 +278,7 @@ def grade_jitter_buffer(kv: DataFrame, max_size_ms: int = 300) -> DataFrame:
     wide = kv.groupBy("host").agg(*[F.max(F.when(F.col("key") == k, F.col("value"))).alias(k) for k in keys])
     enabled = F.coalesce(F.col("jbenable"), F.lit("no")) == "yes"
     impl = F.coalesce(F.col("jbimpl"), F.lit("fixed"))
-    size = F.col("jbmaxsize").try_cast("int") if hasattr(F.col("x"), "try_cast") else F.col("jbmaxsize").cast("int")
+    size = F.col("jbmaxsize").try_cast("int")
     return wide.select(
         "host", "jbenable", impl.alias("jbimpl"), size.alias("jbmaxsize"), "rtpstart",
         F.when(enabled, "PASS").otherwise("FAIL").alias("enable_grade"),

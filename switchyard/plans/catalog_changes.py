@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import exprs as X
 from ..operators import changes as C
 from ..operators import filters as Fl
 from . import fixtures as P
@@ -174,5 +173,3 @@ select table_name, change, count(*) as row_count from {DELETE_PLAN_SQL} d group
 def dry_run_plan(fx):
     return C.dry_run(C.plan_delete(fx.lists, fx.leads))
 
-
-__all__ = ["X"]

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import filters as Fl
 from ..session import scratch_path
 from ..sinks import checksums as CK
 from ..sinks import export as EX
@@ -163,5 +162,3 @@ def truncate_archive(fx):
     fx.call_log.write.mode("overwrite").parquet(path)
     return EX.truncate_table(fx.spark.read.parquet(path), path + "-truncated")
 
-
-__all__ = ["Fl"]

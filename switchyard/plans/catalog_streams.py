@@ -9,9 +9,6 @@ The oracle is the batch SQL of the final (watermark-closed) windows.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from ..operators import filters as Fl
 from ..session import scratch_path
 from ..streaming import streams as S
 from .catalog_relational import CLONE_USERS_SQL
@@ -81,5 +78,3 @@ def stream_agent_sync(fx):
     S.stream_sync(stream, table, scratch_path(spark, "sync-ckpt"))
     return spark.read.parquet(table).select(*users.columns)
 
-
-__all__ = ["F", "Fl"]
