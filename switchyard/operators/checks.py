@@ -297,3 +297,38 @@ def verdict(findings: DataFrame) -> DataFrame:
     sv, cl = F.col("server_issues"), F.col("client_issues")
     return t.withColumn("verdict", F.when((sv > 0) & (cl == 0), "SERVER").when((cl > 0) & (sv == 0), "CLIENT")
                         .when((sv > 0) & (cl > 0), "MIXED").otherwise("NONE"))
+
+
+def find_channel_ratio(channels: DataFrame, agents: DataFrame, as_of: str, lookback: str = "5 minutes",
+                       limit: float = 3.0) -> DataFrame:
+    """More than ``limit`` answered channels per INCALL agent -> SERVER."""
+    r = aggregates.channel_ratio(channels, agents, as_of, lookback, limit)
+    return _finding(r.where("high_ratio"), "channel_ratio", "SERVER", F.col("ratio"),
+                    "High channel/agent ratio — answered calls not reaching agents")
+
+
+# Fixed values that must equal the reference: which component absences are
+# server findings, and their messages.
+COMPONENT_FINDINGS = (
+    ("vdad", "No auto-dial daemon running — dialer is completely stopped"),
+    ("fastagi", "FastAGI server not running — call routing scripts cannot run"),
+    ("ami", "No manager interface connections — dialer cannot control call routing"),
+)
+
+
+def find_components(rows: DataFrame) -> DataFrame:
+    """Per host, every required component with zero matching rows -> SERVER."""
+    p = aggregates.component_presence(rows)
+    msg = F.lit(None).cast("string")
+    for name, text in reversed(COMPONENT_FINDINGS):
+        msg = F.when(F.col("component") == name, F.lit(text)).otherwise(msg)
+    hit = p.where((F.col("matches") == 0) & F.col("component").isin(*[c for c, _ in COMPONENT_FINDINGS]))
+    return _finding(hit, "component_missing", "SERVER", F.col("matches"), msg,
+                    F.concat_ws(":", F.col("host"), F.col("component")))
+
+
+def find_amd_message(campaigns: DataFrame) -> DataFrame:
+    """Active campaigns with AMD off but a machine-message extension -> INFO."""
+    f = filters.campaign_flags(campaigns)
+    return _finding(f.where("amd_off_message_set"), "amd_off_message_set", "INFO", F.lit(1),
+                    "AMD is OFF but am_message_exten is set — machines may get dead air", F.col("campaign_id"))

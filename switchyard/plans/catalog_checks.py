@@ -12,9 +12,10 @@ from ..operators import rules as R
 from ..operators.setops import union_all
 from ..sources import text as TX
 from . import fixtures as P
-from .catalog_relational import HOPPER_CAMPAIGN_SQL, agent_math_sql, rates_sql
+from .catalog_relational import HOPPER_CAMPAIGN_SQL, PRESENCE_SQL, agent_math_sql, rates_sql
 from .registry import register
-from .sqlbits import graded_sql, kv_sql, latest_metric_sql, sql_ago, sql_round_half_up_ratio, sql_ts
+from .sqlbits import (graded_sql, kv_sql, latest_metric_sql, sql_ago, sql_round_half_up_ratio, sql_truncate_ratio,
+                      sql_ts)
 
 AS_OF_SQL = sql_ts(P.AS_OF)
 
@@ -86,6 +87,27 @@ FIND_REGISTRATION_SQL = f"""select {_f('registration_failed', "'SERVER'", '1', _
 from log_lines where not regexp_matches(line, '{K.REGISTERED}') and regexp_matches(line, '{K.REGISTRY_FAILED}')"""
 
 
+FIND_CHANNEL_RATIO_SQL = f"""select {_f('channel_ratio', "'SERVER'", 'ratio', _q('High channel/agent ratio — answered calls not reaching agents'))}
+from (select {sql_truncate_ratio('u.calls_up', 'a.agents_incall')} as ratio
+      from (select count(*) filter (where contains(line, ' Up ')) as calls_up from channel_lines) u,
+           (select count(*) as agents_incall from live_agents
+            where last_update_time > {sql_ago(P.AS_OF, P.AGENT_ACTIVE_LOOKBACK)} and status = 'INCALL') a
+      where u.calls_up > 0 and a.agents_incall > 0) r where ratio > 3"""
+
+
+def _components_sql() -> str:
+    names = [c for c, _ in K.COMPONENT_FINDINGS]
+    msg = "case " + " ".join(f"when component = '{c}' then {_q(t)}" for c, t in K.COMPONENT_FINDINGS) + " end"
+    inlist = ", ".join(f"'{c}'" for c in names)
+    return f"""select {_f('component_missing', "'SERVER'", 'matches', msg, "host || ':' || component")}
+from {PRESENCE_SQL} p where matches = 0 and component in ({inlist})"""
+
+
+FIND_AMD_MESSAGE_SQL = f"""select {_f('amd_off_message_set', "'INFO'", '1', _q('AMD is OFF but am_message_exten is set — machines may get dead air'), 'campaign_id')}
+from campaigns where active = 'Y' and answering_machine_detection = 'N' and coalesce(am_message_exten, '') <> ''
+  and coalesce(am_message_exten, '') <> 'none'"""
+
+
 def _peer_lines(fx):
     return fx.peers.select(F.col("peer").alias("line_no"), F.concat_ws(" ", "peer", "status").alias("line"))
 
@@ -111,13 +133,24 @@ FINDINGS = {
 for _key, (_fn, _sql) in FINDINGS.items():
     register(_key, section="2.9", oracle=_sql)(_fn)
 
+# Checks of the diagnosis that have no key of their own in SURVEY section 2
+# (they compose agg_channel_ratio, agg_component_presence, campaign_settings)
+# but whose findings count towards the verdict.
+EXTRA_FINDINGS = {
+    "channel_ratio": (lambda fx: K.find_channel_ratio(fx.channel_lines, fx.live_agents, P.AS_OF,
+                                                      P.AGENT_ACTIVE_LOOKBACK), FIND_CHANNEL_RATIO_SQL),
+    "components": (lambda fx: K.find_components(fx.process_rows), _components_sql()),
+    "amd_message": (lambda fx: K.find_amd_message(fx.campaigns), FIND_AMD_MESSAGE_SQL),
+}
+ALL_FINDINGS = {**FINDINGS, **EXTRA_FINDINGS}
+
 
 def healthcheck_findings(fx):
     """All findings of a diagnosis run, one frame."""
-    return union_all(*[fn(fx) for fn, _ in FINDINGS.values()])
+    return union_all(*[fn(fx) for fn, _ in ALL_FINDINGS.values()])
 
 
-FINDINGS_SQL = "(" + "\nunion all\n".join(f"select * from ({sql}) f{i}" for i, (_, sql) in enumerate(FINDINGS.values())) + ")"
+FINDINGS_SQL = "(" + "\nunion all\n".join(f"select * from ({sql}) f{i}" for i, (_, sql) in enumerate(ALL_FINDINGS.values())) + ")"
 
 
 @register("union_findings", section="2.7", oracle=f"select * from {FINDINGS_SQL} u")

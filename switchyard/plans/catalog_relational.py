@@ -419,7 +419,10 @@ def _presence_sql() -> str:
 select host, component, matches, case when matches = 0 then 'FAIL' else 'PASS' end as status from ({arms}) u)"""
 
 
-@register("agg_component_presence", section="2.4", oracle=f"select * from {_presence_sql()} p")
+PRESENCE_SQL = _presence_sql()
+
+
+@register("agg_component_presence", section="2.4", oracle=f"select * from {PRESENCE_SQL} p")
 def agg_component_presence(fx):
     return A.component_presence(fx.process_rows)
 
