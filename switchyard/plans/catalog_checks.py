@@ -13,6 +13,8 @@ from ..operators.setops import union_all
 from ..sources import text as TX
 from . import fixtures as P
 from .catalog_relational import HOPPER_CAMPAIGN_SQL, PRESENCE_SQL, agent_math_sql, rates_sql
+from .diagnosis import DiagnosisParams
+from .diagnosis import findings as diagnosis_findings
 from .registry import register
 from .sqlbits import (graded_sql, kv_sql, latest_metric_sql, sql_ago, sql_round_half_up_ratio, sql_truncate_ratio,
                       sql_ts)
@@ -145,9 +147,19 @@ EXTRA_FINDINGS = {
 ALL_FINDINGS = {**FINDINGS, **EXTRA_FINDINGS}
 
 
+FIXTURE_DIAGNOSIS = DiagnosisParams(
+    as_of=P.AS_OF, agent_active_lookback=P.AGENT_ACTIVE_LOOKBACK, call_rate_lookback=P.CALL_RATE_LOOKBACK,
+    log_lookback=P.LOG_LOOKBACK, slot_as_of=P.FILE_AS_OF, midnight_as_of=P.MIDNIGHT_AS_OF,
+    hopper_nearly_empty=P.HOPPER_NEARLY_EMPTY, hopper_low=P.HOPPER_LOW, amd_high_pct=P.AMD_HIGH_PCT,
+    amd_elevated_pct=P.AMD_ELEVATED_PCT)
+
+
 def healthcheck_findings(fx):
     """All findings of a diagnosis run, one frame."""
-    return union_all(*[fn(fx) for fn, _ in ALL_FINDINGS.values()])
+    t = {v: fx.view(v) for v in ("live_agents", "channel_lines", "hopper", "campaigns", "call_log", "process_rows",
+                                 "log_lines", "conf_slots", "leads")}
+    t["registry_lines"], t["peer_lines"] = fx.log_lines, _peer_lines(fx)
+    return diagnosis_findings(t, FIXTURE_DIAGNOSIS)
 
 
 FINDINGS_SQL = "(" + "\nunion all\n".join(f"select * from ({sql}) f{i}" for i, (_, sql) in enumerate(ALL_FINDINGS.values())) + ")"
