@@ -182,11 +182,18 @@ class Fixture:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._views: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def view(self, name: str) -> DataFrame:
+        """The fixture view ``name``; one DataFrame per fixture and view."""
+        if name not in self._views:
+            self._views[name] = self._build(name)
+        return self._views[name]
+
+    def _build(self, name: str) -> DataFrame:
         sql = VIEW_SQL[name]
         tables = {t: self.table(t) for t in BASE_TABLES if re.search(rf"\b{t}\b", sql)}
         # DataFrame arguments bind the base tables of this sf_dir only, so
