@@ -104,3 +104,18 @@ def parse_columns(lines: DataFrame, names: Sequence[str] = CHANNEL_COLUMNS, drop
     body = lines.where(~F.col("line").rlike(drop_regex))
     parts = F.split(F.trim(F.col("line")), r"\s+")
     return body.select(*keep, *[F.get(parts, i).alias(n) for i, n in enumerate(names)])
+
+
+def read_log_stream(spark: SparkSession, path: str, host: str | None = None, year: int | None = None,
+                    max_files_per_trigger: int | None = None) -> DataFrame:
+    """Log files arriving in ``path`` as a stream of parsed lines.
+
+    A stream has no stable line number, so ``line_no`` is NULL; ``ts`` is
+    the parsed event time to put a watermark on.
+    """
+    reader = spark.readStream.format("text")
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    raw = reader.load(path).select(F.lit(None).cast("long").alias("line_no"),
+                                   F.lit(host).cast("string").alias("host"), F.col("value").alias("line"))
+    return parse_log_lines(raw, "line", year)

@@ -50,3 +50,21 @@ def test_restart_from_checkpoint_no_duplicates(spark):
     final = S.latest_batch_rows(run(), "agent")
     assert sorted((r.agent, r.status) for r in final.collect()) == [("a1", "PAUSED"), ("a2", "INCALL")]
     assert len([d for d in os.listdir(sink.replace("file:", "")) if d.startswith("batch_id=")]) == 2
+
+
+def test_log_text_stream_matches_batch_parse(spark):
+    from switchyard.sources import text as TX
+
+    src = scratch_path(spark, "log-text")
+    lines = ["[2024-01-30 10:00:01] ERROR[1]: AGI script failed", "[Jan 30 10:00:02] VERBOSE[2][C-1]: CONF joined",
+             "not a log line"]
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(src)
+    stream = TX.read_log_stream(spark, src, host="h1", year=2024)
+    out = S.run_available_now(stream, scratch_path(spark, "log-text-out"), scratch_path(spark, "log-text-ckpt"))
+    got = sorted(((r.level, r.component, r.message, r.ts) for r in out.collect()), key=repr)
+    batch = TX.read_log_lines(spark, src, host="h1", year=2024)
+    want = sorted(((r.level, r.component, r.message, r.ts) for r in batch.collect()), key=repr)
+    assert got == want
+    assert (None, None, "", None) in got
+    assert ("ERROR", "1", "AGI script failed", dt.datetime(2024, 1, 30, 10, 0, 1)) in got
+    assert ("VERBOSE", "2", "CONF joined", dt.datetime(2024, 1, 30, 10, 0, 2)) in got
