@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from ..operators.aggregates import LOG_DIRS
 from ..sinks import checksums as CK
 from ..sinks import export as EX
 from ..sources import files as FI
@@ -18,7 +19,6 @@ from ..sources import tables as TB
 from ..sources import text as TX
 from . import fixtures as P
 from .catalog_checks import FINDINGS_SQL, healthcheck_findings
-from .catalog_relational import SIZE_GATE_SQL
 from .registry import register
 from .sqlbits import kv_sql, sql_ts
 
@@ -148,10 +148,12 @@ def snk_findings(fx):
 
 
 @register("snk_action_log", section="2.1", oracle=f"""
-select {sql_ts(P.FILE_AS_OF)} as run_ts, total_bytes, total_mb,
-  case when over_threshold then 'Deleted file logs and truncated archives'
+select {sql_ts(P.FILE_AS_OF)} as run_ts, total as total_bytes,
+  cast(((total * 100) // 1024) // 1024 as double) / 100 as total_mb,
+  case when total > {500 * 1024 * 1024} then 'Deleted file logs and truncated archives'
        else 'Truncated archives only (file logs under threshold)' end as action
-from {SIZE_GATE_SQL} g limit 1""")
+from (select cast(coalesce(sum(length), 0) as bigint) as total from files
+      where {' or '.join(f"starts_with(path, '{r}/')" for r in LOG_DIRS)}) t""")
 def snk_action_log(fx):
     return EX.append_audit(EX.cleanup_audit_row(fx.files, P.FILE_AS_OF), scratch_path(fx.spark, "audit"))
 

@@ -32,7 +32,7 @@ class ImportPlan:
     rollback: DataFrame        # (table_name, row_id) to delete to undo the import
     verify: DataFrame          # one row per imported list
     summary: DataFrame         # dry run: rows per (table_name, change)
-    mark: object               # lead-id high-water mark before the import (Column)
+    mark: int                  # lead-id high-water mark before the import
 
 
 def export(tables: Mapping[str, DataFrame], out: str, where: Mapping[str, str] | None = None) -> DataFrame:
@@ -45,7 +45,10 @@ def plan_import(dest_lists: DataFrame, dest_leads: DataFrame, dest_hopper: DataF
                 pkg_leads: DataFrame, as_of: str, target_campaign: str | None = None, seed: bool = False,
                 seed_rows: int = 1000, dest_alt: DataFrame | None = None) -> ImportPlan:
     """Plan importing a package into the destination without writing anything."""
-    mark = dest_leads.select(F.coalesce(F.max("lead_id"), F.lit(0))).scalar()
+    # the high-water mark is captured now, before anything is applied: a
+    # rollback run later must not see the imported leads in it
+    mark_value = dest_leads.agg(F.coalesce(F.max("lead_id"), F.lit(0))).first()[0]
+    mark = F.lit(mark_value).cast("long")
     coll = J.id_collisions(pkg_lists, dest_lists).where("collides").select("list_id")
     base = F.greatest(dest_lists.select(F.max("list_id")).scalar(), pkg_lists.select(F.max("list_id")).scalar())
     id_map = W.assign_new_ids(coll, "list_id", base).select(F.col("list_id").alias("old_id"), "new_id")
@@ -72,13 +75,23 @@ def plan_import(dest_lists: DataFrame, dest_leads: DataFrame, dest_hopper: DataF
     alt = dest_alt if dest_alt is not None else merged_leads.select("lead_id").limit(0)
     rollback = C.rollback_plan(merged_leads, alt, rebuilt, hopper_after, mark, imported_ids)
     verify = J.verify_import(rebuilt, merged_leads, hopper_after, imported_ids)
-    ignored = leads_in.join(dest_leads.select("lead_id"), "lead_id", "left_semi")
-    summary = C.dry_run(union_all(
-        lists_in.join(dest_lists.select("list_id"), "list_id", "left_anti")
-        .select(F.lit("lists").alias("table_name"), F.lit("insert").alias("change")),
-        leads_in.join(dest_leads.select("lead_id"), "lead_id", "left_anti")
-        .select(F.lit("leads").alias("table_name"), F.lit("insert").alias("change")),
-        ignored.select(F.lit("leads").alias("table_name"), F.lit("ignored").alias("change")),
-        hopper_seed.select(F.lit("hopper").alias("table_name"), F.lit("insert").alias("change")),
-    ))
-    return ImportPlan(id_map, rebuilt, merged_leads, hopper_seed, rollback, verify, summary, mark)
+    summary = union_all(
+        _merge_counts(lists_in, dest_lists, "list_id", "lists"),
+        _merge_counts(leads_in, dest_leads, "lead_id", "leads"),
+        C.dry_run(hopper_seed.select(F.lit("hopper").alias("table_name"), F.lit("insert").alias("change"))),
+    )
+    return ImportPlan(id_map, rebuilt, merged_leads, hopper_seed, rollback, verify, summary, mark_value)
+
+
+def _merge_counts(incoming: DataFrame, dest: DataFrame, pk: str, table: str) -> DataFrame:
+    """INSERT IGNORE outcome counts: one insert per new key; every other
+    incoming row (key already present, or a repeat inside the package) is
+    ignored.  Keys are counted with partial aggregation."""
+    per_key = incoming.groupBy(pk).agg(F.count(F.lit(1)).alias("_rows"))
+    flagged = per_key.join(dest.select(F.col(pk).alias("_d")).distinct(), F.col(pk) == F.col("_d"), "left")
+    t = flagged.agg(F.count_if(F.col("_d").isNull()).alias("ins"), F.coalesce(F.sum("_rows"), F.lit(0)).alias("all"))
+    return union_all(
+        t.select(F.lit(table).alias("table_name"), F.lit("insert").alias("change"), F.col("ins").alias("row_count")),
+        t.select(F.lit(table).alias("table_name"), F.lit("ignored").alias("change"),
+                 (F.col("all") - F.col("ins")).cast("long").alias("row_count")),
+    )

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import filters
-from ..operators.aggregates import size_gate
+from ..operators.aggregates import LOG_DIRS
 from ..operators.setops import union_all
 
 CSV_WRITE_OPTIONS = {"header": "true", "escape": '"', "nullValue": "", "emptyValue": '""'}
@@ -112,11 +112,18 @@ def append_audit(row: DataFrame, path: str) -> DataFrame:
 
 def cleanup_audit_row(files: DataFrame, as_of: str | None = None, threshold_mb: int = 500) -> DataFrame:
     """The audit row of a cleanup run: time, total size, action taken."""
-    gate = size_gate(files, threshold_mb=threshold_mb)
+    roots = list(LOG_DIRS)
+    under = F.lit(False)
+    for r in roots:
+        under = under | F.col("path").startswith(r + "/")
+    total = files.where(under).select(F.coalesce(F.sum("length"), F.lit(0)).cast("long")).scalar()
+    kb100 = (total * 100 - (total * 100) % 1024) / 1024
+    mb100 = ((kb100 - kb100 % 1024) / 1024).cast("long")
     ts = F.lit(as_of or _dt.datetime.now().strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
-    return gate.limit(1).select(
-        ts.alias("run_ts"), "total_bytes", "total_mb",
-        F.when(F.col("over_threshold"), "Deleted file logs and truncated archives")
+    # one row per run even when no file is under the log roots
+    return files.sparkSession.range(1).select(
+        ts.alias("run_ts"), total.alias("total_bytes"), (mb100 / 100).alias("total_mb"),
+        F.when(total > threshold_mb * 1024 * 1024, "Deleted file logs and truncated archives")
         .otherwise("Truncated archives only (file logs under threshold)").alias("action"))
 
 

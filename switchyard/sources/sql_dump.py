@@ -59,7 +59,9 @@ def parse_dump_lines(lines: DataFrame, schema: StructType | str, line_col: str =
     tuples = tuples.repartition(n)
     inner = F.substring(F.col("_t"), F.lit(2), F.length(F.col("_t")) - 2)
     fields = tuples.select(F.regexp_extract_all(inner, F.lit(FIELD_RX), 0).alias("_f"))
-    return fields.select(*[unquote(F.get(F.col("_f"), i)).cast(f.dataType).alias(f.name)
+    # try_cast: a value the type cannot hold (e.g. a zero date) becomes NULL
+    # instead of failing the whole import under ANSI mode
+    return fields.select(*[unquote(F.get(F.col("_f"), i)).try_cast(f.dataType).alias(f.name)
                            for i, f in enumerate(schema.fields)])
 
 
@@ -88,6 +90,7 @@ def dump_lines(df: DataFrame, table: str, rows_per_line: int, order_col: str,
         parts.append(F.coalesce(v, F.lit("NULL")))
     tup = F.concat(F.lit("("), F.concat_ws(",", *parts), F.lit(")"))
     block = F.floor(F.col(order_col) / rows_per_line)
-    grouped = df.select(block.alias("_blk"), tup.alias("_tup")).groupBy("_blk").agg(
-        F.string_agg("_tup", ",").alias("_vals"))
+    # tuples in key order inside each line: the same table gives the same bytes
+    grouped = df.select(block.alias("_blk"), F.col(order_col).alias("_ord"), tup.alias("_tup")).groupBy("_blk").agg(
+        F.expr("listagg(_tup, ',') within group (order by _ord)").alias("_vals"))
     return grouped.select(F.concat(F.lit(f"INSERT INTO `{table}` VALUES "), F.col("_vals"), F.lit(";")).alias("value"))

@@ -122,26 +122,40 @@ def latest_batch_rows(out: DataFrame, key: str) -> DataFrame:
 def stream_sync(users_stream: DataFrame, table_path: str, checkpoint: str, suffix: str = "_B") -> None:
     """Shadow users for newly seen eligible agents, once each.
 
-    ``table_path`` holds the users table (parquet folders).  Every
+    ``table_path`` holds the users table as ``batch_id=<n>`` Parquet folders
+    (the initial table under a negative id, e.g. ``batch_id=-1``).  Every
     micro-batch takes the new user rows (deduplicated by name across the
     stream), clones the eligible ones that have no shadow in the table, and
     appends them with INSERT IGNORE semantics to ``table_path/batch_id=<n>``.
     """
-    spark = users_stream.sparkSession
     fresh = users_stream.dropDuplicates(["user_name"])
 
     def sync(batch: DataFrame, batch_id: int) -> None:
-        table = spark.read.schema(USER_SCHEMA).parquet(table_path)
-        elig = filters.eligible_agents(batch, suffix)
-        clones = changes.clone_users(table, elig, suffix)
-        new = clones.join(table.select("user_name"), "user_name", "left_anti")
-        new.write.mode("overwrite").parquet(f"{table_path}/batch_id={batch_id}")
+        sync_batch(batch, batch_id, table_path, suffix)
 
     q = (fresh.writeStream.foreachBatch(sync).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
 
 
+USER_COLUMNS = ("user_name", "full_name", "user_level", "user_group", "active", "server_ip")
+
+
+def sync_batch(batch: DataFrame, batch_id: int, table_path: str, suffix: str = "_B") -> None:
+    """One micro-batch of ``stream_sync``; safe to replay.
+
+    The table is read without this batch's own folder, so a replayed batch
+    recomputes the same clones instead of finding them already present and
+    overwriting its folder with nothing.
+    """
+    spark = batch.sparkSession
+    table = spark.read.parquet(table_path).where(F.col("batch_id") != batch_id).select(*USER_COLUMNS)
+    elig = filters.eligible_agents(batch, suffix)
+    clones = changes.clone_users(table, elig, suffix)
+    new = clones.join(table.select("user_name"), "user_name", "left_anti")
+    new.write.mode("overwrite").parquet(f"{table_path}/batch_id={batch_id}")
+
+
 def stage_stream_input(df: DataFrame, name: str, files: int = 4) -> str:
     """Write a frame Spark derived from the tables as a folder of files for a file stream."""
     path = scratch_path(df.sparkSession, name)

@@ -176,3 +176,37 @@ def test_ranked_hot_group(spark):
     glob = W.ranked(df, [], ["k"], out="rn", num_partitions=5, small_rows=0)
     assert sorted(r.rn for r in W.ranked(df, [], ["k"], out="rn").collect()) == list(range(1, n + 1))
     assert sorted(r.rn for r in glob.collect()) == list(range(1, n + 1))
+
+
+def test_dump_zero_date_is_null_and_lines_deterministic(spark):
+    df = spark.createDataFrame(["INSERT INTO `t` VALUES (1,'0000-00-00 00:00:00'),(2,'2024-01-02 03:04:05');"], "string")
+    out = SD.parse_dump_lines(df, "id long, d timestamp_ntz")
+    assert rows(out, "id", "d") == [(1, None), (2, dt.datetime(2024, 1, 2, 3, 4, 5))]
+    data = spark.range(500).select(F.col("id"), (F.col("id") * 3).cast("string").alias("s"))
+    a = sorted(r.value for r in SD.dump_lines(data.repartition(7), "t", 50, "id").collect())
+    b = sorted(r.value for r in SD.dump_lines(data.repartition(3).orderBy(F.rand()), "t", 50, "id").collect())
+    assert a == b
+
+
+def test_audit_row_without_log_files(spark):
+    files = spark.createDataFrame([("/other/x", 10, dt.datetime(2024, 1, 1))],
+                                  "path string, length long, modification_time timestamp_ntz")
+    r = EX.cleanup_audit_row(files, "2024-01-02 00:00:00").collect()
+    assert len(r) == 1 and r[0].total_bytes == 0 and r[0].action.startswith("Truncated archives only")
+
+
+def test_import_summary_counts_package_duplicates(spark):
+    from switchyard.plans import migration
+
+    lists = spark.createDataFrame([(1, "a", "c", "Y")], "list_id long, list_name string, campaign_id string, active string")
+    leads = spark.createDataFrame([(10, 1, "555", "NEW", "Y")],
+                                  "lead_id long, list_id long, phone_number string, status string, called_since_last_reset string")
+    hopper = spark.createDataFrame([], "lead_id long, list_id long, campaign_id string, status string, priority int")
+    pkg_leads = spark.createDataFrame([(10, 2, "1", "NEW", "Y"), (500, 2, "2", "NEW", "Y"), (500, 2, "3", "NEW", "Y")],
+                                      leads.schema)
+    pkg_lists = spark.createDataFrame([(2, "b", "c", "N")], lists.schema)
+    plan = migration.plan_import(lists, leads, hopper, pkg_lists, pkg_leads, "2024-01-31 00:00:00")
+    s = {(r.table_name, r.change): r.row_count for r in plan.summary.collect()}
+    assert s[("leads", "insert")] == 1 and s[("leads", "ignored")] == 2
+    assert s[("lists", "insert")] == 1 and s[("lists", "ignored")] == 0
+    assert plan.mark == 10 and plan.leads.count() == 2

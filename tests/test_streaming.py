@@ -68,3 +68,17 @@ def test_log_text_stream_matches_batch_parse(spark):
     assert (None, None, "", None) in got
     assert ("ERROR", "1", "AGI script failed", dt.datetime(2024, 1, 30, 10, 0, 1)) in got
     assert ("VERBOSE", "2", "CONF joined", dt.datetime(2024, 1, 30, 10, 0, 2)) in got
+
+
+def test_sync_batch_replay_keeps_clones(spark):
+    from switchyard.plans.fixtures import Fixture
+
+    users = Fixture(spark, "/root/testdata/sf0.001").users
+    table = scratch_path(spark, "sync-replay")
+    users.write.parquet(f"{table}/batch_id=-1")
+    S.sync_batch(users, 0, table)
+    first = spark.read.parquet(f"{table}/batch_id=0").count()
+    S.sync_batch(users, 0, table)          # the same batch again, as after a crash before commit
+    assert first > 0 and spark.read.parquet(f"{table}/batch_id=0").count() == first
+    S.sync_batch(users, 1, table)          # a later batch with the same users adds nothing
+    assert spark.read.parquet(f"{table}/batch_id=1").count() == 0
