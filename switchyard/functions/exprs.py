@@ -49,24 +49,30 @@ def is_all_digits(c: str | Column) -> Column:
 
 
 def _int_div(a: Column, b: Column) -> Column:
-    """Exact integer division of non-negative longs (below 2**53)."""
-    return ((a - a % b) / b).cast("long")
+    """Exact integer division of non-negative decimal(38,0) values."""
+    return ((a - a % b) / b).cast("decimal(38,0)")
+
+
+def _exact_operands(num, den):
+    n = col(num).cast("decimal(38,0)")
+    d = col(den).cast("decimal(38,0)")
+    return n, F.when(d != 0, d)  # a zero denominator gives NULL, as in SQL engines
 
 
 def round_half_up_ratio(num: str | Column, den: str | Column, scale: int = 1) -> Column:
-    """ROUND(num / den, scale) half away from zero, exact on integers."""
-    n, d = col(num).cast("long"), col(den).cast("long")
+    """ROUND(num / den, scale) half away from zero, exact on integers (decimal(38,0))."""
+    n, d = _exact_operands(num, den)
     m = 10**scale
     q = _int_div(F.abs(n) * (2 * m) + F.abs(d), F.abs(d) * 2)
-    return (F.signum(n) * F.signum(d) * q) / m
+    return (F.signum(n) * F.signum(d) * q.cast("double")) / m
 
 
 def truncate_ratio(num: str | Column, den: str | Column, scale: int = 1) -> Column:
-    """``bc`` scale=N division: truncated toward zero, exact on integers."""
-    n, d = col(num).cast("long"), col(den).cast("long")
+    """``bc`` scale=N division: truncated toward zero, exact on integers (decimal(38,0))."""
+    n, d = _exact_operands(num, den)
     m = 10**scale
     q = _int_div(F.abs(n) * m, F.abs(d))
-    return (F.signum(n) * F.signum(d) * q) / m
+    return (F.signum(n) * F.signum(d) * q.cast("double")) / m
 
 
 def xargs_trim(c: str | Column) -> Column:
@@ -138,6 +144,7 @@ def sql_values(rows: Iterable[tuple], names: Iterable[str], alias: str = "t") ->
 def sql_round_half_up_ratio(num: str, den: str, scale: int = 1) -> str:
     m = 10**scale
     n, d = f"cast({num} as hugeint)", f"cast({den} as hugeint)"
+    d = f"nullif({d}, 0)"
     return (
         f"cast(sign({n}) * sign({d}) * ((abs({n}) * {2 * m} + abs({d})) // (abs({d}) * 2))"
         f" as double) / {m}"
@@ -146,7 +153,7 @@ def sql_round_half_up_ratio(num: str, den: str, scale: int = 1) -> str:
 
 def sql_truncate_ratio(num: str, den: str, scale: int = 1) -> str:
     m = 10**scale
-    n, d = f"cast({num} as hugeint)", f"cast({den} as hugeint)"
+    n, d = f"cast({num} as hugeint)", f"nullif(cast({den} as hugeint), 0)"
     return f"cast(sign({n}) * sign({d}) * ((abs({n}) * {m}) // abs({d})) as double) / {m}"
 
 

@@ -112,7 +112,10 @@ def seed_hopper(leads: DataFrame, lists: DataFrame, n: int = 1000, ids: DataFram
         usable = usable.join(ids.select(F.col(ids.columns[0]).alias("list_id")).distinct(), "list_id", "left_semi")
     cand = leads.where((F.col("status") == "NEW") & (F.col("called_since_last_reset") == "N")).select(
         "lead_id", "phone_number", "list_id")
-    picked = topn_per_key(cand.join(usable, "list_id", "inner"), "list_id", ["lead_id"], n, rn_col=None)
+    # the list dimension is broadcast (size-checked), so leads are not shuffled
+    # by list before the partial per-list limit
+    picked = topn_per_key(cand.join(checked_broadcast(usable), "list_id", "inner"), "list_id", ["lead_id"], n,
+                          rn_col=None)
     return picked.select("lead_id", "phone_number", "list_id", "campaign_id",
                          F.lit("READY").alias("status"), F.lit(0).alias("priority"))
 
@@ -140,7 +143,9 @@ PHONE_OFFSET_FIELDS = ("dialplan_number", "conf_on_extension", "park_on_extensio
 
 def offset_if_digits(c: str, offset: int = PHONE_OFFSET) -> Column:
     """``c + offset`` when ``c`` is all digits (decimal, not octal), else ``c``."""
-    return F.when(X.is_all_digits(c), (F.col(c).cast("decimal(38,0)") + offset).cast("string")).otherwise(F.col(c))
+    shifted = F.try_add(F.col(c).try_cast("decimal(38,0)"), F.lit(offset).cast("decimal(38,0)")).cast("string")
+    # digit strings too long for decimal(38,0) stay as they are instead of failing the job
+    return F.when(X.is_all_digits(c), F.coalesce(shifted, F.col(c))).otherwise(F.col(c))
 
 
 def clone_phones(phones: DataFrame, eligible: DataFrame, suffix: str = "_B", offset: int = PHONE_OFFSET,

@@ -240,7 +240,7 @@ QUALIFY_OFF = "(?i)disable|no"
 
 def grade_peer(peers: DataFrame, fail_ms: int = 150, warn_ms: int = 80) -> DataFrame:
     """Qualify, RTT (only when qualify is on), codec class and direct media."""
-    rtt = F.nullif(F.regexp_extract(F.col("status"), "([0-9]+)ms", 1), F.lit("")).cast("int")
+    rtt = F.nullif(F.regexp_extract(F.col("status"), "([0-9]+)ms", 1), F.lit("")).try_cast("int")
     q_off = F.col("qualify").rlike(QUALIFY_OFF)
     rtt_grade = (F.when(q_off | rtt.isNull(), F.lit(None).cast("string")).when(rtt > fail_ms, "FAIL")
                  .when(rtt > warn_ms, "WARN").otherwise("PASS"))

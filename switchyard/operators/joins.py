@@ -81,8 +81,11 @@ def not_in_flag(df: DataFrame, other: DataFrame, key: str, other_key: str | None
     never TRUE; otherwise it is TRUE for non-null keys without a match.
     """
     ok = other_key or key
-    stats = other.select(F.struct(F.count(F.lit(1)).alias("n"), F.count_if(F.col(ok).isNull()).alias("nulls"))).scalar()
-    right = other.select(F.col(ok).alias("_k")).where(F.col("_k").isNotNull()).distinct().withColumn("_m", F.lit(True))
+    # distinct keys (NULL included) are the only thing read from ``other``;
+    # the scalars and the join both use this one aggregate
+    keys = other.select(F.col(ok).alias("_k")).distinct()
+    stats = keys.select(F.struct(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_k").isNull()).alias("nulls"))).scalar()
+    right = keys.where(F.col("_k").isNotNull()).withColumn("_m", F.lit(True))
     j = df.join(right, F.col(key) == F.col("_k"), "left")
     flag = (F.when(stats["n"] == 0, F.lit(True)).when(stats["nulls"] > 0, F.lit(False))
             .otherwise(F.col(key).isNotNull() & F.col("_m").isNull()))
@@ -145,8 +148,10 @@ def id_collisions(pkg: DataFrame, dest: DataFrame, key: str = "list_id") -> Data
 def remap_ids(df: DataFrame, id_map: DataFrame, c: str, old: str = "old_id", new: str = "new_id",
               keep_old_as: str | None = None) -> DataFrame:
     """Rewrite foreign key ``c`` through an old -> new map; unmapped ids stay."""
-    m = id_map.select(F.col(old).alias("_old"), F.col(new).alias("_new"))
-    out = df.join(m, F.col(c) == F.col("_old"), "left")
+    # one new id per old id (the smallest if a map repeats a key), so a
+    # repeated key cannot duplicate rows; the map is size-checked and broadcast
+    m = id_map.groupBy(F.col(old).alias("_old")).agg(F.min(new).alias("_new"))
+    out = df.join(checked_broadcast(m), F.col(c) == F.col("_old"), "left")
     cols = [F.coalesce(F.col("_new"), F.col(c)).alias(c) if x == c else F.col(x) for x in df.columns]
     if keep_old_as:
         cols.append(F.col(c).alias(keep_old_as))

@@ -2,12 +2,13 @@
 
 ``row_number() OVER (PARTITION BY g ORDER BY k)`` sends a whole group to one
 task.  When a group may hold a large share of all rows (a few servers, one
-hot list), ``ranked`` numbers rows without that: it cuts the (g, k) order
-into buckets at sampled bounds, so a hot group spans many buckets, numbers
-rows inside each (bucket, group), and adds per-(bucket, group) offsets from
-a table with at most one row per bucket and group.  Bucket bounds are
-literals in the plan, so every branch and every retry assigns the same
-bucket to the same row.
+hot list), ``ranked`` numbers rows without that: Spark's range partitioner
+cuts the (g, k) order into partitions (per-task bounded sampling, any number
+of partitions), so a hot group spans many tasks; the sorted partitions are
+fixed once with a reliable ``checkpoint()`` into the shared checkpoint
+folder; every row's rank is then its position inside its partition plus the
+rows of its group in earlier partitions, taken from a table with at most one
+row per (partition, group).
 """
 
 from __future__ import annotations
@@ -19,93 +20,38 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 
-SAMPLE_PER_BUCKET = 60
-MAX_BUCKETS = 256
-SMALL_INPUT_ROWS = 100_000
-
 
 def _cols(cs: Sequence[str | Column]) -> list[Column]:
     return [X.col(c) for c in cs]
 
 
-def key_sample(df: DataFrame, keys: Sequence[str], k: int, seed: int = 7) -> list[tuple]:
-    """A uniform sample of at most ``k`` key rows in one job: each task keeps
-    its ``k`` rows with the smallest random number (TakeOrderedAndProject),
-    so the driver receives at most ``k`` rows, as with Spark's own range
-    partitioner.  Fewer than ``k`` rows means the input has fewer rows."""
-    return [tuple(r) for r in df.select(*keys, F.rand(seed).alias("_r")).orderBy("_r").limit(k).drop("_r").collect()]
-
-
-def bounds_from_sample(rows: list[tuple], buckets: int) -> list[tuple]:
-    """``buckets - 1`` ascending bounds (NULLs first), duplicates dropped."""
-    rows = sorted(rows, key=lambda r: tuple((v is not None, v) for v in r))
-    out: list[tuple] = []
-    for i in range(1, buckets):
-        b = rows[min(len(rows) - 1, (i * len(rows)) // buckets)]
-        if not out or out[-1] != b:
-            out.append(b)
-    return out
-
-
-def _greater(keys: Sequence[str], bound: tuple) -> Column:
-    """Lexicographic ``keys > bound`` with NULLs ordered first."""
-    result = F.lit(False)
-    for k, v in reversed(list(zip(keys, bound))):
-        c = F.col(k)
-        if v is None:
-            gt, eq = c.isNotNull(), c.isNull()
-        else:
-            gt, eq = F.coalesce(c > F.lit(v), F.lit(False)), F.coalesce(c == F.lit(v), F.lit(False))
-        result = gt | (eq & result)
-    return result
-
-
-def bucket_of(keys: Sequence[str], bounds: Sequence[tuple]) -> Column:
-    """Index of the bucket holding a row (how many bounds it exceeds), found
-    by binary search over the sorted bounds: log2(n) comparisons per row."""
-
-    def search(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi + 1) // 2
-        return F.when(_greater(keys, bounds[mid - 1]), search(mid, hi)).otherwise(search(lo, mid - 1))
-
-    return search(0, len(bounds))
-
-
-def ranked(df: DataFrame, part: Sequence[str], order: Sequence[str], out: str = "rn",
-           num_partitions: int | None = None, materialize: bool = False,
-           small_rows: int = SMALL_INPUT_ROWS) -> DataFrame:
-    """``row_number()`` per ``part`` ordered by ``order`` (ascending), skew-safe.
+def ranked(df: DataFrame, part: Sequence[str], order: Sequence[str | Column], out: str = "rn",
+           num_partitions: int | None = None) -> DataFrame:
+    """``row_number()`` per ``part`` in ``order``, skew-safe.
 
     ``order`` must make the order total inside each group (add a unique
-    tie-break column); the result is then deterministic.  One sampling job
-    decides the path: an input proven smaller than ``small_rows`` rows uses a
-    plain window (no group can exceed that bound); otherwise rows are
-    numbered per (bucket, group) with offsets, so a hot group spans many
-    tasks.  ``materialize`` first writes ``df`` with a reliable
-    ``checkpoint()`` to the shared checkpoint folder, so an expensive input
-    is computed once for the sample and both branches.
+    tie-break column); the result is then deterministic.  ``order`` entries
+    may be column names or sort expressions such as ``F.col("x").desc()``.
+    The input is computed by the range partitioner's sampling pass and its
+    shuffle, written once by ``checkpoint()``, and then only read.
     """
     spark = df.sparkSession
-    if materialize:
-        df = df.checkpoint(eager=True)
-    n = min(MAX_BUCKETS, num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
-    pcols, ocols = list(part), list(order)
-    k = max(SAMPLE_PER_BUCKET * n, small_rows)
-    sample = key_sample(df, pcols + ocols, k)
-    if len(sample) < k or n <= 1:
-        w = Window.partitionBy(*pcols).orderBy(*ocols)
-        return df.withColumn(out, F.row_number().over(w).cast("long"))
-    bounds = bounds_from_sample(sample, n)
-    b = df.withColumn("_bucket", bucket_of(pcols + ocols, bounds))
-    local = Window.partitionBy("_bucket", *pcols).orderBy(*ocols)
-    numbered = b.withColumn("_local", F.row_number().over(local))
-    runs = b.groupBy("_bucket", *pcols).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*pcols).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pcols = list(part)
+    keys = [*_cols(pcols), *_cols(order)]
+    fixed = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).checkpoint(eager=True)
+    # on the checkpointed data partition ids and in-partition positions are
+    # stable: every read of it sees the same rows in the same order
+    pos = fixed.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
+    runs = pos.groupBy("_pid", *pcols).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*pcols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = runs.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    joined = numbered.join(offsets, on=["_bucket", *pcols], how="inner")
-    return joined.withColumn(out, (F.col("_offset") + F.col("_local")).cast("long")).drop("_bucket", "_local", "_offset")
+    offsets = offsets.select(F.col("_pid").alias("_opid"), *[F.col(c).alias(f"_o_{c}") for c in pcols],
+                             "_first", "_offset")
+    cond = [F.col("_pid") == F.col("_opid")] + [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in pcols]
+    joined = pos.join(offsets, cond, "inner")
+    rn = (F.col("_offset") + F.col("_mid") - F.col("_first") + 1).cast("long")
+    return joined.select(*[F.col(c) for c in df.columns], rn.alias(out))
 
 
 def share_of_total(df: DataFrame, key: str = "status", n: int | None = 20, count_col: str = "count",
@@ -127,12 +73,12 @@ def topn_per_key(df: DataFrame, key: str, order: Sequence[str | Column], n: int,
 
     ``row_number() <= n`` is planned with a partial WindowGroupLimit before
     the shuffle (n within ``spark.sql.optimizer.windowGroupLimitThreshold``),
-    so a hot key ships at most n rows per map task.
+    so a hot key ships at most n rows per map task.  Above the threshold the
+    rows are numbered with the skew-safe ``ranked``.
     """
     tmp = rn_col or "_rn"
     threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    if n > threshold and all(isinstance(c, str) for c in order):
-        # no partial limit above the threshold: number rows skew-safely instead
+    if n > threshold:
         out = ranked(df, [key], list(order), out=tmp).where(F.col(tmp) <= n)
         return out if rn_col else out.drop(tmp)
     w = Window.partitionBy(key).orderBy(*_cols(order))

@@ -170,10 +170,10 @@ def test_ranked_hot_group(spark):
     n = 3000
     df = spark.range(n).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise((F.col("id") % 50).cast("string"))
                                .alias("g"), ((F.col("id") * 7919) % n).alias("k"))
-    got = W.ranked(df, ["g"], ["k"], out="rn", num_partitions=7, small_rows=0)
+    got = W.ranked(df, ["g"], ["k"], out="rn", num_partitions=7)
     ref = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("k")).cast("long"))
     assert sorted(got.collect()) == sorted(ref.collect())
-    glob = W.ranked(df, [], ["k"], out="rn", num_partitions=5, small_rows=0)
+    glob = W.ranked(df, [], ["k"], out="rn", num_partitions=5)
     assert sorted(r.rn for r in W.ranked(df, [], ["k"], out="rn").collect()) == list(range(1, n + 1))
     assert sorted(r.rn for r in glob.collect()) == list(range(1, n + 1))
 
@@ -210,3 +210,21 @@ def test_import_summary_counts_package_duplicates(spark):
     assert s[("leads", "insert")] == 1 and s[("leads", "ignored")] == 2
     assert s[("lists", "insert")] == 1 and s[("lists", "ignored")] == 0
     assert plan.mark == 10 and plan.leads.count() == 2
+
+
+def test_ranked_desc_order_and_null_group(spark):
+    from pyspark.sql import Window
+
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3), ("a", 4), ("a", 5)], "g string, k long")
+    got = W.ranked(df, ["g"], [F.col("k").desc()], out="rn", num_partitions=3)
+    ref = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy(F.col("k").desc())).cast("long"))
+    assert sorted(got.collect(), key=repr) == sorted(ref.collect(), key=repr)
+
+
+def test_exact_ratio_zero_denominator_and_large_values(spark):
+    from decimal import Decimal
+
+    df = spark.createDataFrame([(Decimal(5), 0), (Decimal(9_000_000_000_000_000_000), 3)], "n decimal(38,0), d long")
+    got = [(r.t, r.r) for r in df.select(X.truncate_ratio("n", "d").alias("t"), X.round_half_up_ratio("n", "d").alias("r")).collect()]
+    assert got[0] == (None, None)
+    assert got[1][0] == 3e18 and got[1][1] == 3e18
