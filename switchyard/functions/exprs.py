@@ -29,9 +29,28 @@ def ago(as_of: str, interval: str) -> Column:
     return ts_literal(as_of) - F.expr(f"INTERVAL {interval}")
 
 
+def ntz_micros(c: str | Column) -> Column:
+    """Microseconds since 1970-01-01 00:00 of a wall-clock (TIMESTAMP_NTZ) value.
+
+    Pure arithmetic on the date and time parts: no session time zone, so no
+    DST hour is added or lost (``timestamp_diff`` on NTZ values goes through
+    the session zone).
+    """
+    c = col(c).cast("timestamp_ntz")
+    secs = F.unix_date(F.to_date(c)).cast("long") * 86400 + F.hour(c) * 3600 + F.minute(c) * 60
+    return secs * 1_000_000 + (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("long")
+
+
 def seconds_between(start: str | Column, end: str | Column) -> Column:
-    """Whole seconds from ``start`` to ``end`` (TIMESTAMPDIFF(SECOND, ...))."""
-    return F.timestamp_diff("SECOND", col(start), col(end))
+    """Whole seconds from ``start`` to ``end`` (TIMESTAMPDIFF(SECOND, ...) on
+    DATETIME values: wall-clock difference, truncated toward zero)."""
+    d = ntz_micros(end) - ntz_micros(start)
+    return ((d - d % 1_000_000) / 1_000_000).cast("long")
+
+
+def day_start(c: str | Column) -> Column:
+    """Midnight of the wall-clock day of ``c`` (zone-free)."""
+    return F.to_date(col(c).cast("timestamp_ntz")).cast("timestamp_ntz")
 
 
 def blank(c: str | Column, extra: Iterable[str] = ("0",)) -> Column:

@@ -125,7 +125,7 @@ def recent(df: DataFrame, ts_col: str, as_of: str, lookback: str) -> DataFrame:
 def since_midnight(df: DataFrame, ts_col: str, as_of: str, exclude: Iterable[str] = ("DROP", "ABAND"),
                    status_col: str = "status") -> DataFrame:
     """Rows strictly after the start of the as-of day, status not in ``exclude``."""
-    start = F.date_trunc("day", X.ts_literal(as_of)).cast("timestamp_ntz")
+    start = X.day_start(X.ts_literal(as_of))
     return df.where((F.col(ts_col) > start) & ~F.col(status_col).isin(*exclude))
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..session import ensure_checkpoint_dir
 
 
 def _cols(cs: Sequence[str | Column]) -> list[Column]:
@@ -36,6 +37,7 @@ def ranked(df: DataFrame, part: Sequence[str], order: Sequence[str | Column], ou
     shuffle, written once by ``checkpoint()``, and then only read.
     """
     spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     pcols = list(part)
     keys = [*_cols(pcols), *_cols(order)]

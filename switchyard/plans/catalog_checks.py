@@ -299,7 +299,7 @@ def fn_datetime(fx):
     return fx.call_log.select(
         "call_id", (c > X.ago(P.AS_OF, P.CALL_RATE_LOOKBACK)).alias("in_window"),
         X.seconds_between(c, X.ts_literal(P.AS_OF)).alias("seconds_before"),
-        F.date_trunc("day", c).cast("timestamp_ntz").alias("call_day"),
+        X.day_start(c).alias("call_day"),
         F.date_format(c, "yyyy-MM-dd HH:mm").alias("minute_text"))
 
 

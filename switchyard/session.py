@@ -59,9 +59,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder for this cluster")
     d = tempfile.mkdtemp(prefix="switchyard-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", d)
+    # spark.checkpoint.dir cannot be changed at run time; the context's
+    # checkpoint folder is what checkpoint() and checkpoint_dir() use
     spark.sparkContext.setCheckpointDir(d)
-    return d
+    return spark.sparkContext.getCheckpointDir() or d
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -70,6 +71,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/switchyard/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists, through the Hadoop file system of the session."""
+    jvm = spark.sparkContext._jvm  # noqa: SLF001 - Hadoop FileSystem probe only
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)  # noqa: SLF001
+
+
 def local_fs_path(path: str) -> str:
     """Strip a ``file:`` scheme so a local path can be used by os functions."""
     return path[5:] if path.startswith("file:") else path

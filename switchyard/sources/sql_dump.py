@@ -19,7 +19,7 @@ from pyspark.sql.types import StructType
 # Regex texts (Java syntax).  TUPLE: a parenthesised tuple whose quoted
 # strings may hold any character; FIELD: one quoted string or bare token.
 TUPLE_RX = r"\((?:[^'()]++|'(?:[^'\\]++|\\.|'')*+')*+\)"
-FIELD_RX = r"'(?:[^'\\]++|\\.|'')*+'|[^,']++"
+FIELD_RX = r"'(?:[^'\\]++|\\.|'')*+'|[^,'\s][^,']*+"
 TOKEN_RX = r"\\.|''|[^'\\]++"
 
 # MySQL escape letters and what they stand for.

@@ -11,6 +11,8 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import path_exists
+
 
 def read_table(spark: SparkSession, name: str, source: str | Mapping = "parquet", root: str | None = None,
                schema: str | None = None) -> DataFrame:
@@ -29,10 +31,8 @@ def read_table(spark: SparkSession, name: str, source: str | Mapping = "parquet"
             raise ValueError("root is required for parquet tables")
         path = f"{root.rstrip('/')}/{name}"
         reader = spark.read.schema(schema) if schema else spark.read
-        try:
-            return reader.parquet(path + ".parquet")
-        except Exception:  # noqa: BLE001 - fall back to the folder layout
-            return reader.parquet(path)
+        single = path + ".parquet"
+        return reader.parquet(single if path_exists(spark, single) else path)
     if isinstance(source, Mapping):
         opts = {"url": source["url"], "dbtable": source.get("dbtable", name)}
         for k in ("user", "password", "driver", "fetchsize"):

@@ -19,6 +19,39 @@ from ..functions import exprs as X
 LOG_RX = r"^\[([^\]]+)\]\s+([A-Z]+)\[([^\]]*)\](?:\[[^\]]*\])*:?\s*(.*)$"
 
 
+# Month abbreviations of syslog-style stamps.
+MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
+ISO_STAMP = r"^(\d{4})-(\d{2})-(\d{2})[ T](\d{2}):(\d{2}):(\d{2}(?:\.\d+)?)$"
+SYSLOG_STAMP = r"^([A-Z][a-z]{2})\s+(\d{1,2})\s+(\d{2}):(\d{2}):(\d{2})$"
+
+
+def _wall_clock(y, mo, d, h, mi, s):
+    """A TIMESTAMP_NTZ from parts, NULL when they do not form a valid time.
+
+    Built from the parts directly, so no session time zone (and no DST gap)
+    is involved: the log's wall-clock time is kept as written.
+    """
+    return F.try_make_timestamp_ntz(y.try_cast("int"), mo.try_cast("int"), d.try_cast("int"), h.try_cast("int"),
+                                    mi.try_cast("int"), s.try_cast("decimal(10,6)"))
+
+
+def parse_stamp(stamp, year: int | None = None):
+    """ISO ``yyyy-MM-dd HH:mm:ss[.f]`` or, given ``year``, syslog ``Mon d HH:mm:ss``."""
+    def g(rx, i):
+        return F.regexp_extract(stamp, rx, i)
+
+    iso = F.when(stamp.rlike(ISO_STAMP), _wall_clock(*[g(ISO_STAMP, i) for i in range(1, 7)]))
+    if year is None:
+        return iso
+    month = F.lit(None).cast("string")
+    for i, m in reversed(list(enumerate(MONTHS, start=1))):
+        month = F.when(g(SYSLOG_STAMP, 1) == m, F.lit(str(i))).otherwise(month)
+    sys = F.when(stamp.rlike(SYSLOG_STAMP),
+                 _wall_clock(F.lit(str(year)), month, g(SYSLOG_STAMP, 2), g(SYSLOG_STAMP, 3), g(SYSLOG_STAMP, 4),
+                             g(SYSLOG_STAMP, 5)))
+    return F.coalesce(iso, sys)
+
+
 def parse_log_lines(lines: DataFrame, line_col: str = "line", year: int | None = None) -> DataFrame:
     """``lines`` plus ts, level, component and message parsed from each line.
 
@@ -27,12 +60,7 @@ def parse_log_lines(lines: DataFrame, line_col: str = "line", year: int | None =
     """
     line = F.col(line_col)
     stamp = F.regexp_extract(line, LOG_RX, 1)
-    iso = F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
-    ts = iso
-    if year is not None:
-        sys = F.try_to_timestamp(F.concat(F.lit(f"{year} "), F.regexp_replace(stamp, r"\s+", " ")),
-                                 F.lit("yyyy MMM d HH:mm:ss")).cast("timestamp_ntz")
-        ts = F.coalesce(iso, sys)
+    ts = parse_stamp(stamp, year)
     cols = [c for c in lines.columns if c != "ts"]
     return lines.select(
         *cols, ts.alias("ts"),
@@ -43,10 +71,20 @@ def parse_log_lines(lines: DataFrame, line_col: str = "line", year: int | None =
 
 
 def read_log_lines(spark: SparkSession, path: str, host: str | None = None, year: int | None = None) -> DataFrame:
-    """Log files as (line_no, host, line, ts, level, component, message)."""
-    raw = spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"),
-                                       F.lit(host).cast("string").alias("host"), F.col("value").alias("line"))
-    return parse_log_lines(raw, "line", year)
+    """Log files as (line_no, host, line, ts, level, component, message, line_key).
+
+    ``line_key`` = (file, split start, position) orders lines as they stand in
+    their files, across files and splits; use it where "first line" matters
+    (e.g. ``extract_kv(..., order_col="line_key")``).  ``line_no`` is a unique
+    id, increasing within a split only.
+    """
+    raw = spark.read.text(path).select(
+        F.monotonically_increasing_id().alias("line_no"), F.lit(host).cast("string").alias("host"),
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"))
+    keyed = raw.withColumn("line_key", F.struct(F.col("_file").alias("file"), F.col("_block").alias("block"),
+                                                 F.col("line_no").alias("pos"))).drop("_file", "_block")
+    return parse_log_lines(keyed, "line", year)
 
 
 # Fixed values that must equal the reference: which line answers each

@@ -14,8 +14,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import exprs as X
 from ..operators import changes, filters
-from ..session import scratch_path
+from ..session import path_exists, scratch_path
 
 CALL_SCHEMA = "call_id bigint, call_date timestamp_ntz, lead_id bigint, agent string, status string"
 LOG_SCHEMA = "line_no bigint, host string, ts timestamp_ntz, line string"
@@ -25,10 +26,20 @@ USER_SCHEMA = ("user_name string, full_name string, user_level int, user_group s
 DIALER_ERROR_LINE = "(?i)ERROR|VDAD|vicidial.*error|auto_dial.*error|hopper.*error"
 
 
+def _epoch():
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
 def _event_time(df: DataFrame, ts_col: str) -> DataFrame:
-    # withWatermark needs TIMESTAMP (not TIMESTAMP_NTZ); the session zone maps
-    # one to the other and back, so the round trip is exact.
-    return df.withColumn("_et", F.col(ts_col).cast("timestamp"))
+    """Event time for the watermark (which needs TIMESTAMP, not TIMESTAMP_NTZ):
+    the instant whose UTC wall clock equals the NTZ value.  Computed from
+    microseconds since the epoch, so no session zone or DST shift applies."""
+    return df.withColumn("_et", F.timestamp_micros(X.ntz_micros(ts_col)))
+
+
+def _wall(c):
+    """Back from an event-time instant to the NTZ wall clock (inverse of ``_event_time``)."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(c), _epoch())
 
 
 def stream_dispositions(calls: DataFrame, watermark: str = "10 minutes", window: str = "30 minutes",
@@ -36,8 +47,8 @@ def stream_dispositions(calls: DataFrame, watermark: str = "10 minutes", window:
     """Sliding-window status counts; a window is final once the watermark passes its end."""
     ev = _event_time(calls, "call_date").withWatermark("_et", watermark)
     agg = ev.groupBy(F.window("_et", window, slide).alias("w"), "status").agg(F.count(F.lit(1)).alias("count"))
-    return agg.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-                      F.col("w.end").cast("timestamp_ntz").alias("window_end"), "status", "count")
+    return agg.select(_wall(F.col("w.start")).alias("window_start"), _wall(F.col("w.end")).alias("window_end"),
+                      "status", "count")
 
 
 def window_shares(counts: DataFrame) -> DataFrame:
@@ -64,8 +75,8 @@ def stream_errors(lines: DataFrame, pattern: str = DIALER_ERROR_LINE, watermark:
     ev = _event_time(lines, "ts").withWatermark("_et", watermark)
     errs = ev.where(F.col("line").rlike(pattern))
     agg = errs.groupBy(F.window("_et", window).alias("w")).agg(F.count(F.lit(1)).alias("errors"))
-    return agg.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-                      F.col("w.end").cast("timestamp_ntz").alias("window_end"), "errors")
+    return agg.select(_wall(F.col("w.start")).alias("window_start"), _wall(F.col("w.end")).alias("window_end"),
+                      "errors")
 
 
 def stream_agent_state(events: DataFrame, key: str = "agent", ts_col: str = "call_date", tie: str = "call_id",
@@ -92,10 +103,18 @@ def run_available_now(df: DataFrame, sink: str, checkpoint: str, mode: str = "ap
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
-    q = (df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.schema(_with_batch(df)).parquet(sink) if _has_output(spark, sink) else \
+    # windows closed by the final watermark are emitted by a trailing no-data
+    # micro-batch; make sure the session allows it for this run
+    key = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(key, "true")
+    spark.conf.set(key, "true")
+    try:
+        q = (df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(_with_batch(df)).parquet(sink) if path_exists(spark, sink) else \
         spark.createDataFrame([], _with_batch(df))
 
 
@@ -105,13 +124,6 @@ def _with_batch(df: DataFrame):
     return StructType(list(df.schema.fields) + [StructField("batch_id", LongType())])
 
 
-def _has_output(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm  # noqa: SLF001 - Hadoop FileSystem probe only
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())  # noqa: SLF001
-    return fs.exists(p)
-
-
 def latest_batch_rows(out: DataFrame, key: str) -> DataFrame:
     """Final state from update-mode output: the row of the latest batch per key."""
     cols = [c for c in out.columns if c not in (key, "batch_id")]
@@ -124,9 +136,10 @@ def stream_sync(users_stream: DataFrame, table_path: str, checkpoint: str, suffi
 
     ``table_path`` holds the users table as ``batch_id=<n>`` Parquet folders
     (the initial table under a negative id, e.g. ``batch_id=-1``).  Every
-    micro-batch takes the new user rows (deduplicated by name across the
-    stream), clones the eligible ones that have no shadow in the table, and
-    appends them with INSERT IGNORE semantics to ``table_path/batch_id=<n>``.
+    micro-batch takes the user rows of the stream (deduplicated by name
+    across the stream), adds users the table does not have yet, clones the
+    eligible ones that have no shadow, and writes both to
+    ``table_path/batch_id=<n>`` (INSERT IGNORE semantics, replay-safe).
     """
     fresh = users_stream.dropDuplicates(["user_name"])
 
@@ -150,10 +163,12 @@ def sync_batch(batch: DataFrame, batch_id: int, table_path: str, suffix: str = "
     """
     spark = batch.sparkSession
     table = spark.read.parquet(table_path).where(F.col("batch_id") != batch_id).select(*USER_COLUMNS)
-    elig = filters.eligible_agents(batch, suffix)
-    clones = changes.clone_users(table, elig, suffix)
-    new = clones.join(table.select("user_name"), "user_name", "left_anti")
-    new.write.mode("overwrite").parquet(f"{table_path}/batch_id={batch_id}")
+    incoming = batch.select(*USER_COLUMNS)
+    # users first seen in the stream join the table (INSERT IGNORE by name)
+    new_users = incoming.join(table.select("user_name"), "user_name", "left_anti")
+    users = table.unionByName(new_users)
+    clones = changes.clone_users(users, filters.eligible_agents(incoming, suffix), suffix)
+    new_users.unionByName(clones).write.mode("overwrite").parquet(f"{table_path}/batch_id={batch_id}")
 
 
 def stage_stream_input(df: DataFrame, name: str, files: int = 4) -> str:

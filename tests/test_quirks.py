@@ -228,3 +228,29 @@ def test_exact_ratio_zero_denominator_and_large_values(spark):
     got = [(r.t, r.r) for r in df.select(X.truncate_ratio("n", "d").alias("t"), X.round_half_up_ratio("n", "d").alias("r")).collect()]
     assert got[0] == (None, None)
     assert got[1][0] == 3e18 and got[1][1] == 3e18
+
+
+def test_dump_fields_with_spaces(spark):
+    df = spark.createDataFrame(["INSERT INTO `t` VALUES (1, 'a, b', NULL), (2, 'x', 7);"], "string")
+    out = SD.parse_dump_lines(df, "id long, s string, n long")
+    assert rows(out, "id", "s", "n") == [(1, "a, b", None), (2, "x", 7)]
+
+
+def test_session_without_checkpoint_setting(tmp_path):
+    import subprocess
+    import sys
+
+    conf = tmp_path / "conf"
+    conf.mkdir()
+    code = (
+        "import sys; sys.path.insert(0, %r)\n"
+        "from switchyard.session import local_session, scratch_path, checkpoint_dir\n"
+        "from switchyard.operators import windows as W\n"
+        "spark = local_session(2)\n"
+        "assert spark.conf.get('spark.checkpoint.dir', None) is None\n"
+        "p = scratch_path(spark, 'x'); spark.range(3).write.parquet(p)\n"
+        "assert sorted(r.rn for r in W.ranked(spark.range(5), [], ['id']).collect()) == [1, 2, 3, 4, 5]\n"
+        "print('OK', checkpoint_dir(spark))\n" % str(__import__("pathlib").Path(__file__).resolve().parents[1]))
+    env = dict(__import__("os").environ, SPARK_CONF_DIR=str(conf))
+    r = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=300)
+    assert r.returncode == 0 and "OK" in r.stdout, r.stderr[-2000:]

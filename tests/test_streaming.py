@@ -82,3 +82,32 @@ def test_sync_batch_replay_keeps_clones(spark):
     assert first > 0 and spark.read.parquet(f"{table}/batch_id=0").count() == first
     S.sync_batch(users, 1, table)          # a later batch with the same users adds nothing
     assert spark.read.parquet(f"{table}/batch_id=1").count() == 0
+
+
+def test_dst_day_keeps_wall_clock(spark):
+    from switchyard.sources import text as TX
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        src = scratch_path(spark, "dst-src")
+        t = dt.datetime(2024, 3, 10, 2, 30)      # does not exist in New York: clocks jump 02:00 -> 03:00
+        _write(spark, src, [(1, "h", t, "ERROR a"), (2, "h", t + dt.timedelta(hours=2), "ERROR b")], S.LOG_SCHEMA)
+        lines = spark.readStream.schema(S.LOG_SCHEMA).parquet(src)
+        out = S.run_available_now(S.stream_errors(lines, watermark="10 minutes"), scratch_path(spark, "dst-out"),
+                                  scratch_path(spark, "dst-ckpt"))
+        assert [r.window_start for r in out.collect()] == [t]
+        parsed = spark.createDataFrame([("[2024-03-10 02:30:00] ERROR[1]: x",)], "line string")
+        assert TX.parse_log_lines(parsed).first().ts == t
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_sync_batch_clones_users_new_to_the_stream(spark):
+    table = scratch_path(spark, "sync-new")
+    cols = "user_name string, full_name string, user_level int, user_group string, active string, server_ip string"
+    spark.createDataFrame([("100", "Old Agent", 2, "g", "Y", "ip")], cols).write.parquet(f"{table}/batch_id=-1")
+    batch = spark.createDataFrame([("100", "Old Agent", 2, "g", "Y", "ip"), ("200", "New Agent", 3, "g", "Y", "ip")], cols)
+    S.sync_batch(batch, 0, table)
+    got = sorted(r.user_name for r in spark.read.parquet(f"{table}/batch_id=0").collect())
+    assert got == ["100_B", "200", "200_B"]
