@@ -131,6 +131,19 @@ def latest_batch_rows(out: DataFrame, key: str) -> DataFrame:
     return best.select(key, *[F.col("_r")[c].alias(c) for c in cols])
 
 
+def start_sync_stream(users_stream: DataFrame, table_path: str, checkpoint: str, every: str = "5 minutes",
+                      suffix: str = "_B"):
+    """Run the shadow sync continuously, one micro-batch every ``every``
+    (the reference's cron period); returns the running StreamingQuery."""
+    fresh = users_stream.dropDuplicates(["user_name"])
+
+    def sync(batch: DataFrame, batch_id: int) -> None:
+        sync_batch(batch, batch_id, table_path, suffix)
+
+    return (fresh.writeStream.foreachBatch(sync).option("checkpointLocation", checkpoint)
+            .trigger(processingTime=every).start())
+
+
 def stream_sync(users_stream: DataFrame, table_path: str, checkpoint: str, suffix: str = "_B") -> None:
     """Shadow users for newly seen eligible agents, once each.
 
