@@ -33,11 +33,8 @@ def _finding(df: DataFrame, check: str, side: str | Column, measure: Column, mes
 
 def find_ready_no_conf(agents: DataFrame, as_of: str, lookback: str = "5 minutes") -> DataFrame:
     """READY agents with a blank conference extension -> SERVER."""
-    n = agents.where((F.col("status") == "READY") & X.blank("conf_exten")
-                     & (F.col("last_update_time") > X.ago(as_of, lookback))).agg(F.count(F.lit(1)).alias("n"))
-    return _finding(n.where("n > 0"), "ready_no_conf", "SERVER", F.col("n"),
-                    "READY agent(s) have NO conference extension assigned — calls cannot be bridged to them")
-
+    return snapshot_findings(agents_channels_snapshot(agents, None, as_of, lookback),
+                             [agent_specs()["ready_no_conf"]])
 
 def find_hopper_low(hopper: DataFrame, campaigns: DataFrame, nearly_empty: int = 10, low: int = 50) -> DataFrame:
     """Per active campaign: hopper below ``nearly_empty`` -> CLIENT, below ``low`` -> INFO."""
@@ -51,30 +48,17 @@ def find_hopper_low(hopper: DataFrame, campaigns: DataFrame, nearly_empty: int =
 
 def find_hopper_empty(hopper: DataFrame) -> DataFrame:
     """No lead in the hopper at all -> CLIENT."""
-    n = hopper.agg(F.count(F.lit(1)).alias("n"))
-    return _finding(n.where("n = 0"), "hopper_empty", "CLIENT", F.col("n"),
-                    "Hopper is EMPTY — no leads queued for dialing")
-
+    return snapshot_findings(hopper_snapshot(hopper), [hopper_specs()["hopper_empty"]])
 
 def find_stuck_incall(hopper: DataFrame) -> DataFrame:
     """Hopper rows in INCALL -> SERVER."""
-    n = hopper.agg(F.count_if(F.col("status") == "INCALL").alias("n"))
-    return _finding(n.where("n > 0"), "stuck_incall", "SERVER", F.col("n"),
-                    "lead(s) stuck in INCALL status in hopper — VDAD not cleaning up properly")
-
+    return snapshot_findings(hopper_snapshot(hopper), [hopper_specs()["stuck_incall"]])
 
 def find_rates(log: DataFrame, as_of: str, lookback: str = "30 minutes", amd_high: float = 60,
                amd_elevated: float = 40, drop_limit: float = 5) -> DataFrame:
     """AMD above ``amd_high`` or ``amd_elevated`` -> CLIENT; drops above ``drop_limit`` -> SERVER."""
-    r = aggregates.call_rates(log, as_of, lookback)
-    amd, drop = F.col("amd_pct"), F.col("drop_pct")
-    a = _finding(r.where(amd > amd_elevated), "amd_rate", "CLIENT", amd,
-                 F.when(amd > amd_high, "AMD killing answered calls — lead list is heavily machine/voicemail")
-                 .otherwise("High AMD rate — significant portion of leads are non-human answers"))
-    d = _finding(r.where(drop > drop_limit), "drop_rate", "SERVER", drop,
-                 "Drop rate exceeds the 5% limit — calls answered but no agent available fast enough")
-    return union_all(a, d)
-
+    specs = call_specs(amd_high, amd_elevated, drop_limit)
+    return snapshot_findings(call_snapshot(log, as_of, lookback), [specs["amd_rate"], specs["drop_rate"]])
 
 def find_zero_ready(agents: DataFrame, campaigns: DataFrame, as_of: str, lookback: str = "5 minutes") -> DataFrame:
     """Campaigns with agents logged in but none READY -> SERVER."""
@@ -95,12 +79,9 @@ def find_log_errors(lines: DataFrame, as_of: str, lookback: str = "5 minutes") -
     in_window = (F.col("ts") > X.ago(as_of, lookback)) & (F.col("ts") <= X.ts_literal(as_of))
     c = lines.agg(F.count_if(line.rlike(DIALER_ERROR_PATTERN) & in_window).alias("dialer"),
                   F.count_if(line.rlike(AGI_ERROR_PATTERN)).alias("agi"))
-    return union_all(
-        _finding(c.where("dialer > 0"), "dialer_errors", "SERVER", F.col("dialer"), "VDAD errors found in recent log"),
-        _finding(c.where("agi > 0"), "agi_errors", "SERVER", F.col("agi"),
-                 "AGI errors detected — call routing scripts failing"),
-    )
-
+    d, a = F.col("dialer"), F.col("agi")
+    return snapshot_findings(c, [("dialer_errors", "SERVER", d, MSG["dialer_errors"], d > 0),
+                                 ("agi_errors", "SERVER", a, MSG["agi_errors"], a > 0)])
 
 def slot_metrics(slots: DataFrame, as_of: str, stale: str = "10 minutes") -> DataFrame:
     """One pass: total, idle, in-use (LIA) and stale non-idle slots."""
@@ -114,15 +95,25 @@ def slot_metrics(slots: DataFrame, as_of: str, stale: str = "10 minutes") -> Dat
 def find_slots(slots: DataFrame, as_of: str, stale: str = "10 minutes") -> DataFrame:
     """Stale non-idle slots -> SERVER; no idle slot -> SERVER; counts as INFO."""
     m = slot_metrics(slots, as_of, stale)
-    return union_all(
-        _finding(m.where("stuck_slots > 0"), "slots_stuck", "SERVER", F.col("stuck_slots"),
-                 "conference extension(s) stuck in non-idle state — may block agent bridging"),
-        _finding(m.where("idle_slots = 0"), "slots_none_idle", "SERVER", F.col("idle_slots"),
-                 "No idle conference extensions available — calls cannot be bridged to agents"),
-        _finding(m, "slots_total", "INFO", F.col("total_slots"), "Total conference extensions"),
-        _finding(m, "slots_idle", "INFO", F.col("idle_slots"), "Idle (available) conference extensions"),
-        _finding(m, "slots_in_use", "INFO", F.col("in_use_slots"), "In use (LIA) conference extensions"),
-    )
+    stuck, idle, total, used = (F.col(c) for c in ("stuck_slots", "idle_slots", "total_slots", "in_use_slots"))
+    return snapshot_findings(m, [
+        ("slots_stuck", "SERVER", stuck,
+         "conference extension(s) stuck in non-idle state — may block agent bridging", stuck > 0),
+        ("slots_none_idle", "SERVER", idle,
+         "No idle conference extensions available — calls cannot be bridged to agents", idle == 0),
+        ("slots_total", "INFO", total, "Total conference extensions", F.lit(True)),
+        ("slots_idle", "INFO", idle, "Idle (available) conference extensions", F.lit(True)),
+        ("slots_in_use", "INFO", used, "In use (LIA) conference extensions", F.lit(True)),
+    ])
+
+def lead_quality_findings(leads: DataFrame, hopper: DataFrame, many_calls: int = 3, many_leads: int = 50) -> DataFrame:
+    """Invalid phones and much-called leads among hopper leads (one join, one aggregate)."""
+    j = joins.hopper_leads(leads, hopper)
+    q = j.agg(F.count_if(filters.invalid_phone("phone_number")).alias("invalid"),
+              F.count_if(F.col("called_count") > many_calls).alias("called_many"))
+    inv, many = F.col("invalid"), F.col("called_many")
+    return snapshot_findings(q, [("invalid_phones", "CLIENT", inv, MSG["invalid_phones"], inv > 0),
+                                 ("called_many_times", "CLIENT", many, MSG["called_many_times"], many > many_leads)])
 
 
 def find_lead_quality(leads: DataFrame, hopper: DataFrame, log: DataFrame | None = None,
@@ -130,24 +121,14 @@ def find_lead_quality(leads: DataFrame, hopper: DataFrame, log: DataFrame | None
     """Invalid phones in hopper, DNC in hopper, leads called more than
     ``many_calls`` times for more than ``many_leads`` hopper leads -> CLIENT;
     calls since midnight as INFO."""
-    j = joins.hopper_leads(leads, hopper)
-    q = j.agg(F.count_if(filters.invalid_phone("phone_number")).alias("invalid"),
-              F.count_if(F.col("called_count") > many_calls).alias("called_many"))
-    dnc = hopper.agg(F.count_if(F.col("status") == "DNC").alias("dnc"))
-    parts = [
-        _finding(q.where("invalid > 0"), "invalid_phones", "CLIENT", F.col("invalid"),
-                 "leads in hopper have invalid phone numbers — wasted dials, no answer"),
-        _finding(dnc.where("dnc > 0"), "dnc_in_hopper", "CLIENT", F.col("dnc"),
-                 "DNC entries in hopper — compliance risk + wasted agent time"),
-        _finding(q.where(F.col("called_many") > many_leads), "called_many_times", "CLIENT", F.col("called_many"),
-                 "leads already called more than 3 times — exhausted list, low contact rate expected"),
-    ]
+    parts = [lead_quality_findings(leads, hopper, many_calls, many_leads),
+             snapshot_findings(hopper_snapshot(hopper), [hopper_specs()["dnc_in_hopper"]])]
     if log is not None and midnight_as_of is not None:
-        today = filters.since_midnight(log, "call_date", midnight_as_of).agg(F.count(F.lit(1)).alias("n"))
-        parts.append(_finding(today, "calls_today", "INFO", F.col("n"), "Calls completed today"))
+        today = log.agg(F.count_if((F.col("call_date") > X.day_start(X.ts_literal(midnight_as_of)))
+                                   & ~F.col("status").isin("DROP", "ABAND")).alias("calls_today"))
+        parts.append(snapshot_findings(today, [call_specs(today=True)["calls_today"]]))
     return union_all(*parts)
 
-
 # Fixed values that must equal the reference: registry / peer line classes.
 REGISTERED = "(?i)Registered"
 REGISTRY_FAILED = "(?i)Failed|Timeout|No Auth"
@@ -302,10 +283,8 @@ def verdict(findings: DataFrame) -> DataFrame:
 def find_channel_ratio(channels: DataFrame, agents: DataFrame, as_of: str, lookback: str = "5 minutes",
                        limit: float = 3.0) -> DataFrame:
     """More than ``limit`` answered channels per INCALL agent -> SERVER."""
-    r = aggregates.channel_ratio(channels, agents, as_of, lookback, limit)
-    return _finding(r.where("high_ratio"), "channel_ratio", "SERVER", F.col("ratio"),
-                    "High channel/agent ratio — answered calls not reaching agents")
-
+    snap = agents_channels_snapshot(agents, channels, as_of, lookback)
+    return snapshot_findings(snap, [agent_specs(limit, with_channels=True)["channel_ratio"]])
 
 # Fixed values that must equal the reference: which component absences are
 # server findings, and their messages.
@@ -332,3 +311,105 @@ def find_amd_message(campaigns: DataFrame) -> DataFrame:
     f = filters.campaign_flags(campaigns)
     return _finding(f.where("amd_off_message_set"), "amd_off_message_set", "INFO", F.lit(1),
                     "AMD is OFF but am_message_exten is set — machines may get dead air", F.col("campaign_id"))
+
+
+# One-pass snapshots (SURVEY section 3.1: one aggregate per table instead of
+# a query per number).  A spec turns snapshot columns into one finding:
+# (check, side, measure, message, fires-when); side and message may be columns.
+
+def snapshot_findings(snapshot: DataFrame, specs) -> DataFrame:
+    """Every finding of ``specs`` that fires on the one-row ``snapshot``,
+    produced in one projection (array of findings, filtered, exploded)."""
+    def lit(v):
+        return F.lit(v) if isinstance(v, str) else v
+
+    items = F.array(*[F.struct(F.lit(check).alias("check"), lit(side).alias("side"), F.lit("all").alias("entity"),
+                               measure.cast("double").alias("measure"), lit(message).alias("message"),
+                               F.coalesce(cond, F.lit(False)).alias("fires"))
+                      for check, side, measure, message, cond in specs])
+    f = snapshot.select(F.explode(F.filter(items, lambda x: x["fires"])).alias("f"))
+    return f.select(*[F.col(f"f.{c}").alias(c) for c in ("check", "side", "entity", "measure", "message")])
+
+
+def hopper_snapshot(hopper: DataFrame) -> DataFrame:
+    st = F.col("status")
+    return hopper.agg(F.count(F.lit(1)).alias("hopper_total"), F.count_if(st == "INCALL").alias("hopper_incall"),
+                      F.count_if(st == "DNC").alias("hopper_dnc"))
+
+
+
+# Fixed values that must equal the reference: finding messages.
+MSG = {
+    "ready_no_conf": "READY agent(s) have NO conference extension assigned — calls cannot be bridged to them",
+    "channel_ratio": "High channel/agent ratio — answered calls not reaching agents",
+    "hopper_empty": "Hopper is EMPTY — no leads queued for dialing",
+    "stuck_incall": "lead(s) stuck in INCALL status in hopper — VDAD not cleaning up properly",
+    "dnc_in_hopper": "DNC entries in hopper — compliance risk + wasted agent time",
+    "amd_high": "AMD killing answered calls — lead list is heavily machine/voicemail",
+    "amd_elevated": "High AMD rate — significant portion of leads are non-human answers",
+    "drop_rate": "Drop rate exceeds the 5% limit — calls answered but no agent available fast enough",
+    "calls_today": "Calls completed today",
+    "dialer_errors": "VDAD errors found in recent log",
+    "agi_errors": "AGI errors detected — call routing scripts failing",
+    "invalid_phones": "leads in hopper have invalid phone numbers — wasted dials, no answer",
+    "called_many_times": "leads already called more than 3 times — exhausted list, low contact rate expected",
+}
+
+
+def hopper_specs():
+    t, i, d = F.col("hopper_total"), F.col("hopper_incall"), F.col("hopper_dnc")
+    return {"hopper_empty": ("hopper_empty", "CLIENT", t, MSG["hopper_empty"], t == 0),
+            "stuck_incall": ("stuck_incall", "SERVER", i, MSG["stuck_incall"], i > 0),
+            "dnc_in_hopper": ("dnc_in_hopper", "CLIENT", d, MSG["dnc_in_hopper"], d > 0)}
+
+
+def call_snapshot(log: DataFrame, as_of: str, lookback: str, midnight_as_of: str | None = None) -> DataFrame:
+    """Call counts of the diagnosis in one pass: AMD kills, drops and all calls
+    in the look-back, calls since midnight; plus the truncated rates."""
+    st, when = F.col("status"), F.col("call_date")
+    recent = when > X.ago(as_of, lookback)
+    aggs = [F.count_if(recent & st.isin(*aggregates.AMD_STATUSES)).alias("amd_kills"),
+            F.count_if(recent & st.isin(*aggregates.DROP_STATUSES)).alias("drop_count"),
+            F.count_if(recent).alias("total_calls")]
+    if midnight_as_of is not None:
+        today = (when > X.day_start(X.ts_literal(midnight_as_of))) & ~st.isin("DROP", "ABAND")
+        aggs.append(F.count_if(today).alias("calls_today"))
+    snap = log.agg(*aggs)
+
+    def rate(n):
+        return F.when((F.col(n) > 0) & (F.col("total_calls") > 0), X.truncate_ratio(F.col(n) * 100, "total_calls"))
+
+    return snap.select("*", rate("amd_kills").alias("amd_pct"), rate("drop_count").alias("drop_pct"))
+
+
+def call_specs(amd_high: float = 60, amd_elevated: float = 40, drop_limit: float = 5, today: bool = False):
+    amd, drop = F.col("amd_pct"), F.col("drop_pct")
+    specs = {"amd_rate": ("amd_rate", "CLIENT", amd,
+                          F.when(amd > amd_high, MSG["amd_high"]).otherwise(MSG["amd_elevated"]), amd > amd_elevated),
+             "drop_rate": ("drop_rate", "SERVER", drop, MSG["drop_rate"], drop > drop_limit)}
+    if today:
+        specs["calls_today"] = ("calls_today", "INFO", F.col("calls_today"), MSG["calls_today"], F.lit(True))
+    return specs
+
+
+def agent_specs(limit: float = 3.0, with_channels: bool = False):
+    n = F.col("ready_without_conf")
+    specs = {"ready_no_conf": ("ready_no_conf", "SERVER", n, MSG["ready_no_conf"], n > 0)}
+    if with_channels:
+        up, incall = F.col("calls_up"), F.col("agents_incall")
+        ratio = F.when((up > 0) & (incall > 0), X.truncate_ratio(up, incall))
+        specs["channel_ratio"] = ("channel_ratio", "SERVER", ratio, MSG["channel_ratio"], ratio > limit)
+    return specs
+
+
+def agents_channels_snapshot(agents: DataFrame, channels: DataFrame | None, as_of: str, lookback: str) -> DataFrame:
+    """READY-without-conference and INCALL counts in one pass over the agents,
+    with the 'Up' channel count as a scalar subquery when channels are given."""
+    recent = F.col("last_update_time") > X.ago(as_of, lookback)
+    st = F.col("status")
+    snap = agents.agg(F.count_if(recent & (st == "READY") & X.blank("conf_exten")).alias("ready_without_conf"),
+                      F.count_if(recent & (st == "INCALL")).alias("agents_incall"))
+    if channels is not None:
+        up = channels.select(F.count_if(F.col("line").contains(" Up ")).cast("long")).scalar()
+        snap = snap.select("*", up.alias("calls_up"))
+    return snap

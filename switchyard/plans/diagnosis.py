@@ -35,24 +35,31 @@ class DiagnosisParams:
 
 
 def findings(t: Mapping[str, DataFrame], p: DiagnosisParams) -> DataFrame:
-    """All findings whose inputs are present in ``t`` (view name -> frame)."""
+    """All findings whose inputs are present in ``t`` (view name -> frame).
+
+    Each table is aggregated once for all of its numbers (SURVEY section
+    3.1): one snapshot for the agents (plus the channel count), one for the
+    hopper, one for the call log; per-campaign and per-line checks follow.
+    """
     parts = []
 
     def has(*names):
         return all(n in t for n in names)
 
     if has("live_agents"):
-        parts.append(K.find_ready_no_conf(t["live_agents"], p.as_of, p.agent_active_lookback))
-    if has("channel_lines", "live_agents"):
-        parts.append(K.find_channel_ratio(t["channel_lines"], t["live_agents"], p.as_of, p.agent_active_lookback,
-                                          p.channel_ratio_limit))
+        channels = t.get("channel_lines")
+        snap = K.agents_channels_snapshot(t["live_agents"], channels, p.as_of, p.agent_active_lookback)
+        specs = K.agent_specs(p.channel_ratio_limit, with_channels=channels is not None)
+        parts.append(K.snapshot_findings(snap, list(specs.values())))
     if has("hopper", "campaigns"):
         parts.append(K.find_hopper_low(t["hopper"], t["campaigns"], p.hopper_nearly_empty, p.hopper_low))
     if has("hopper"):
-        parts += [K.find_hopper_empty(t["hopper"]), K.find_stuck_incall(t["hopper"])]
+        parts.append(K.snapshot_findings(K.hopper_snapshot(t["hopper"]), list(K.hopper_specs().values())))
     if has("call_log"):
-        parts.append(K.find_rates(t["call_log"], p.as_of, p.call_rate_lookback, p.amd_high_pct, p.amd_elevated_pct,
-                                  p.drop_limit_pct))
+        midnight = p.midnight_as_of or p.as_of
+        snap = K.call_snapshot(t["call_log"], p.as_of, p.call_rate_lookback, midnight)
+        specs = K.call_specs(p.amd_high_pct, p.amd_elevated_pct, p.drop_limit_pct, today=has("leads", "hopper"))
+        parts.append(K.snapshot_findings(snap, list(specs.values())))
     if has("campaigns"):
         parts.append(K.find_amd_message(t["campaigns"]))
     if has("live_agents", "campaigns"):
@@ -64,7 +71,7 @@ def findings(t: Mapping[str, DataFrame], p: DiagnosisParams) -> DataFrame:
     if has("conf_slots"):
         parts.append(K.find_slots(t["conf_slots"], p.slot_as_of or p.as_of, p.slot_stale))
     if has("leads", "hopper"):
-        parts.append(K.find_lead_quality(t["leads"], t["hopper"], t.get("call_log"), p.midnight_as_of or p.as_of))
+        parts.append(K.lead_quality_findings(t["leads"], t["hopper"]))
     if has("registry_lines"):
         peers = t.get("peer_lines", t["registry_lines"].limit(0))
         parts.append(K.find_registration(t["registry_lines"], peers))
