@@ -6,7 +6,7 @@ backtracking stack on megabyte lines), quoted fields are unescaped by a
 left-to-right token scan (``transform`` over ``regexp_extract_all``), and
 fields are cast to the declared schema by position.  Quotes, ``\\'``,
 ``''``, ``),(`` and parentheses inside strings are handled; NULL is NULL.
-One dump line is one input row, so the tuples are rebalanced after the
+One dump line is one input row, so the tuples are repartitioned after the
 explode to spread a long line over many tasks.
 """
 
@@ -54,9 +54,10 @@ def parse_dump_lines(lines: DataFrame, schema: StructType | str, line_col: str =
         ins = ins.where(line.rlike(r"^INSERT (IGNORE )?INTO `?" + table + r"`?[ (]"))
     values = F.substring(line, F.locate(" VALUES ", line) + 8, F.lit(1 << 30))
     tuples = ins.select(F.explode(F.regexp_extract_all(values, F.lit(TUPLE_RX), 0)).alias("_t"))
-    # spread the tuples of long lines over many tasks: a fixed count if given,
-    # else an adaptive rebalance (AQE sizes the partitions from the data)
-    tuples = tuples.repartition(num_partitions) if num_partitions else tuples.hint("rebalance")
+    # spread the tuples of long lines over the cluster's shuffle parallelism:
+    # parsing is CPU-bound per tuple, so partitions are not sized by bytes
+    n = num_partitions or int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tuples = tuples.repartition(n)
     inner = F.substring(F.col("_t"), F.lit(2), F.length(F.col("_t")) - 2)
     fields = tuples.select(F.regexp_extract_all(inner, F.lit(FIELD_RX), 0).alias("_f"))
     # try_cast: a value the type cannot hold (e.g. a zero date) becomes NULL
