@@ -40,6 +40,8 @@ def findings(t: Mapping[str, DataFrame], p: DiagnosisParams) -> DataFrame:
     Each table is aggregated once for all of its numbers (SURVEY section
     3.1): one snapshot for the agents (plus the channel count), one for the
     hopper, one for the call log; per-campaign and per-line checks follow.
+    Checks run whenever their own inputs are present: DNC entries in the
+    hopper need only the hopper, as in the reference's query.
     """
     parts = []
 

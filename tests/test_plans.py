@@ -59,3 +59,12 @@ def test_shadow_sync_report_matches_operators(spark):
     slots = QUERIES["assign_slots"](spark, SF001)
     assert report.get("slots_assigned", 0) == slots.where("result = 'assigned'").count()
     assert plan.slots_after.where("change = 'update'").count() == report.get("slots_assigned", 0)
+
+
+def test_diagnosis_with_partial_inputs(spark):
+    hopper = spark.createDataFrame([(1, 1, "3", "DNC", 0), (2, 1, "3", "INCALL", 0)],
+                                   "lead_id long, list_id long, campaign_id string, status string, priority int")
+    f, v = diagnosis.run({"hopper": hopper}, diagnosis.DiagnosisParams(as_of=P.AS_OF))
+    assert sorted(r.check for r in f.collect()) == ["dnc_in_hopper", "stuck_incall"]
+    r = v.first()
+    assert (r.server_issues, r.client_issues, r.verdict) == (1, 1, "MIXED")
