@@ -68,3 +68,19 @@ def test_diagnosis_with_partial_inputs(spark):
     assert sorted(r.check for r in f.collect()) == ["dnc_in_hopper", "stuck_incall"]
     r = v.first()
     assert (r.server_issues, r.client_issues, r.verdict) == (1, 1, "MIXED")
+
+
+def test_export_package_and_manifest(spark):
+    from switchyard.session import scratch_path
+    from switchyard.sources import tables as TB
+
+    fx = Fixture(spark, SF001)
+    out = scratch_path(spark, "export")
+    manifest = migration.export({"lists": fx.lists, "leads": fx.leads, "alt_phones": fx.alt_phones}, out)
+    rows = manifest.collect()
+    assert len(rows) == fx.lists.count()
+    matched = fx.leads.join(fx.lists.select("list_id"), "list_id", "left_semi").count()
+    assert sum(r.lead_count for r in rows) == matched
+    assert {r.total_leads for r in rows} == {fx.leads.count()}
+    back = TB.read_table(spark, "leads", "parquet", out)
+    assert back.count() == fx.leads.count()
