@@ -73,3 +73,24 @@ def test_topn_above_group_limit_threshold(spark):
         assert sorted(r.id for r in out.where("g = 0").collect()) == list(range(0, 30, 3))
     finally:
         spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
+
+
+def test_dump_parse_roundtrip_property(spark):
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    from switchyard.sources import sql_dump as SD
+
+    alphabet = st.sampled_from(list("ab ,()'\\\"\n\r\t\x00é;") + ["),(", "''", "\\'", "NULL"])
+    text = st.lists(alphabet, max_size=12).map("".join)
+    rows_st = st.lists(st.tuples(st.one_of(st.none(), text), st.integers(-10**12, 10**12)), min_size=1, max_size=25)
+
+    @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(rows_st)
+    def roundtrip(rows):
+        data = [(i, s, n) for i, (s, n) in enumerate(rows)]
+        df = spark.createDataFrame(data, "id long, s string, n long")
+        back = SD.parse_dump_lines(SD.dump_lines(df, "t", 7, "id"), "id long, s string, n long")
+        assert sorted(tuple(r) for r in back.collect()) == sorted(data)
+
+    roundtrip()
