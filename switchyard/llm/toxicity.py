@@ -163,7 +163,7 @@ def evidence(lexicon: Lexicon, text: str | None) -> tuple[float, float, int, int
     """(abusive weight, quoted weight, words, hits, quoted hits, distinct terms) of a whole text."""
     abuse = quoted = 0.0
     words = hits = quotes = 0
-    terms: set[str] = set()
+    terms: Counter[str] = Counter()
     find = lexicon.lookup
     for part, _ in _pieces((text or "").lower()):
         found = WORD.findall(part)
@@ -175,7 +175,7 @@ def evidence(lexicon: Lexicon, text: str | None) -> tuple[float, float, int, int
         places = [i for i, w in enumerate(at) if w[0] in hot]
         for i in places:
             word, start, end = at[i]
-            term, weight, _ = hot[word]
+            weight = hot[word][1]
             around = [w[0] for w in at[max(0, i - WINDOW):i] + at[i + 1:i + 1 + WINDOW]]
             marked = part[start - 1:start] in QUOTES and part[end:end + 1] in QUOTES and start and end < len(part)
             factor = 1.0
@@ -184,13 +184,14 @@ def evidence(lexicon: Lexicon, text: str | None) -> tuple[float, float, int, int
             if any(w in ADDRESS for w in around):
                 factor *= 1.25
             hits += 1
-            terms.add(term)
+            terms[word] += 1
+            factor /= terms[word]  # a word said again adds less
             if marked or any(w in REPORT for w in around[:WINDOW]):
                 quotes += 1
                 quoted += weight * factor
             else:
                 abuse += weight * factor
-    return abuse, quoted, words, hits, quotes, sorted(terms)
+    return abuse, quoted, words, hits, quotes, sorted({find(w)[0] for w in terms})
 
 
 def _features(abuse: float, quoted: float, words: int) -> list[float]:
@@ -209,9 +210,9 @@ class Model:
 
 
 def _sketch(text: str) -> int:
-    """The least hash of a text's five-word shingles: near copies mostly agree in it."""
-    w = WORD.findall(text.lower())
-    return min(xxhash.xxh64_intdigest(" ".join(w[i:i + 5])) for i in range(max(1, len(w) - 4))) >> 1
+    """The least hash of a text's long words (of all words, if it has no long one): near copies mostly agree in it."""
+    words = set(WORD.findall(text.lower()))
+    return min((xxhash.xxh64_intdigest(w) for w in {w for w in words if len(w) > 6} or words or {""}), default=0) >> 1
 
 
 def _forms(text: str) -> set[str]:
@@ -234,13 +235,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0) -
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", per_class: int = 20_000, support: int = 5,
-        sure: float = 1.2, max_terms: int = 4000) -> Model:
+        sure: float = 1.2, chance: float = 30.0, max_terms: int = 4000) -> Model:
     """The model of ``labelled(id, text, toxic)``, ``toxic`` 0 or 1.
 
     Of texts with the same sketch one teaches, so that copies do not make a
     chance word a term.  ``support``: toxic texts that a term needs;
-    ``sure``: its log-odds less 2.5 standard errors; ``max_terms``: of the
-    rest the heaviest.  Without both labels no text is toxic.
+    ``sure``: its log-odds less 2.5 standard errors; ``chance``: its G statistic,
+    high enough for a million terms tried; ``max_terms``: of the rest the
+    heaviest.  Without both labels no text is toxic.
     """
     rows = labelled.where("text is not null and toxic in (0, 1)").select(F.col(id_col).alias("id"), "text", "toxic")
     sample = bounded_sample(rows, "id", "toxic", per_class)
@@ -269,8 +271,10 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", per_class: int = 20_000, su
 
     a, b = F.col("a"), F.col("b")
     odds = F.log((a + 0.5) / (n[1] + 1)) - F.log((b + 0.5) / (n[0] + 1))
+    share = F.lit(n[1] / (n[0] + n[1]))
+    surprise = 2 * (a * F.log(a / ((a + b) * share)) + F.when(b > 0, b * F.log(b / ((a + b) * (1 - share)))).otherwise(0.0))
     terms = (chosen.mapInPandas(count, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-             .where(a >= support).withColumn("low", odds - 2.5 * F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))).where(F.col("low") >= sure)
+             .where((a >= support) & (surprise >= 30)).withColumn("low", odds - 2.5 * F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))).where(F.col("low") >= sure)
              .orderBy(F.desc("low"), "term").limit(max_terms).select("term", "low").collect())
     weights = {r["term"]: float(r["low"]) for r in terms}
     words = {t: w for t, w in weights.items() if not t.endswith("*")}
