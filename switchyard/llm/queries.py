@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, simhash, tokens, toxicity
+from . import hnsw, language, licenses, mixing, neighbours, sharding, simhash, tokens, toxicity, url_filter
 from .common import held_out, table
 
 
@@ -17,6 +17,19 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"), F.col("p.grams").alias("n_grams"))
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+    return found.select(F.col("query_id").cast("long"), F.col("rank").cast("int"), F.col("vec_id").cast("long"), "score")
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every document: the licenses found and their spans."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = docs.select("doc_id", licenses.scanned(spark, F.col("text")).alias("spans"))
+    names = F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["license"])))
+    return marked.select("doc_id", F.size("spans").alias("n_spans"), names.alias("licenses"), "spans")
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str, file: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ranks = tokens.read_ranks(public_tokenizers.path(file))
@@ -29,6 +42,41 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def listed_hosts(pages: DataFrame) -> DataFrame:
+    """Dated list entries on the table's own hosts, by the digits of the host's MD5.
+
+    One host in four is put on a list, a parent domain in eight, a path in
+    sixteen is allowed; entries end and begin again on later days.
+    """
+    host = url_filter.host_of(F.col("url"))
+    hosts = pages.select(host.alias("host")).where("host <> ''").distinct().withColumn("h", F.md5(F.col("host").cast("binary")))
+
+    def digits(a: int, n: int):
+        return F.conv(F.substring("h", a, n), 16, 10).cast("int")
+
+    first = F.date_add(F.lit("2024-01-01").cast("date"), digits(3, 2))
+    parent = F.regexp_replace("host", r"^[^.]*[.]", "")
+    base = hosts.select(
+        "host", parent.alias("parent"), digits(1, 1).alias("d"), digits(5, 1).alias("e"), digits(6, 1).alias("p"), first.alias("first"),
+        F.element_at(F.array(F.lit("malware"), F.lit("adult"), F.lit("spam"), F.lit("parked")), digits(7, 1) % 4 + 1).alias("list"))
+    day = F.col("first")
+    on = base.where("d < 4").select("list", F.col("host").alias("pattern"), F.lit("block").alias("verdict"), F.explode(F.array(
+        F.struct(F.lit(True).alias("listed"), day.alias("day")), F.struct(F.lit(False).alias("listed"), F.date_add(day, 60).alias("day")),
+        F.struct(F.lit(True).alias("listed"), F.date_add(day, 90).alias("day")))).alias("s"))
+    above = base.where("e < 2 and parent like '%.%.%'").select("list", F.col("parent").alias("pattern"), F.lit("block").alias("verdict"), F.explode(F.array(
+        F.struct(F.lit(True).alias("listed"), day.alias("day")), F.struct(F.lit(False).alias("listed"), F.date_add(day, 120).alias("day")))).alias("s"))
+    path = base.where("p = 0").select(F.lit("trusted").alias("list"), F.concat("host", F.lit("/en")).alias("pattern"), F.lit("allow").alias("verdict"),
+                                      F.struct(F.lit(True).alias("listed"), F.lit("2024-02-01").cast("date").alias("day")).alias("s"))
+    return on.unionByName(above).unionByName(path).select("list", "pattern", "verdict", "s.listed", "s.day")
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page against the entries active on the day of its capture (derived from its id)."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched_on", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("page_id") * 37, F.lit(366)).cast("int")))
+    return url_filter.judged(captures, listed_hosts(pages))
+
+
 BLOCK_ROWS = 16
 
 
@@ -39,6 +87,19 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs, shares, block_rows=BLOCK_ROWS)
 
 
+SHARDS = [f"shard-{i:04d}" for i in range(256)]
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every document in 256 shards."""
+    return sharding.placed(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARDS).select("doc_id", "slot", "shard")
+
+
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hnsw.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.9)
+    return found.select("vec_id", F.col("n_links").cast("long"), F.col("component_id").cast("long"), "kept")
+
+
 def labelled_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))).where("toxic is not null")
     return docs.select("doc_id", "text").join(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id")
@@ -52,5 +113,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("t.hits").alias("n_hits"), F.col("t.quoted").alias("n_quoted"), F.col("t.terms").alias("terms"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op4_byte_bpe, op5_simhash_dedup, op7_source_mixing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (
+    op1_language_id, op2_nearest_neighbours, op3_license_scan, op4_byte_bpe, op5_simhash_dedup, op6_url_filter, op7_source_mixing,
+    op8_sharding, op9_embedding_dedup, op10_toxicity)}
 ORACLES: dict[str, str] = {}
