@@ -84,23 +84,26 @@ class Scanner:
         self.with_template = {
             name: zstandard.ZstdCompressor(level=3, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(
                 (" ".join(w) + " ").encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for name, w in self.words.items()}
-        self.shingles: dict[tuple[str, ...], list[str]] = {}
+        self.shingles: dict[tuple[str, ...], dict[str, list[int]]] = {}  # -> template -> places in it
         for name, w in self.words.items():
-            for n in {min(SHINGLE, len(w))}:
-                for i in range(len(w) - n + 1):
-                    names = self.shingles.setdefault(tuple(w[i:i + n]), [])
-                    if name not in names:
-                        names.append(name)
+            n = min(SHINGLE, len(w))
+            for i in range(len(w) - n + 1):
+                self.shingles.setdefault(tuple(w[i:i + n]), {}).setdefault(name, []).append(i)
         self.short = {len(s) for s in self.shingles}
 
-    def _runs(self, hits: list[int], length: int) -> Iterator[tuple[int, int]]:
-        """Hits that may belong to one copy of a template of ``length`` words."""
-        first = last = hits[0]
-        for h in hits[1:]:
-            if h - last > length // 2 + SHINGLE or h - first > 2 * length:
+    def _runs(self, hits: list[tuple[int, list[int]]], length: int) -> Iterator[tuple[int, int]]:
+        """Hits (place, places in the template) that may belong to one copy of a template of ``length`` words.
+
+        A large gap, or a jump back in the template, begins another copy.
+        """
+        first = last = hits[0][0]
+        at = hits[0][1][0]
+        for h, places in hits[1:]:
+            nearest = min(places, key=lambda p: abs(p - at - (h - last)))
+            if h - last > length // 2 + SHINGLE or at - nearest >= max(1, length // 3):
                 yield first, last
-                first = h
-            last = h
+                first, nearest = h, places[0]
+            last, at = h, nearest
         yield first, last
 
     def _confirmed(self, name: str, words: list[str], a: int, b: int) -> tuple[int, int, list[str], list[str]] | None:
@@ -117,20 +120,21 @@ class Scanner:
         return (a + begin, a + stop, missing, extra) if len(missing) <= most and len(extra) <= most else None
 
     def scan_words(self, words: list[str]) -> list[tuple[str, int, int, float, list[str], list[str]]]:
-        hits: dict[str, list[int]] = {}
+        hits: dict[str, list[tuple[int, list[int]]]] = {}
         for n in self.short:
             for i, s in enumerate(zip(*(words[k:] for k in range(n)))):
                 if s in self.shingles:
-                    for name in self.shingles[s]:
-                        hits.setdefault(name, []).append(i)
-        blocks = sorted((max(0, first - len(self.words[name])), min(len(words), last + len(self.words[name])), first, last, name)
-                        for name, at in hits.items() for first, last in self._runs(at, len(self.words[name])))
+                    for name, places in self.shingles[s].items():
+                        hits.setdefault(name, []).append((i, places))
+        runs = sorted((first, last, name) for name, at in hits.items() for first, last in self._runs(at, len(self.words[name])))
         out = []
-        for a, b, first, last, name in blocks:
+        for first, last, name in runs:
+            slack = 1 + int(self.differences * len(self.words[name]))  # words at the ends that no shingle holds
+            a, b = max(0, first - slack), min(len(words), last + SHINGLE + slack)
             block = " ".join(words[first:last + SHINGLE]).encode()
             alone = len(self.plain.compress(block))
             # every template with shingles in this block competes for it
-            rivals = {other for f in range(first, last + 1) for other in self.shingles.get(tuple(words[f:f + SHINGLE]), ())} | {name}
+            rivals = {other for f in range(first, last + 1) for other in self.shingles.get(tuple(words[f:f + SHINGLE]), {})} | {name}
             ranked = sorted((-(1 - len(self.with_template[r].compress(block)) / alone), -len(self.words[r]), r) for r in rivals)
             for reduction, _, winner in ranked:
                 if got := self._confirmed(winner, words, a, b):

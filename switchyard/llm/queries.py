@@ -80,11 +80,14 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 BLOCK_ROWS = 16
 
 
+def target_shares(docs: DataFrame) -> dict[str, int]:
+    """The targets: shares from 1 to 5, dealt to the sources by name (at most 1000 sources)."""
+    return {name: 1 + i % 5 for i, name in enumerate(sorted(mixing.equal_shares(docs, "source", max_sources=1000)))}
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equal shares for all sources of the table."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    shares = mixing.equal_shares(docs, "source", max_sources=1000)
-    return mixing.mixed(docs, shares, block_rows=BLOCK_ROWS)
+    return mixing.mixed(docs, target_shares(docs), block_rows=BLOCK_ROWS)
 
 
 SHARDS = [f"shard-{i:04d}" for i in range(256)]
@@ -116,4 +119,67 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_nearest_neighbours, op3_license_scan, op4_byte_bpe, op5_simhash_dedup, op6_url_filter, op7_source_mixing,
     op8_sharding, op9_embedding_dedup, op10_toxicity)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    # brute force over all pairs, then the closure of the links
+    "op9_embedding_dedup": """
+        with recursive v as (
+            select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings
+            where vec_id is not null and embedding is not null and len(embedding) > 0
+              and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        links as (
+            select a.vec_id as a, b.vec_id as b from v a join v b
+            on a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.9),
+        reach(a, b) as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a)
+        select e.vec_id, (select count(*) from links l where l.a = e.vec_id)::bigint as n_links,
+               least(e.vec_id, coalesce((select min(b) from reach r where r.a = e.vec_id), e.vec_id)) as component_id,
+               e.vec_id = least(e.vec_id, coalesce((select min(b) from reach r where r.a = e.vec_id), e.vec_id)) as kept
+        from embeddings e""",
+    "op7_source_mixing": f"""
+        with recursive names as (
+            select source, row_number() over (order by source) as i, 1 + (row_number() over (order by source) - 1) % 5 as a
+            from (select distinct source from documents where source is not null)),
+        conf as (select list(a order by i) as a, list(source order by i) as s, sum(a)::bigint as p from names),
+        edf as (
+            select -1::bigint as slot, list_transform(a, lambda x: 0::bigint) as done, 0::bigint as pick, 0::bigint as nth from conf
+            union all
+            select slot, list_transform(done, lambda x, k: case when k = pick then x + 1 else x end), pick, done[pick] from (
+                select e.slot + 1 as slot, e.done, list_min(list_transform(range(1, len(c.a) + 1), lambda k: {{
+                    'early': case when floor(e.done[k] * c.p / c.a[k]) > e.slot + 1 then 1 else 0 end,
+                    'deadline': ceil((e.done[k] + 1) * c.p / c.a[k])::bigint, 'tight': -floor(e.done[k] * c.p / c.a[k])::bigint,
+                    'small': -c.a[k], 'k': k}})).k as pick
+                from edf e, conf c where e.slot + 1 < c.p)),
+        ranked as (
+            select doc_id, source, row_number() over (partition by source order by md5(coalesce(doc_id::varchar, '')), doc_id) - 1 as nth_row from documents),
+        blocks as (select *, case when source is not null then nth_row // {BLOCK_ROWS} end as block from ranked)
+        select b.doc_id, b.source, b.nth_row, b.block, (b.block // n.a) * c.p + e.slot as slot
+        from blocks b cross join conf c left join names n on n.source = b.source left join edf e on e.pick = n.i and e.nth = b.block % n.a and e.slot >= 0""",
+    "op6_url_filter": r"""
+        with captures as (
+            select page_id, url, date '2024-01-01' + ((page_id * 37) % 366)::int as fetched_on,
+                   regexp_replace(lower(regexp_replace(regexp_replace(regexp_extract(url, '^\s*[A-Za-z][A-Za-z0-9+.-]*://([^/?#\\]*)', 1), '^.*@', ''), ':\d*$', '')), '\.$', '') as host,
+                   regexp_replace(regexp_extract(url, '^\s*[A-Za-z][A-Za-z0-9+.-]*://[^/?#\\]*([^?#]*)', 1), '/+$', '') as path
+            from pages),
+        hosts as (select host, md5(host) as h, regexp_replace(host, '^[^.]*[.]', '') as parent from (select distinct host from captures where host <> '')),
+        base as (
+            select *, ('0x' || h[1])::int as d, ('0x' || h[5])::int as e, ('0x' || h[6])::int as p, date '2024-01-01' + ('0x' || h[3:4])::int as first,
+                   (['malware', 'adult', 'spam', 'parked'])[('0x' || h[7])::int % 4 + 1] as list
+            from hosts),
+        entries as (
+            select list, host as pattern, 'block' as verdict, x.listed, first + x.days as day from base, (values (true, 0), (false, 60), (true, 90)) x(listed, days) where d < 4
+            union all
+            select list, parent, 'block', x.listed, first + x.days from base, (values (true, 0), (false, 120)) x(listed, days) where e < 2 and parent like '%.%.%'
+            union all
+            select 'trusted', host || '/en', 'allow', true, date '2024-02-01' from base where p = 0),
+        days as (select list, pattern, day, bool_and(listed) as listed, min(verdict) as verdict from entries group by list, pattern, day),
+        spans as (select *, lead(day) over (partition by list, pattern order by day) as valid_to from days),
+        active as (
+            select c.page_id, s.* from captures c join spans s
+            on s.listed and s.day <= c.fetched_on and (s.valid_to is null or c.fetched_on < s.valid_to)
+            and c.host <> '' and (c.host = s.pattern or ends_with(c.host, '.' || s.pattern)
+                                  or (contains(s.pattern, '/') and (c.host || c.path = s.pattern or starts_with(c.host || c.path, s.pattern || '/'))))),
+        best as (
+            select page_id, count(*) as n, min({'a': -length(pattern), 'b': verdict <> 'block', 'l': list, 'k': pattern, 'v': verdict}) as best
+            from active group by page_id)
+        select c.page_id, c.url, c.fetched_on, coalesce(b.best.v, 'none') as verdict, coalesce(b.n, 0) as n_active, b.best.l as list, b.best.k as pattern
+        from captures c left join best b using (page_id)""",
+}

@@ -235,13 +235,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0) -
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", per_class: int = 20_000, support: int = 5,
-        sure: float = 1.2, chance: float = 30.0, max_terms: int = 4000) -> Model:
+        sure: float = 0.7, chance: float = 24.0, max_terms: int = 4000) -> Model:
     """The model of ``labelled(id, text, toxic)``, ``toxic`` 0 or 1.
 
     Of texts with the same sketch one teaches, so that copies do not make a
     chance word a term.  ``support``: toxic texts that a term needs;
     ``sure``: its log-odds less 2.5 standard errors; ``chance``: its G statistic,
-    high enough for a million terms tried; ``max_terms``: of the rest the
+    high enough for the many terms tried; ``max_terms``: of the rest the
     heaviest.  Without both labels no text is toxic.
     """
     rows = labelled.where("text is not null and toxic in (0, 1)").select(F.col(id_col).alias("id"), "text", "toxic")
@@ -252,7 +252,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", per_class: int = 20_000, su
         return pa.array([_sketch(t.as_py()) for t in texts], pa.int64())
 
     sample = written(sample.withColumn("sketch", sketch("text")), "toxicity-sample")
-    chosen = written(sample.groupBy("sketch").agg(F.min_by(F.struct("text", "toxic", "weight"), "id").alias("r")).select("r.*"),
+    chosen = written(sample.groupBy("sketch").agg(F.min_by(F.struct("text", "toxic", "weight"), F.xxhash64("id")).alias("r")).select("r.*"),
                      "toxicity-texts")
     n = {r["toxic"]: r["count"] for r in chosen.groupBy("toxic").count().collect()}
     if len(n) < 2:
