@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 Encoded = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
                         T.StructField("decoded_sha256", T.StringType())])
-CACHE = 400_000  # pieces a worker remembers
+CACHE = 800_000  # pieces a worker remembers
 GROUP = 65_536  # pieces handled together
 
 
@@ -44,12 +44,13 @@ class _Pieces(dict):
     def __init__(self, codec: Codec):
         self.codec = codec
 
-    def __missing__(self, piece: str) -> tuple[int, str, bytes, list[int]]:
+    def __missing__(self, piece: str) -> tuple[str, bytes]:
         if len(self) >= CACHE:
             self.clear()
+        if len(self.codec.fits) >= CACHE:
             self.codec.fits.clear()
         ids = self.codec.encode_piece(piece)
-        got = self[piece] = len(ids), " ".join(map(str, ids)), self.codec.decode(ids), ids
+        got = self[piece] = " ".join(map(str, ids)), self.codec.decode(ids)
         return got
 
 
@@ -61,14 +62,19 @@ class Codec:
         self.text = {v: k for k, v in self.ids.items()}
         self.bytes = {v: k for k, v in ranks.items()}
         self.split = splitter(pattern)
+        self.lengths = {i: len(t) for i, t in self.text.items()}
+        self.longest = max(self.lengths.values())
+        self.prefixes: dict[int, int] = {}
+        self.merges: dict[int, tuple[int, int] | None] = {}
+        self.fits: dict[tuple[int, int], bool] = {}
+        self.whole = dict(self.ids)  # a piece that is a token is that token, made by merges or not
+        for i, t in self.text.items():
+            if len(t) > 1 and self._merged_from(i) is None:
+                del self.ids[t]
         self.automaton = ahocorasick.Automaton()
         for token, i in self.ids.items():
             self.automaton.add_word(token, (len(token), i))
         self.automaton.make_automaton()
-        self.prefixes: dict[int, int] = {}
-        self.merges: dict[int, tuple[int, int] | None] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.lengths = {i: len(t) for i, t in self.text.items()}
         self.pieces = _Pieces(self)
 
     def _shorter(self, i: int) -> int:
@@ -99,8 +105,6 @@ class Codec:
         back, they would have been merged instead.
         """
         key, limit, fits = (a, b), len(self.text) + 1, True
-        if (known := self.fits.get(key)) is not None:
-            return known
         while True:
             both = self.ids.get(self.text[a] + self.text[b])
             if both is not None and both < limit and self._merged_from(both) == (a, b):
@@ -121,49 +125,71 @@ class Codec:
         if not piece:
             return []
         t = piece.encode("utf-8").decode("latin-1")
-        if (whole := self.ids.get(t)) is not None:
+        if (whole := self.whole.get(t)) is not None:
             return [whole]
-        longest, size = [-1] * len(t), [0] * len(t)
-        for end, (n, i) in self.automaton.iter(t):
-            start = end - n + 1
-            if n > size[start]:
-                longest[start], size[start] = i, n
-        failed = bytearray(len(t) + 1)
+        lengths, fits = self.lengths, self.fits
         out: list[int] = []
-        lengths, known, shorter = self.lengths, self.fits.get, self._shorter
-        at, token = 0, longest[0]
-        while at < len(t):
+        last = -1
+        at, size = 0, len(t)
+        for _, (_, token) in self.automaton.iter_long(t):  # as far as longest matches are compatible
+            if last >= 0:
+                if (good := fits.get((last, token))) is None:
+                    good = self._compatible(last, token)
+                if not good:
+                    break
+            out.append(token)
+            at += lengths[token]
+            last = token
+        if at == size:
+            return out
+        failed: set[int] = set()  # places from which the rest cannot be encoded
+        far = self._all_longest(t) if size > 4 * self.longest else None  # the tokens of a long piece, found in one pass
+        token = self._longest(t, at)
+        while at < size:
             while token >= 0:
                 end = at + lengths[token]
-                if not failed[end]:
+                if end not in failed:
                     if not out:
-                        fits = True
-                    elif (fits := known((out[-1], token))) is None:
-                        fits = self._compatible(out[-1], token)
-                    if fits and (lengths[token] == 1 or self._merged_from(token)):
                         break
-                token = shorter(token)
+                    if (good := fits.get((out[-1], token))) is None:
+                        good = self._compatible(out[-1], token)
+                    if good:
+                        break
+                token = self._shorter(token)
             if token >= 0:
                 out.append(token)
                 at = end
-                token = longest[at] if at < len(t) else -1
+                token = self._longest(t, at) if far is None or at == size else far[at]
             else:
-                failed[at] = 1
+                failed.add(at)
                 if not out:
                     raise ValueError("the vocabulary lacks a byte of the text")
                 token = out.pop()
                 at -= lengths[token]
-                token = shorter(token)
+                token = self._shorter(token)
+        return out
+
+    def _longest(self, t: str, at: int) -> int:
+        """The longest token at a place, -1 at the end."""
+        ids = self.ids
+        return next((ids[p] for end in range(min(len(t), at + self.longest), at, -1) if (p := t[at:end]) in ids), -1)
+
+    def _all_longest(self, t: str) -> list[int]:
+        """The longest token at every place."""
+        out, sizes = [-1] * len(t), [0] * len(t)
+        for end, (n, i) in self.automaton.iter(t):
+            if n > sizes[end - n + 1]:
+                out[end - n + 1], sizes[end - n + 1] = i, n
         return out
 
-    def encoded(self, text: str) -> Iterator[Iterator[tuple[int, str, bytes, list[int]]]]:
-        """Of every piece: how many ids, their decimal text, the bytes they decode to, the ids."""
+    def encoded(self, text: str) -> Iterator[Iterator[tuple[str, bytes]]]:
+        """Of every piece: the decimal text of its ids, and the bytes they decode to."""
         for block in blocks(text):
             for pieces in batched(self.split.findall(block), GROUP):
                 yield map(self.pieces.__getitem__, pieces)
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for group in self.encoded(text or "") for piece in group for i in piece[3]]
+        return [i for group in self.encoded(text or "") for piece in group for i in map(int, piece[0].split())]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
@@ -172,10 +198,11 @@ class Codec:
         """Number of ids, SHA-256 of their decimal text, SHA-256 of the decoded bytes."""
         n, of_ids, of_bytes = 0, hashlib.sha256(), hashlib.sha256()
         for group in self.encoded(text or ""):
-            counts, decimals, decoded, _ = zip(*group)
-            of_ids.update((" " * bool(n) + " ".join(decimals)).encode())
-            of_bytes.update(b"".join(decoded))
-            n += sum(counts)
+            found = list(group)
+            decimals = " ".join([d for d, _ in found])
+            of_ids.update((" " * bool(n) + decimals).encode())
+            of_bytes.update(b"".join([b for _, b in found]))
+            n += decimals.count(" ") + 1
         return n, of_ids.hexdigest(), of_bytes.hexdigest()
 
 
