@@ -103,14 +103,13 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", F.col("n_links").cast("long"), F.col("component_id").cast("long"), "kept")
 
 
-def labelled_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))).where("toxic is not null")
-    return docs.select("doc_id", "text").join(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id")
+def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.fit(labelled_texts(spark, docs, sf_dir))
+    model = toxicity.fit(docs, training_labels(spark, sf_dir))
     out = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), toxicity.scored(spark, model, F.col("text")).alias("t"))
     return out.select("doc_id", "held_out", F.col("t.score").alias("score"), (F.col("t.score") >= 0.5).cast("int").alias("predicted"),
                       F.col("t.hits").alias("n_hits"), F.col("t.quoted").alias("n_quoted"), F.col("t.terms").alias("terms"))

@@ -10,7 +10,7 @@ words of report make it a quotation, a second term or a direct address makes
 it abuse.  A logistic model of the weights gives the score.
 
 Lexicon and model learn from a bounded sample of labelled rows
-(``per_class`` of each label, by hash); scoring reads every whole text.
+(about ``per_class`` of each label at most, by hash); scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -234,18 +234,23 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0) -
     return b
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", per_class: int = 20_000, support: int = 5,
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", per_class: int = 20_000, support: int = 5,
         sure: float = 0.7, chance: float = 24.0, max_terms: int = 4000) -> Model:
-    """The model of ``labelled(id, text, toxic)``, ``toxic`` 0 or 1.
+    """The model of ``docs(id, text)`` by ``labels(id, toxic)``, ``toxic`` 0 or 1 (of several labels the larger).
 
+    The labels are sampled first: the sample has a proven bound, so it is
+    broadcast to the texts, which are not shuffled.
     Of texts with the same sketch one teaches, so that copies do not make a
     chance word a term.  ``support``: toxic texts that a term needs;
     ``sure``: its log-odds less 2.5 standard errors; ``chance``: its G statistic,
     high enough for the many terms tried; ``max_terms``: of the rest the
     heaviest.  Without both labels no text is toxic.
     """
-    rows = labelled.where("text is not null and toxic in (0, 1)").select(F.col(id_col).alias("id"), "text", "toxic")
-    sample = bounded_sample(rows, "id", "toxic", per_class)
+    known = (labels.where("toxic in (0, 1)").where(F.col(id_col).isNotNull())
+             .groupBy(F.col(id_col).alias("id")).agg(F.max("toxic").cast("int").alias("toxic")))
+    chosen_ids = written(bounded_sample(known, "id", "toxic", per_class), "toxicity-labels")
+    texts = docs.where("text is not null").select(F.col(id_col).alias("id"), "text")
+    sample = texts.join(F.broadcast(chosen_ids), "id")
 
     @F.arrow_udf(T.LongType())
     def sketch(texts: pa.Array) -> pa.Array:

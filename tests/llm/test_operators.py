@@ -302,10 +302,10 @@ def test_misspelt_and_quoted_terms():
 
 def test_toxicity_of_odd_documents(spark, frame):
     docs = odd_documents(frame)
-    model = toxicity.fit(docs.withColumn("toxic", F.lit(0)))  # one label only: nothing to learn
+    model = toxicity.fit(docs, docs.select("doc_id", F.lit(0).alias("toxic")))  # one label only: nothing to learn
     got = docs.select(toxicity.scored(spark, model, F.col("text")).alias("t")).collect()
     assert len(got) == 9 and all(r["t"]["score"] < 0.5 and r["t"]["terms"] == [] for r in got)
-    assert toxicity.fit(docs.limit(0).withColumn("toxic", F.lit(1))).score("x")[0] < 0.5
+    assert toxicity.fit(docs.limit(0), docs.select("doc_id", (F.col("doc_id") % 2).alias("toxic"))).score("x")[0] < 0.5
     assert toxicity.evidence(toxicity.Lexicon({"moron": 1.0}, {}), "x " * 800_000 + "moron")[3] == 1
 
 
