@@ -2,9 +2,10 @@
 
 The distinct vectors are dealt to shards of bounded size; each shard gets a
 graph of layers, every layer a random part of the one below, in which a
-vector's neighbours are near and spread out.  Every vector is searched in
-every shard's graph, from the top layer down, by a beam; a shard widens its
-beam until an audit passes (vectors planted at the linking angle of its own
+vector's neighbours are near and spread out.  Every shard is queried by every
+other (of two shards the one's vectors search the other's graph, which shows
+the links of both) and by its own vectors, from the top layer down, by a
+beam; a shard widens its beam until an audit passes (vectors planted at the linking angle of its own
 members must be found).  Cosines are verified in double precision, and the
 links make components.  Searches run on many queries at once.
 """
@@ -87,7 +88,7 @@ def _spread(points: np.ndarray, own: np.ndarray, ids: np.ndarray, sims: np.ndarr
     m, (n, k) = len(points), ids.shape
     valid = (ids < m) & (ids != own[:, None]) & np.isfinite(sims)
     vectors = points[np.minimum(ids, m - 1)]
-    between = np.einsum("nkd,njd->nkj", vectors, vectors)
+    between = vectors @ vectors.transpose(0, 2, 1)
     chosen = np.zeros((n, k), bool)
     for j in range(k):
         blocked = (chosen[:, :j] & (between[:, j, :j] >= sims[:, j:j + 1])).any(axis=1)
@@ -265,11 +266,15 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
 
     graphs = written(dealt.groupBy("size", "shard").applyInPandas(
         build, "size int, shard long, blocks int, graph binary, gids array<long>, copies array<long>, keys array<long>"), "hnsw-graphs")
-    asked = (dealt.withColumn("block", F.pmod(F.xxhash64("key"), "blocks")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-             .select("size", F.col("shard").cast("long"), F.col("block").cast("long"), "gid", "key", "v"))
+    # of two shards one asks the other: the one that is fewer steps ahead, round the circle of shards
+    steps = F.pmod(F.col("to") - F.col("shard"), F.col("shards"))
+    once = (2 * steps < F.col("shards")) | ((2 * steps == F.col("shards")) & (F.col("shard") < F.col("to")))
+    asked = (dealt.withColumn("block", F.pmod(F.xxhash64("key"), "blocks")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+             .where(once).select("size", F.col("to").cast("long").alias("shard"), F.col("block").cast("long"), (steps == 0).alias("own"), "key", "copies", "v"))
     sent = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("block", F.col("block").cast("long")).drop("blocks")
 
     def search(queries: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
+        seen: dict[int, int] = {}
         out: list[tuple[int, int, int]] = []
         if len(queries) and len(shard):
             graph = Graph.unpacked(shard["graph"].iloc[0])
@@ -281,15 +286,18 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
                     up[x] = x = up[up[x]]
                 return x
 
-            for key, hits in zip(queries["key"].tolist(), graph.within(unit(np.array(queries["v"].tolist())), least)):
+            found = graph.within(unit(np.array(queries["v"].tolist())), least)
+            for key, own, many, hits in zip(queries["key"].tolist(), queries["own"].tolist(), queries["copies"].tolist(), found):
                 others = hits[keys[hits] != key]
                 if len(others):
-                    out.append((key, int(copies[others].sum()), key))
+                    seen[key] = seen.get(key, 0) + int(copies[others].sum())
                     for other in keys[others].tolist():
+                        if not own:  # nobody asks in the other direction
+                            seen[other] = seen.get(other, 0) + many
                         a, b = root(key), root(other)
                         if a != b:
                             up[max(a, b)] = min(a, b)
-            out += [(k, 0, r) for k in list(up) if (r := root(k)) != k]
+            out = [(k, seen.get(k, 0), root(k)) for k in list(up)]
         return pd.DataFrame(out, columns=["key", "n", "to"]).astype("int64")
 
     by = ["size", "shard", "block"]
