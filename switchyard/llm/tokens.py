@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 Encoded = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
                         T.StructField("decoded_sha256", T.StringType())])
-CACHE = 800_000  # pieces a worker remembers
+CACHE = 500_000  # pieces a worker remembers
 GROUP = 65_536  # pieces handled together
 
 

@@ -140,7 +140,7 @@ class Lexicon:
 
     def lookup(self, word: str) -> tuple[str, float, int] | None:
         if word not in self.seen:
-            if len(self.seen) >= 200_000:
+            if len(self.seen) >= 100_000:
                 self.seen.clear()
             if len(self.sets) > 200_000:  # states are rebuilt when asked for again
                 self.__post_init__()
