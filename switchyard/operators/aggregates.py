@@ -97,7 +97,7 @@ def size_gate(files: DataFrame, roots: Iterable[str] = LOG_DIRS, threshold_mb: i
         root = F.when(F.col("path").startswith(r + "/"), F.lit(r)).otherwise(root)
     tagged = files.select(root.alias("root"), "length").where(F.col("root").isNotNull())
     per = tagged.groupBy("root").agg(F.sum("length").cast("long").alias("dir_bytes"))
-    total = tagged.select(F.coalesce(F.sum("length"), F.lit(0)).cast("long")).scalar()
+    total = per.select(F.coalesce(F.sum("dir_bytes"), F.lit(0)).cast("long")).scalar()
     kb100 = (total * 100 - (total * 100) % 1024) / 1024
     mb100 = ((kb100 - kb100 % 1024) / 1024).cast("long")
     return per.select(

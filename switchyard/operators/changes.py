@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from . import filters, joins
 from .setops import union_all
-from .sizing import checked_broadcast
 from .windows import topn_per_key
 
 # Fixed values that must equal the reference: protected list ids.
@@ -44,19 +43,24 @@ def cascade_orphans(log: DataFrame, retained_leads: DataFrame, key: str = "lead_
     return flagged.select(*log.columns, F.when(F.col("_del"), "delete").otherwise("keep").alias("change"))
 
 
-def insert_ignore(dest: DataFrame, incoming: DataFrame, pk: str | Sequence[str], order: str) -> DataFrame:
+def insert_ignore(dest: DataFrame, incoming: DataFrame, pk: str | Sequence[str], order: str | None = None) -> DataFrame:
     """INSERT IGNORE merge: existing keys win; inside the package the first
-    incoming row (by ``order``) wins.  Dedup is an aggregate (min of a
-    struct), so a key repeated in a third of the package still combines
-    partially per task.
+    incoming row wins.
+
+    ``order`` names a column that holds the package's file and line order
+    (not part of the key; it need not be a column of ``dest``); without one
+    the order in which Spark reads the package is taken.  Keys that exist are
+    dropped first; the rest is deduplicated by ``min_by``, so a key repeated
+    in a third of the package combines partially per task.
     """
     keys = [pk] if isinstance(pk, str) else list(pk)
-    others = [c for c in incoming.columns if c not in keys]
-    first = incoming.groupBy(*keys).agg(
-        F.min(F.struct(F.col(order).alias("_o"), *[F.col(c) for c in others])).alias("_r"))
-    first = first.select(*keys, *[F.col("_r")[c].alias(c) for c in others])
-    new = first.join(dest.select(*keys), keys, "left_anti")
-    return dest.unionByName(new.select(*dest.columns))
+    if order in keys:
+        raise ValueError("the order of incoming rows cannot be their key")
+    rows = incoming.withColumn("_seq", F.col(order) if order else F.monotonically_increasing_id())
+    others = [c for c in dest.columns if c not in keys]
+    fresh = rows.join(dest.select(*keys), keys, "left_anti")
+    first = fresh.groupBy(*keys).agg(F.min_by(F.struct(*[F.col(c) for c in others]), F.struct(F.col("_seq"))).alias("_r"))
+    return dest.unionByName(first.select(*keys, *[F.col("_r")[c].alias(c) for c in others]).select(*dest.columns))
 
 
 def override(df: DataFrame, c: str, value) -> DataFrame:
@@ -89,8 +93,8 @@ def rebuild_cache(lists: DataFrame, leads: DataFrame, ids: DataFrame, as_of: str
     Other lists pass through unchanged.
     """
     lists = with_cache_columns(lists)
-    counts = leads.groupBy("list_id").agg(F.count(F.lit(1)).alias("_n"))
     hit = ids.select(F.col(ids.columns[0]).alias("list_id")).distinct().withColumn("_hit", F.lit(True))
+    counts = leads.join(hit, "list_id", "left_semi").groupBy("list_id").agg(F.count(F.lit(1)).alias("_n"))
     j = lists.join(hit, "list_id", "left").join(counts, "list_id", "left")
     on = F.coalesce(F.col("_hit"), F.lit(False))
     n = F.coalesce(F.col("_n"), F.lit(0)).cast("long")
@@ -112,9 +116,8 @@ def seed_hopper(leads: DataFrame, lists: DataFrame, n: int = 1000, ids: DataFram
         usable = usable.join(ids.select(F.col(ids.columns[0]).alias("list_id")).distinct(), "list_id", "left_semi")
     cand = leads.where((F.col("status") == "NEW") & (F.col("called_since_last_reset") == "N")).select(
         "lead_id", "phone_number", "list_id")
-    # the list dimension is broadcast (size-checked), so leads are not shuffled
-    # by list before the partial per-list limit
-    picked = topn_per_key(cand.join(checked_broadcast(usable), "list_id", "inner"), "list_id", ["lead_id"], n,
+    # adaptive execution broadcasts the list dimension if its bytes allow
+    picked = topn_per_key(cand.join(usable, "list_id", "inner"), "list_id", ["lead_id"], n,
                           rn_col=None)
     return picked.select("lead_id", "phone_number", "list_id", "campaign_id",
                          F.lit("READY").alias("status"), F.lit(0).alias("priority"))
@@ -143,9 +146,25 @@ PHONE_OFFSET_FIELDS = ("dialplan_number", "conf_on_extension", "park_on_extensio
 
 def offset_if_digits(c: str, offset: int = PHONE_OFFSET) -> Column:
     """``c + offset`` when ``c`` is all digits (decimal, not octal), else ``c``."""
-    shifted = F.try_add(F.col(c).try_cast("decimal(38,0)"), F.lit(offset).cast("decimal(38,0)")).cast("string")
-    # digit strings too long for decimal(38,0) stay as they are instead of failing the job
-    return F.when(X.is_all_digits(c), F.coalesce(shifted, F.col(c))).otherwise(F.col(c))
+    digits = F.regexp_replace(F.col(c), "^0+(?=.)", "")
+    short = (digits.try_cast("decimal(38,0)") + F.lit(offset).cast("decimal(38,0)")).cast("string")
+    # beyond a decimal: add to the last 18 digits, and carry into the digits before them as text
+    head, tail = F.expr(f"left({_sql(c)}, length({_sql(c)}) - 18)"), F.expr(f"right({_sql(c)}, 18)")
+    summed = tail.try_cast("decimal(38,0)") + F.lit(offset).cast("decimal(38,0)")
+    nines = F.regexp_extract(head, "9*$", 0)
+    before = F.expr(f"left({_sql(c)}, length({_sql(c)}) - 18 - length(regexp_extract(left({_sql(c)}, length({_sql(c)}) - 18), '9*$', 0)))")
+    carried = F.concat(F.regexp_replace(before, "[0-8]$", ""),
+                       F.coalesce(F.nullif(F.regexp_extract(before, "[0-8]$", 0), F.lit("")).cast("int") + 1, F.lit(1)).cast("string"),
+                       F.repeat(F.lit("0"), F.length(nines)))
+    one = F.lit(10**18).cast("decimal(38,0)")
+    long = F.when(summed >= one, F.concat(carried, F.lpad((summed - one).cast("string"), 18, "0"))).otherwise(
+        F.concat(head, F.lpad(summed.cast("string"), 18, "0")))
+    return F.when(X.is_all_digits(c), F.when(F.length(digits) <= 37, short).otherwise(long)).otherwise(F.col(c))
+
+
+def _sql(c: str) -> str:
+    """The digits of a column, without leading zeros, as SQL text."""
+    return f"regexp_replace(`{c}`, '^0+(?=.)', '')"
 
 
 def clone_phones(phones: DataFrame, eligible: DataFrame, suffix: str = "_B", offset: int = PHONE_OFFSET,
@@ -170,7 +189,7 @@ def slot_holders(slots: DataFrame) -> DataFrame:
     names: the extension itself and, for 'SIP/<name>', the bare name."""
     ext = F.col("extension")
     names = F.array_distinct(F.array_compact(F.array(
-        ext, F.when(ext.startswith("SIP/"), F.substring(ext, 5, 1 << 20)))))
+        ext, F.when(ext.startswith("SIP/"), F.substr(ext, F.lit(5))))))
     return slots.where(ext.isNotNull()).select("server_ip", "conf_exten", F.explode(names).alias("holder"))
 
 
@@ -205,7 +224,7 @@ def assign_slots(needs: DataFrame, slots: DataFrame, servers: DataFrame, suffix:
         F.when(F.col("slot_conf_exten").isNotNull(), "assigned").otherwise("none").alias("result"))
     already = have.select("user_name", "server_ip", F.col("held_conf").alias("conf_exten"),
                           F.lit("already").alias("result"))
-    out = union_all(assigned, already).join(checked_broadcast(tables), "server_ip", "left")
+    out = union_all(assigned, already).join(tables, "server_ip", "left")
     return out.select("user_name", "server_ip", "conf_exten", "result",
                       F.coalesce(F.col("slot_table"), F.lit("conferences")).alias("slot_table"),
                       F.when(F.col("result") == "assigned", F.concat(F.lit("SIP/"), shadow)).alias("new_extension"))
@@ -237,10 +256,6 @@ def revert_shadows(users: DataFrame, phones: DataFrame, slots: DataFrame, suffix
     )
 
 
-def revert_users(users: DataFrame, suffix: str = "_B", wildcard: bool = False) -> DataFrame:
-    return users.where(~filters.is_shadow(F.col("user_name"), suffix, wildcard))
-
-
 def rollback_plan(leads: DataFrame, alt: DataFrame, lists: DataFrame, hopper: DataFrame, mark: Column,
                   mapped_ids: DataFrame) -> DataFrame:
     """Rows an import rollback deletes: leads and alt phones above the mark,

@@ -124,8 +124,8 @@ def find_lead_quality(leads: DataFrame, hopper: DataFrame, log: DataFrame | None
     parts = [lead_quality_findings(leads, hopper, many_calls, many_leads),
              snapshot_findings(hopper_snapshot(hopper), [hopper_specs()["dnc_in_hopper"]])]
     if log is not None and midnight_as_of is not None:
-        today = log.agg(F.count_if((F.col("call_date") > X.day_start(X.ts_literal(midnight_as_of)))
-                                   & ~F.col("status").isin("DROP", "ABAND")).alias("calls_today"))
+        today = (log.where(F.col("call_date") > X.day_start(X.ts_literal(midnight_as_of)))
+                 .agg(F.count_if(~F.col("status").isin("DROP", "ABAND")).alias("calls_today")))
         parts.append(snapshot_findings(today, [call_specs(today=True)["calls_today"]]))
     return union_all(*parts)
 
@@ -374,7 +374,11 @@ def call_snapshot(log: DataFrame, as_of: str, lookback: str, midnight_as_of: str
     if midnight_as_of is not None:
         today = (when > X.day_start(X.ts_literal(midnight_as_of))) & ~st.isin("DROP", "ABAND")
         aggs.append(F.count_if(today).alias("calls_today"))
-    snap = log.agg(*aggs)
+    # only what some count reads leaves the scan
+    since = X.ago(as_of, lookback)
+    if midnight_as_of is not None:
+        since = F.least(since, X.day_start(X.ts_literal(midnight_as_of)))
+    snap = log.where(when > since).agg(*aggs)
 
     def rate(n):
         return F.when((F.col(n) > 0) & (F.col("total_calls") > 0), X.truncate_ratio(F.col(n) * 100, "total_calls"))
@@ -407,8 +411,8 @@ def agents_channels_snapshot(agents: DataFrame, channels: DataFrame | None, as_o
     with the 'Up' channel count as a scalar subquery when channels are given."""
     recent = F.col("last_update_time") > X.ago(as_of, lookback)
     st = F.col("status")
-    snap = agents.agg(F.count_if(recent & (st == "READY") & X.blank("conf_exten")).alias("ready_without_conf"),
-                      F.count_if(recent & (st == "INCALL")).alias("agents_incall"))
+    snap = agents.where(recent).agg(F.count_if((st == "READY") & X.blank("conf_exten")).alias("ready_without_conf"),
+                                    F.count_if(st == "INCALL").alias("agents_incall"))
     if channels is not None:
         up = channels.select(F.count_if(F.col("line").contains(" Up ")).cast("long")).scalar()
         snap = snap.select("*", up.alias("calls_up"))

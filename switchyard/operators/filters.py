@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from .sizing import checked_broadcast, literal_table
+from .sizing import literal_table
 
 # Fixed values that must equal the reference: the 13 exported lead columns
 # in their export order, and which of them default to 0 instead of ''.
@@ -108,7 +108,7 @@ def label_status(df: DataFrame, kind: str, status_col: str = "status", labels: D
         F.col("status").alias("_code"), F.col("label").alias("_label"), F.col("severity").alias("_sev")
     )
     # the built-in dimension is a literal table; a caller's table is size-checked
-    dim = F.broadcast(dim) if labels is None else checked_broadcast(dim)
+    dim = F.broadcast(dim) if labels is None else dim
     joined = df.join(dim, F.col(status_col) == F.col("_code"), "left")
     return joined.select(
         *[F.col(c) for c in df.columns],

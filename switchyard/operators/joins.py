@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from . import filters
-from .sizing import checked_broadcast
 from .windows import ranked
 
 
@@ -42,7 +41,7 @@ def hopper_by_campaign(hopper: DataFrame, campaigns: DataFrame, keep_empty: bool
         joined = active.join(counts, "campaign_id", "left").withColumn(
             "hopper_count", F.coalesce(F.col("hopper_count"), F.lit(0)).cast("long"))
     else:
-        joined = counts.join(checked_broadcast(active), "campaign_id", "inner")
+        joined = counts.join(active, "campaign_id", "inner")
     return joined.select(
         "campaign_id", "hopper_count",
         *[F.col(c).cast("double").alias(c) if c == "auto_dial_level" else F.col(c) for c in attrs],
@@ -58,7 +57,7 @@ def agent_math(agents: DataFrame, campaigns: DataFrame, as_of: str, lookback: st
         F.count(F.lit(1)).alias("total_agents"),
     )
     active = campaigns.where(F.col("active") == "Y").select("campaign_id", "auto_dial_level")
-    return per.join(checked_broadcast(active), "campaign_id", "inner").select(
+    return per.join(active, "campaign_id", "inner").select(
         "campaign_id", "ready_agents", "incall_agents", "total_agents",
         F.col("auto_dial_level").cast("double").alias("auto_dial_level"),
     )
@@ -86,10 +85,12 @@ def not_in_flag(df: DataFrame, other: DataFrame, key: str, other_key: str | None
     keys = other.select(F.col(ok).alias("_k")).distinct()
     stats = keys.select(F.struct(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_k").isNull()).alias("nulls"))).scalar()
     right = keys.where(F.col("_k").isNotNull()).withColumn("_m", F.lit(True))
-    j = df.join(right, F.col(key) == F.col("_k"), "left")
-    flag = (F.when(stats["n"] == 0, F.lit(True)).when(stats["nulls"] > 0, F.lit(False))
-            .otherwise(F.col(key).isNotNull() & F.col("_m").isNull()))
-    return j.select(*[F.col(c) for c in df.columns], flag.alias(out))
+    # rows with a NULL key need no partner, so they do not meet in one partition of the join
+    j = df.where(F.col(key).isNotNull()).join(right, F.col(key) == F.col("_k"), "left")
+    flag = F.when(stats["n"] == 0, F.lit(True)).when(stats["nulls"] > 0, F.lit(False)).otherwise(F.col("_m").isNull())
+    flagged = j.select(*[F.col(c) for c in df.columns], flag.alias(out))
+    unkeyed = df.where(F.col(key).isNull()).select("*", (stats["n"] == 0).alias(out))
+    return flagged.unionByName(unkeyed)
 
 
 def not_in_subquery(df: DataFrame, other: DataFrame, key: str, other_key: str | None = None) -> DataFrame:
@@ -97,13 +98,6 @@ def not_in_subquery(df: DataFrame, other: DataFrame, key: str, other_key: str |
     return not_in_flag(df, other, key, other_key, "_not_in").where("_not_in").drop("_not_in")
 
 
-def in_subquery(df: DataFrame, other: DataFrame, key: str, other_key: str | None = None) -> DataFrame:
-    """Rows whose ``key`` IN (SELECT other_key FROM other): a left semi join."""
-    ok = other_key or key
-    right = other.select(F.col(ok).alias("_k"))
-    return df.join(right, F.col(key) == F.col("_k"), "left_semi")
-
-
 def _flag_from(df: DataFrame, left_key: Column, keys: DataFrame, flag: str) -> DataFrame:
     k = keys.select(F.col(keys.columns[0]).alias("_k")).distinct().withColumn(flag, F.lit(True))
     out = df.join(k, left_key == F.col("_k"), "left").drop("_k")
@@ -151,7 +145,7 @@ def remap_ids(df: DataFrame, id_map: DataFrame, c: str, old: str = "old_id", new
     # one new id per old id (the smallest if a map repeats a key), so a
     # repeated key cannot duplicate rows; the map is size-checked and broadcast
     m = id_map.groupBy(F.col(old).alias("_old")).agg(F.min(new).alias("_new"))
-    out = df.join(checked_broadcast(m), F.col(c) == F.col("_old"), "left")
+    out = df.join(m, F.col(c) == F.col("_old"), "left")
     cols = [F.coalesce(F.col("_new"), F.col(c)).alias(c) if x == c else F.col(x) for x in df.columns]
     if keep_old_as:
         cols.append(F.col(c).alias(keep_old_as))
@@ -176,8 +170,8 @@ def verify_import(lists: DataFrame, leads: DataFrame, hopper: DataFrame, ids: Da
     """Per imported list in one row: leads, cache, campaign, active, hopper rows
     and name (two pre-aggregates and left joins instead of a query per value)."""
     i = ids.select(F.col(ids.columns[0]).alias("list_id")).distinct()
-    lc = leads.groupBy("list_id").agg(F.count(F.lit(1)).alias("_leads"))
-    hc = hopper.groupBy("list_id").agg(F.count(F.lit(1)).alias("_hop"))
+    lc = leads.join(i, "list_id", "left_semi").groupBy("list_id").agg(F.count(F.lit(1)).alias("_leads"))
+    hc = hopper.join(i, "list_id", "left_semi").groupBy("list_id").agg(F.count(F.lit(1)).alias("_hop"))
     j = i.join(lists, "list_id", "left").join(lc, "list_id", "left").join(hc, "list_id", "left")
     return j.select("list_id", "list_name", F.coalesce(F.col("_leads"), F.lit(0)).cast("long").alias("lead_count"),
                     F.col("cache_count_dialable_new").alias("cache_dialable"), "campaign_id", "active",

@@ -1,11 +1,8 @@
-"""Broadcast only what has a proven size bound.
+"""Small tables from parameters.
 
-``checked_broadcast`` proves the bound with a bounded count (``limit(n+1)``
-stops each task after n+1 rows), then hints the broadcast.  Past the bound it
-returns the frame unchanged: the join stays a shuffle join and AQE may still
-switch it to a broadcast once real shuffle sizes are known.  Literal tables
-built from Python parameters are bounded by construction and use
-``literal_table``.
+Only literal tables are hinted for broadcast: they are bounded by
+construction.  Every other join is left to adaptive execution, which switches
+to a broadcast on the measured bytes, so plans start no job to probe a size.
 """
 
 from __future__ import annotations
@@ -15,18 +12,6 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DIMENSION_ROW_BOUND = 1_000_000
-
-
-def has_at_most(df: DataFrame, max_rows: int) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = DIMENSION_ROW_BOUND) -> DataFrame:
-    """``broadcast(df)`` when ``df`` has at most ``max_rows`` rows, else ``df``."""
-    return F.broadcast(df) if has_at_most(df, max_rows) else df
-
-
 def literal_table(
     spark: SparkSession, rows: Iterable[Sequence], schema: str, broadcast: bool = True
 ) -> DataFrame:

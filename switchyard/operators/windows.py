@@ -60,11 +60,11 @@ def share_of_total(df: DataFrame, key: str = "status", n: int | None = 20, count
                    pct_col: str = "pct") -> DataFrame:
     """Count per key with ROUND(count*100/total, 1), top ``n`` by count.
 
-    The total is a scalar subquery (one partial count per task), so no
-    single-partition window runs over the data.
+    The total is the sum of the groups as a scalar subquery, so no
+    single-partition window runs over the data and it is read once.
     """
-    total = df.select(F.count(F.lit(1))).scalar()
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias(count_col))
+    total = counts.select(F.coalesce(F.sum(count_col), F.lit(0))).scalar()
     out = counts.select(key, count_col, X.round_half_up_ratio(F.col(count_col) * 100, total).alias(pct_col))
     out = out.orderBy(F.col(count_col).desc(), F.col(key).asc())
     return out.limit(n) if n is not None else out

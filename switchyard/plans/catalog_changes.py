@@ -41,7 +41,7 @@ union all
 select * from {P.PACKAGE_LISTS_SQL} p
 where not exists (select 1 from {P.DESTINATION_LISTS_SQL} d2 where d2.list_id = p.list_id)""")
 def insert_ignore(fx):
-    return C.insert_ignore(fx.destination_lists, fx.package_lists, "list_id", "list_id")
+    return C.insert_ignore(fx.destination_lists, fx.package_lists, "list_id")
 
 
 @register("override_column", section="2.8", oracle=f"""

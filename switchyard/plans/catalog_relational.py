@@ -323,11 +323,10 @@ select h.campaign_id, c.hopper_level, c.dial_status_a, cast(c.auto_dial_level as
 from hopper h join campaigns c on h.campaign_id = c.campaign_id
 group by h.campaign_id, c.hopper_level, c.dial_status_a, c.auto_dial_level""")
 def agg_fd_columns(fx):
-    from ..operators.sizing import checked_broadcast
 
     camp = fx.campaigns.select("campaign_id", "hopper_level", "dial_status_a",
                                F.col("auto_dial_level").cast("double").alias("auto_dial_level"))
-    joined = fx.hopper.select("campaign_id").join(checked_broadcast(camp), "campaign_id")
+    joined = fx.hopper.select("campaign_id").join(camp, "campaign_id")
     return A.group_with_attrs(joined, "campaign_id", ["hopper_level", "dial_status_a", "auto_dial_level"],
                               [F.count(F.lit(1)).alias("hopper_count")])
 

@@ -41,10 +41,10 @@ def stream_disposition_mix(fx):
 
 
 @register("stream_error_counts", section="2.11", oracle=f"""
-with e as (select {_bucket('ts', 5)} as window_start from log_lines where regexp_matches(line, '{S.DIALER_ERROR_LINE}'))
+with e as (select {_bucket('ts', 5)} as window_start from log_lines where regexp_matches(line, '{S.DIALER_ERROR_PATTERN}'))
 select window_start, window_start + interval 5 minutes as window_end, count(*) as errors from e
 group by window_start
-having window_start + interval 5 minutes <= (select max(ts) from log_lines where regexp_matches(line, '{S.DIALER_ERROR_LINE}'))
+having window_start + interval 5 minutes <= (select max(ts) from log_lines)
   - interval {WATERMARK_MINUTES} minutes""")
 def stream_error_counts(fx):
     spark = fx.spark

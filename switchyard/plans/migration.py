@@ -61,8 +61,8 @@ def plan_import(dest_lists: DataFrame, dest_leads: DataFrame, dest_hopper: DataF
     leads_in = C.reset(J.remap_ids(pkg_leads, id_map, "list_id"), {"called_since_last_reset": "N"})
 
     dest_lists_c = C.with_cache_columns(dest_lists)
-    merged_lists = C.insert_ignore(dest_lists_c, lists_in.select(*dest_lists_c.columns), "list_id", "list_id")
-    merged_leads = C.insert_ignore(dest_leads, leads_in.select(*dest_leads.columns), "lead_id", "lead_id")
+    merged_lists = C.insert_ignore(dest_lists_c, lists_in.select(*dest_lists_c.columns), "list_id")
+    merged_leads = C.insert_ignore(dest_leads, leads_in.select(*dest_leads.columns), "lead_id")
     imported_ids = lists_in.select("list_id").distinct()
     rebuilt = C.rebuild_cache(merged_lists, merged_leads, imported_ids, as_of)
 

@@ -85,8 +85,3 @@ def local_fs_path(path: str) -> str:
 
 def is_local_path(path: str) -> bool:
     return "://" not in path or path.startswith("file:")
-
-
-def makedirs_if_local(path: str) -> None:
-    if is_local_path(path):
-        os.makedirs(local_fs_path(path), exist_ok=True)

@@ -19,7 +19,7 @@ from pyspark.sql.types import StructType
 # Regex texts (Java syntax).  TUPLE: a parenthesised tuple whose quoted
 # strings may hold any character; FIELD: one quoted string or bare token.
 TUPLE_RX = r"\((?:[^'()]++|'(?:[^'\\]++|\\.|'')*+')*+\)"
-FIELD_RX = r"'(?:[^'\\]++|\\.|'')*+'|[^,'\s][^,']*+"
+FIELD_RX = r"(?:_[A-Za-z0-9]++\s*+)?'(?:[^'\\]++|\\.|'')*+'|[^,'\s][^,']*+"
 TOKEN_RX = r"\\.|''|[^'\\]++"
 
 # MySQL escape letters and what they stand for.
@@ -36,6 +36,8 @@ def _unescape_token(t: Column) -> Column:
 
 def unquote(field: Column) -> Column:
     """SQL field text to its value: NULL, an unescaped string, or the bare token."""
+    # a character-set introducer (_binary 'x') only tells how to read the string
+    field = F.regexp_replace(field, r"^_[A-Za-z0-9]++\s*+(?=')", "")
     inner = F.substring(field, F.lit(2), F.length(field) - 2)
     tokens = F.regexp_extract_all(inner, F.lit(TOKEN_RX), 0)
     text = F.array_join(F.transform(tokens, _unescape_token), "")
@@ -43,23 +45,70 @@ def unquote(field: Column) -> Column:
     return F.when(F.startswith(field, F.lit("'")), text).when(F.upper(bare) == "NULL", F.lit(None)).otherwise(bare)
 
 
+def _tuple_text(lines: DataFrame, line_col: str, table: str | None) -> DataFrame:
+    """The text of all tuples of a line: after VALUES, or a whole line that begins with a tuple.
+
+    A tuple line does not say its table; with ``table`` given, only the
+    INSERT lines of that table are read, and the files must hold no others
+    for tuple lines to be read as well (``table=None``).
+    """
+    line = F.col(line_col)
+    ins = line.startswith("INSERT")
+    if table is not None:
+        ins = ins & line.rlike(r"^INSERT (IGNORE )?INTO `?" + table + r"`?[ (]")
+    after = F.regexp_extract(line, r"(?is)^INSERT\b.*?\bVALUES\b\s*+", 0)
+    text = F.when(ins, F.substr(line, F.length(after) + 1))
+    if table is None:
+        text = F.coalesce(text, F.when(line.rlike(r"^\s*\("), line))
+    return lines.select(text.alias("_text")).where("_text is not null")
+
+
+def dump_tally(lines: DataFrame, schema: StructType | str, line_col: str = "value", table: str | None = None) -> DataFrame:
+    """One row: ``rows`` parsed, ``rejected_tuples`` with another number of fields than the schema,
+    ``rejected_lines`` with text that is no tuple (a truncated line, for example)."""
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    text = _tuple_text(lines, line_col, table)
+    tuples = F.regexp_extract_all("_text", F.lit(TUPLE_RX), 0)
+    good = F.filter(tuples, lambda t: F.size(_fields(t)) == len(schema.fields))
+    rest = F.regexp_replace("_text", TUPLE_RX, "")
+    return text.agg(F.coalesce(F.sum(F.size(good)), F.lit(0)).cast("long").alias("rows"),
+                    F.coalesce(F.sum(F.size(tuples) - F.size(good)), F.lit(0)).cast("long").alias("rejected_tuples"),
+                    F.count_if(~rest.rlike(r"^[\s,;]*$")).alias("rejected_lines"))
+
+
+def dump_rejects(lines: DataFrame, schema: StructType | str, line_col: str = "value", table: str | None = None) -> DataFrame:
+    """``(reason, text)`` of every tuple and every rest of a line that ``parse_dump_lines`` leaves out."""
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    text = _tuple_text(lines, line_col, table)
+    tuples = F.regexp_extract_all("_text", F.lit(TUPLE_RX), 0)
+    bad = F.transform(F.filter(tuples, lambda t: F.size(_fields(t)) != len(schema.fields)),
+                      lambda t: F.struct(F.lit("fields").alias("reason"), t.alias("text")))
+    rest = F.regexp_replace("_text", TUPLE_RX, "")
+    left = F.when(~rest.rlike(r"^[\s,;]*$"), F.array(F.struct(F.lit("not a tuple").alias("reason"), rest.alias("text"))))
+    return text.select(F.explode(F.concat(bad, F.coalesce(left, F.slice(bad, 1, 0)))).alias("r")).select("r.reason", "r.text")
+
+
+def _fields(tuple_text: Column) -> Column:
+    inner = F.substring(tuple_text, F.lit(2), F.length(tuple_text) - 2)
+    return F.regexp_extract_all(inner, F.lit(FIELD_RX), 0)
+
+
 def parse_dump_lines(lines: DataFrame, schema: StructType | str, line_col: str = "value",
                      table: str | None = None, num_partitions: int | None = None) -> DataFrame:
-    """Typed rows from a DataFrame of dump lines."""
+    """Typed rows from a DataFrame of dump lines.
+
+    Tuples with another number of fields than the schema are left out;
+    ``dump_tally`` counts them and ``dump_rejects`` returns them.
+    """
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
-    line = F.col(line_col)
-    ins = lines.where(line.startswith("INSERT"))
-    if table is not None:
-        ins = ins.where(line.rlike(r"^INSERT (IGNORE )?INTO `?" + table + r"`?[ (]"))
-    values = F.substring(line, F.locate(" VALUES ", line) + 8, F.lit(1 << 30))
-    tuples = ins.select(F.explode(F.regexp_extract_all(values, F.lit(TUPLE_RX), 0)).alias("_t"))
+    text = _tuple_text(lines, line_col, table)
+    tuples = text.select(F.explode(F.regexp_extract_all("_text", F.lit(TUPLE_RX), 0)).alias("_t"))
     # spread the tuples of long lines over the cluster's shuffle parallelism:
     # parsing is CPU-bound per tuple, so partitions are not sized by bytes
     n = num_partitions or int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tuples = tuples.repartition(n)
-    inner = F.substring(F.col("_t"), F.lit(2), F.length(F.col("_t")) - 2)
-    fields = tuples.select(F.regexp_extract_all(inner, F.lit(FIELD_RX), 0).alias("_f"))
+    fields = tuples.select(_fields(F.col("_t")).alias("_f")).where(F.size("_f") == len(schema.fields))
     # try_cast: a value the type cannot hold (e.g. a zero date) becomes NULL
     # instead of failing the whole import under ANSI mode
     return fields.select(*[unquote(F.get(F.col("_f"), i)).try_cast(f.dataType).alias(f.name)

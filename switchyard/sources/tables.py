@@ -43,8 +43,3 @@ def read_table(spark: SparkSession, name: str, source: str | Mapping = "parquet"
                         upperBound=str(source["upper_bound"]), numPartitions=str(source.get("num_partitions", 64)))
         return spark.read.format("jdbc").options(**opts).load()
     raise ValueError(f"unknown source {source!r}")
-
-
-def table_exists(spark: SparkSession, name: str) -> bool:
-    """Optional tables are discovered through the catalog."""
-    return spark.catalog.tableExists(name)

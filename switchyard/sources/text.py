@@ -125,11 +125,6 @@ def extract_kv(lines: DataFrame, keys: Sequence[tuple[str, str, str]], host_col:
         F.min_by(F.col("kv.value"), F.col(order_col)).alias("value"))
 
 
-def pivot_kv(kv: DataFrame, keys: Sequence[str], host_col: str = "host") -> DataFrame:
-    """One row per host, one column per key."""
-    return kv.groupBy(host_col).agg(*[F.max(F.when(F.col("key") == k, F.col("value"))).alias(k) for k in keys])
-
-
 # Fixed values that must equal the reference: header / footer lines of the
 # channel listing.
 CHANNEL_DROP = r"^\s*$|Channel|active call|active channel"

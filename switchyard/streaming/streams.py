@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import changes, filters
+from ..operators.checks import DIALER_ERROR_PATTERN
 from ..session import path_exists, scratch_path
 
 CALL_SCHEMA = "call_id bigint, call_date timestamp_ntz, lead_id bigint, agent string, status string"
@@ -23,7 +24,6 @@ LOG_SCHEMA = "line_no bigint, host string, ts timestamp_ntz, line string"
 USER_SCHEMA = ("user_name string, full_name string, user_level int, user_group string, active string, "
                "server_ip string")
 
-DIALER_ERROR_LINE = "(?i)ERROR|VDAD|vicidial.*error|auto_dial.*error|hopper.*error"
 
 
 def _epoch():
@@ -65,16 +65,16 @@ def window_shares(counts: DataFrame) -> DataFrame:
                     X.round_half_up_ratio(F.col("count") * 100, "_total").alias("pct"))
 
 
-def stream_errors(lines: DataFrame, pattern: str = DIALER_ERROR_LINE, watermark: str = "10 minutes",
+def stream_errors(lines: DataFrame, pattern: str = DIALER_ERROR_PATTERN, watermark: str = "10 minutes",
                   window: str = "5 minutes") -> DataFrame:
     """Error lines per tumbling window; rows later than the watermark are dropped.
 
-    The line filter does not use the event time, so the optimizer evaluates
-    it below the watermark: event time advances with error lines only.
+    Every line moves the watermark, whether it is an error or not, so a
+    window closes though no further error comes.
     """
     ev = _event_time(lines, "ts").withWatermark("_et", watermark)
-    errs = ev.where(F.col("line").rlike(pattern))
-    agg = errs.groupBy(F.window("_et", window).alias("w")).agg(F.count(F.lit(1)).alias("errors"))
+    agg = (ev.groupBy(F.window("_et", window).alias("w")).agg(F.count_if(F.col("line").rlike(pattern)).alias("errors"))
+           .where("errors > 0"))
     return agg.select(_wall(F.col("w.start")).alias("window_start"), _wall(F.col("w.end")).alias("window_end"),
                       "errors")
 
@@ -135,12 +135,10 @@ def start_sync_stream(users_stream: DataFrame, table_path: str, checkpoint: str,
                       suffix: str = "_B"):
     """Run the shadow sync continuously, one micro-batch every ``every``
     (the reference's cron period); returns the running StreamingQuery."""
-    fresh = users_stream.dropDuplicates(["user_name"])
-
     def sync(batch: DataFrame, batch_id: int) -> None:
         sync_batch(batch, batch_id, table_path, suffix)
 
-    return (fresh.writeStream.foreachBatch(sync).option("checkpointLocation", checkpoint)
+    return (users_stream.writeStream.foreachBatch(sync).option("checkpointLocation", checkpoint)
             .trigger(processingTime=every).start())
 
 
@@ -149,17 +147,15 @@ def stream_sync(users_stream: DataFrame, table_path: str, checkpoint: str, suffi
 
     ``table_path`` holds the users table as ``batch_id=<n>`` Parquet folders
     (the initial table under a negative id, e.g. ``batch_id=-1``).  Every
-    micro-batch takes the user rows of the stream (deduplicated by name
-    across the stream), adds users the table does not have yet, clones the
+    micro-batch takes the user rows of the stream (of several of one name in
+    a batch an active one), adds users the table does not have yet, clones the
     eligible ones that have no shadow, and writes both to
     ``table_path/batch_id=<n>`` (INSERT IGNORE semantics, replay-safe).
     """
-    fresh = users_stream.dropDuplicates(["user_name"])
-
     def sync(batch: DataFrame, batch_id: int) -> None:
         sync_batch(batch, batch_id, table_path, suffix)
 
-    q = (fresh.writeStream.foreachBatch(sync).option("checkpointLocation", checkpoint)
+    q = (users_stream.writeStream.foreachBatch(sync).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
 
@@ -176,16 +172,18 @@ def sync_batch(batch: DataFrame, batch_id: int, table_path: str, suffix: str = "
     """
     spark = batch.sparkSession
     table = spark.read.parquet(table_path).where(F.col("batch_id") != batch_id).select(*USER_COLUMNS)
-    incoming = batch.select(*USER_COLUMNS)
+    # no state over the stream: a user that becomes active later is cloned then, from that row
+    best = F.max_by(F.struct(*USER_COLUMNS), F.struct(F.coalesce(F.col("active") == "Y", F.lit(False)), *USER_COLUMNS[1:]))
+    incoming = batch.groupBy("user_name").agg(best.alias("_r")).select(*[F.col("_r")[c].alias(c) for c in USER_COLUMNS])
     # users first seen in the stream join the table (INSERT IGNORE by name)
     new_users = incoming.join(table.select("user_name"), "user_name", "left_anti")
-    users = table.unionByName(new_users)
+    users = table.join(incoming.select("user_name"), "user_name", "left_anti").unionByName(incoming)
     clones = changes.clone_users(users, filters.eligible_agents(incoming, suffix), suffix)
     new_users.unionByName(clones).write.mode("overwrite").parquet(f"{table_path}/batch_id={batch_id}")
 
 
-def stage_stream_input(df: DataFrame, name: str, files: int = 4) -> str:
+def stage_stream_input(df: DataFrame, name: str) -> str:
     """Write a frame Spark derived from the tables as a folder of files for a file stream."""
     path = scratch_path(df.sparkSession, name)
-    df.repartition(files).write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").parquet(path)
     return path

@@ -1,5 +1,7 @@
 """Properties of the change sets and windows."""
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from conftest import SF001
@@ -15,17 +17,21 @@ def as_set(df):
 
 def test_insert_ignore_idempotent(spark):
     fx = Fixture(spark, SF001)
-    once = C.insert_ignore(fx.destination_lists, fx.package_lists, "list_id", "list_id")
-    twice = C.insert_ignore(once, fx.package_lists, "list_id", "list_id")
+    once = C.insert_ignore(fx.destination_lists, fx.package_lists, "list_id")
+    twice = C.insert_ignore(once, fx.package_lists, "list_id")
     assert as_set(once) == as_set(twice)
     assert once.select("list_id").distinct().count() == once.count()
 
 
 def test_insert_ignore_first_incoming_wins(spark):
     dest = spark.createDataFrame([(1, "old")], "k long, v string")
-    inc = spark.createDataFrame([(1, "new", 0), (2, "b", 5), (2, "a", 3)], "k long, v string, o int")
-    out = C.insert_ignore(dest, inc.drop("o").withColumn("o", F.lit(0)).drop("o"), "k", "v")
-    assert as_set(out) == [(1, "old"), (2, "a")]
+    inc = spark.createDataFrame([(1, "new", 0), (2, "b", 5), (2, "a", 3), (5, "zzz first", 6), (5, "aaa second", 7)], "k long, v string, o int")
+    out = C.insert_ignore(dest, inc, "k", "o")
+    assert as_set(out) == [(1, "old"), (2, "a"), (5, "zzz first")]
+    read_order = C.insert_ignore(dest, inc.drop("o").coalesce(1), "k")
+    assert as_set(read_order) == [(1, "old"), (2, "b"), (5, "zzz first")]
+    with pytest.raises(ValueError):
+        C.insert_ignore(dest, inc, "k", "k")
 
 
 def test_delete_plan_partitions_input(spark):
@@ -56,7 +62,7 @@ def test_rollback_restores_keys(spark):
     dest = fx.leads.where("lead_id <= 20000")
     pkg = fx.leads.where("lead_id > 20000")
     mark = dest.select(F.coalesce(F.max("lead_id"), F.lit(0))).scalar()
-    merged = C.insert_ignore(dest, pkg, "lead_id", "lead_id")
+    merged = C.insert_ignore(dest, pkg, "lead_id")
     plan = C.rollback_plan(merged, fx.alt_phones, fx.lists.limit(0), fx.hopper.limit(0), mark,
                            fx.lists.limit(0).select("list_id"))
     removed = plan.where("table_name = 'leads'").select(F.col("row_id").alias("lead_id"))

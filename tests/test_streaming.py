@@ -19,10 +19,10 @@ def test_late_row_beyond_watermark_is_dropped(spark):
     src = scratch_path(spark, "late-src")
     t = dt.datetime(2024, 1, 30, 10, 0)
     m = dt.timedelta(minutes=1)
-    _write(spark, src, [(i, "h", t + i * m, "ERROR x") for i in range(31)], S.LOG_SCHEMA)   # 10:00-10:30
-    _write(spark, src, [(100, "h", t + 45 * m, "ERROR advance")], S.LOG_SCHEMA)              # watermark -> 10:35
-    _write(spark, src, [(101, "h", t + 5 * m, "ERROR too late"),                            # < 10:20: dropped
-                        (102, "h", t + 28 * m, "ERROR inside")], S.LOG_SCHEMA)              # >= 10:20: counted
+    _write(spark, src, [(i, "h", t + i * m, "VDAD ERROR x") for i in range(31)], S.LOG_SCHEMA)   # 10:00-10:30
+    _write(spark, src, [(100, "h", t + 45 * m, "VDAD ERROR advance")], S.LOG_SCHEMA)              # watermark -> 10:35
+    _write(spark, src, [(101, "h", t + 5 * m, "VDAD ERROR too late"),                            # < 10:20: dropped
+                        (102, "h", t + 28 * m, "VDAD ERROR inside")], S.LOG_SCHEMA)              # >= 10:20: counted
     lines = spark.readStream.schema(S.LOG_SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
     out = S.run_available_now(S.stream_errors(lines, watermark="10 minutes"), scratch_path(spark, "late-out"),
                               scratch_path(spark, "late-ckpt"))
@@ -92,7 +92,7 @@ def test_dst_day_keeps_wall_clock(spark):
     try:
         src = scratch_path(spark, "dst-src")
         t = dt.datetime(2024, 3, 10, 2, 30)      # does not exist in New York: clocks jump 02:00 -> 03:00
-        _write(spark, src, [(1, "h", t, "ERROR a"), (2, "h", t + dt.timedelta(hours=2), "ERROR b")], S.LOG_SCHEMA)
+        _write(spark, src, [(1, "h", t, "VDAD ERROR a"), (2, "h", t + dt.timedelta(hours=2), "VDAD ERROR b")], S.LOG_SCHEMA)
         lines = spark.readStream.schema(S.LOG_SCHEMA).parquet(src)
         out = S.run_available_now(S.stream_errors(lines, watermark="10 minutes"), scratch_path(spark, "dst-out"),
                                   scratch_path(spark, "dst-ckpt"))
@@ -111,3 +111,14 @@ def test_sync_batch_clones_users_new_to_the_stream(spark):
     S.sync_batch(batch, 0, table)
     got = sorted(r.user_name for r in spark.read.parquet(f"{table}/batch_id=0").collect())
     assert got == ["100_B", "200", "200_B"]
+
+
+def test_clean_lines_close_windows(spark):
+    """The watermark moves with every line: one error, then only other lines for two hours."""
+    src = scratch_path(spark, "quiet-src")
+    t = dt.datetime(2024, 1, 30, 10, 0)
+    rows = [(0, "h", t, "VDAD error")] + [(i, "h", t + dt.timedelta(minutes=i), "fine") for i in range(1, 150)]
+    _write(spark, src, rows, S.LOG_SCHEMA)
+    lines = spark.readStream.schema(S.LOG_SCHEMA).parquet(src)
+    out = S.run_available_now(S.stream_errors(lines), scratch_path(spark, "quiet-out"), scratch_path(spark, "quiet-ckpt"))
+    assert [(r.window_start, r.errors) for r in out.collect()] == [(t, 1)]
