@@ -135,10 +135,14 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", per_language: int = 5000, m
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lang, texts in batch.groupby("lang")["text"]:
-                hashes = [h for t in texts for h in gram_hashes(t)]
-                if hashes:
-                    h, n = np.unique(np.concatenate(hashes), return_counts=True)
-                    yield pd.DataFrame({"lang": lang, "gram": h.view(np.int64), "n": n})
+                held: list[np.ndarray] = []
+                for h in (h for t in texts for h in gram_hashes(t)):
+                    held.append(h)
+                    if sum(map(len, held)) > BLOCK:  # counted in parts of bounded size
+                        yield _counts(lang, held)
+                        held = []
+                if held:
+                    yield _counts(lang, held)
 
     seen = (sample.mapInPandas(count, "lang string, gram long, n long")
             .groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count))
@@ -159,6 +163,11 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", per_language: int = 5000, m
     return Filter.build(grams)
 
 
+def _counts(lang: str, hashes: list[np.ndarray]) -> pd.DataFrame:
+    h, n = np.unique(np.concatenate(hashes), return_counts=True)
+    return pd.DataFrame({"lang": lang, "gram": h.view(np.int64), "n": n})
+
+
 def predicted(spark, model: Filter, text: Column) -> Column:
     """A struct column (lang, score, grams) for every whole text.
 
