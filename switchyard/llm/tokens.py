@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 Encoded = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
                         T.StructField("decoded_sha256", T.StringType())])
-CACHE = 500_000  # pieces a worker remembers
+CACHE = 600_000  # pieces a worker remembers
 GROUP = 65_536  # pieces handled together
 
 
@@ -39,18 +39,27 @@ def splitter(pattern: str) -> regex.Pattern:
 
 
 class _Pieces(dict):
-    """What a worker remembers of the pieces it has encoded; emptied when full."""
+    """What a worker remembers of the pieces it has encoded.
+
+    Two generations of half the size: when the younger is full it becomes the
+    older, from which pieces met again come back, so frequent ones stay.
+    """
 
     def __init__(self, codec: Codec):
         self.codec = codec
+        self.older: dict[str, tuple[str, bytes]] = {}
 
     def __missing__(self, piece: str) -> tuple[str, bytes]:
-        if len(self) >= CACHE:
+        if len(self) >= CACHE // 2:
+            self.older = dict(self)
             self.clear()
         if len(self.codec.fits) >= CACHE:
             self.codec.fits.clear()
-        ids = self.codec.encode_piece(piece)
-        got = self[piece] = " ".join(map(str, ids)), self.codec.decode(ids)
+        got = self.older.get(piece)
+        if got is None:
+            ids = self.codec.encode_piece(piece)
+            got = " ".join(map(str, ids)), self.codec.decode(ids)
+        self[piece] = got
         return got
 
 
