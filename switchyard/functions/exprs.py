@@ -29,6 +29,11 @@ def ago(as_of: str, interval: str) -> Column:
     return ts_literal(as_of) - F.expr(f"INTERVAL {interval}")
 
 
+def within(c: str | Column, as_of: str, interval: str) -> Column:
+    """``as_of - interval < c <= as_of``: a run for an earlier time does not see later rows."""
+    return (col(c) > ago(as_of, interval)) & (col(c) <= ts_literal(as_of))
+
+
 def ntz_micros(c: str | Column) -> Column:
     """Microseconds since 1970-01-01 00:00 of a wall-clock (TIMESTAMP_NTZ) value.
 
@@ -63,10 +68,6 @@ def digits_only(c: str | Column) -> Column:
     return F.regexp_replace(col(c), "[^0-9]", "")
 
 
-def is_all_digits(c: str | Column) -> Column:
-    return col(c).rlike("^[0-9]+$")
-
-
 def _int_div(a: Column, b: Column) -> Column:
     """Exact integer division of non-negative decimal(38,0) values."""
     return ((a - a % b) / b).cast("decimal(38,0)")
@@ -184,6 +185,10 @@ def sql_ago(as_of: str, interval: str) -> str:
     return f"(TIMESTAMP '{as_of}' - INTERVAL {interval})"
 
 
+def sql_within(c: str, as_of: str, interval: str) -> str:
+    return f"({c} > {sql_ago(as_of, interval)} and {c} <= {sql_ts(as_of)})"
+
+
 def sql_blank(c: str, extra: Iterable[str] = ("0",)) -> str:
     vals = ", ".join(sql_str(v) for v in ("", *extra))
     return f"({c} is null or {c} in ({vals}))"

@@ -53,14 +53,13 @@ def snapshot_metrics(df: DataFrame, preds: Mapping[str, Column]) -> DataFrame:
 
 def agent_snapshot(agents: DataFrame, as_of: str, lookback: str = "5 minutes") -> DataFrame:
     """Section-1 numbers of the diagnosis in one pass over live agents."""
-    recent = F.col("last_update_time") > X.ago(as_of, lookback)
     st = F.col("status")
-    return snapshot_metrics(agents, {
-        "agents_logged_in": recent,
-        "agents_ready": recent & (st == "READY"),
-        "agents_incall": recent & (st == "INCALL"),
-        "agents_paused": recent & (st == "PAUSED"),
-        "ready_without_conf": recent & (st == "READY") & X.blank("conf_exten"),
+    return snapshot_metrics(filters.recent(agents, "last_update_time", as_of, lookback), {
+        "agents_logged_in": F.lit(True),
+        "agents_ready": st == "READY",
+        "agents_incall": st == "INCALL",
+        "agents_paused": st == "PAUSED",
+        "ready_without_conf": (st == "READY") & X.blank("conf_exten"),
     })
 
 
@@ -142,7 +141,7 @@ def channel_ratio(channels: DataFrame, agents: DataFrame, as_of: str, lookback:
                   limit: float = 3.0) -> DataFrame:
     """Up channels per INCALL agent, truncated to one decimal; flag above ``limit``."""
     up = channels.select(F.count_if(F.col("line").contains(" Up ")).cast("long")).scalar()
-    recent = F.col("last_update_time") > X.ago(as_of, lookback)
+    recent = X.within("last_update_time", as_of, lookback)
     incall = agents.where(recent & (F.col("status") == "INCALL")).agg(F.count(F.lit(1)).alias("agents_incall"))
     ratio = F.when((up > 0) & (F.col("agents_incall") > 0), X.truncate_ratio(up, "agents_incall"))
     return incall.select(up.alias("calls_up"), "agents_incall", ratio.alias("ratio"),

@@ -144,27 +144,33 @@ PHONE_OFFSET_FIELDS = ("dialplan_number", "conf_on_extension", "park_on_extensio
                        "VICIDIAL_park_on_extension", "recording_exten", "voicemail_exten")
 
 
-def offset_if_digits(c: str, offset: int = PHONE_OFFSET) -> Column:
-    """``c + offset`` when ``c`` is all digits (decimal, not octal), else ``c``."""
-    digits = F.regexp_replace(F.col(c), "^0+(?=.)", "")
-    short = (digits.try_cast("decimal(38,0)") + F.lit(offset).cast("decimal(38,0)")).cast("string")
-    # beyond a decimal: add to the last 18 digits, and carry into the digits before them as text
-    head, tail = F.expr(f"left({_sql(c)}, length({_sql(c)}) - 18)"), F.expr(f"right({_sql(c)}, 18)")
-    summed = tail.try_cast("decimal(38,0)") + F.lit(offset).cast("decimal(38,0)")
-    nines = F.regexp_extract(head, "9*$", 0)
-    before = F.expr(f"left({_sql(c)}, length({_sql(c)}) - 18 - length(regexp_extract(left({_sql(c)}, length({_sql(c)}) - 18), '9*$', 0)))")
-    carried = F.concat(F.regexp_replace(before, "[0-8]$", ""),
-                       F.coalesce(F.nullif(F.regexp_extract(before, "[0-8]$", 0), F.lit("")).cast("int") + 1, F.lit(1)).cast("string"),
-                       F.repeat(F.lit("0"), F.length(nines)))
-    one = F.lit(10**18).cast("decimal(38,0)")
-    long = F.when(summed >= one, F.concat(carried, F.lpad((summed - one).cast("string"), 18, "0"))).otherwise(
-        F.concat(head, F.lpad(summed.cast("string"), 18, "0")))
-    return F.when(X.is_all_digits(c), F.when(F.length(digits) <= 37, short).otherwise(long)).otherwise(F.col(c))
-
-
-def _sql(c: str) -> str:
-    """The digits of a column, without leading zeros, as SQL text."""
-    return f"regexp_replace(`{c}`, '^0+(?=.)', '')"
+# all digits: those before the last 18 (leading zeros left out), and the last 18
+DIGITS_RX = "^0*([0-9]*?)([0-9]{1,18})$"
+
+
+def _offset_text(c: Column, head: Column, tail: Column, total: Column) -> Column:
+    """``c`` plus the offset, from the digits before the last 18, the last 18, and their sum with the offset."""
+    one = F.lit(10**18)
+    last = r"^(.*?)([0-8]?)(9*)$"  # the digit that a carry raises, and the nines behind it
+    raised = F.concat(F.regexp_extract(head, last, 1),
+                      F.coalesce(F.nullif(F.regexp_extract(head, last, 2), F.lit("")).cast("int") + 1, F.lit(1)).cast("string"),
+                      F.regexp_replace(F.regexp_extract(head, last, 3), "9", "0"))
+    return (F.when(tail == "", c).when(head == "", total.cast("string"))
+            .when(total >= one, F.concat(raised, F.lpad((total - one).cast("string"), 18, "0")))
+            .otherwise(F.concat(head, F.lpad(total.cast("string"), 18, "0"))))
+
+
+def offset_if_digits(df: DataFrame, cols: Iterable[str], offset: int = PHONE_OFFSET) -> DataFrame:
+    """``df`` with each of ``cols`` raised by ``offset`` where it is all digits (decimal, of any length).
+
+    The parts of a number are columns of a projection of their own, so the
+    generated code evaluates them once.
+    """
+    cols = list(cols)
+    parts = df.withColumns({f"_{name}_{c}": F.regexp_extract(c, DIGITS_RX, i) for c in cols for i, name in ((1, "head"), (2, "tail"))})
+    sums = parts.withColumns({f"_sum_{c}": F.col(f"_tail_{c}").try_cast("bigint") + offset for c in cols})
+    raised = sums.withColumns({c: _offset_text(F.col(c), F.col(f"_head_{c}"), F.col(f"_tail_{c}"), F.col(f"_sum_{c}")) for c in cols})
+    return raised.select(*df.columns)
 
 
 def clone_phones(phones: DataFrame, eligible: DataFrame, suffix: str = "_B", offset: int = PHONE_OFFSET,
@@ -177,64 +183,78 @@ def clone_phones(phones: DataFrame, eligible: DataFrame, suffix: str = "_B", off
     has_active = phones.where(F.col("active") == "Y").select(F.col("extension").alias("user_name")).distinct()
     need = need.join(has_active, "user_name", "left_semi")
     src = phones.join(need, F.col("extension") == F.col("user_name"), "left_semi")
-    upd = {c: offset_if_digits(c, offset) for c in PHONE_OFFSET_FIELDS if c in phones.columns}
-    upd["extension"] = F.concat(F.col("extension"), F.lit(suffix))
+    src = offset_if_digits(src, [c for c in PHONE_OFFSET_FIELDS if c in phones.columns], offset)
+    upd = {"extension": F.concat(F.col("extension"), F.lit(suffix))}
     if "fullname" in phones.columns:
         upd["fullname"] = F.concat(F.substring(F.col("fullname"), 1, name_chars), F.lit(name_tag))
     return src.withColumns(upd)
 
 
+SLOT_KEY = ("server_ip", "slot_table", "conf_exten")
+
+
 def slot_holders(slots: DataFrame) -> DataFrame:
-    """(server_ip, holder, conf_exten) for every name a slot's extension
+    """(server_ip, slot_table, conf_exten, holder) for every name a slot's extension
     names: the extension itself and, for 'SIP/<name>', the bare name."""
     ext = F.col("extension")
     names = F.array_distinct(F.array_compact(F.array(
         ext, F.when(ext.startswith("SIP/"), F.substr(ext, F.lit(5))))))
-    return slots.where(ext.isNotNull()).select("server_ip", "conf_exten", F.explode(names).alias("holder"))
+    return slots.where(ext.isNotNull()).select(*SLOT_KEY, F.explode(names).alias("holder"))
 
 
 def slot_table_for(servers: DataFrame) -> DataFrame:
     """Which slot table each server uses: conference bridges or meet-me rooms."""
-    return servers.select("server_ip", F.when(F.col("conf_engine") == "CONFBRIDGE", "confbridges")
-                          .otherwise("conferences").alias("slot_table"))
+    table = F.when(F.col("conf_engine") == "CONFBRIDGE", "confbridges").otherwise("conferences")
+    return servers.groupBy("server_ip").agg(F.min(table).alias("slot_table"))
+
+
+def with_slot_table(agents: DataFrame, servers: DataFrame) -> DataFrame:
+    """Agents with the slot table of their server (meet-me rooms if the server is unknown)."""
+    out = agents.join(slot_table_for(servers), "server_ip", "left")
+    return out.withColumn("slot_table", F.coalesce("slot_table", F.lit("conferences")))
+
+
+def free_slots(slots: DataFrame) -> DataFrame:
+    """Slots without an extension (NULL or '')."""
+    return slots.where(F.col("extension").isNull() | (F.col("extension") == "")).select(*SLOT_KEY)
 
 
 def assign_slots(needs: DataFrame, slots: DataFrame, servers: DataFrame, suffix: str = "_B") -> DataFrame:
     """Slot change set for shadow agents.
 
-    ``needs``: (user_name, server_ip) of eligible agents.  Agents already
-    holding 'SIP/<user>_B' or '<user>_B' on their server are 'already';
-    the others are paired in name order with free slots (extension NULL or
-    '') in conf_exten order per server: 'assigned', or 'none' when the server
-    runs out.  Returns one row per agent with the slot it gets.
+    ``needs``: (user_name, server_ip) of eligible agents; ``slots`` holds both
+    slot tables, told apart by ``slot_table``.  Only the table that the
+    server's conference engine uses counts: agents already holding
+    'SIP/<user>_B' or '<user>_B' in it are 'already'; the others are paired in
+    name order with its free slots (extension NULL or '') in conf_exten order:
+    'assigned', or 'none' when they run out.  Returns one row per agent with
+    the slot it gets.
     """
     shadow = F.concat(F.col("user_name"), F.lit(suffix))
-    held = slot_holders(slots).select(F.col("server_ip").alias("_ip"), F.col("holder").alias("_holder"),
-                                      F.col("conf_exten").alias("_held"))
-    n = needs.select("user_name", "server_ip")
-    # one equi-join on (server, holder name); no OR inside the join condition
-    have = n.join(held, (F.col("server_ip") == F.col("_ip")) & (shadow == F.col("_holder")), "inner") \
-        .groupBy("user_name", "server_ip").agg(F.min("_held").alias("held_conf"))
+    held = slot_holders(slots).select(F.col("server_ip").alias("_ip"), F.col("slot_table").alias("_table"),
+                                      F.col("holder").alias("_holder"), F.col("conf_exten").alias("_held"))
+    n = with_slot_table(needs.select("user_name", "server_ip"), servers)
+    # one equi-join on (server, table, holder name); no OR inside the join condition
+    have = n.join(held, (F.col("server_ip") == F.col("_ip")) & (F.col("slot_table") == F.col("_table"))
+                  & (shadow == F.col("_holder")), "inner") \
+        .groupBy("user_name", "server_ip", "slot_table").agg(F.min("_held").alias("held_conf"))
     todo = n.join(have.select("user_name", "server_ip"), ["user_name", "server_ip"], "left_anti")
-    free = slots.where(F.col("extension").isNull() | (F.col("extension") == "")).select("server_ip", "conf_exten")
-    paired = joins.zip_assign(todo, free, "server_ip", ["user_name"], ["conf_exten"])
-    tables = slot_table_for(servers)
+    paired = joins.zip_assign(todo, free_slots(slots), ["server_ip", "slot_table"], ["user_name"], ["conf_exten"])
     assigned = paired.select(
-        "user_name", "server_ip", F.col("slot_conf_exten").alias("conf_exten"),
+        "user_name", "server_ip", "slot_table", F.col("slot_conf_exten").alias("conf_exten"),
         F.when(F.col("slot_conf_exten").isNotNull(), "assigned").otherwise("none").alias("result"))
-    already = have.select("user_name", "server_ip", F.col("held_conf").alias("conf_exten"),
+    already = have.select("user_name", "server_ip", "slot_table", F.col("held_conf").alias("conf_exten"),
                           F.lit("already").alias("result"))
-    out = union_all(assigned, already).join(tables, "server_ip", "left")
-    return out.select("user_name", "server_ip", "conf_exten", "result",
-                      F.coalesce(F.col("slot_table"), F.lit("conferences")).alias("slot_table"),
+    return union_all(assigned, already).select(
+                      "user_name", "server_ip", "conf_exten", "result", "slot_table",
                       F.when(F.col("result") == "assigned", F.concat(F.lit("SIP/"), shadow)).alias("new_extension"))
 
 
 def apply_slot_assignments(slots: DataFrame, plan: DataFrame) -> DataFrame:
     """Slots after the assignment plan: assigned slots get 'SIP/<user>_B'."""
     a = plan.where(F.col("result") == "assigned").select(
-        F.col("server_ip").alias("_ip"), F.col("conf_exten").alias("_c"), "new_extension")
-    j = slots.join(a, (F.col("server_ip") == F.col("_ip")) & (F.col("conf_exten") == F.col("_c")), "left")
+        *[F.col(c).alias(f"_{c}") for c in SLOT_KEY], "new_extension")
+    j = slots.join(a, [F.col(c) == F.col(f"_{c}") for c in SLOT_KEY], "left")
     return j.select(*[F.coalesce(F.col("new_extension"), F.col(c)).alias(c) if c == "extension" else F.col(c)
                       for c in slots.columns],
                     F.when(F.col("new_extension").isNotNull(), "update").otherwise("keep").alias("change"))
@@ -256,6 +276,22 @@ def revert_shadows(users: DataFrame, phones: DataFrame, slots: DataFrame, suffix
     )
 
 
+def revert_rows(users: DataFrame, phones: DataFrame, slots: DataFrame, suffix: str = "_B",
+                wildcard: bool = False) -> DataFrame:
+    """The rows a revert changes: shadow users and shadow phones to delete, and
+    slots of 'SIP/' + a shadow name whose extension becomes ''."""
+    ext = F.col("extension")
+    held = ext.like("SIP/%" + suffix) if wildcard else (ext.startswith("SIP/") & ext.endswith(suffix))
+    return union_all(
+        filters.shadow_rows(users, "user_name", suffix, wildcard).select(
+            F.lit("users").alias("table_name"), F.lit("delete").alias("change"), F.col("user_name").alias("row_key")),
+        filters.shadow_rows(phones, "extension", suffix, wildcard).select(
+            F.lit("phones").alias("table_name"), F.lit("delete").alias("change"), ext.alias("row_key")),
+        slots.where(held).select(
+            F.lit("conf_slots").alias("table_name"), F.lit("blank").alias("change"),
+            F.concat_ws("/", *SLOT_KEY).alias("row_key")))
+
+
 def rollback_plan(leads: DataFrame, alt: DataFrame, lists: DataFrame, hopper: DataFrame, mark: Column,
                   mapped_ids: DataFrame) -> DataFrame:
     """Rows an import rollback deletes: leads and alt phones above the mark,

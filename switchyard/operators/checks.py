@@ -76,7 +76,7 @@ AGI_ERROR_PATTERN = "(?i)AGI.*error|AGI.*failed|AGI.*connect|AGI.*timeout"
 def find_log_errors(lines: DataFrame, as_of: str, lookback: str = "5 minutes") -> DataFrame:
     """Dialer errors inside the look-back (by parsed time) and any AGI error -> SERVER."""
     line = F.col("line")
-    in_window = (F.col("ts") > X.ago(as_of, lookback)) & (F.col("ts") <= X.ts_literal(as_of))
+    in_window = X.within("ts", as_of, lookback)
     c = lines.agg(F.count_if(line.rlike(DIALER_ERROR_PATTERN) & in_window).alias("dialer"),
                   F.count_if(line.rlike(AGI_ERROR_PATTERN)).alias("agi"))
     d, a = F.col("dialer"), F.col("agi")
@@ -124,8 +124,7 @@ def find_lead_quality(leads: DataFrame, hopper: DataFrame, log: DataFrame | None
     parts = [lead_quality_findings(leads, hopper, many_calls, many_leads),
              snapshot_findings(hopper_snapshot(hopper), [hopper_specs()["dnc_in_hopper"]])]
     if log is not None and midnight_as_of is not None:
-        today = (log.where(F.col("call_date") > X.day_start(X.ts_literal(midnight_as_of)))
-                 .agg(F.count_if(~F.col("status").isin("DROP", "ABAND")).alias("calls_today")))
+        today = filters.since_midnight(log, "call_date", midnight_as_of).agg(F.count(F.lit(1)).alias("calls_today"))
         parts.append(snapshot_findings(today, [call_specs(today=True)["calls_today"]]))
     return union_all(*parts)
 
@@ -147,9 +146,13 @@ def classify_registration(lines: DataFrame, kind: str, id_col: str = "line_no")
 
 
 def find_registration(registry_lines: DataFrame, peer_lines: DataFrame, id_col: str = "line_no") -> DataFrame:
-    """Every registry line with a failed registration is a SERVER finding."""
+    """Every registry line with a failed registration is a SERVER finding; every
+    unreachable or unknown peer is INFO (shown, but no issue of either side)."""
     reg = classify_registration(registry_lines, "registry", id_col).where(F.col("class") == "failed")
-    return _finding(reg, "registration_failed", "SERVER", F.lit(1), "SIP trunk registration failed", F.col("item"))
+    down = classify_registration(peer_lines, "peer", id_col).where(F.col("class") == "down")
+    return union_all(
+        _finding(reg, "registration_failed", "SERVER", F.lit(1), MSG["registration_failed"], F.col("item")),
+        _finding(down, "peer_down", "INFO", F.lit(1), MSG["peer_down"], F.col("item")))
 
 
 # Fixed values that must equal the reference: call-flow grep and classes.
@@ -184,21 +187,22 @@ def host_metrics(samples: DataFrame, metrics, ts: str = "ts", tie: str = "sample
 HOST_METRICS = ("load1", "load5", "cores", "iowait", "nice", "rt_priority", "mem_avail_mb", "timing_pct")
 
 
-def grade_host(samples: DataFrame, cores: int = 8) -> DataFrame:
+def grade_host(samples: DataFrame) -> DataFrame:
     """PASS / WARN / FAIL per host on its latest samples (SKIP when not collected).
 
     load: load1 > 0.85 x cores, else load5 > cores -> FAIL; iowait > 10 -> FAIL
-    (not collected -> WARN); nice > 0 -> WARN; RT priority absent or 0 -> WARN;
-    RAM < 256 MB -> FAIL, < 512 -> WARN; timing < 99.95 % -> FAIL, < 99.98 -> WARN
+    (not collected -> WARN); no nice value: the telephony process was not
+    found -> FAIL (its RT priority is then skipped); nice > 0 -> WARN; RT
+    priority absent or 0 -> WARN; RAM < 256 MB -> FAIL, < 512 -> WARN; timing < 99.95 % -> FAIL, < 99.98 -> WARN
     (not collected -> WARN).
     """
     m = host_metrics(samples, HOST_METRICS)
-    c = F.coalesce(F.col("cores"), F.lit(float(cores)))
-    load = (F.when(F.col("load1").isNull(), "SKIP").when(F.col("load1") > c * 0.85, "FAIL")
+    c = F.col("cores")
+    load = (F.when(F.col("load1").isNull() | c.isNull(), "SKIP").when(F.col("load1") > c * 0.85, "FAIL")
             .when(F.col("load5") > c, "FAIL").otherwise("PASS"))
     iow = F.when(F.col("iowait").isNull(), "WARN").when(F.col("iowait") > 10, "FAIL").otherwise("PASS")
-    nice = F.when(F.col("nice").isNull(), "SKIP").when(F.col("nice") > 0, "WARN").otherwise("PASS")
-    rt = F.when(F.col("rt_priority").isNull() | (F.col("rt_priority") == 0), "WARN").otherwise("PASS")
+    nice = F.when(F.col("nice").isNull(), "FAIL").when(F.col("nice") > 0, "WARN").otherwise("PASS")
+    rt = F.when(F.col("nice").isNull(), "SKIP").when(F.col("rt_priority").isNull() | (F.col("rt_priority") == 0), "WARN").otherwise("PASS")
     mem = (F.when(F.col("mem_avail_mb").isNull(), "SKIP").when(F.col("mem_avail_mb") < 256, "FAIL")
            .when(F.col("mem_avail_mb") < 512, "WARN").otherwise("PASS"))
     tim = (F.when(F.col("timing_pct").isNull(), "WARN").when(F.col("timing_pct") < 99.95, "FAIL")
@@ -249,14 +253,15 @@ def grade_samples(samples: DataFrame, rules: DataFrame | None = None) -> DataFra
     return grade(samples, rules)
 
 
-def grade_jitter_buffer(kv: DataFrame, max_size_ms: int = 300) -> DataFrame:
-    """Jitter-buffer settings per host from extracted ``(host, key, value)``.
+def grade_jitter_buffer(kv: DataFrame, hosts: DataFrame, max_size_ms: int = 300) -> DataFrame:
+    """Jitter-buffer settings of every host of ``hosts`` from extracted ``(host, key, value)``.
 
-    Disabled or unset -> FAIL; fixed (the default) -> WARN; max size below
+    A host without any setting is graded as unset.  Disabled or unset -> FAIL; fixed (the default) -> WARN; max size below
     ``max_size_ms`` -> WARN; media port range missing -> WARN.
     """
     keys = ("jbenable", "jbimpl", "jbmaxsize", "rtpstart")
     wide = kv.groupBy("host").agg(*[F.max(F.when(F.col("key") == k, F.col("value"))).alias(k) for k in keys])
+    wide = hosts.select("host").distinct().join(wide, "host", "left")
     enabled = F.coalesce(F.col("jbenable"), F.lit("no")) == "yes"
     impl = F.coalesce(F.col("jbimpl"), F.lit("fixed"))
     size = F.col("jbmaxsize").try_cast("int")
@@ -287,7 +292,7 @@ def find_channel_ratio(channels: DataFrame, agents: DataFrame, as_of: str, lookb
     return snapshot_findings(snap, [agent_specs(limit, with_channels=True)["channel_ratio"]])
 
 # Fixed values that must equal the reference: which component absences are
-# server findings, and their messages.
+# server findings.  The messages are this library's words.
 COMPONENT_FINDINGS = (
     ("vdad", "No auto-dial daemon running — dialer is completely stopped"),
     ("fastagi", "FastAGI server not running — call routing scripts cannot run"),
@@ -338,7 +343,7 @@ def hopper_snapshot(hopper: DataFrame) -> DataFrame:
 
 
 
-# Fixed values that must equal the reference: finding messages.
+# Finding messages: the reference's meaning in this library's words.
 MSG = {
     "ready_no_conf": "READY agent(s) have NO conference extension assigned — calls cannot be bridged to them",
     "channel_ratio": "High channel/agent ratio — answered calls not reaching agents",
@@ -352,6 +357,8 @@ MSG = {
     "dialer_errors": "VDAD errors found in recent log",
     "agi_errors": "AGI errors detected — call routing scripts failing",
     "invalid_phones": "leads in hopper have invalid phone numbers — wasted dials, no answer",
+    "registration_failed": "SIP trunk registration failed",
+    "peer_down": "SIP peer unreachable or unknown",
     "called_many_times": "leads already called more than 3 times — exhausted list, low contact rate expected",
 }
 
@@ -367,18 +374,19 @@ def call_snapshot(log: DataFrame, as_of: str, lookback: str, midnight_as_of: str
     """Call counts of the diagnosis in one pass: AMD kills, drops and all calls
     in the look-back, calls since midnight; plus the truncated rates."""
     st, when = F.col("status"), F.col("call_date")
-    recent = when > X.ago(as_of, lookback)
+    recent = X.within(when, as_of, lookback)
     aggs = [F.count_if(recent & st.isin(*aggregates.AMD_STATUSES)).alias("amd_kills"),
             F.count_if(recent & st.isin(*aggregates.DROP_STATUSES)).alias("drop_count"),
             F.count_if(recent).alias("total_calls")]
     if midnight_as_of is not None:
-        today = (when > X.day_start(X.ts_literal(midnight_as_of))) & ~st.isin("DROP", "ABAND")
+        midnight, until = X.day_start(X.ts_literal(midnight_as_of)), X.ts_literal(midnight_as_of)
+        today = (when > midnight) & (when <= until) & ~st.isin("DROP", "ABAND")
         aggs.append(F.count_if(today).alias("calls_today"))
     # only what some count reads leaves the scan
-    since = X.ago(as_of, lookback)
+    first, last = X.ago(as_of, lookback), X.ts_literal(as_of)
     if midnight_as_of is not None:
-        since = F.least(since, X.day_start(X.ts_literal(midnight_as_of)))
-    snap = log.where(when > since).agg(*aggs)
+        first, last = F.least(first, midnight), F.greatest(last, until)
+    snap = log.where((when > first) & (when <= last)).agg(*aggs)
 
     def rate(n):
         return F.when((F.col(n) > 0) & (F.col("total_calls") > 0), X.truncate_ratio(F.col(n) * 100, "total_calls"))
@@ -409,7 +417,7 @@ def agent_specs(limit: float = 3.0, with_channels: bool = False):
 def agents_channels_snapshot(agents: DataFrame, channels: DataFrame | None, as_of: str, lookback: str) -> DataFrame:
     """READY-without-conference and INCALL counts in one pass over the agents,
     with the 'Up' channel count as a scalar subquery when channels are given."""
-    recent = F.col("last_update_time") > X.ago(as_of, lookback)
+    recent = X.within("last_update_time", as_of, lookback)
     st = F.col("status")
     snap = agents.where(recent).agg(F.count_if((st == "READY") & X.blank("conf_exten")).alias("ready_without_conf"),
                                     F.count_if(st == "INCALL").alias("agents_incall"))

@@ -118,15 +118,15 @@ def label_status(df: DataFrame, kind: str, status_col: str = "status", labels: D
 
 
 def recent(df: DataFrame, ts_col: str, as_of: str, lookback: str) -> DataFrame:
-    """Rows with ``ts_col > as_of - lookback`` (strict)."""
-    return df.where(F.col(ts_col) > X.ago(as_of, lookback))
+    """Rows with ``as_of - lookback < ts_col <= as_of``."""
+    return df.where(X.within(ts_col, as_of, lookback))
 
 
 def since_midnight(df: DataFrame, ts_col: str, as_of: str, exclude: Iterable[str] = ("DROP", "ABAND"),
                    status_col: str = "status") -> DataFrame:
-    """Rows strictly after the start of the as-of day, status not in ``exclude``."""
+    """Rows strictly after the start of the as-of day and not after ``as_of``, status not in ``exclude``."""
     start = X.day_start(X.ts_literal(as_of))
-    return df.where((F.col(ts_col) > start) & ~F.col(status_col).isin(*exclude))
+    return df.where((F.col(ts_col) > start) & (F.col(ts_col) <= X.ts_literal(as_of)) & ~F.col(status_col).isin(*exclude))
 
 
 def in_set(df: DataFrame, c: str, values: Iterable, negate: bool = False) -> DataFrame:

@@ -105,20 +105,22 @@ def _flag_from(df: DataFrame, left_key: Column, keys: DataFrame, flag: str) -> D
 
 
 def missing_shadows(eligible: DataFrame, users: DataFrame, phones: DataFrame, slots: DataFrame,
-                    suffix: str = "_B") -> DataFrame:
-    """Eligible agents lacking a shadow user, shadow phone or shadow slot."""
+                    servers: DataFrame, suffix: str = "_B") -> DataFrame:
+    """Eligible agents lacking a shadow user, shadow phone or shadow slot (in
+    the slot table their server uses)."""
     shadow = F.concat(F.col("user_name"), F.lit(suffix))
     base = eligible.select("user_name", "server_ip")
     base = _flag_from(base, shadow, users.select("user_name"), "has_user")
     base = _flag_from(base, shadow, phones.select("extension"), "has_phone")
-    from .changes import slot_holders
+    from .changes import slot_holders, with_slot_table
 
-    holders = slot_holders(slots).select(F.col("server_ip").alias("_ip"), F.col("holder").alias("_h")) \
-        .distinct().withColumn("has_slot", F.lit(True))
-    base = base.join(holders, (F.col("server_ip") == F.col("_ip")) & (shadow == F.col("_h")), "left") \
-        .drop("_ip", "_h")
+    holders = slot_holders(slots).select(F.col("server_ip").alias("_ip"), F.col("slot_table").alias("_t"),
+                                         F.col("holder").alias("_h")).distinct().withColumn("has_slot", F.lit(True))
+    base = with_slot_table(base, servers)
+    base = base.join(holders, (F.col("server_ip") == F.col("_ip")) & (F.col("slot_table") == F.col("_t"))
+                     & (shadow == F.col("_h")), "left")
     return base.select(
-        "user_name", "server_ip",
+        "user_name", "server_ip", "slot_table",
         (~F.col("has_user")).alias("missing_user"),
         (~F.col("has_phone")).alias("missing_phone"),
         F.col("has_slot").isNull().alias("missing_slot"),
@@ -143,7 +145,7 @@ def remap_ids(df: DataFrame, id_map: DataFrame, c: str, old: str = "old_id", new
               keep_old_as: str | None = None) -> DataFrame:
     """Rewrite foreign key ``c`` through an old -> new map; unmapped ids stay."""
     # one new id per old id (the smallest if a map repeats a key), so a
-    # repeated key cannot duplicate rows; the map is size-checked and broadcast
+    # repeated key cannot duplicate rows; adaptive execution decides on a broadcast by its bytes
     m = id_map.groupBy(F.col(old).alias("_old")).agg(F.min(new).alias("_new"))
     out = df.join(m, F.col(c) == F.col("_old"), "left")
     cols = [F.coalesce(F.col("_new"), F.col(c)).alias(c) if x == c else F.col(x) for x in df.columns]
@@ -152,7 +154,7 @@ def remap_ids(df: DataFrame, id_map: DataFrame, c: str, old: str = "old_id", new
     return out.select(*cols)
 
 
-def zip_assign(needs: DataFrame, free: DataFrame, part: str, need_order: Sequence[str],
+def zip_assign(needs: DataFrame, free: DataFrame, part: str | Sequence[str], need_order: Sequence[str],
                free_order: Sequence[str]) -> DataFrame:
     """Pair the k-th need with the k-th free slot inside each ``part``.
 
@@ -160,10 +162,11 @@ def zip_assign(needs: DataFrame, free: DataFrame, part: str, need_order: Sequenc
     each hold a large share of rows); the pairing is then an equi-join on
     (part, rank).  Needs without a slot keep NULL slot columns.
     """
-    n = ranked(needs, [part], need_order, out="rn")
-    f = ranked(free, [part], free_order, out="rn")
-    f = f.select(*[F.col(c).alias(f"slot_{c}") if c not in (part, "rn") else F.col(c) for c in f.columns])
-    return n.join(f, [part, "rn"], "left")
+    keys = [part] if isinstance(part, str) else list(part)
+    n = ranked(needs, keys, need_order, out="rn")
+    f = ranked(free, keys, free_order, out="rn")
+    f = f.select(*[F.col(c).alias(f"slot_{c}") if c not in (*keys, "rn") else F.col(c) for c in f.columns])
+    return n.join(f, [*keys, "rn"], "left")
 
 
 def verify_import(lists: DataFrame, leads: DataFrame, hopper: DataFrame, ids: DataFrame) -> DataFrame:

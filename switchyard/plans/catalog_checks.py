@@ -10,6 +10,7 @@ from ..operators import aggregates as A
 from ..operators import checks as K
 from ..operators import rules as R
 from ..operators.setops import union_all
+from ..operators.windows import latest_per_key
 from ..sources import text as TX
 from . import fixtures as P
 from .catalog_relational import HOPPER_CAMPAIGN_SQL, PRESENCE_SQL, agent_math_sql, rates_sql
@@ -17,7 +18,7 @@ from .diagnosis import DiagnosisParams
 from .diagnosis import findings as diagnosis_findings
 from .registry import register
 from .sqlbits import (graded_sql, kv_sql, latest_metric_sql, sql_ago, sql_round_half_up_ratio, sql_truncate_ratio,
-                      sql_ts)
+                      sql_ts, sql_within)
 
 AS_OF_SQL = sql_ts(P.AS_OF)
 
@@ -33,7 +34,7 @@ def _q(text: str) -> str:
 
 FIND_READY_NO_CONF_SQL = f"""select {_f('ready_no_conf', "'SERVER'", 'n', _q('READY agent(s) have NO conference extension assigned — calls cannot be bridged to them'))}
 from (select count(*) as n from live_agents where status = 'READY' and (conf_exten is null or conf_exten in ('', '0'))
-      and last_update_time > {sql_ago(P.AS_OF, P.AGENT_ACTIVE_LOOKBACK)}) x where n > 0"""
+      and {sql_within('last_update_time', P.AS_OF, P.AGENT_ACTIVE_LOOKBACK)}) x where n > 0"""
 
 FIND_HOPPER_LOW_SQL = f"""select {_f('hopper_low', f"case when hopper_count < {P.HOPPER_NEARLY_EMPTY} then 'CLIENT' else 'INFO' end",
   'hopper_count', f"case when hopper_count < {P.HOPPER_NEARLY_EMPTY} then {_q('hopper nearly empty — dialer will idle agents')} else 'hopper low' end",
@@ -76,7 +77,7 @@ union all select {_f('slots_in_use', "'INFO'", 'in_use_slots', _q('In use (LIA)
 FIND_LEAD_QUALITY_SQL = f"""with q as (select count(*) filter (where length(regexp_replace(l.phone_number, '[^0-9]', '', 'g')) < 10) as invalid,
   count(*) filter (where l.called_count > 3) as called_many from leads l join hopper h on l.lead_id = h.lead_id),
   d as (select count(*) filter (where status = 'DNC') as dnc from hopper),
-  t as (select count(*) as n from call_log where call_date > date_trunc('day', {sql_ts(P.MIDNIGHT_AS_OF)})
+  t as (select count(*) as n from call_log where call_date > date_trunc('day', {sql_ts(P.MIDNIGHT_AS_OF)}) and call_date <= {sql_ts(P.MIDNIGHT_AS_OF)}
         and status not in ('DROP', 'ABAND'))
 select {_f('invalid_phones', "'CLIENT'", 'invalid', _q('leads in hopper have invalid phone numbers — wasted dials, no answer'))} from q where invalid > 0
 union all select {_f('dnc_in_hopper', "'CLIENT'", 'dnc', _q('DNC entries in hopper — compliance risk + wasted agent time'))} from d where dnc > 0
@@ -86,14 +87,17 @@ union all select {_f('calls_today', "'INFO'", 'n', _q('Calls completed today'))}
 PEER_LINES_SQL = "(select peer as line_no, peer || ' ' || status as line from peers)"
 
 FIND_REGISTRATION_SQL = f"""select {_f('registration_failed', "'SERVER'", '1', _q('SIP trunk registration failed'), 'line_no')}
-from log_lines where not regexp_matches(line, '{K.REGISTERED}') and regexp_matches(line, '{K.REGISTRY_FAILED}')"""
+from log_lines where not regexp_matches(line, '{K.REGISTERED}') and regexp_matches(line, '{K.REGISTRY_FAILED}')
+union all
+select {_f('peer_down', "'INFO'", '1', _q('SIP peer unreachable or unknown'), 'line_no')}
+from {PEER_LINES_SQL} p where not regexp_matches(line, '{K.PEER_OK}') and regexp_matches(line, '{K.PEER_DOWN}')"""
 
 
 FIND_CHANNEL_RATIO_SQL = f"""select {_f('channel_ratio', "'SERVER'", 'ratio', _q('High channel/agent ratio — answered calls not reaching agents'))}
 from (select {sql_truncate_ratio('u.calls_up', 'a.agents_incall')} as ratio
       from (select count(*) filter (where contains(line, ' Up ')) as calls_up from channel_lines) u,
            (select count(*) as agents_incall from live_agents
-            where last_update_time > {sql_ago(P.AS_OF, P.AGENT_ACTIVE_LOOKBACK)} and status = 'INCALL') a
+            where {sql_within('last_update_time', P.AS_OF, P.AGENT_ACTIVE_LOOKBACK)} and status = 'INCALL') a
       where u.calls_up > 0 and a.agents_incall > 0) r where ratio > 3"""
 
 
@@ -194,11 +198,11 @@ def _grade_host_sql() -> str:
     piv = ", ".join(f"max(case when metric = '{m}' then value end) as {m}" for m in ms)
     return f"""(with w as (select host, {piv} from {latest_metric_sql(ms)} l group by host),
 g as (select host, load1, load5, iowait, mem_avail_mb, timing_pct,
-  case when load1 is null then 'SKIP' when load1 > coalesce(cores, cast(8 as double)) * cast(0.85 as double) then 'FAIL'
-       when load5 > coalesce(cores, cast(8 as double)) then 'FAIL' else 'PASS' end as load_grade,
+  case when load1 is null or cores is null then 'SKIP' when load1 > cores * cast(0.85 as double) then 'FAIL'
+       when load5 > cores then 'FAIL' else 'PASS' end as load_grade,
   case when iowait is null then 'WARN' when iowait > 10 then 'FAIL' else 'PASS' end as iowait_grade,
-  case when nice is null then 'SKIP' when nice > 0 then 'WARN' else 'PASS' end as nice_grade,
-  case when rt_priority is null or rt_priority = 0 then 'WARN' else 'PASS' end as rt_grade,
+  case when nice is null then 'FAIL' when nice > 0 then 'WARN' else 'PASS' end as nice_grade,
+  case when nice is null then 'SKIP' when rt_priority is null or rt_priority = 0 then 'WARN' else 'PASS' end as rt_grade,
   case when mem_avail_mb is null then 'SKIP' when mem_avail_mb < 256 then 'FAIL' when mem_avail_mb < 512 then 'WARN'
        else 'PASS' end as mem_grade,
   case when timing_pct is null then 'WARN' when timing_pct < 99.95 then 'FAIL' when timing_pct < 99.98 then 'WARN'
@@ -236,16 +240,32 @@ with kv as {kv_sql('kv_lines', TX.CONFIG_KEYS)},
 w as (select host, max(case when key = 'jbenable' then value end) as jbenable, max(case when key = 'jbimpl' then value end) as jbimpl,
   max(case when key = 'jbmaxsize' then value end) as jbmaxsize_text, max(case when key = 'rtpstart' then value end) as rtpstart
   from kv group by host)
-select host, jbenable, coalesce(jbimpl, 'fixed') as jbimpl, try_cast(jbmaxsize_text as integer) as jbmaxsize, rtpstart,
+select h.host, jbenable, coalesce(jbimpl, 'fixed') as jbimpl, try_cast(jbmaxsize_text as integer) as jbmaxsize, rtpstart,
   case when coalesce(jbenable, 'no') = 'yes' then 'PASS' else 'FAIL' end as enable_grade,
   case when not coalesce(jbenable, 'no') = 'yes' then null when coalesce(jbimpl, 'fixed') = 'fixed' then 'WARN' else 'PASS' end
     as impl_grade,
   case when not coalesce(jbenable, 'no') = 'yes' or try_cast(jbmaxsize_text as integer) is null then null
        when try_cast(jbmaxsize_text as integer) < 300 then 'WARN' else 'PASS' end as size_grade,
   case when rtpstart is null then 'WARN' else 'PASS' end as rtp_grade
-from w""")
+from (select distinct host from kv_lines) h left join w on h.host = w.host""")
 def grade_jitter_buffer(fx):
-    return K.grade_jitter_buffer(TX.extract_kv(fx.kv_lines, TX.CONFIG_KEYS))
+    return K.grade_jitter_buffer(TX.extract_kv(fx.kv_lines, TX.CONFIG_KEYS), fx.kv_lines)
+
+
+_RULES = R.HOST_RULES + R.NETWORK_RULES
+_RULE_METRICS = tuple(dict.fromkeys(r[0] for r in _RULES))
+
+
+@register("agg_grade_verdict", section="2.9", oracle=f"""
+select pass_count, warn_count, fail_count,
+  case when fail_count > 0 then 'FAIL' when warn_count > 0 then 'WARN' else 'CLEAN' end as result
+from (select count(*) filter (where severity = 'PASS') as pass_count, count(*) filter (where severity = 'WARN') as warn_count,
+        count(*) filter (where severity = 'FAIL') as fail_count
+      from {graded_sql(latest_metric_sql(_RULE_METRICS), ['host', 'metric', 'value'], _RULES)} g) t""")
+def agg_grade_verdict(fx):
+    samples = fx.metric_samples.where(F.col("metric").isin(*_RULE_METRICS))
+    latest = latest_per_key(samples, ["host", "metric"], "ts", "sample_id", ["value"]).select("host", "metric", "value")
+    return R.grade_verdict(K.grade_samples(latest))
 
 
 # ------------------------------------------------------------ 2.10 functions

@@ -25,9 +25,9 @@ from .sqlbits import kv_sql, sql_ts
 
 @register("src_table", section="2.1", oracle="select * from leads")
 def src_table(fx):
-    # the fixture view is the operational table here; read_table serves the
-    # same role over a Parquet folder, a catalog table or a JDBC source
-    return fx.leads
+    root = scratch_path(fx.spark, "tables")
+    fx.leads.write.parquet(f"{root}/leads")
+    return TB.read_table(fx.spark, "leads", "parquet", root)
 
 
 @register("src_table_parquet", section="2.1", oracle="select * from orders")
@@ -45,15 +45,24 @@ DUMP_SCHEMA = ("o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_tot
                "o_orderdate timestamp_ntz, o_orderpriority string, note string")
 
 
-@register("src_sql_dump", section="2.1", oracle=DUMP_SOURCE_SQL)
+@register("src_sql_dump", section="2.1", oracle=f"""
+select s.*, (select count(*) from orders where o_orderkey % 101 = 0) as rejected_tuples,
+  (select count(*) from orders where o_orderkey % 103 = 0) as rejected_lines from ({DUMP_SOURCE_SQL}) s""")
 def src_sql_dump(fx):
     k = F.col("o_orderkey")
     note = (F.when(k % 7 == 0, F.concat(F.lit("it's),("), F.col("o_orderpriority")))
             .when(k % 11 == 0, F.lit(None).cast("string")).otherwise(F.lit('back\\slash "q" (x), y')))
     rows = fx.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
                             "o_orderpriority", note.alias("note"))
-    lines = SD.dump_lines(rows, "orders", 50, "o_orderkey")
-    return SD.parse_dump_lines(lines, DUMP_SCHEMA, "value", table="orders")
+    # beside the good lines, some with too few fields and some cut off inside a string
+    short = fx.orders.where(k % 101 == 0).select(F.format_string("INSERT INTO `orders` VALUES (%d,'short');", k).alias("value"))
+    cut = fx.orders.where(k % 103 == 0).select(F.format_string("INSERT INTO `orders` VALUES (%d,'cut", k).alias("value"))
+    path = scratch_path(fx.spark, "dump")
+    SD.dump_lines(rows, "orders", 50, "o_orderkey").unionByName(short).unionByName(cut).write.text(path)
+    tally = SD.dump_tally(fx.spark.read.text(path), DUMP_SCHEMA, table="orders")
+    counts = tally.select(F.struct("rejected_tuples", "rejected_lines")).scalar()
+    return SD.read_sql_dump(fx.spark, path, DUMP_SCHEMA, table="orders").select(
+        "*", counts["rejected_tuples"].alias("rejected_tuples"), counts["rejected_lines"].alias("rejected_lines"))
 
 
 @register("src_log_lines", section="2.1", oracle=f"""
@@ -158,9 +167,10 @@ def snk_action_log(fx):
     return EX.append_audit(EX.cleanup_audit_row(fx.files, P.FILE_AS_OF), scratch_path(fx.spark, "audit"))
 
 
-@register("truncate_archive", section="2.1", oracle="select * from call_log limit 0")
+@register("truncate_archive", section="2.1", oracle="""
+select count(*) as rows_before, cast(0 as bigint) as rows_after from call_log""")
 def truncate_archive(fx):
     path = scratch_path(fx.spark, "archive")
     fx.call_log.write.mode("overwrite").parquet(path)
-    return EX.truncate_table(fx.spark.read.parquet(path), path + "-truncated")
+    return EX.truncate_table(fx.spark, path)
 

@@ -18,8 +18,8 @@ from ..operators.setops import append_rows
 from ..sources import text as TX
 from . import fixtures as P
 from .registry import register
-from .sqlbits import (ELIGIBLE_SQL, RECENT_CALLS_SQL, graded_sql, sql_ago, sql_round_half_up_ratio,
-                      sql_truncate_ratio, sql_ts, sql_values)
+from .sqlbits import (ELIGIBLE_SQL, ELIGIBLE_TABLE_SQL, RECENT_CALLS_SQL, graded_sql, sql_round_half_up_ratio,
+                      sql_truncate_ratio, sql_ts, sql_values, sql_within)
 
 AS_OF_SQL = sql_ts(P.AS_OF)
 
@@ -55,7 +55,7 @@ def filter_recent(fx):
 
 
 @register("filter_since_midnight", section="2.2", oracle=f"""
-select * from call_log where call_date > date_trunc('day', {sql_ts(P.MIDNIGHT_AS_OF)})
+select * from call_log where call_date > date_trunc('day', {sql_ts(P.MIDNIGHT_AS_OF)}) and call_date <= {sql_ts(P.MIDNIGHT_AS_OF)}
   and status not in ('DROP', 'ABAND')""")
 def filter_since_midnight(fx):
     return Fl.since_midnight(fx.call_log, "call_date", P.MIDNIGHT_AS_OF)
@@ -161,7 +161,7 @@ def agent_math_sql(lookback: str) -> str:
   count(case when a.status = 'INCALL' then 1 end) as incall_agents, count(*) as total_agents,
   cast(c.auto_dial_level as double) as auto_dial_level
 from live_agents a join campaigns c on a.campaign_id = c.campaign_id
-where a.last_update_time > {sql_ago(P.AS_OF, lookback)} and c.active = 'Y'
+where {sql_within('a.last_update_time', P.AS_OF, lookback)} and c.active = 'Y'
 group by a.campaign_id, c.auto_dial_level)"""
 
 
@@ -184,14 +184,14 @@ def anti_null_aware(fx):
 
 
 @register("anti_missing_shadow", section="2.3", oracle=f"""
-select e.user_name, e.server_ip,
+select e.user_name, e.server_ip, e.slot_table,
   not exists (select 1 from users u where u.user_name = e.user_name || '_B') as missing_user,
   not exists (select 1 from phones p where p.extension = e.user_name || '_B') as missing_phone,
-  not exists (select 1 from conf_slots s where s.server_ip = e.server_ip
+  not exists (select 1 from conf_slots s where s.server_ip = e.server_ip and s.slot_table = e.slot_table
               and (s.extension = 'SIP/' || e.user_name || '_B' or s.extension = e.user_name || '_B')) as missing_slot
-from {ELIGIBLE_SQL} e""")
+from {ELIGIBLE_TABLE_SQL} e""")
 def anti_missing_shadow(fx):
-    return J.missing_shadows(Fl.eligible_agents(fx.users), fx.users, fx.phones, fx.conf_slots)
+    return J.missing_shadows(Fl.eligible_agents(fx.users), fx.users, fx.phones, fx.conf_slots, fx.servers)
 
 
 @register("semi_exists", section="2.3", oracle="""
@@ -229,25 +229,24 @@ def join_remap(fx):
                        keep_old_as="old_list_id")
 
 
-NEEDS_SQL = f"""(select e.user_name, e.server_ip from {ELIGIBLE_SQL} e
- where not exists (select 1 from conf_slots s where s.server_ip = e.server_ip
+NEEDS_SQL = f"""(select e.user_name, e.server_ip, e.slot_table from {ELIGIBLE_TABLE_SQL} e
+ where not exists (select 1 from conf_slots s where s.server_ip = e.server_ip and s.slot_table = e.slot_table
    and (s.extension = 'SIP/' || e.user_name || '_B' or s.extension = e.user_name || '_B')))"""
-FREE_SLOTS_SQL = "(select server_ip, conf_exten from conf_slots where extension is null or extension = '')"
+FREE_SLOTS_SQL = "(select server_ip, slot_table, conf_exten from conf_slots where extension is null or extension = '')"
 
 
 @register("join_rank_zip", section="2.3", oracle=f"""
-with n as (select user_name, server_ip, row_number() over (partition by server_ip order by user_name) as rn
-           from {NEEDS_SQL} x),
-     f as (select server_ip, conf_exten, row_number() over (partition by server_ip order by conf_exten) as rn
-           from {FREE_SLOTS_SQL} y)
-select n.server_ip, n.rn, n.user_name, f.conf_exten as slot_conf_exten
-from n left join f on n.server_ip = f.server_ip and n.rn = f.rn""")
+with n as (select user_name, server_ip, slot_table,
+             row_number() over (partition by server_ip, slot_table order by user_name) as rn from {NEEDS_SQL} x),
+     f as (select server_ip, slot_table, conf_exten,
+             row_number() over (partition by server_ip, slot_table order by conf_exten) as rn from {FREE_SLOTS_SQL} y)
+select n.server_ip, n.slot_table, n.rn, n.user_name, f.conf_exten as slot_conf_exten
+from n left join f on n.server_ip = f.server_ip and n.slot_table = f.slot_table and n.rn = f.rn""")
 def join_rank_zip(fx):
-    needs = J.missing_shadows(Fl.eligible_agents(fx.users), fx.users, fx.phones, fx.conf_slots) \
-        .where("missing_slot").select("user_name", "server_ip")
-    free = fx.conf_slots.where(F.col("extension").isNull() | (F.col("extension") == "")).select("server_ip", "conf_exten")
-    return J.zip_assign(needs, free, "server_ip", ["user_name"], ["conf_exten"]).select(
-        "server_ip", "rn", "user_name", "slot_conf_exten")
+    needs = J.missing_shadows(Fl.eligible_agents(fx.users), fx.users, fx.phones, fx.conf_slots, fx.servers) \
+        .where("missing_slot").select("user_name", "server_ip", "slot_table")
+    return J.zip_assign(needs, C.free_slots(fx.conf_slots), ["server_ip", "slot_table"], ["user_name"], ["conf_exten"]).select(
+        "server_ip", "slot_table", "rn", "user_name", "slot_conf_exten")
 
 
 _ALL_RULES = R.HOST_RULES + R.NETWORK_RULES
@@ -290,7 +289,7 @@ def agg_status_count(fx):
 @register("agg_state_breakdown", section="2.4", oracle=f"""
 select status, count(*) as count,
   {sql_round_half_up_ratio(f"sum(date_sub('second', last_update_time, {AS_OF_SQL}))", 'count(*)')} as avg_seconds_in_state
-from live_agents where last_update_time > {sql_ago(P.AS_OF, P.AGENT_STATE_LOOKBACK)} group by status""")
+from live_agents where {sql_within('last_update_time', P.AS_OF, P.AGENT_STATE_LOOKBACK)} group by status""")
 def agg_state_breakdown(fx):
     return A.state_breakdown(fx.live_agents, P.AS_OF, P.AGENT_STATE_LOOKBACK)
 
@@ -312,7 +311,7 @@ select count(*) filter (where r) as agents_logged_in,
   count(*) filter (where r and status = 'INCALL') as agents_incall,
   count(*) filter (where r and status = 'PAUSED') as agents_paused,
   count(*) filter (where r and status = 'READY' and (conf_exten is null or conf_exten in ('', '0'))) as ready_without_conf
-from (select *, last_update_time > {sql_ago(P.AS_OF, P.AGENT_ACTIVE_LOOKBACK)} as r from live_agents) a""")
+from (select *, {sql_within('last_update_time', P.AS_OF, P.AGENT_ACTIVE_LOOKBACK)} as r from live_agents) a""")
 def agg_multi_metric(fx):
     return A.agent_snapshot(fx.live_agents, P.AS_OF, P.AGENT_ACTIVE_LOOKBACK)
 
@@ -380,7 +379,7 @@ def rates_sql(lookback: str) -> str:
   case when amd_kills > 0 and total_calls > 0 then {sql_truncate_ratio('amd_kills * 100', 'total_calls')} end as amd_pct,
   case when drop_count > 0 and total_calls > 0 then {sql_truncate_ratio('drop_count * 100', 'total_calls')} end as drop_pct
 from (select count(*) filter (where status in ({amd})) as amd_kills, count(*) filter (where status in ({drop})) as drop_count,
-        count(*) as total_calls from call_log where call_date > {sql_ago(P.AS_OF, lookback)}) c)"""
+        count(*) as total_calls from call_log where {sql_within('call_date', P.AS_OF, lookback)}) c)"""
 
 
 @register("agg_rates", section="2.4", oracle=f"select * from {rates_sql(P.CALL_RATE_LOOKBACK)} r")
@@ -391,7 +390,7 @@ def agg_rates(fx):
 @register("agg_channel_ratio", section="2.4", oracle=f"""
 with u as (select count(*) filter (where contains(line, ' Up ')) as calls_up from channel_lines),
      a as (select count(*) as agents_incall from live_agents
-           where last_update_time > {sql_ago(P.AS_OF, P.AGENT_ACTIVE_LOOKBACK)} and status = 'INCALL')
+           where {sql_within('last_update_time', P.AS_OF, P.AGENT_ACTIVE_LOOKBACK)} and status = 'INCALL')
 select u.calls_up, a.agents_incall,
   case when u.calls_up > 0 and a.agents_incall > 0 then {sql_truncate_ratio('u.calls_up', 'a.agents_incall')} end as ratio,
   coalesce(u.calls_up > 0 and a.agents_incall > 0 and {sql_truncate_ratio('u.calls_up', 'a.agents_incall')} > 3, false)
@@ -468,14 +467,14 @@ select agent, campaign_id, conf_exten, idle_seconds,
   case when idle_seconds > {P.IDLE_FAIL_SECONDS} then 'IDLE TOO LONG'
        when idle_seconds > {P.IDLE_WARN_SECONDS} then 'elevated wait' else '' end as flag
 from (select agent, campaign_id, conf_exten, date_sub('second', last_update_time, {AS_OF_SQL}) as idle_seconds
-      from live_agents where status = 'READY' and last_update_time > {sql_ago(P.AS_OF, P.AGENT_STATE_LOOKBACK)}) a
+      from live_agents where status = 'READY' and {sql_within('last_update_time', P.AS_OF, P.AGENT_STATE_LOOKBACK)}) a
 order by idle_seconds desc, agent limit 15""")
 def top_idle_agents(fx):
     return T.top_idle(fx.live_agents, P.AS_OF, P.AGENT_STATE_LOOKBACK, 15, P.IDLE_WARN_SECONDS, P.IDLE_FAIL_SECONDS)
 
 
 @register("top_statuses", section="2.6", oracle=f"""
-select status, count(*) as count from call_log where call_date > {sql_ago(P.AS_OF, P.OUTCOME_LOOKBACK)}
+select status, count(*) as count from call_log where {sql_within('call_date', P.AS_OF, P.OUTCOME_LOOKBACK)}
 group by status order by count desc, status limit 15""")
 def top_statuses(fx):
     return T.top_statuses(fx.call_log, P.AS_OF, P.OUTCOME_LOOKBACK, 15)
@@ -496,8 +495,7 @@ def tail_filter_tail(fx):
 
 @register("head_n", section="2.6", oracle=f"select conf_exten, server_ip from {FREE_SLOTS_SQL} f order by conf_exten limit 10")
 def head_n(fx):
-    free = fx.conf_slots.where(F.col("extension").isNull() | (F.col("extension") == "")).select("conf_exten", "server_ip")
-    return T.head_n(free, ["conf_exten"], 10)
+    return T.head_n(C.free_slots(fx.conf_slots).select("conf_exten", "server_ip"), ["conf_exten"], 10)
 
 
 # ------------------------------------------------------------------ 2.7 set ops

@@ -9,8 +9,12 @@ The oracle is the batch SQL of the final (watermark-closed) windows.
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..operators.setops import union_all
 from ..session import scratch_path
 from ..streaming import streams as S
+from .catalog_changes import ASSIGN_SLOTS_SQL, CLONE_PHONES_SQL
 from .catalog_relational import CLONE_USERS_SQL
 from .registry import register
 from .sqlbits import sql_round_half_up_ratio
@@ -78,3 +82,28 @@ def stream_agent_sync(fx):
     S.stream_sync(stream, table, scratch_path(spark, "sync-ckpt"))
     return spark.read.parquet(table).select(*users.columns)
 
+
+@register("stream_account_sync", section="2.11", oracle=f"""
+select 'user' as item, user_name as name, full_name as value from users
+union all select 'user', user_name, full_name from {CLONE_USERS_SQL} c
+union all select 'phone', extension, dialplan_number from phones
+union all select 'phone', extension, dialplan_number from {CLONE_PHONES_SQL} p
+union all
+select 'slot', s.server_ip || '/' || s.slot_table || '/' || cast(s.conf_exten as varchar), coalesce(a.new_extension, s.extension)
+from conf_slots s left join (select * from {ASSIGN_SLOTS_SQL} x where result = 'assigned') a
+  on a.server_ip = s.server_ip and a.slot_table = s.slot_table and a.conf_exten = s.conf_exten""")
+def stream_account_sync(fx):
+    """Users, phones and slots after a streamed sync of all users."""
+    spark = fx.spark
+    users, phones, slots = (scratch_path(spark, f"sync-{n}") for n in ("users", "phones", "slots"))
+    for path, view in ((users, fx.users), (phones, fx.phones), (slots, fx.conf_slots)):
+        view.write.parquet(f"{path}/batch_id=-1")
+    src = S.stage_stream_input(fx.users, "accounts-stream")
+    S.stream_sync(spark.readStream.schema(S.USER_SCHEMA).parquet(src), users, scratch_path(spark, "accounts-ckpt"),
+                  accounts=S.Accounts(phones, slots, fx.servers))
+    after = S.current_slots(spark.read.parquet(slots))
+    return union_all(
+        spark.read.parquet(users).select(F.lit("user").alias("item"), F.col("user_name").alias("name"), F.col("full_name").alias("value")),
+        spark.read.parquet(phones).select(F.lit("phone").alias("item"), F.col("extension").alias("name"), F.col("dialplan_number").alias("value")),
+        after.select(F.lit("slot").alias("item"), F.concat_ws("/", "server_ip", "slot_table", "conf_exten").alias("name"),
+                     F.col("extension").alias("value")))

@@ -46,13 +46,13 @@ from orders""",
     "alt_phones": """
 select l_orderkey as lead_id, l_linenumber as alt_phone_count,
   '555' || lpad(cast(l_partkey as string), 7, '0') as phone_number
-from lineitem where l_linenumber = 1""",
+from lineitem""",
     "hopper": """
 select o_orderkey as lead_id, 990 + o_custkey % 60 as list_id, cast(o_custkey % 25 as string) as campaign_id,
   case o_orderpriority when '1-URGENT' then 'READY' when '2-HIGH' then 'QUEUE'
        when '4-NOT SPECIFIED' then 'INCALL' when '5-LOW' then 'DNC' else 'READY' end as status,
   0 as priority
-from orders where o_orderstatus = 'O' and o_orderkey % 3 = 0""",
+from orders""",
     "call_log": """
 select event_id as call_id, ts as call_date, event_id as lead_id, cast(user_id as string) as agent,
   case event_type when 'view' then 'NA' when 'click' then 'AMD' when 'purchase' then 'SALE'
@@ -68,6 +68,7 @@ select cast(user_id as string) as agent, cast(user_id % 25 as string) as campaig
 from events group by user_id""",
     "conf_slots": """
 select 8600000 + p_partkey as conf_exten, '10.0.0.' || cast(p_size % 4 as string) as server_ip,
+  case when p_partkey % 3 = 0 then 'confbridges' else 'conferences' end as slot_table,
   case when p_partkey % 4 = 0 then '' when p_partkey % 4 = 1 then null
        else 'SIP/' || cast(p_partkey as string) || case when p_partkey % 8 = 2 then '_B' else '' end end as extension,
   case when p_partkey % 4 < 2 then 'idle' when p_partkey % 4 = 2 then 'LIA' else 'STUCK' end as extension_status,
@@ -86,11 +87,14 @@ from customer""",
 select cast(c_custkey as string) as extension,
   case when c_custkey % 10 = 3 then 'x' || cast(c_custkey as string) else cast(c_custkey as string) end as dialplan_number,
   cast(8300 + c_custkey as string) as conf_on_extension, cast(8301 + c_custkey as string) as park_on_extension,
+  cast(8302 + c_custkey as string) as VICIDIAL_park_on_extension,
+  case when c_custkey % 7 = 0 then '' else cast(8309 + c_custkey as string) end as recording_exten,
+  case when c_custkey % 11 = 0 then null else cast(c_custkey as string) end as voicemail_exten,
   case when c_custkey % 3 = 0 then 'N' else 'Y' end as active, c_name as fullname
 from customer where c_custkey % 2 = 0""",
     "amd_log": """
 select l_partkey as amd_id, case when l_partkey % 19 = 0 then null else l_orderkey end as lead_id, l_returnflag as amd_status
-from lineitem where l_linenumber = 2""",
+from lineitem""",
     "files": """
 select case p.page_id % 4 when 0 then '/var/log/asterisk/' when 1 then '/var/log/astguiclient/'
             when 2 then '/var/log/httpd/' else '/var/log/amd/' end ||
@@ -114,12 +118,22 @@ from events""",
 select event_id as line_no, 'host' || cast(user_id % 10 as string) as host,
   case event_type when 'view' then 'Status       : OK (' || cast(cast(floor(value) as bigint) as string) || 'ms)'
        when 'click' then 'Codecs       : (ulaw|g729)' when 'signup' then 'DirectMedia  : No'
-       when 'purchase' then 'jbmaxsize=200' else 'jbenable=yes' end as line
+       when 'purchase' then case when user_id % 10 > 7 then 'Transport    : UDP' when event_id % 3 = 0 then 'rtpstart=10000'
+         when event_id % 3 = 1 and user_id % 2 = 0 then 'jbimpl=adaptive'
+         else 'jbmaxsize=' || cast(100 + event_id % 5 * 100 as string) end
+       else case when user_id % 10 > 7 then 'Qualify      : yes' when user_id % 10 = 5 then 'jbenable=no' else 'jbenable=yes' end
+  end as line
 from events""",
     "metric_samples": """
 select event_id as sample_id, 'host' || cast(user_id % 10 as string) as host, ts,
-  case event_type when 'view' then 'rtt_ms' when 'click' then 'iowait' when 'signup' then 'mem_avail_mb'
-       when 'purchase' then 'pkt_loss' else 'load1' end as metric, value
+  case event_id % 11 when 0 then 'rtt_ms' when 1 then 'iowait' when 2 then 'mem_avail_mb' when 3 then 'pkt_loss'
+       when 4 then 'load1' when 5 then 'load5' when 6 then case when user_id % 10 = 8 then 'other' else 'cores' end
+       when 7 then case when user_id % 10 = 9 then 'other' else 'nice' end
+       when 8 then case when user_id % 10 in (7, 9) then 'other' else 'rt_priority' end
+       when 9 then 'timing_pct' else 'jitter_ms' end as metric,
+  case event_id % 11 when 0 then value * 2 when 1 then value / 5 when 2 then value * 10 when 3 then floor(value / 40)
+       when 4 then value / 8 when 5 then value / 8 when 6 then 8 when 7 then floor(value / 100) - 1
+       when 8 then floor(value / 30) when 9 then 100 - value / 1000 else value / 3 end as value
 from events""",
     "peers": """
 select cast(c_custkey as string) as peer,
@@ -150,7 +164,7 @@ CALL_RATE_LOOKBACK = "7 days"
 OUTCOME_LOOKBACK = "14 days"
 LOG_LOOKBACK = "1 day"
 IDLE_WARN_SECONDS, IDLE_FAIL_SECONDS = 14_400, 43_200
-HOPPER_NEARLY_EMPTY, HOPPER_LOW = 60, 70
+HOPPER_NEARLY_EMPTY, HOPPER_LOW = 590, 620
 AMD_HIGH_PCT, AMD_ELEVATED_PCT = 25, 15
 ROWS_PER_LIST = 40
 TARGET_CAMPAIGN = "7"

@@ -10,7 +10,7 @@ same plan (SURVEY Q4).  Per-list loops of the reference are grouped plans.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -28,6 +28,7 @@ class ImportPlan:
     id_map: DataFrame          # old_id -> new_id for colliding list ids
     lists: DataFrame           # destination lists after the merge and cache rebuild
     leads: DataFrame           # destination leads after the merge
+    alt_phones: DataFrame | None  # destination alternate phones after the merge (None without any)
     hopper_seed: DataFrame     # READY rows to add (empty unless seeding)
     rollback: DataFrame        # (table_name, row_id) to delete to undo the import
     verify: DataFrame          # one row per imported list
@@ -43,8 +44,19 @@ def export(tables: Mapping[str, DataFrame], out: str, where: Mapping[str, str] |
 
 def plan_import(dest_lists: DataFrame, dest_leads: DataFrame, dest_hopper: DataFrame, pkg_lists: DataFrame,
                 pkg_leads: DataFrame, as_of: str, target_campaign: str | None = None, seed: bool = False,
-                seed_rows: int = 1000, dest_alt: DataFrame | None = None) -> ImportPlan:
-    """Plan importing a package into the destination without writing anything."""
+                seed_rows: int = 1000, dest_alt: DataFrame | None = None, pkg_alt: DataFrame | None = None,
+                alt_key: Sequence[str] = ("lead_id", "alt_phone_count"), order: str | None = None) -> ImportPlan:
+    """Plan importing a package into the destination without writing anything.
+
+    ``order`` names the column of the package tables that holds their file and
+    line order (``sources.sql_dump.read_sql_dump(..., order=...)`` adds one): of
+    a key repeated in the package its first row is taken.  Without one the
+    order in which Spark reads the package is taken.
+    """
+    line = order or "_line"
+    if order is None:
+        pkg_lists, pkg_leads = (t.withColumn(line, F.monotonically_increasing_id()) for t in (pkg_lists, pkg_leads))
+        pkg_alt = pkg_alt.withColumn(line, F.monotonically_increasing_id()) if pkg_alt is not None else None
     # the high-water mark is captured now, before anything is applied: a
     # rollback run later must not see the imported leads in it
     mark_value = dest_leads.agg(F.coalesce(F.max("lead_id"), F.lit(0))).first()[0]
@@ -61,8 +73,13 @@ def plan_import(dest_lists: DataFrame, dest_leads: DataFrame, dest_hopper: DataF
     leads_in = C.reset(J.remap_ids(pkg_leads, id_map, "list_id"), {"called_since_last_reset": "N"})
 
     dest_lists_c = C.with_cache_columns(dest_lists)
-    merged_lists = C.insert_ignore(dest_lists_c, lists_in.select(*dest_lists_c.columns), "list_id")
-    merged_leads = C.insert_ignore(dest_leads, leads_in.select(*dest_leads.columns), "lead_id")
+    merged_lists = C.insert_ignore(dest_lists_c, lists_in.select(*dest_lists_c.columns, line), "list_id", line)
+    merged_leads = C.insert_ignore(dest_leads, leads_in.select(*dest_leads.columns, line), "lead_id", line)
+    if pkg_alt is not None:
+        before = dest_alt if dest_alt is not None else pkg_alt.drop(line).limit(0)
+        merged_alt = C.insert_ignore(before, pkg_alt.select(*before.columns, line), list(alt_key), line)
+    else:
+        before, merged_alt = dest_alt, dest_alt
     imported_ids = lists_in.select("list_id").distinct()
     rebuilt = C.rebuild_cache(merged_lists, merged_leads, imported_ids, as_of)
 
@@ -72,24 +89,26 @@ def plan_import(dest_lists: DataFrame, dest_leads: DataFrame, dest_hopper: DataF
     else:
         hopper_seed = dest_hopper.limit(0)
     hopper_after = dest_hopper.unionByName(hopper_seed, allowMissingColumns=True)
-    alt = dest_alt if dest_alt is not None else merged_leads.select("lead_id").limit(0)
+    alt = merged_alt if merged_alt is not None else merged_leads.select("lead_id").limit(0)
     rollback = C.rollback_plan(merged_leads, alt, rebuilt, hopper_after, mark, imported_ids)
     verify = J.verify_import(rebuilt, merged_leads, hopper_after, imported_ids)
     summary = union_all(
         _merge_counts(lists_in, dest_lists, "list_id", "lists"),
         _merge_counts(leads_in, dest_leads, "lead_id", "leads"),
+        *([_merge_counts(pkg_alt, before, list(alt_key), "alt_phones")] if pkg_alt is not None else []),
         C.dry_run(hopper_seed.select(F.lit("hopper").alias("table_name"), F.lit("insert").alias("change"))),
     )
-    return ImportPlan(id_map, rebuilt, merged_leads, hopper_seed, rollback, verify, summary, mark_value)
+    return ImportPlan(id_map, rebuilt, merged_leads, merged_alt, hopper_seed, rollback, verify, summary, mark_value)
 
 
-def _merge_counts(incoming: DataFrame, dest: DataFrame, pk: str, table: str) -> DataFrame:
+def _merge_counts(incoming: DataFrame, dest: DataFrame, pk: str | Sequence[str], table: str) -> DataFrame:
     """INSERT IGNORE outcome counts: one insert per new key; every other
     incoming row (key already present, or a repeat inside the package) is
     ignored.  Keys are counted with partial aggregation."""
-    per_key = incoming.groupBy(pk).agg(F.count(F.lit(1)).alias("_rows"))
-    flagged = per_key.join(dest.select(F.col(pk).alias("_d")).distinct(), F.col(pk) == F.col("_d"), "left")
-    t = flagged.agg(F.count_if(F.col("_d").isNull()).alias("ins"), F.coalesce(F.sum("_rows"), F.lit(0)).alias("all"))
+    keys = [pk] if isinstance(pk, str) else list(pk)
+    per_key = incoming.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    flagged = per_key.join(dest.select(*keys).distinct().withColumn("_there", F.lit(True)), keys, "left")
+    t = flagged.agg(F.count_if(F.col("_there").isNull()).alias("ins"), F.coalesce(F.sum("_rows"), F.lit(0)).alias("all"))
     return union_all(
         t.select(F.lit(table).alias("table_name"), F.lit("insert").alias("change"), F.col("ins").alias("row_count")),
         t.select(F.lit(table).alias("table_name"), F.lit("ignored").alias("change"),

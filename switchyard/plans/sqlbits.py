@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from ..functions.exprs import sql_ago, sql_round_half_up_ratio, sql_truncate_ratio, sql_ts, sql_values
+from ..functions.exprs import sql_ago, sql_round_half_up_ratio, sql_truncate_ratio, sql_ts, sql_values, sql_within
 from ..operators.rules import SEVERITY_RANK
 from . import fixtures as P
 
 ELIGIBLE_SQL = ("(select * from users where active = 'Y' and user_level between 1 and 4 "
                 "and not suffix(user_name, '_B') and strlen(user_name) <= 18)")
 
-RECENT_CALLS_SQL = f"(select * from call_log where call_date > {sql_ago(P.AS_OF, P.CALL_RATE_LOOKBACK)})"
+# every eligible agent with the slot table its server's engine uses
+ELIGIBLE_TABLE_SQL = f"""(select e.*, case when v.conf_engine = 'CONFBRIDGE' then 'confbridges' else 'conferences' end as slot_table
+ from {ELIGIBLE_SQL} e left join servers v on v.server_ip = e.server_ip)"""
+
+RECENT_CALLS_SQL = f"(select * from call_log where {sql_within('call_date', P.AS_OF, P.CALL_RATE_LOOKBACK)})"
 
 
 def rank_case(col: str) -> str:
@@ -51,5 +55,5 @@ def kv_sql(source: str, keys) -> str:
     return f"(select host, key, arg_min(value, line_no) as value from ({u}) x group by host, key)"
 
 
-__all__ = ["ELIGIBLE_SQL", "RECENT_CALLS_SQL", "graded_sql", "kv_sql", "latest_metric_sql", "rank_case",
-           "rules_sql", "sql_ago", "sql_round_half_up_ratio", "sql_truncate_ratio", "sql_ts", "sql_values"]
+__all__ = ["ELIGIBLE_SQL", "ELIGIBLE_TABLE_SQL", "RECENT_CALLS_SQL", "graded_sql", "kv_sql", "latest_metric_sql", "rank_case",
+           "rules_sql", "sql_ago", "sql_round_half_up_ratio", "sql_truncate_ratio", "sql_ts", "sql_values", "sql_within"]

@@ -127,7 +127,10 @@ def cleanup_audit_row(files: DataFrame, as_of: str | None = None, threshold_mb:
         .otherwise("Truncated archives only (file logs under threshold)").alias("action"))
 
 
-def truncate_table(df: DataFrame, path: str) -> DataFrame:
-    """Empty a stored table but keep its schema; returns it read back."""
-    df.limit(0).write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+def truncate_table(spark: SparkSession, path: str) -> DataFrame:
+    """Empty the table stored at ``path``, keeping its schema; one row with
+    ``rows_before`` and ``rows_after``."""
+    table = spark.read.parquet(path)
+    before = table.count()
+    spark.createDataFrame([], table.schema).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path).agg(F.lit(before).cast("long").alias("rows_before"), F.count(F.lit(1)).alias("rows_after"))

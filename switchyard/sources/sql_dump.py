@@ -45,7 +45,7 @@ def unquote(field: Column) -> Column:
     return F.when(F.startswith(field, F.lit("'")), text).when(F.upper(bare) == "NULL", F.lit(None)).otherwise(bare)
 
 
-def _tuple_text(lines: DataFrame, line_col: str, table: str | None) -> DataFrame:
+def _tuple_text(lines: DataFrame, line_col: str, table: str | None, order: str | None = None) -> DataFrame:
     """The text of all tuples of a line: after VALUES, or a whole line that begins with a tuple.
 
     A tuple line does not say its table; with ``table`` given, only the
@@ -60,7 +60,7 @@ def _tuple_text(lines: DataFrame, line_col: str, table: str | None) -> DataFrame
     text = F.when(ins, F.substr(line, F.length(after) + 1))
     if table is None:
         text = F.coalesce(text, F.when(line.rlike(r"^\s*\("), line))
-    return lines.select(text.alias("_text")).where("_text is not null")
+    return lines.select(text.alias("_text"), *([F.col(order)] if order else [])).where("_text is not null")
 
 
 def dump_tally(lines: DataFrame, schema: StructType | str, line_col: str = "value", table: str | None = None) -> DataFrame:
@@ -94,30 +94,45 @@ def _fields(tuple_text: Column) -> Column:
 
 
 def parse_dump_lines(lines: DataFrame, schema: StructType | str, line_col: str = "value",
-                     table: str | None = None, num_partitions: int | None = None) -> DataFrame:
+                     table: str | None = None, num_partitions: int | None = None, order: str | None = None) -> DataFrame:
     """Typed rows from a DataFrame of dump lines.
 
+    ``order`` names a column of ``lines`` that orders them; the rows then get
+    a column of that name, (line order, place in the line), so that a merge
+    can tell which of two rows of one key came first.
+
     Tuples with another number of fields than the schema are left out;
     ``dump_tally`` counts them and ``dump_rejects`` returns them.
     """
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
-    text = _tuple_text(lines, line_col, table)
-    tuples = text.select(F.explode(F.regexp_extract_all("_text", F.lit(TUPLE_RX), 0)).alias("_t"))
+    text = _tuple_text(lines, line_col, table, order)
+    tuples = text.select(*([order] if order else []),
+                         F.posexplode(F.regexp_extract_all("_text", F.lit(TUPLE_RX), 0)).alias("_at", "_t"))
     # spread the tuples of long lines over the cluster's shuffle parallelism:
     # parsing is CPU-bound per tuple, so partitions are not sized by bytes
     n = num_partitions or int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tuples = tuples.repartition(n)
-    fields = tuples.select(_fields(F.col("_t")).alias("_f")).where(F.size("_f") == len(schema.fields))
+    place = [F.struct(F.col(order).alias("line"), F.col("_at").alias("place")).alias(order)] if order else []
+    fields = tuples.select(*place, _fields(F.col("_t")).alias("_f")).where(F.size("_f") == len(schema.fields))
     # try_cast: a value the type cannot hold (e.g. a zero date) becomes NULL
     # instead of failing the whole import under ANSI mode
     return fields.select(*[unquote(F.get(F.col("_f"), i)).try_cast(f.dataType).alias(f.name)
-                           for i, f in enumerate(schema.fields)])
+                           for i, f in enumerate(schema.fields)], *([F.col(order)] if order else []))
 
 
-def read_sql_dump(spark: SparkSession, path: str, schema: StructType | str, table: str | None = None) -> DataFrame:
-    """Typed rows from dump files at ``path`` (one text line per INSERT)."""
-    return parse_dump_lines(spark.read.text(path), schema, "value", table)
+def read_sql_dump(spark: SparkSession, path: str, schema: StructType | str, table: str | None = None,
+                  order: str | None = None) -> DataFrame:
+    """Typed rows from dump files at ``path`` (one text line per INSERT).
+
+    ``order`` adds a column of that name with the place of each row: file,
+    split, line in the split, tuple in the line.
+    """
+    lines = spark.read.text(path)
+    if order:
+        lines = lines.select("value", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                                               F.monotonically_increasing_id().alias("line")).alias(order))
+    return parse_dump_lines(lines, schema, "value", table, order=order)
 
 
 def quote_sql(c: Column) -> Column:

@@ -11,6 +11,8 @@ repeats output.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -131,18 +133,47 @@ def latest_batch_rows(out: DataFrame, key: str) -> DataFrame:
     return best.select(key, *[F.col("_r")[c].alias(c) for c in cols])
 
 
+@dataclass
+class Accounts:
+    """Where the phones and slots that belong to the users are stored, as
+    ``batch_id=<n>`` Parquet folders like the users table."""
+
+    phones_path: str
+    slots_path: str     # a slot's newest row is the one of its largest batch_id
+    servers: DataFrame  # (server_ip, conf_engine), a static table
+
+
+def current_slots(slots: DataFrame) -> DataFrame:
+    """The newest row of every slot of a table stored as ``batch_id`` folders."""
+    others = [c for c in slots.columns if c not in (*changes.SLOT_KEY, "batch_id")]
+    newest = slots.groupBy(*changes.SLOT_KEY).agg(F.max_by(F.struct(*others), "batch_id").alias("_r"))
+    return newest.select(*changes.SLOT_KEY, *[F.col("_r")[c].alias(c) for c in others])
+
+
+def sync_accounts(eligible: DataFrame, batch_id: int, accounts: Accounts, suffix: str = "_B") -> None:
+    """Shadow phones and slots of one micro-batch's eligible agents; safe to replay."""
+    spark = eligible.sparkSession
+    phones = spark.read.parquet(accounts.phones_path).where(F.col("batch_id") != batch_id).drop("batch_id")
+    changes.clone_phones(phones, eligible, suffix).write.mode("overwrite").parquet(f"{accounts.phones_path}/batch_id={batch_id}")
+    slots = current_slots(spark.read.parquet(accounts.slots_path).where(F.col("batch_id") != batch_id))
+    plan = changes.assign_slots(eligible.select("user_name", "server_ip"), slots, accounts.servers, suffix)
+    taken = changes.apply_slot_assignments(slots, plan).where("change = 'update'").drop("change")
+    taken.write.mode("overwrite").parquet(f"{accounts.slots_path}/batch_id={batch_id}")
+
+
 def start_sync_stream(users_stream: DataFrame, table_path: str, checkpoint: str, every: str = "5 minutes",
-                      suffix: str = "_B"):
+                      suffix: str = "_B", accounts: Accounts | None = None):
     """Run the shadow sync continuously, one micro-batch every ``every``
     (the reference's cron period); returns the running StreamingQuery."""
     def sync(batch: DataFrame, batch_id: int) -> None:
-        sync_batch(batch, batch_id, table_path, suffix)
+        sync_batch(batch, batch_id, table_path, suffix, accounts)
 
     return (users_stream.writeStream.foreachBatch(sync).option("checkpointLocation", checkpoint)
             .trigger(processingTime=every).start())
 
 
-def stream_sync(users_stream: DataFrame, table_path: str, checkpoint: str, suffix: str = "_B") -> None:
+def stream_sync(users_stream: DataFrame, table_path: str, checkpoint: str, suffix: str = "_B",
+                accounts: Accounts | None = None) -> None:
     """Shadow users for newly seen eligible agents, once each.
 
     ``table_path`` holds the users table as ``batch_id=<n>`` Parquet folders
@@ -150,10 +181,11 @@ def stream_sync(users_stream: DataFrame, table_path: str, checkpoint: str, suffi
     micro-batch takes the user rows of the stream (of several of one name in
     a batch an active one), adds users the table does not have yet, clones the
     eligible ones that have no shadow, and writes both to
-    ``table_path/batch_id=<n>`` (INSERT IGNORE semantics, replay-safe).
+    ``table_path/batch_id=<n>`` (INSERT IGNORE semantics, replay-safe).  With
+    ``accounts`` their phones and slots follow in the same micro-batch.
     """
     def sync(batch: DataFrame, batch_id: int) -> None:
-        sync_batch(batch, batch_id, table_path, suffix)
+        sync_batch(batch, batch_id, table_path, suffix, accounts)
 
     q = (users_stream.writeStream.foreachBatch(sync).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
@@ -163,7 +195,8 @@ def stream_sync(users_stream: DataFrame, table_path: str, checkpoint: str, suffi
 USER_COLUMNS = ("user_name", "full_name", "user_level", "user_group", "active", "server_ip")
 
 
-def sync_batch(batch: DataFrame, batch_id: int, table_path: str, suffix: str = "_B") -> None:
+def sync_batch(batch: DataFrame, batch_id: int, table_path: str, suffix: str = "_B",
+               accounts: Accounts | None = None) -> None:
     """One micro-batch of ``stream_sync``; safe to replay.
 
     The table is read without this batch's own folder, so a replayed batch
@@ -178,8 +211,11 @@ def sync_batch(batch: DataFrame, batch_id: int, table_path: str, suffix: str = "
     # users first seen in the stream join the table (INSERT IGNORE by name)
     new_users = incoming.join(table.select("user_name"), "user_name", "left_anti")
     users = table.join(incoming.select("user_name"), "user_name", "left_anti").unionByName(incoming)
-    clones = changes.clone_users(users, filters.eligible_agents(incoming, suffix), suffix)
+    eligible = filters.eligible_agents(incoming, suffix)
+    clones = changes.clone_users(users, eligible, suffix)
     new_users.unionByName(clones).write.mode("overwrite").parquet(f"{table_path}/batch_id={batch_id}")
+    if accounts is not None:
+        sync_accounts(eligible, batch_id, accounts, suffix)
 
 
 def stage_stream_input(df: DataFrame, name: str) -> str:

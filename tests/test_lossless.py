@@ -34,7 +34,8 @@ def test_dump_files_are_read_whole(spark):
 
 def test_offset_of_digits_of_any_length(spark):
     values = ["0", "007", "9" * 18, "9" * 38, "9" * 60, "1" + "0" * 50, "123" + "9" * 45, "8" * 40, "0" * 50 + "5", "12a", "", None]
-    got = spark.createDataFrame([(v,) for v in values], "v string").select("v", C.offset_if_digits("v").alias("o")).collect()
+    df = spark.createDataFrame([(v, v) for v in values], "v string, o string")
+    got = C.offset_if_digits(df, ["o"]).collect()
     assert len(got) == len(values)
     for r in got:
         want = str(int(r["v"]) + 10000) if r["v"] and r["v"].isdigit() else r["v"]

@@ -46,9 +46,9 @@ def test_assign_slots_one_to_one_on_fixture(spark):
     fx = Fixture(spark, SF001)
     plan = C.assign_slots(Fl.eligible_agents(fx.users).select("user_name", "server_ip"), fx.conf_slots, fx.servers)
     got = plan.where("result = 'assigned'")
-    assert got.count() == got.select("server_ip", "conf_exten").distinct().count()
+    assert got.count() == got.select("server_ip", "slot_table", "conf_exten").distinct().count()
     free = fx.conf_slots.where(F.col("extension").isNull() | (F.col("extension") == ""))
-    assert got.join(free, ["server_ip", "conf_exten"], "left_anti").count() == 0
+    assert got.join(free, ["server_ip", "slot_table", "conf_exten"], "left_anti").count() == 0
 
 
 def test_shares_sum_to_hundred(spark):

@@ -107,7 +107,7 @@ def test_seed_hopper_first_n_by_lead_id(spark):
 
 def test_phone_offset(spark):
     df = spark.createDataFrame([("8300",), ("010",), ("x12",), ("",), (None,)], "dialplan_number string")
-    got = [r[0] for r in df.select(C.offset_if_digits("dialplan_number")).collect()]
+    got = [r[0] for r in C.offset_if_digits(df, ["dialplan_number"]).collect()]
     assert got == ["18300", "10010", "x12", "", None]
 
 
@@ -139,15 +139,20 @@ def test_delete_keeps_null_list(spark):
 
 def test_assign_slots_one_to_one(spark):
     needs = spark.createDataFrame([("a", "s1"), ("b", "s1"), ("c", "s1"), ("d", "s2")], "user_name string, server_ip string")
-    slots = spark.createDataFrame([(10, "s1", ""), (11, "s1", None), (12, "s1", "SIP/c_B"), (20, "s2", "SIP/x")],
-                                  "conf_exten long, server_ip string, extension string")
+    # s1 uses its bridges, s2 its rooms: the other table's free or held slots do not count
+    slots = spark.createDataFrame(
+        [(9, "s1", "conferences", ""), (9, "s1", "conferences", "a_B"), (10, "s1", "confbridges", ""), (11, "s1", "confbridges", None),
+         (12, "s1", "confbridges", "SIP/c_B"), (10, "s1", "conferences", None), (20, "s2", "conferences", "SIP/x"),
+         (21, "s2", "confbridges", "")],
+        "conf_exten long, server_ip string, slot_table string, extension string")
     servers = spark.createDataFrame([("s1", "CONFBRIDGE"), ("s2", "MEETME")], "server_ip string, conf_engine string")
     out = C.assign_slots(needs, slots, servers)
     assert rows(out, "user_name", "conf_exten", "result", "slot_table") == [
         ("a", 10, "assigned", "confbridges"), ("b", 11, "assigned", "confbridges"),
         ("c", 12, "already", "confbridges"), ("d", None, "none", "conferences")]
     after = C.apply_slot_assignments(slots, out)
-    assert rows(after.where("change = 'update'"), "conf_exten", "extension") == [(10, "SIP/a_B"), (11, "SIP/b_B")]
+    assert rows(after.where("change = 'update'"), "slot_table", "conf_exten", "extension") == [
+        ("confbridges", 10, "SIP/a_B"), ("confbridges", 11, "SIP/b_B")]
 
 
 # CSV with comma, quote, newline and NULL --------------------------------------
