@@ -93,8 +93,8 @@ def equal_shares(docs: DataFrame, source_col: str, max_sources: int) -> dict[str
 
 
 def mixed(docs: DataFrame, shares: dict[str, int], id_col: str = "doc_id", source_col: str = "source",
-          block_rows: int = 64) -> DataFrame:
-    """``id_col, source, nth_row, block, slot, position`` for every row of ``docs``.
+          block_rows: int = 64, carry: list[str] | None = None) -> DataFrame:
+    """``id_col, source, nth_row, block, slot`` and the columns ``carry`` for every row of ``docs``.
 
     ``slot`` is the block's slot in the endless schedule.  While all sources
     have rows, every source is less than one block off its target after each
@@ -102,11 +102,12 @@ def mixed(docs: DataFrame, shares: dict[str, int], id_col: str = "doc_id", sourc
     keep their proportions.  Nothing is dropped or repeated: rows of a null
     source or of one without a share have null block and slot and come last.
     ``(slot, nth_row)`` orders the mix.  Rows of equal id and source get
-    neighbouring places.
+    neighbouring places, in the order of ``carry``.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("src"))
+    carry = carry or []
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("src"), *([F.struct(*carry).alias("_carry")] if carry else []))
     rows = rows.withColumn("_hash", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")))
-    rows = ranked(rows, "src", [F.col("id")])
+    rows = ranked(rows, "src", [F.col("id"), *([F.col("_carry")] if carry else [])])
     slots = sum(shares.values())
     if shares:
         plan = F.broadcast(schedule(docs.sparkSession, shares).select(F.col("source").alias("_s"), "slot", "nth"))  # one period
@@ -119,7 +120,7 @@ def mixed(docs: DataFrame, shares: dict[str, int], id_col: str = "doc_id", sourc
     else:
         rows = rows.withColumn("block", F.lit(None).cast("long")).withColumn("slot", F.lit(None).cast("long"))
     return rows.select(F.col("id").alias(id_col), F.col("src").alias("source"), F.col("_rank").alias("nth_row"),
-                       F.col("block").cast("long"), F.col("slot").cast("long"))
+                       F.col("block").cast("long"), F.col("slot").cast("long"), *[F.col("_carry")[c].alias(c) for c in carry])
 
 
 def reordered(docs: DataFrame, shares: dict[str, int], id_col: str = "doc_id", source_col: str = "source",

@@ -12,7 +12,7 @@ from oracle_compare import compare, duck
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
 import corpus_pipeline  # noqa: E402
-from switchyard.llm import queries, simhash, tokens  # noqa: E402
+from switchyard.llm import mixing, queries, simhash, tokens  # noqa: E402
 from switchyard.llm.common import written  # noqa: E402
 
 SF = "/root/testdata/sf0.01"
@@ -75,6 +75,21 @@ def test_mixing_stage_keeps_all_in_the_order_of_the_mix(stages):
     assert sorted(r["doc_id"] for r in after) == sorted(before) and all(r == before[r["doc_id"]] for r in after)
 
 
+def test_rows_of_the_pipeline_carry_the_order_of_the_mix(spark, stages):
+    before, after, *_ = stages["byte_bpe"]
+    docs = spark.createDataFrame([(r["doc_id"], r["source"]) for r in before.values()], "doc_id long, source string")
+    shares = {name: 1 + i % 5 for i, name in enumerate(sorted({r["source"] for r in before.values()} - {None}))}
+    want = {r["doc_id"]: (r["slot"], r["nth_row"]) for r in mixing.mixed(docs, shares, block_rows=queries.BLOCK_ROWS).collect()}
+    assert {r["doc_id"]: (r["slot"], r["nth_row"]) for r in after} == want
+    slots = sorted({(r["slot"], r["source"]) for r in after if r["slot"] is not None})
+    assert len({s for s, _ in slots}) == len(slots)  # a slot holds one block
+    horizon, done = min(max(x for x, y in slots if y == s) for s in shares), dict.fromkeys(shares, 0)
+    for slot, source in slots:
+        done[source] += 1
+        if slot <= horizon:
+            assert all(abs(done[s] - a * (slot + 1) / sum(shares.values())) < 1 for s, a in shares.items())
+
+
 def test_token_stage_matches_tiktoken(stages):
     before, after, *_ = stages["byte_bpe"]
     ranks = tokens.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
