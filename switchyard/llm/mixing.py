@@ -7,14 +7,19 @@ must be done by slot ceil(j P / a), its deadline; each slot goes to the
 released block with the earliest deadline.  One period of P slots is
 scheduled (a fold over P slots; its size is that of the configuration) and
 holds for all periods: every source gets exactly its share in each, and after
-every slot it is less than one block off its target.
+every slot it is less than one block off its target.  Sources of equal share
+have equal windows, so for few distinct shares the period is known as a few
+runs of slots, for any number of sources (``segments``).
 """
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.windows import ranked as skew_safe_ranked
 from .common import written
 
 MAX_SLOTS = 20_000  # sources x slots of a period stay a configuration, not data
@@ -84,18 +89,70 @@ def ranked(rows: DataFrame, group: str, order: list[Column]) -> DataFrame:
             .withColumn("_rank", (F.col("_offset") + F.col("_in")).cast("long")).drop("_g", "_r", "_run", "_offset", "_in"))
 
 
-def equal_shares(docs: DataFrame, source_col: str, max_sources: int) -> dict[str, int]:
-    """One share for each source of the table; the number of sources is checked."""
-    names = [r[0] for r in docs.select(source_col).where(F.col(source_col).isNotNull()).distinct().limit(max_sources + 1).collect()]
-    if len(names) > max_sources:
-        raise ValueError(f"more than {max_sources} sources: name their shares")
-    return {s: 1 for s in names}
-
+def segments(counts: dict[int, int]) -> list[tuple[int, int, int, int, int]]:
+    """One period of ``counts[a]`` sources of each share a as runs of slots ``(share, nth, first, n, slot)``.
 
-def mixed(docs: DataFrame, shares: dict[str, int], id_col: str = "doc_id", source_col: str = "source",
+    The n sources from place ``first`` on (by name, among those of their
+    share) have block ``nth`` in the n slots from ``slot`` on.  The order is
+    that of ``schedule``: sources of one share have the same windows, so they
+    are served in turn by name, and another share comes first only from a
+    release on.  So there are less than two runs for each share and block,
+    however many sources there are.
+    """
+    total = sum(a * n for a, n in counts.items())
+    coming = sorted((j * total // a, a, j) for a, n in counts.items() if n for j in range(a))
+    ready: list[tuple[int, int, int, int, int]] = []
+    out, slot, at = [], 0, 0
+    while slot < total:
+        while at < len(coming) and coming[at][0] <= slot:
+            release, a, j = coming[at]
+            heapq.heappush(ready, (-(-(j + 1) * total // a), -release, -a, j, 0))
+            at += 1
+        deadline, early, small, j, first = heapq.heappop(ready)
+        until = coming[at][0] if at < len(coming) else total
+        n = min(counts[-small] - first, until - slot)
+        out.append((-small, j, first, n, slot))
+        if first + n < counts[-small]:
+            heapq.heappush(ready, (deadline, early, small, j, first + n))
+        slot += n
+    return out
+
+
+def dealt_shares(docs: DataFrame, source_col: str = "source", most: int = 5) -> DataFrame:
+    """``source, share, slots, period``: shares from 1 to ``most``, dealt to all sources by name.
+
+    ``slots`` has the slot of each of the source's blocks in one period.  The
+    sources stay a table of any size; only their number is collected.
+    """
+    spark = docs.sparkSession
+    names = written(docs.select(F.col(source_col).alias("source")).where("source is not null").distinct(), "mixing-names")
+    n = names.count()
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + n // 16_384)
+    counts = {1 + k: len(range(k, n, most)) for k in range(most)}
+    runs = F.array(*[F.struct(*[F.lit(x).cast("long").alias(c) for x, c in zip(r, ("share", "nth", "first", "n", "slot"))]) for r in segments(counts)])
+    if not n:
+        runs = runs.cast("array<struct<share:bigint,nth:bigint,first:bigint,n:bigint,slot:bigint>>")
+    numbered = skew_safe_ranked(names, [], ["source"], "_i", parts).withColumn("_i", F.col("_i") - 1)
+    numbered = numbered.withColumn("share", (1 + F.col("_i") % most).cast("long")).withColumn("_place", F.floor(F.col("_i") / most))
+
+    def slot(nth: Column) -> Column:
+        own = F.filter(runs, lambda r: (r["share"] == F.col("share")) & (r["nth"] == nth)
+                       & (r["first"] <= F.col("_place")) & (F.col("_place") < r["first"] + r["n"]))
+        return F.get(own, F.lit(0))["slot"] + F.col("_place") - F.get(own, F.lit(0))["first"]
+
+    plan = numbered.select("source", "share", F.transform(F.sequence(F.lit(0).cast("long"), F.col("share") - 1), slot).alias("slots"),
+                           F.lit(sum(a * c for a, c in counts.items())).cast("long").alias("period"))
+    plan = written(plan, "mixing-shares")
+    return F.broadcast(plan) if n <= MAX_SLOTS else plan  # more sources: adaptive execution decides
+
+
+def mixed(docs: DataFrame, shares: dict[str, int] | DataFrame, id_col: str = "doc_id", source_col: str = "source",
           block_rows: int = 64, carry: list[str] | None = None) -> DataFrame:
     """``id_col, source, nth_row, block, slot`` and the columns ``carry`` for every row of ``docs``.
 
+    ``shares`` are given by name, or for any number of sources as the table
+    of ``dealt_shares``.
+
     ``slot`` is the block's slot in the endless schedule.  While all sources
     have rows, every source is less than one block off its target after each
     slot; the slots of a source that has run out stay empty, and the others
@@ -108,8 +165,13 @@ def mixed(docs: DataFrame, shares: dict[str, int], id_col: str = "doc_id", sourc
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("src"), *([F.struct(*carry).alias("_carry")] if carry else []))
     rows = rows.withColumn("_hash", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")))
     rows = ranked(rows, "src", [F.col("id"), *([F.col("_carry")] if carry else [])])
-    slots = sum(shares.values())
-    if shares:
+    if isinstance(shares, DataFrame):
+        plan = shares.select(F.col("source").alias("_s"), "share", "slots", "period")
+        rows = rows.join(plan, F.col("src") == F.col("_s"), "left").withColumn("block", F.when(F.col("share").isNotNull(), F.floor(F.col("_rank") / block_rows)))
+        nth = (F.col("block") % F.col("share")).cast("int")
+        rows = rows.withColumn("slot", F.floor(F.col("block") / F.col("share")) * F.col("period") + F.get("slots", nth))
+    elif shares:
+        slots = sum(shares.values())
         plan = F.broadcast(schedule(docs.sparkSession, shares).select(F.col("source").alias("_s"), "slot", "nth"))  # one period
         share = F.create_map(*[F.lit(x) for s, a in sorted(shares.items()) for x in (s, a)])
         rows = rows.withColumn("block", F.when(F.col("src").isin(list(shares)), F.floor(F.col("_rank") / block_rows)))
@@ -123,7 +185,7 @@ def mixed(docs: DataFrame, shares: dict[str, int], id_col: str = "doc_id", sourc
                        F.col("block").cast("long"), F.col("slot").cast("long"), *[F.col("_carry")[c].alias(c) for c in carry])
 
 
-def reordered(docs: DataFrame, shares: dict[str, int], id_col: str = "doc_id", source_col: str = "source",
+def reordered(docs: DataFrame, shares: dict[str, int] | DataFrame, id_col: str = "doc_id", source_col: str = "source",
               block_rows: int = 64) -> DataFrame:
     """All rows and columns of ``docs`` in mixing order: a range sort over slots, no row lost.
 

@@ -80,9 +80,9 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 BLOCK_ROWS = 16
 
 
-def target_shares(docs: DataFrame) -> dict[str, int]:
-    """The targets: shares from 1 to 5, dealt to the sources by name (at most 1000 sources)."""
-    return {name: 1 + i % 5 for i, name in enumerate(sorted(mixing.equal_shares(docs, "source", max_sources=1000)))}
+def target_shares(docs: DataFrame) -> DataFrame:
+    """The targets: shares from 1 to 5, dealt to the sources by name, however many there are."""
+    return mixing.dealt_shares(docs, "source", most=5)
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -254,6 +254,22 @@ def test_reordered_keeps_all_rows_and_columns(frame):
     assert sorted(map(str, got.collect())) == sorted(map(str, docs.collect()))
 
 
+def test_dealt_shares_of_any_number_of_sources(spark, frame):
+    for n in (0, 1, 2, 3, 5, 7, 23, 64):
+        shares = {f"s{i:05d}": 1 + i % 5 for i in range(n)}
+        dealt = {r["source"]: r for r in mixing.dealt_shares(frame([(s,) for s in shares] * 2 + [(None,)], "source string")).collect()}
+        assert {s: r["share"] for s, r in dealt.items()} == shares
+        if shares:
+            want = {(r["source"], r["nth"]): r["slot"] for r in mixing.schedule(spark, shares).collect()}
+            assert {(s, j): slot for s, r in dealt.items() for j, slot in enumerate(r["slots"])} == want
+    docs = frame([(i, f"host{i % 1500:04d}") for i in range(9000)], "doc_id long, source string")
+    got = mixing.mixed(docs, queries.target_shares(docs), block_rows=1).collect()
+    assert len(got) == 9000 and len({r["slot"] for r in got}) == 9000
+    for r in got:  # a block lies in its window
+        a, p = 1 + int(r["source"][4:]) % 5, 4500
+        assert r["block"] * p // a <= r["slot"] < -(-(r["block"] + 1) * p // a)
+
+
 def test_shares_are_checked():
     for bad in ({"a": 0}, {"a": 0.5}, {"a": mixing.MAX_SLOTS + 1}):
         with pytest.raises(ValueError):
