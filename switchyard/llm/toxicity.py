@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bounded_sample, written
+from .simhash import fingerprinted
 
 WORD = re.compile(r"[^\W\d_]+")
 WINDOW = 5  # words on each side
@@ -209,10 +210,48 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), hits, quotes, terms
 
 
-def _sketch(text: str) -> int:
-    """The least hash of a text's long words (of all words, if it has no long one): near copies mostly agree in it."""
-    words = set(WORD.findall(text.lower()))
-    return min((xxhash.xxh64_intdigest(w) for w in {w for w in words if len(w) > 6} or words or {""}), default=0) >> 1
+def _sequence(text: str) -> int:
+    """A hash of the sequence of a text's words."""
+    return xxhash.xxh64_intdigest(" ".join(WORD.findall(text.lower()))) - (1 << 63)
+
+
+def _copies(prints: np.ndarray, sequences: np.ndarray, toxic: np.ndarray, radius: int = 3) -> np.ndarray:
+    """The group of each row: rows of one label with the same words, or fingerprints within ``radius`` bits, transitively.
+
+    Fingerprints within the radius agree in one of ``radius + 1`` blocks; distinct ones are compared block by block.
+    """
+    up = np.arange(len(prints))
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    def link(i: int, j: int) -> None:
+        i, j = sorted((root(i), root(j)))
+        up[j] = i
+
+    first: dict[tuple, int] = {}
+    for i, (f, s, y) in enumerate(zip(prints.tolist(), sequences.tolist(), toxic.tolist())):
+        for key in ((y, "words", s), (y, "print", f)):
+            link(first.setdefault(key, i), i)
+    own = np.array(sorted(first[k] for k in first if k[1] == "print"), np.int64)
+    size = 64 // (radius + 1)
+    for block in range(radius + 1):
+        keys = toxic[own].astype(np.uint64) << np.uint64(size) | (prints[own] >> np.uint64(block * size)) & np.uint64((1 << size) - 1)
+        order = np.argsort(keys, kind="stable")
+        for shard in np.split(own[order], np.flatnonzero(np.diff(keys[order])) + 1):
+            while len(shard) > 1:
+                todo, shard = [shard[0]], shard[1:]
+                while todo and len(shard):
+                    i = todo.pop()
+                    near = np.bitwise_count(prints[shard] ^ prints[i]) <= radius
+                    for j in shard[near]:
+                        link(i, j)
+                        todo.append(j)
+                    shard = shard[~near]
+    return np.array([root(i) for i in range(len(up))], np.int64)
 
 
 def _forms(text: str) -> set[str]:
@@ -240,8 +279,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", per_class: i
 
     The labels are sampled first: the sample has a proven bound, so it is
     broadcast to the texts, which are not shuffled.
-    Of texts with the same sketch one teaches, so that copies do not make a
-    chance word a term.  ``support``: toxic texts that a term needs;
+    Of copies (the same words in order, or SimHash fingerprints within 3
+    bits) with the same label one teaches, with the weight of all, so that
+    copies do not make a chance word a term.  ``support``: toxic texts that a term needs;
     ``sure``: its log-odds less 2.5 standard errors; ``chance``: its G statistic,
     high enough for the many terms tried; ``max_terms``: of the rest the
     heaviest.  Without both labels no text is toxic.
@@ -253,12 +293,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", per_class: i
     sample = texts.join(F.broadcast(chosen_ids), "id")
 
     @F.arrow_udf(T.LongType())
-    def sketch(texts: pa.Array) -> pa.Array:
-        return pa.array([_sketch(t.as_py()) for t in texts], pa.int64())
-
-    sample = written(sample.withColumn("sketch", sketch("text")), "toxicity-sample")
-    chosen = written(sample.groupBy("sketch").agg(F.min_by(F.struct("text", "toxic", "weight"), F.xxhash64("id")).alias("r")).select("r.*"),
-                     "toxicity-texts")
+    def sequence(texts: pa.Array) -> pa.Array:
+        return pa.array([_sequence(t.as_py()) for t in texts], pa.int64())
+
+    sample = written(sample.withColumn("_row", F.monotonically_increasing_id()).withColumn("sequence", sequence("text"))
+                     .withColumn("print", fingerprinted(F.col("text"))), "toxicity-sample")
+    keys = sample.select("_row", F.xxhash64("id").alias("pick"), "sequence", "print", "toxic", "weight").toPandas()  # two per_class rows
+    keys = keys.sort_values(["pick", "_row"], ignore_index=True)
+    keys["group"] = _copies(keys["print"].to_numpy(np.int64).view(np.uint64), keys["sequence"].to_numpy(np.int64), keys["toxic"].to_numpy(np.int64))
+    kept = keys.groupby("group", as_index=False).agg(_row=("_row", "first"), weight=("weight", "sum"))[["_row", "weight"]]
+    kept = sample.sparkSession.createDataFrame(kept, "_row long, weight double")
+    chosen = written(sample.drop("weight").join(F.broadcast(kept), "_row").select("text", "toxic", "weight"), "toxicity-texts")
     n = {r["toxic"]: r["count"] for r in chosen.groupBy("toxic").count().collect()}
     if len(n) < 2:
         return Model(Lexicon({}, {}), (-30.0, 0.0, 0.0, 0.0))

@@ -316,6 +316,29 @@ def test_misspelt_and_quoted_terms():
     assert abuse == 0 and quoted > 0 and (hits, quotes, terms) == (1, 1, ["moron"])
 
 
+def test_texts_that_share_a_word_all_teach(spark, frame):
+    # all share the long word, which alone was the sketch before; five toxic ones are copies but for marks and case
+    filler = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(600)]
+    texts = [(i, f"everybodys {filler[i]} {filler[-i]} tea moron", 1) for i in range(1, 41)]
+    texts += [(i, f"everybodys {filler[i]} {filler[-i]} tea cup", 0) for i in range(41, 201)]
+    texts += [(i, "Everybodys, copied tea! chance" if i % 2 else "everybodys copied tea chance", 1) for i in range(201, 231)]
+    docs = frame(texts, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    assert set(model.lexicon.words) == {"moron"}
+    assert model.score("you are a moron")[0] > 0.5 > model.score("everybodys tea cup")[0]
+
+
+def test_copies_are_grouped_within_a_label():
+    rng = np.random.default_rng(3)
+    prints = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    prints[100:150] = prints[:50] ^ np.uint64(0b1001 << 20) ^ np.uint64(1 << 50)  # three bits away
+    prints[150:] = prints[:50] ^ np.uint64(0b11011 << 14)  # four bits away
+    got = toxicity._copies(prints, np.arange(200), np.arange(200) % 50 // 25)
+    assert got.tolist() == [*range(100), *range(50), *range(150, 200)]
+    got = toxicity._copies(prints[:4], np.array([1, 1, 1, 2]), np.array([0, 1, 0, 0]))
+    assert got.tolist() == [0, 1, 0, 3]
+
+
 def test_toxicity_of_odd_documents(spark, frame):
     docs = odd_documents(frame)
     model = toxicity.fit(docs, docs.select("doc_id", F.lit(0).alias("toxic")))  # one label only: nothing to learn
