@@ -9,8 +9,9 @@ Each term found is weighed by a window of words around it: quotation marks or
 words of report make it a quotation, a second term or a direct address makes
 it abuse.  A logistic model of the weights gives the score.
 
-Lexicon and model learn from a bounded sample of labelled rows
-(about ``per_class`` of each label at most, by hash); scoring reads every whole text.
+Terms and model are learned from a bounded sample of labelled rows
+(about ``per_class`` of each label at most, by hash); the terms are held
+against all clean texts, and scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -283,7 +284,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", per_class: i
     bits) with the same label one teaches, with the weight of all, so that
     copies do not make a chance word a term.  ``support``: toxic texts that a term needs;
     ``sure``: its log-odds less 2.5 standard errors; ``chance``: its G statistic,
-    high enough for the many terms tried; ``max_terms``: of the rest the
+    high enough for the many terms tried, both against all clean texts, also
+    those that the sample leaves out: against a sample as small as the toxic
+    one a rare term would need more toxic texts; ``max_terms``: of the rest the
     heaviest.  Without both labels no text is toxic.
     """
     known = (labels.where("toxic in (0, 1)").where(F.col(id_col).isNotNull())
@@ -320,11 +323,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", per_class: i
         yield _counted(of)
 
     a, b = F.col("a"), F.col("b")
+    counted = chosen.mapInPandas(count, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(a >= support)
+    if chosen_ids.where("toxic = 0 and weight > 1").limit(1).count():  # the sample holds back clean texts: all of them are asked
+        counted, n[0] = _asked(texts, known.where("toxic = 0"), counted)
     odds = F.log((a + 0.5) / (n[1] + 1)) - F.log((b + 0.5) / (n[0] + 1))
     share = F.lit(n[1] / (n[0] + n[1]))
     surprise = 2 * (a * F.log(a / ((a + b) * share)) + F.when(b > 0, b * F.log(b / ((a + b) * (1 - share)))).otherwise(0.0))
-    terms = (chosen.mapInPandas(count, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-             .where((a >= support) & (surprise >= 30)).withColumn("low", odds - 2.5 * F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))).where(F.col("low") >= sure)
+    terms = (counted.where(surprise >= chance).withColumn("low", odds - 2.5 * F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))).where(F.col("low") >= sure)
              .orderBy(F.desc("low"), "term").limit(max_terms).select("term", "low").collect())
     weights = {r["term"]: float(r["low"]) for r in terms}
     words = {t: w for t, w in weights.items() if not t.endswith("*")}
@@ -357,6 +362,31 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", per_class: i
     return Model(Lexicon(words, stems, frozenset(benign)), tuple(map(float, fitted)))
 
 
+def _asked(texts: DataFrame, clean: DataFrame, counted: DataFrame) -> tuple[DataFrame, int]:
+    """``counted`` with b from all texts of ``clean``, and their number; of texts with the same words one counts.
+
+    The terms asked for come from the toxic sample, which is bounded.  Texts
+    are not shuffled, only the numbers of the terms that they hold.
+    """
+    rows = written(counted, "toxicity-counted").collect()
+    shared = texts.sparkSession.sparkContext.broadcast({r["term"]: i for i, r in enumerate(rows)})
+
+    @F.arrow_udf(T.StructType([T.StructField("sequence", T.LongType()), T.StructField("terms", T.ArrayType(T.IntegerType()))]))
+    def held(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        index = shared.value
+        for batch in batches:
+            of = [t.as_py() for t in batch]
+            yield pa.StructArray.from_arrays(
+                [pa.array([_sequence(t) for t in of], pa.int64()),
+                 pa.array([[index[f] for f in _forms(t) if f in index] for t in of], pa.list_(pa.int32()))], ["sequence", "terms"])
+
+    told = texts.select("id", held.asNondeterministic()("text").alias("h")).select("id", "h.sequence", "h.terms")
+    told = written(told.join(clean.select("id"), "id").groupBy("sequence").agg(F.first("terms").alias("terms")), "toxicity-clean")
+    b = {r["term"]: r["count"] for r in told.select(F.explode("terms").alias("term")).groupBy("term").count().collect()}
+    whole = [(r["term"], r["a"], b.get(i, 0)) for i, r in enumerate(rows)]
+    return texts.sparkSession.createDataFrame(whole, "term string, a long, b long"), told.count()
+
+
 def _counted(of: tuple[Counter, Counter]) -> pd.DataFrame:
     terms = list(of[0].keys() | of[1].keys())
     return pd.DataFrame({"term": terms, "a": [of[1][t] for t in terms], "b": [of[0][t] for t in terms]})

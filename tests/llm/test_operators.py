@@ -328,6 +328,17 @@ def test_texts_that_share_a_word_all_teach(spark, frame):
     assert model.score("you are a moron")[0] > 0.5 > model.score("everybodys tea cup")[0]
 
 
+def test_rare_terms_are_learned_from_a_balanced_sample(frame):
+    rng = random.Random(5)
+    filler = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(600)]
+    rows = [(i, " ".join(rng.sample(filler, 12)) + (" moron" if i <= 8 else ""), int(i <= 60)) for i in range(1, 1201)]
+    docs = frame(rows, "doc_id long, text string, toxic int")
+    texts, labels = docs.select("doc_id", "text"), docs.select("doc_id", "toxic")
+    for per_class in (20_000, 60):  # all labels, and as many clean as toxic ones
+        assert set(toxicity.fit(texts, labels, per_class=per_class).lexicon.words) == {"moron"}
+    assert not toxicity.fit(texts, labels, chance=100.0).lexicon.words
+
+
 def test_copies_are_grouped_within_a_label():
     rng = np.random.default_rng(3)
     prints = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
