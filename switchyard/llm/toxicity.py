@@ -50,7 +50,7 @@ Scored = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("hi
 
 @dataclass
 class Lexicon:
-    """``words`` and ``stems``: term -> weight; ``benign``: misspellings that labelled clean texts use."""
+    """``words`` and ``stems``: term -> weight; ``benign``: misspellings that labelled clean texts use no less than toxic ones."""
 
     words: dict[str, float]
     stems: dict[str, float]
@@ -341,12 +341,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", per_class: i
     def misspelt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon = Lexicon(*draft.value)
         for batch in batches:
-            for text in batch["text"]:
+            for text, toxic, weight in zip(batch["text"], batch["toxic"], batch["weight"]):
                 near = [w for w in set(WORD.findall(text.lower())) if (f := lexicon.lookup(w)) and f[2]]
                 if near:
-                    yield pd.DataFrame({"word": near})
+                    yield pd.DataFrame({"word": near, "toxic": toxic, "weight": weight})
 
-    benign = {r["word"] for r in chosen.where("toxic = 0").mapInPandas(misspelt, "word string").distinct().collect()}
+    # a spelling is harmless if clean texts use it no less than toxic ones do
+    w = {r["toxic"]: r["w"] for r in chosen.groupBy("toxic").agg(F.sum("weight").alias("w")).collect()}
+    rate = [F.sum(F.when(F.col("toxic") == k, F.col("weight")).otherwise(0.0)) / w[k] for k in (0, 1)]
+    used = chosen.mapInPandas(misspelt, "word string, toxic int, weight double").groupBy("word").agg(rate[0].alias("clean"), rate[1].alias("toxic"))
+    benign = {r["word"] for r in used.where("clean >= toxic").select("word").collect()}
     shared = chosen.sparkSession.sparkContext.broadcast((words, stems, frozenset(benign)))
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

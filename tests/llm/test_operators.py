@@ -339,6 +339,16 @@ def test_rare_terms_are_learned_from_a_balanced_sample(frame):
     assert not toxicity.fit(texts, labels, chance=100.0).lexicon.words
 
 
+def test_one_clean_text_does_not_clear_a_misspelling(frame):
+    rng = random.Random(6)
+    filler = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(600)]
+    words = {**dict.fromkeys(range(1, 41), "disgusting"), **dict.fromkeys(range(41, 45), "tisgusting"), 400: "tisgusting", 401: "misgusting"}
+    rows = [(i, f"{' '.join(rng.sample(filler, 12))} {words.get(i, '')}", int(i <= 60)) for i in range(1, 601)]
+    docs = frame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    assert model.lexicon.benign == {"misgusting"} and model.lexicon.find("tisgusting")[0] == "disgusting"
+
+
 def test_copies_are_grouped_within_a_label():
     rng = np.random.default_rng(3)
     prints = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
