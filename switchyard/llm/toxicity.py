@@ -31,9 +31,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bounded_sample, written
-from .simhash import fingerprinted
 
 WORD = re.compile(r"[^\W\d_]+")
+#: Words joined by digits or single symbols: "id1ot", "m0ron", "sc*m".
+JOINED = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:(?:\d+|_|[^\w\s])[^\W\d_]+)+")
 WINDOW = 5  # words on each side
 STEMS = (4, 5, 6)
 LONGEST = 40  # letters of a term
@@ -132,9 +133,10 @@ class Lexicon:
                         best = self.stem_ends[node] + "*", w, 0
         if len(word) > LONGEST + self.MOST:
             return best
+        other = sum(not ch.isalpha() for ch in word) if len(word) < 7 else 0  # one digit or symbol may stand in a short term, too
         for node, e in self.sets[state]:
             term = self.ends.get(node)
-            if term is not None and e <= self.edits(term) and (e == 0 or word not in self.benign):
+            if term is not None and (e <= self.edits(term) or e == other == 1 and len(term) == 4) and (e == 0 or word not in self.benign):
                 w = self.words[term] * 0.5**e
                 if best is None or w > best[1]:
                     best = term, w, e
@@ -161,6 +163,23 @@ def _pieces(text: str) -> Iterator[tuple[str, int]]:
         at = end
 
 
+def _joined(lexicon: Lexicon, text: str) -> dict[str, tuple[str, float, int]]:
+    """Joined words that spell a term as a whole, while none of their parts does."""
+    find = lexicon.lookup
+    return {w: f for w in set(JOINED.findall(text)) if len(w) <= LONGEST + Lexicon.MOST and (f := find(w)) and not any(map(find, WORD.findall(w)))}
+
+
+def _places(text: str, joined: dict) -> Iterator[tuple[str, int, int]]:
+    """(word, start, end) of all words; those of ``joined`` are one word."""
+    whole = [m for m in JOINED.finditer(text) if m.group() in joined] if joined else []
+    at = 0
+    for m in whole:
+        yield from ((p.group(), p.start(), p.end()) for p in WORD.finditer(text, at, m.start()))
+        yield m.group(), m.start(), m.end()
+        at = m.end()
+    yield from ((p.group(), p.start(), p.end()) for p in WORD.finditer(text, at))
+
+
 def evidence(lexicon: Lexicon, text: str | None) -> tuple[float, float, int, int, int, list[str]]:
     """(abusive weight, quoted weight, words, hits, quoted hits, distinct terms) of a whole text."""
     abuse = quoted = 0.0
@@ -170,10 +189,11 @@ def evidence(lexicon: Lexicon, text: str | None) -> tuple[float, float, int, int
     for part, _ in _pieces((text or "").lower()):
         found = WORD.findall(part)
         words += len(found)
-        hot = {w: f for w in set(found) if (f := find(w))}
+        joined = _joined(lexicon, part)
+        hot = {w: f for w in set(found) if (f := find(w))} | joined
         if not hot:
             continue
-        at = [(m.group(), m.start(), m.end()) for m in WORD.finditer(part)]
+        at = list(_places(part, joined))
         places = [i for i, w in enumerate(at) if w[0] in hot]
         for i in places:
             word, start, end = at[i]
@@ -216,12 +236,24 @@ def _sequence(text: str) -> int:
     return xxhash.xxh64_intdigest(" ".join(WORD.findall(text.lower()))) - (1 << 63)
 
 
-def _copies(prints: np.ndarray, sequences: np.ndarray, toxic: np.ndarray, radius: int = 3) -> np.ndarray:
-    """The group of each row: rows of one label with the same words, or fingerprints within ``radius`` bits, transitively.
+MIXERS = np.random.default_rng(7).integers(0, 1 << 62, 64, dtype=np.uint64) * 2 + 1
 
-    Fingerprints within the radius agree in one of ``radius + 1`` blocks; distinct ones are compared block by block.
+
+def _signature(text: str) -> list[int]:
+    """64 min-hashes of a text's words: two texts agree in as large a part of them as their words do (Jaccard)."""
+    words = np.array([xxhash.xxh64_intdigest(w) for w in set(WORD.findall(text.lower())) or {""}], np.uint64)
+    least = np.full(len(MIXERS), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(words), 4096):
+        least = np.minimum(least, (words[at:at + 4096, None] * MIXERS).min(axis=0))
+    return (least >> np.uint64(33)).astype(np.int32).tolist()
+
+
+def _copies(signatures: np.ndarray, sequences: np.ndarray, toxic: np.ndarray, alike: float = 0.5) -> np.ndarray:
+    """The group of each row: rows of one label with the same words in order, or ``alike`` words, transitively.
+
+    Rows that agree in two neighbouring min-hashes are compared in all of them.
     """
-    up = np.arange(len(prints))
+    up = np.arange(len(sequences))
 
     def root(i: int) -> int:
         while up[i] != i:
@@ -234,20 +266,18 @@ def _copies(prints: np.ndarray, sequences: np.ndarray, toxic: np.ndarray, radius
         up[j] = i
 
     first: dict[tuple, int] = {}
-    for i, (f, s, y) in enumerate(zip(prints.tolist(), sequences.tolist(), toxic.tolist())):
-        for key in ((y, "words", s), (y, "print", f)):
-            link(first.setdefault(key, i), i)
-    own = np.array(sorted(first[k] for k in first if k[1] == "print"), np.int64)
-    size = 64 // (radius + 1)
-    for block in range(radius + 1):
-        keys = toxic[own].astype(np.uint64) << np.uint64(size) | (prints[own] >> np.uint64(block * size)) & np.uint64((1 << size) - 1)
-        order = np.argsort(keys, kind="stable")
-        for shard in np.split(own[order], np.flatnonzero(np.diff(keys[order])) + 1):
+    for i, key in enumerate(zip(toxic.tolist(), sequences.tolist())):
+        link(first.setdefault(key, i), i)
+    own = np.array(sorted(first.values()), np.int64)
+    for band in range(0, signatures.shape[1], 2):
+        keys = np.column_stack([toxic[own], signatures[own, band], signatures[own, band + 1]])
+        order = np.lexsort(keys.T)
+        for shard in np.split(own[order], np.flatnonzero((np.diff(keys[order], axis=0) != 0).any(axis=1)) + 1):
             while len(shard) > 1:
                 todo, shard = [shard[0]], shard[1:]
                 while todo and len(shard):
                     i = todo.pop()
-                    near = np.bitwise_count(prints[shard] ^ prints[i]) <= radius
+                    near = (signatures[shard] == signatures[i]).mean(axis=1) >= alike
                     for j in shard[near]:
                         link(i, j)
                         todo.append(j)
@@ -280,8 +310,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", per_class: i
 
     The labels are sampled first: the sample has a proven bound, so it is
     broadcast to the texts, which are not shuffled.
-    Of copies (the same words in order, or SimHash fingerprints within 3
-    bits) with the same label one teaches, with the weight of all, so that
+    Of copies (the same words in order, or about half of all words in
+    common) with the same label one teaches, with the weight of all, so that
     copies do not make a chance word a term.  ``support``: toxic texts that a term needs;
     ``sure``: its log-odds less 2.5 standard errors; ``chance``: its G statistic,
     high enough for the many terms tried, both against all clean texts, also
@@ -299,11 +329,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", per_class: i
     def sequence(texts: pa.Array) -> pa.Array:
         return pa.array([_sequence(t.as_py()) for t in texts], pa.int64())
 
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def signature(texts: pa.Array) -> pa.Array:
+        return pa.array([_signature(t.as_py()) for t in texts], pa.list_(pa.int32()))
+
     sample = written(sample.withColumn("_row", F.monotonically_increasing_id()).withColumn("sequence", sequence("text"))
-                     .withColumn("print", fingerprinted(F.col("text"))), "toxicity-sample")
-    keys = sample.select("_row", F.xxhash64("id").alias("pick"), "sequence", "print", "toxic", "weight").toPandas()  # two per_class rows
+                     .withColumn("signature", signature("text")), "toxicity-sample")
+    keys = sample.select("_row", F.xxhash64("id").alias("pick"), "sequence", "signature", "toxic", "weight").toPandas()  # two per_class rows
     keys = keys.sort_values(["pick", "_row"], ignore_index=True)
-    keys["group"] = _copies(keys["print"].to_numpy(np.int64).view(np.uint64), keys["sequence"].to_numpy(np.int64), keys["toxic"].to_numpy(np.int64))
+    signatures = np.array(keys["signature"].tolist(), np.int32).reshape(len(keys), len(MIXERS))
+    keys["group"] = _copies(signatures, keys["sequence"].to_numpy(np.int64), keys["toxic"].to_numpy(np.int64))
     kept = keys.groupby("group", as_index=False).agg(_row=("_row", "first"), weight=("weight", "sum"))[["_row", "weight"]]
     kept = sample.sparkSession.createDataFrame(kept, "_row long, weight double")
     chosen = written(sample.drop("weight").join(F.broadcast(kept), "_row").select("text", "toxic", "weight"), "toxicity-texts")
@@ -325,7 +360,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", per_class: i
     a, b = F.col("a"), F.col("b")
     counted = chosen.mapInPandas(count, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(a >= support)
     if chosen_ids.where("toxic = 0 and weight > 1").limit(1).count():  # the sample holds back clean texts: all of them are asked
-        counted, n[0] = _asked(texts, known.where("toxic = 0"), counted)
+        likely = F.log((a + 0.5) / (n[1] + 1)) - F.log((b + 0.5) / (n[0] + 1)) >= sure  # the others hold too many texts to ask for
+        counted, n[0] = _asked(texts, known.where("toxic = 0"), counted.where(likely))
     odds = F.log((a + 0.5) / (n[1] + 1)) - F.log((b + 0.5) / (n[0] + 1))
     share = F.lit(n[1] / (n[0] + n[1]))
     surprise = 2 * (a * F.log(a / ((a + b) * share)) + F.when(b > 0, b * F.log(b / ((a + b) * (1 - share)))).otherwise(0.0))
@@ -342,9 +378,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", per_class: i
         lexicon = Lexicon(*draft.value)
         for batch in batches:
             for text, toxic, weight in zip(batch["text"], batch["toxic"], batch["weight"]):
-                near = [w for w in set(WORD.findall(text.lower())) if (f := lexicon.lookup(w)) and f[2]]
+                text = text.lower()
+                near = [w for w in set(WORD.findall(text)) | _joined(lexicon, text).keys() if (f := lexicon.lookup(w)) and f[2]]
                 if near:
-                    yield pd.DataFrame({"word": near, "toxic": toxic, "weight": weight})
+                    yield pd.DataFrame({"word": pd.Series(near, dtype=object), "toxic": toxic, "weight": weight})
 
     # a spelling is harmless if clean texts use it no less than toxic ones do
     w = {r["toxic"]: r["w"] for r in chosen.groupBy("toxic").agg(F.sum("weight").alias("w")).collect()}
@@ -393,7 +430,7 @@ def _asked(texts: DataFrame, clean: DataFrame, counted: DataFrame) -> tuple[Data
 
 def _counted(of: tuple[Counter, Counter]) -> pd.DataFrame:
     terms = list(of[0].keys() | of[1].keys())
-    return pd.DataFrame({"term": terms, "a": [of[1][t] for t in terms], "b": [of[0][t] for t in terms]})
+    return pd.DataFrame({"term": pd.Series(terms, dtype=object), "a": [of[1][t] for t in terms], "b": [of[0][t] for t in terms]})
 
 
 def scored(spark, model: Model, text: Column) -> Column:

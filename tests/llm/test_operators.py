@@ -349,15 +349,22 @@ def test_one_clean_text_does_not_clear_a_misspelling(frame):
     assert model.lexicon.benign == {"misgusting"} and model.lexicon.find("tisgusting")[0] == "disgusting"
 
 
+def test_digits_and_symbols_inside_a_word():
+    lexicon = toxicity.Lexicon({"idiot": 4.0, "moron": 4.0, "scum": 4.0}, {})
+    for text, terms in (("an id1ot", ["idiot"]), ("a m0ron, really", ["moron"]), ("sc*m!", ["scum"]), ("l'idiot", ["idiot"]), ("scum.moron", ["moron", "scum"]),
+                        ("s*am", []), ("scam", []), ("a well-known state-of-the-art co-op", [])):
+        assert toxicity.evidence(lexicon, text)[5] == terms, text
+    abuse, quoted, words, hits, *_ = toxicity.evidence(lexicon, "he wrote \"id1ot\" and m0ron")
+    assert (words, hits) == (7, 2) and quoted > 0
+
+
 def test_copies_are_grouped_within_a_label():
-    rng = np.random.default_rng(3)
-    prints = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
-    prints[100:150] = prints[:50] ^ np.uint64(0b1001 << 20) ^ np.uint64(1 << 50)  # three bits away
-    prints[150:] = prints[:50] ^ np.uint64(0b11011 << 14)  # four bits away
-    got = toxicity._copies(prints, np.arange(200), np.arange(200) % 50 // 25)
-    assert got.tolist() == [*range(100), *range(50), *range(150, 200)]
-    got = toxicity._copies(prints[:4], np.array([1, 1, 1, 2]), np.array([0, 1, 0, 0]))
-    assert got.tolist() == [0, 1, 0, 3]
+    texts = [" ".join(f"w{chr(97 + k)}{chr(97 + i)}" for i in range(24)) for k in range(20)]
+    texts += [t.replace("a ", "x ", 1) + " more" for t in texts]
+    got = toxicity._copies(np.array([toxicity._signature(t) for t in texts], np.int32), np.arange(40), np.zeros(40, np.int64))
+    assert got.tolist() == [*range(20), *range(20)]
+    got = toxicity._copies(np.array([toxicity._signature(texts[0])] * 3, np.int32), np.array([1, 1, 2]), np.array([0, 1, 0]))
+    assert got.tolist() == [0, 1, 0]
 
 
 def test_toxicity_of_odd_documents(spark, frame):
