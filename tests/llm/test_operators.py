@@ -319,8 +319,8 @@ def test_misspelt_and_quoted_terms():
 def test_texts_that_share_a_word_all_teach(spark, frame):
     # all share the long word, which alone was the sketch before; five toxic ones are copies but for marks and case
     filler = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(600)]
-    texts = [(i, f"everybodys {filler[i]} {filler[-i]} tea moron", 1) for i in range(1, 41)]
-    texts += [(i, f"everybodys {filler[i]} {filler[-i]} tea cup", 0) for i in range(41, 201)]
+    texts = [(i, f"everybodys {' '.join(filler[(37 * i + 11 * k * k) % 600] for k in range(12))} tea moron", 1) for i in range(1, 41)]
+    texts += [(i, f"everybodys {' '.join(filler[(37 * i + 11 * k * k) % 600] for k in range(12))} tea cup", 0) for i in range(41, 201)]
     texts += [(i, "Everybodys, copied tea! chance" if i % 2 else "everybodys copied tea chance", 1) for i in range(201, 231)]
     docs = frame(texts, "doc_id long, text string, toxic int")
     model = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
