@@ -21,7 +21,3 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(s)
     yield s
-
-
-SF001 = "/root/testdata/sf0.01"
-SF0001 = "/root/testdata/sf0.001"

@@ -9,7 +9,7 @@ from switchyard.session import scratch_path
 from switchyard.sources import sql_dump as SD
 from switchyard.streaming import streams as S
 
-from conftest import SF001
+from paths import SF001
 
 SCHEMA = "a int, b string, c int"
 

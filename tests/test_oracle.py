@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import SF001, SF0001
+from paths import SF001, SF0001
 from oracle_compare import check_key, duck
 from switchyard.plans.catalog import ORACLES, QUERIES
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from paths import SF001
 from switchyard.plans import diagnosis, fixtures as P, migration, shadow_sync
 from switchyard.plans.catalog import QUERIES
 from switchyard.plans.fixtures import Fixture

@@ -4,7 +4,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from paths import SF001
 from switchyard.operators import changes as C
 from switchyard.operators import filters as Fl
 from switchyard.operators import windows as W

@@ -5,7 +5,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from conftest import SF0001
+from paths import SF0001
 from switchyard.plans.fixtures import Fixture
 from switchyard.session import local_fs_path, scratch_path
 from switchyard.sinks import checksums as CK

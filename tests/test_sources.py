@@ -2,7 +2,7 @@
 
 import os
 
-from conftest import SF0001
+from paths import SF0001
 from switchyard.operators import aggregates as A
 from switchyard.session import local_fs_path, scratch_path
 from switchyard.sources import tables as TB
