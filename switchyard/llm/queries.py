@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw, language, licenses, mixing, neighbours, sharding, simhash, tokens, toxicity, url_filter
+from . import hnsw, language, licenses, merkle, mixing, neighbours, sharding, simhash, tokens, toxicity, url_filter, whitening, word_bpe
 from .common import held_out, table
 
 
@@ -115,10 +115,67 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("t.hits").alias("n_hits"), F.col("t.quoted").alias("n_quoted"), F.col("t.terms").alias("terms"))
 
 
+def op11_word_bpe(spark: SparkSession, sf_dir: str, file: str = "word_bpe_49k.json") -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    with open(public_tokenizers.path(file), encoding="utf-8") as f:
+        definition = f.read()
+    out = docs.select("doc_id", word_bpe.token_digests(spark, F.col("text"), definition).alias("t"))
+    return out.select("doc_id", "t.n_tokens", "t.ids_sha256", "t.decoded_sha256")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A proof for every document; one in seven is checked as if its ``n_chars`` had been raised by one."""
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
+    leaf = [merkle.record_digest(F.col("doc_id"), F.col("source"), F.col("lang"), n, F.col("text")) for n in (F.col("n_chars"), F.col("n_chars").cast("decimal(20,0)") + 1)]
+    rows = docs.select("doc_id", "lang", leaf[0].alias("leaf"), F.when(tampered, leaf[1]).alias("claimed"))
+    manifest = merkle.build(rows, "lang", ["doc_id"], "leaf")
+    proofs = merkle.prove(manifest, manifest.leaves)
+    out = proofs.withColumn("folded_root", merkle.folded(F.coalesce("row.claimed", "row.leaf"), F.col("path")))
+    return out.select("row.doc_id", "row.leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+                      "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings")).withColumn("vec_id", F.col("vec_id").cast("long"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_nearest_neighbours, op3_license_scan, op4_byte_bpe, op5_simhash_dedup, op6_url_filter, op7_source_mixing,
-    op8_sharding, op9_embedding_dedup, op10_toxicity)}
+    op8_sharding, op9_embedding_dedup, op10_toxicity, op11_word_bpe, op12_merkle_manifest, op13_embedding_whitening)}
 ORACLES: dict[str, str] = {
+    # whole levels as lists, from the leaves up; then every leaf's siblings, and its fold
+    "op12_merkle_manifest": """
+        with recursive docs as (
+            select *, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
+                   lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 7 = 0 as tampered
+            from documents),
+        fields as (
+            select doc_id, lang, tampered, n_chars, list_aggregate(list_transform([doc_id::varchar, source, lang], lambda f: coalesce(strlen(f) || ':' || f, '-')), 'string_agg', '') as a,
+                   coalesce(strlen(text) || ':' || text, '-') as z from docs),
+        hashed as (
+            select doc_id, lang, sha256(a || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') || z) as leaf,
+                   sha256(a || coalesce(strlen((n_chars + coalesce(tampered, false)::int)::varchar) || ':' || (n_chars + coalesce(tampered, false)::int), '-') || z) as claimed from fields),
+        leaves as (select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as i from hashed),
+        up(lang, lvl, l) as (
+            select lang, 0, list(leaf order by i) from leaves group by lang union all
+            select lang, lvl + 1, list_transform(range(0, (len(l) + 1) // 2), lambda k: sha256(l[2 * k + 1] || coalesce(l[2 * k + 2], ''))) from up where len(l) > 1),
+        subs as (select lang, l[1] as subroot, row_number() over (order by lang nulls first) - 1 as g from up where len(l) = 1),
+        above(lvl, l) as (
+            select 0, list(subroot order by g) from subs union all
+            select lvl + 1, list_transform(range(0, (len(l) + 1) // 2), lambda k: sha256(l[2 * k + 1] || coalesce(l[2 * k + 2], ''))) from above where len(l) > 1),
+        steps as (
+            select n.lang, n.i, u.lvl as no, (n.i >> u.lvl) & 1 as bit, u.l[xor(n.i >> u.lvl, 1) + 1] as sibling
+            from leaves n join up u on u.lang is not distinct from n.lang and len(u.l) > 1 union all
+            select n.lang, n.i, 1000 + u.lvl, (s.g >> u.lvl) & 1, u.l[xor(s.g >> u.lvl, 1) + 1]
+            from leaves n join subs s on s.lang is not distinct from n.lang join above u on len(u.l) > 1),
+        paths as (select lang, i, string_agg(sibling, '' order by no) as siblings, list(bit || coalesce(sibling, '') order by no) as path from steps group by lang, i),
+        folded as (
+            select n.doc_id, n.leaf, s.subroot, (select l[1] from above where len(l) = 1) as root, sha256(coalesce(p.siblings, '')) as proof_sha256,
+                   list_reduce(list_prepend(n.claimed, coalesce(p.path, [])), lambda h, s: case when len(s) = 1 then sha256(h) when s[1] = '1' then sha256(s[2:] || h)
+                                                                                           else sha256(h || s[2:]) end) as folded_root
+            from leaves n join subs s on s.lang is not distinct from n.lang left join paths p on p.lang is not distinct from n.lang and p.i = n.i)
+        select *, folded_root = root as verified from folded""",
     # brute force over all pairs, then the closure of the links
     "op9_embedding_dedup": """
         with recursive v as (
