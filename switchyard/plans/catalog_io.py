@@ -49,20 +49,24 @@ DUMP_SCHEMA = ("o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_tot
 select s.*, (select count(*) from orders where o_orderkey % 101 = 0) as rejected_tuples,
   (select count(*) from orders where o_orderkey % 103 = 0) as rejected_lines from ({DUMP_SOURCE_SQL}) s""")
 def src_sql_dump(fx):
+    """Orders as a dump: one-line statements, statements of a line a tuple, another table in the same files, broken lines."""
     k = F.col("o_orderkey")
     note = (F.when(k % 7 == 0, F.concat(F.lit("it's),("), F.col("o_orderpriority")))
             .when(k % 11 == 0, F.lit(None).cast("string")).otherwise(F.lit('back\\slash "q" (x), y')))
     rows = fx.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
                             "o_orderpriority", note.alias("note"))
+    long = F.floor(k / 50) % 2 == 0
     # beside the good lines, some with too few fields and some cut off inside a string
     short = fx.orders.where(k % 101 == 0).select(F.format_string("INSERT INTO `orders` VALUES (%d,'short');", k).alias("value"))
     cut = fx.orders.where(k % 103 == 0).select(F.format_string("INSERT INTO `orders` VALUES (%d,'cut", k).alias("value"))
-    path = scratch_path(fx.spark, "dump")
-    SD.dump_lines(rows, "orders", 50, "o_orderkey").unionByName(short).unionByName(cut).write.text(path)
-    tally = SD.dump_tally(fx.spark.read.text(path), DUMP_SCHEMA, table="orders")
-    counts = tally.select(F.struct("rejected_tuples", "rejected_lines")).scalar()
-    return SD.read_sql_dump(fx.spark, path, DUMP_SCHEMA, table="orders").select(
-        "*", counts["rejected_tuples"].alias("rejected_tuples"), counts["rejected_lines"].alias("rejected_lines"))
+    path, out = scratch_path(fx.spark, "dump"), scratch_path(fx.spark, "dump-rows")
+    text = SD.dump_lines(rows.where(long), "orders", 50, "o_orderkey").unionByName(
+        SD.dump_lines(rows.where(~long), "orders", 50, "o_orderkey", verb="replace into", tuple_lines=True)).unionByName(
+        SD.dump_lines(rows, "other_orders", 500, "o_orderkey", tuple_lines=True))
+    text.unionByName(short).unionByName(cut).write.text(path)
+    entries = SD.load_dump(fx.spark, path, DUMP_SCHEMA, out, table="orders")
+    counts = SD.tally_of(entries).select(F.struct("rejected_tuples", "rejected_lines")).scalar()
+    return SD.rows_of(entries).select("*", counts["rejected_tuples"].alias("rejected_tuples"), counts["rejected_lines"].alias("rejected_lines"))
 
 
 @register("src_log_lines", section="2.1", oracle=f"""
