@@ -59,16 +59,24 @@ def stream_error_counts(fx):
     return out.drop("batch_id")
 
 
-@register("stream_agent_state", section="2.11", oracle="""
-select agent, arg_max(status, {'t': call_date, 'k': call_id}) as status, max(call_date) as last_update_time
-from call_log group by agent""")
+@register("stream_agent_state", section="2.11", oracle=f"""
+with l as (select agent, arg_max(status, {{'t': event_time, 'k': event_id}}) as status, max(event_time) as last_update_time
+           from agent_events where agent is not null group by agent),
+w as (select *, (select date_trunc('milliseconds', max(event_time)) from agent_events) - interval {WATERMARK_MINUTES} minutes as as_of from l),
+i as (select *, epoch_ms(as_of) - epoch_ms(last_update_time) as idle_ms from w)
+select agent, status, last_update_time, case when status = 'READY' then date_diff('microsecond', last_update_time, as_of) // 1000000 end as idle_seconds,
+  case when status = 'READY' and idle_ms > 120000 then 'IDLE TOO LONG' when status = 'READY' and idle_ms > 60000 then 'elevated wait' else '' end as flag
+from i where idle_ms <= 12 * 3600000""")
 def stream_agent_state(fx):
+    """Agents not silent for twelve hours at the last watermark."""
     spark = fx.spark
-    src = S.stage_stream_input(fx.call_log, "state-stream")
-    calls = spark.readStream.schema(S.CALL_SCHEMA).parquet(src)
-    state = S.stream_agent_state(calls)
-    out = S.run_available_now(state, scratch_path(spark, "state-out"), scratch_path(spark, "state-ckpt"), mode="update")
-    return S.latest_batch_rows(out, "agent")
+    events = fx.agent_events
+    src = S.stage_stream_input(events, "state-stream")
+    stream = spark.readStream.schema(S.AGENT_SCHEMA).parquet(src)
+    state = S.stream_agent_state(stream, ts_col="event_time", tie="event_id", expire="12 hours", watermark=f"{WATERMARK_MINUTES} minutes")
+    out = S.run_available_now(state, scratch_path(spark, "state-out"), scratch_path(spark, "state-ckpt"), mode="update", state_store=S.ROCKSDB)
+    as_of = events.select(F.date_trunc("millisecond", F.max("event_time")).cast("timestamp_ntz") - F.expr(f"interval {WATERMARK_MINUTES} minutes")).scalar()
+    return S.agent_states(out, as_of)
 
 
 @register("stream_agent_sync", section="2.11", oracle=f"select * from users union all select * from {CLONE_USERS_SQL} c")

@@ -57,6 +57,11 @@ from orders""",
 select event_id as call_id, ts as call_date, event_id as lead_id, cast(user_id as string) as agent,
   case event_type when 'view' then 'NA' when 'click' then 'AMD' when 'purchase' then 'SALE'
        when 'signup' then 'DROP' else 'INCALL' end as status
+from events""",
+    "agent_events": """
+select event_id, ts as event_time, cast(user_id as string) as agent,
+  case event_type when 'view' then 'READY' when 'click' then 'INCALL' when 'signup' then 'PAUSED'
+       when 'purchase' then 'CLOSER' else 'DEAD' end as status
 from events""",
     "live_agents": """
 select cast(user_id as string) as agent, cast(user_id % 25 as string) as campaign_id,

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -22,6 +22,7 @@ from ..operators.checks import DIALER_ERROR_PATTERN
 from ..session import path_exists, scratch_path
 
 CALL_SCHEMA = "call_id bigint, call_date timestamp_ntz, lead_id bigint, agent string, status string"
+AGENT_SCHEMA = "event_id bigint, event_time timestamp_ntz, agent string, status string"
 LOG_SCHEMA = "line_no bigint, host string, ts timestamp_ntz, line string"
 USER_SCHEMA = ("user_name string, full_name string, user_level int, user_group string, active string, "
                "server_ip string")
@@ -81,24 +82,54 @@ def stream_errors(lines: DataFrame, pattern: str = DIALER_ERROR_PATTERN, waterma
                       "errors")
 
 
-def stream_agent_state(events: DataFrame, key: str = "agent", ts_col: str = "call_date", tie: str = "call_id",
-                       status_col: str = "status") -> DataFrame:
-    """Current status per agent (latest by event time, tie-broken) and its time.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    State is one row per agent (bounded by the agent population); emitted in
-    update mode.
+
+def stream_agent_state(events: DataFrame, key: str = "agent", ts_col: str = "call_date", tie: str = "call_id", status_col: str = "status",
+                       ready: tuple[str, ...] = ("READY",), warn_seconds: int = 60, fail_seconds: int = 120,
+                       expire: str = "10 minutes", watermark: str = "10 minutes") -> DataFrame:
+    """Current status per agent (latest by event time, tie-broken), how long it has been idle, and when it is gone.
+
+    Keyed state holds one row an agent.  Event-time timers raise the flag of
+    an agent that stays ``ready`` over ``warn_seconds`` and ``fail_seconds``
+    though no event comes, and drop the state of an agent silent for
+    ``expire`` (its last row says ``gone``), so state is bounded by the agents
+    of that span.  Rows are emitted in update mode: the agent, ``status``,
+    ``last_update_time``, ``idle_seconds`` as of the watermark, ``flag`` and
+    ``gone``.  An older event than the known one changes nothing; events
+    without an agent or a time are left out.
+
+    Timers need the RocksDB state store: ``run_available_now(..., state_store=ROCKSDB)``.
     """
-    latest = F.max(F.struct(F.col(ts_col).alias("t"), F.col(tie).alias("k"), F.col(status_col).alias("s")))
-    agg = events.groupBy(key).agg(latest.alias("_l"))
-    return agg.select(key, F.col("_l.s").alias("status"), F.col("_l.t").alias("last_update_time"))
+    from .agents import agent_timers
+
+    spark = events.sparkSession
+    millis = spark.range(1).select(F.expr(f"unix_millis(timestamp '1970-01-01 00:00:00Z' + interval {expire})")).first()[0]
+    known = events.where(F.col(key).isNotNull() & F.col(ts_col).isNotNull())
+    ev = _event_time(known, ts_col).withWatermark("_et", watermark)
+    ev = ev.select(F.col(key), "_et", X.ntz_micros(ts_col).alias("t"), F.col(tie).cast("long").alias("k"), F.col(status_col).alias("status"))
+    schema = f"{key} {events.schema[key].dataType.simpleString()}, status string, t long, idle_ms long, flag string, gone boolean"
+    rows = ev.groupBy(key).transformWithStateInPandas(
+        agent_timers(key, ready, warn_seconds * 1000, fail_seconds * 1000, millis), schema, "update", "eventTime")
+    return rows.select(key, "status", _wall(F.timestamp_micros("t")).alias("last_update_time"),
+                       F.floor(F.col("idle_ms") / 1000).alias("idle_seconds"), "flag", "gone")
+
+
+def agent_states(out: DataFrame, as_of: str | Column, key: str = "agent", ready: tuple[str, ...] = ("READY",)) -> DataFrame:
+    """The agents that are not gone, from the rows of ``stream_agent_state``: idle seconds of the ready ones at ``as_of``."""
+    last = latest_batch_rows(out, key).where("not gone")
+    as_of = as_of if isinstance(as_of, Column) else X.ts_literal(as_of)
+    idle = F.when(F.col("status").isin(*ready), X.seconds_between("last_update_time", as_of))
+    return last.select(key, "status", "last_update_time", idle.alias("idle_seconds"), "flag")
 
 
-def run_available_now(df: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> DataFrame:
+def run_available_now(df: DataFrame, sink: str, checkpoint: str, mode: str = "append", state_store: str | None = None) -> DataFrame:
     """Run a streaming frame over everything available, idempotently.
 
     Each micro-batch is written to ``sink/batch_id=<n>`` with overwrite, so
     a batch replayed after a failure replaces its own output.  Returns the
-    sink read back with a ``batch_id`` column.
+    sink read back with a ``batch_id`` column.  ``state_store`` names the
+    provider class of the run's state store, if not the session's.
     """
     spark = df.sparkSession
 
@@ -107,15 +138,19 @@ def run_available_now(df: DataFrame, sink: str, checkpoint: str, mode: str = "ap
 
     # windows closed by the final watermark are emitted by a trailing no-data
     # micro-batch; make sure the session allows it for this run
-    key = "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = spark.conf.get(key, "true")
-    spark.conf.set(key, "true")
+    wanted = {"spark.sql.streaming.noDataMicroBatches.enabled": "true"}
+    if state_store:
+        wanted["spark.sql.streaming.stateStore.providerClass"] = state_store
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         q = (df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())
         q.awaitTermination()
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(_with_batch(df)).parquet(sink) if path_exists(spark, sink) else \
         spark.createDataFrame([], _with_batch(df))
 

@@ -1,7 +1,6 @@
 """Streaming: late data beyond the watermark, restart without duplicates."""
 
 import datetime as dt
-import os
 import time
 
 from switchyard.session import scratch_path
@@ -32,24 +31,52 @@ def test_late_row_beyond_watermark_is_dropped(spark):
     assert "10:45" not in got         # still open: its end 10:50 is past the watermark
 
 
+def _agent_run(spark, src, sink, ckpt, **options):
+    events = spark.readStream.schema(S.AGENT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
+    state = S.stream_agent_state(events, ts_col="event_time", tie="event_id", watermark="0 seconds", **options)
+    return S.run_available_now(state, sink, ckpt, mode="update", state_store=S.ROCKSDB)
+
+
 def test_restart_from_checkpoint_no_duplicates(spark):
     src = scratch_path(spark, "state-src")
     sink, ckpt = scratch_path(spark, "state-out"), scratch_path(spark, "state-ckpt")
     t = dt.datetime(2024, 1, 30, 10, 0)
-    _write(spark, src, [(1, t, 1, "a1", "READY"), (2, t, 2, "a2", "INCALL")], S.CALL_SCHEMA)
-
-    def run():
-        calls = spark.readStream.schema(S.CALL_SCHEMA).parquet(src)
-        return S.run_available_now(S.stream_agent_state(calls), sink, ckpt, mode="update")
-
-    first = run()
+    _write(spark, src, [(1, t, "a1", "READY"), (2, t, "a2", "INCALL"), (3, t, None, "READY")], S.AGENT_SCHEMA)
+    first = _agent_run(spark, src, sink, ckpt, expire="1 hour")
     assert first.count() == 2
-    again = run()                      # same checkpoint, no new data: nothing new
+    again = _agent_run(spark, src, sink, ckpt, expire="1 hour")  # same checkpoint, no new data: nothing new
     assert again.count() == 2
-    _write(spark, src, [(3, t + dt.timedelta(minutes=5), 3, "a1", "PAUSED")], S.CALL_SCHEMA)
-    final = S.latest_batch_rows(run(), "agent")
-    assert sorted((r.agent, r.status) for r in final.collect()) == [("a1", "PAUSED"), ("a2", "INCALL")]
-    assert len([d for d in os.listdir(sink.replace("file:", "")) if d.startswith("batch_id=")]) == 2
+    _write(spark, src, [(4, t + dt.timedelta(minutes=5), "a1", "PAUSED"), (0, t, "a2", "DEAD")], S.AGENT_SCHEMA)
+    final = S.agent_states(_agent_run(spark, src, sink, ckpt, expire="1 hour"), "2024-01-30 10:06:00")
+    assert sorted((r.agent, r.status, r.idle_seconds, r.flag) for r in final.collect()) == [("a1", "PAUSED", None, ""), ("a2", "INCALL", None, "")]
+
+
+def test_idle_agents_are_flagged_by_timers_and_gone_ones_evicted(spark):
+    """One event of a1, then only other agents: its flags come from timers, also over a restart; silent agents go."""
+    src = scratch_path(spark, "idle-src")
+    sink, ckpt = scratch_path(spark, "idle-out"), scratch_path(spark, "idle-ckpt")
+    t = dt.datetime(2024, 1, 30, 10, 0)
+
+    def at(seconds, *rows):
+        _write(spark, src, [(seconds * 10 + i, t + dt.timedelta(seconds=seconds), a, s) for i, (a, s) in enumerate(rows)], S.AGENT_SCHEMA)
+        return _agent_run(spark, src, sink, ckpt)
+
+    def state(out):
+        return {r.agent: (r.status, r.flag, r.gone) for r in S.latest_batch_rows(out, "agent").collect()}
+
+    assert state(at(0, ("a1", "READY"), ("a2", "INCALL"), ("a3", "READY")))["a1"] == ("READY", "", False)
+    got = state(at(61, ("a3", "PAUSED"), ("a4", "READY")))
+    assert got["a1"] == ("READY", "elevated wait", False) and got["a2"][1] == "" and got["a3"] == ("PAUSED", "", False)
+    got = state(at(121, ("a4", "READY")))
+    assert got["a1"] == ("READY", "IDLE TOO LONG", False) and got["a4"] == ("READY", "", False)
+    out = at(601, ("a5", "READY"))
+    got = state(out)
+    assert got["a1"] == ("READY", "IDLE TOO LONG", True) and got["a2"] == ("INCALL", "", True)
+    assert not got["a3"][2] and got["a4"][:2] == ("READY", "IDLE TOO LONG")
+    left = S.agent_states(out, "2024-01-30 10:10:01")
+    assert sorted((r.agent, r.idle_seconds) for r in left.collect() if r.status == "READY") == [("a4", 480), ("a5", 0)]
+    got = state(at(602, ("a1", "READY")))     # a gone agent may come back
+    assert got["a1"] == ("READY", "", False)
 
 
 def test_log_text_stream_matches_batch_parse(spark):
