@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..operators.aggregates import LOG_DIRS
+from ..sinks import blocks as BL
 from ..sinks import checksums as CK
 from ..sinks import export as EX
 from ..sources import files as FI
@@ -150,6 +151,45 @@ def verify_checksums(fx):
     return CK.verify_checksums(actual, expected, key="doc_id")
 
 
+BLOCK = 4096  # bytes, so that the files of the test tables have several blocks
+# a day's calls as the lines of its file
+_CALL_LINES_SQL = """select cast(call_date as date)::varchar as day, call_id, call_id || ',' || lead_id || ',' || agent || ',' || status || chr(10) as line from call_log"""
+
+
+def _calls_package(fx, calls, name):
+    """Calls as one text file a day, written as a package; the file of a day is named by its folder."""
+    path = scratch_path(fx.spark, name)
+    rows = calls.select(F.date_format("call_date", "yyyy-MM-dd").alias("day"), "call_id", "lead_id", "agent", "status")
+    EX.export_package({"calls": rows}, path, required=("calls",), fmt="csv", by={"calls": ("day", ["call_id"])})
+    blocks = BL.block_digests(fx.spark, f"{path}/calls", BLOCK, glob="*.csv")
+    return blocks.withColumn("file", F.regexp_extract("file", "^day=([^/]+)/", 1))
+
+
+@register("snk_package_blocks", section="2.1", oracle=f"""
+with f as (select day, string_agg(line, '' order by call_id) as content from ({_CALL_LINES_SQL}) l group by day),
+b as (select day, content, unnest(range(0, cast(ceil(length(content) / {BLOCK}.0) as bigint))) as block from f)
+select day as file, block, sha256(substring(content, block * {BLOCK} + 1, {BLOCK})) as sha256 from b""")
+def snk_package_blocks(fx):
+    return _calls_package(fx, fx.call_log, "blocks")
+
+
+@register("verify_package", section="2.1", oracle=f"""
+with l as (select *, dayofmonth(cast(day as date)) as d, sum(length(line)) over (partition by day order by call_id) as upto from ({_CALL_LINES_SQL}) x),
+days as (select distinct day, d from l)
+select day as file, cast(null as bigint) as block, case when d = 3 then 'missing' when d = 5 then 'extra' else 'match' end as status from days
+where d in (3, 5) or day not in (select day from l where call_id % 5000 = 7 or call_id % 5000 = 11)
+union all
+select distinct day, cast((upto - 2) // {BLOCK} as bigint), 'changed' from l where call_id % 5000 in (7, 11) and d not in (3, 5)""")
+def verify_package(fx):
+    """A package against the tree recorded of it: one day lost, one added, the last letter of some calls' status changed."""
+    day = F.dayofmonth("call_date")
+    changed = F.concat(F.expr("left(status, length(status) - 1)"), F.lit("#"))
+    edited = fx.call_log.withColumn("status", F.when(F.col("call_id") % 5000 == 7, changed).when(F.col("call_id") % 5000 == 11, changed).otherwise(F.col("status")))
+    recorded = BL.block_tree(_calls_package(fx, fx.call_log.where(day != 5), "recorded"), scratch_path(fx.spark, "recorded-tree"))
+    actual = BL.block_tree(_calls_package(fx, edited.where(day != 3), "actual"), scratch_path(fx.spark, "actual-tree"))
+    return BL.differences(actual, recorded)
+
+
 @register("snk_chunked", section="2.1", oracle="select * from leads")
 def snk_chunked(fx):
     return EX.write_chunked(fx.leads, scratch_path(fx.spark, "chunked"), rows=1000)

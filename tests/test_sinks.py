@@ -2,12 +2,14 @@
 
 import hashlib
 import os
+import random
 
 from pyspark.sql import functions as F
 
 from paths import SF0001
 from switchyard.plans.fixtures import Fixture
 from switchyard.session import local_fs_path, scratch_path
+from switchyard.sinks import blocks as BL
 from switchyard.sinks import checksums as CK
 from switchyard.sinks import export as EX
 from switchyard.sources import files as FI
@@ -79,3 +81,44 @@ def test_audit_appends_and_truncate_keeps_schema(spark):
     before = fx.call_log.count()
     assert tuple(EX.truncate_table(spark, tpath).first()) == (before, 0)
     assert spark.read.parquet(tpath).dtypes == fx.call_log.dtypes
+
+
+def _planted(root, files):
+    for name, data in files.items():
+        path = os.path.join(local_fs_path(root), name)
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "wb") as f:
+            f.write(data)
+
+
+def test_block_tree_matches_hashlib_and_names_planted_edits(spark, monkeypatch):
+    monkeypatch.setattr(BL, "FAN", 3)     # several levels over few blocks
+    rng = random.Random(5)
+    old = {"a/x.bin": rng.randbytes(1000), "a/y z.bin": rng.randbytes(640), "b/empty": b"", "b/same": rng.randbytes(77), "b/gone": b"g", "c/short": rng.randbytes(100)}
+    new = dict(old)
+    del new["b/gone"]
+    new["b/new"] = b"n"
+    new["a/x.bin"] = old["a/x.bin"][:130] + b"!" + old["a/x.bin"][131:700] + b"?" + old["a/x.bin"][701:]   # blocks 2 and 10
+    new["a/y z.bin"] = old["a/y z.bin"] + b"more"                                                        # a block more
+    new["c/short"] = old["c/short"][:64]                                                                  # a block less
+    trees = []
+    for files in (old, new):
+        root = scratch_path(spark, "blocks")
+        _planted(root, files)
+        blocks = BL.block_digests(spark, root, 64)
+        got = {(r.file, r.block): r.sha256 for r in blocks.collect()}
+        assert got == {(f, i): hashlib.sha256(d[i * 64:(i + 1) * 64]).hexdigest() for f, d in files.items() for i in range(-(-len(d) // 64))}
+        trees.append(BL.block_tree(blocks, scratch_path(spark, "tree")))
+    found = sorted(map(tuple, BL.differences(trees[1], trees[0]).collect()), key=str)
+    assert found == sorted([("a/x.bin", 2, "changed"), ("a/x.bin", 10, "changed"), ("a/y z.bin", 10, "extra"), ("c/short", 1, "missing"),
+                            ("b/gone", None, "missing"), ("b/new", None, "extra"), ("b/same", None, "match")], key=str)
+    assert {r.status for r in BL.differences(trees[0], trees[0]).collect()} == {"match"}
+
+
+def test_package_counts_come_from_the_write(spark):
+    fx = Fixture(spark, SF0001)
+    out = scratch_path(spark, "pkg-once")
+    tables = {"alt_phones": fx.alt_phones, "lists": fx.lists, "leads": fx.leads}
+    got = EX.export_package(tables, out, where={"leads": "list_id % 2 = 0"})
+    assert [tuple(r) for r in got.collect()] == [("alt_phones", fx.alt_phones.count()), ("lists", fx.lists.count()), ("leads", fx.leads.where("list_id % 2 = 0").count())]
+    assert spark.read.parquet(f"{out}/leads").count() == fx.leads.where("list_id % 2 = 0").count()
