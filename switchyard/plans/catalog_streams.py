@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..operators.setops import union_all
 from ..session import scratch_path
 from ..streaming import streams as S
+from ..streaming.keyed_table import KeyedTable
 from .catalog_changes import ASSIGN_SLOTS_SQL, CLONE_PHONES_SQL
 from .catalog_relational import CLONE_USERS_SQL
 from .registry import register
@@ -84,11 +85,11 @@ def stream_agent_sync(fx):
     spark = fx.spark
     users = fx.users
     table = scratch_path(spark, "users-table")
-    users.write.mode("overwrite").parquet(f"{table}/batch_id=-1")
+    S.create_accounts(users, table, buckets=8)
     src = S.stage_stream_input(users, "users-stream")
     stream = spark.readStream.schema(S.USER_SCHEMA).parquet(src)
     S.stream_sync(stream, table, scratch_path(spark, "sync-ckpt"))
-    return spark.read.parquet(table).select(*users.columns)
+    return KeyedTable.open(spark, table).read(spark).select(*users.columns)
 
 
 @register("stream_account_sync", section="2.11", oracle=f"""
@@ -103,15 +104,13 @@ from conf_slots s left join (select * from {ASSIGN_SLOTS_SQL} x where result = '
 def stream_account_sync(fx):
     """Users, phones and slots after a streamed sync of all users."""
     spark = fx.spark
-    users, phones, slots = (scratch_path(spark, f"sync-{n}") for n in ("users", "phones", "slots"))
-    for path, view in ((users, fx.users), (phones, fx.phones), (slots, fx.conf_slots)):
-        view.write.parquet(f"{path}/batch_id=-1")
+    path, root = scratch_path(spark, "sync-users"), scratch_path(spark, "sync-accounts")
+    accounts = S.create_accounts(fx.users, path, fx.phones, fx.conf_slots, fx.servers, root, buckets=8)
     src = S.stage_stream_input(fx.users, "accounts-stream")
-    S.stream_sync(spark.readStream.schema(S.USER_SCHEMA).parquet(src), users, scratch_path(spark, "accounts-ckpt"),
-                  accounts=S.Accounts(phones, slots, fx.servers))
-    after = S.current_slots(spark.read.parquet(slots))
+    S.stream_sync(spark.readStream.schema(S.USER_SCHEMA).parquet(src), path, scratch_path(spark, "accounts-ckpt"), accounts=accounts)
+    users, phones, after = (KeyedTable.open(spark, p).read(spark) for p in (path, accounts.phones_path, accounts.slots_path))
     return union_all(
-        spark.read.parquet(users).select(F.lit("user").alias("item"), F.col("user_name").alias("name"), F.col("full_name").alias("value")),
-        spark.read.parquet(phones).select(F.lit("phone").alias("item"), F.col("extension").alias("name"), F.col("dialplan_number").alias("value")),
+        users.select(F.lit("user").alias("item"), F.col("user_name").alias("name"), F.col("full_name").alias("value")),
+        phones.select(F.lit("phone").alias("item"), F.col("extension").alias("name"), F.col("dialplan_number").alias("value")),
         after.select(F.lit("slot").alias("item"), F.concat_ws("/", "server_ip", "slot_table", "conf_exten").alias("name"),
                      F.col("extension").alias("value")))

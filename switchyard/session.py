@@ -78,6 +78,15 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)  # noqa: SLF001
 
 
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, none if there is no such folder."""
+    if not path_exists(spark, path):
+        return []
+    jvm = spark.sparkContext._jvm  # noqa: SLF001
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return [f.getPath().getName() for f in p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)]  # noqa: SLF001
+
+
 def local_fs_path(path: str) -> str:
     """Strip a ``file:`` scheme so a local path can be used by os functions."""
     return path[5:] if path.startswith("file:") else path

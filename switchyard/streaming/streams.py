@@ -20,6 +20,7 @@ from ..functions import exprs as X
 from ..operators import changes, filters
 from ..operators.checks import DIALER_ERROR_PATTERN
 from ..session import path_exists, scratch_path
+from .keyed_table import KeyedTable
 
 CALL_SCHEMA = "call_id bigint, call_date timestamp_ntz, lead_id bigint, agent string, status string"
 AGENT_SCHEMA = "event_id bigint, event_time timestamp_ntz, agent string, status string"
@@ -170,30 +171,42 @@ def latest_batch_rows(out: DataFrame, key: str) -> DataFrame:
 
 @dataclass
 class Accounts:
-    """Where the phones and slots that belong to the users are stored, as
-    ``batch_id=<n>`` Parquet folders like the users table."""
+    """Where the phones and slots that belong to the users are stored, as keyed tables:
+    phones in buckets by ``extension``, slots by ``server_ip`` with their key (a later row of a slot replaces it)."""
 
     phones_path: str
-    slots_path: str     # a slot's newest row is the one of its largest batch_id
+    slots_path: str
     servers: DataFrame  # (server_ip, conf_engine), a static table
 
 
-def current_slots(slots: DataFrame) -> DataFrame:
-    """The newest row of every slot of a table stored as ``batch_id`` folders."""
-    others = [c for c in slots.columns if c not in (*changes.SLOT_KEY, "batch_id")]
-    newest = slots.groupBy(*changes.SLOT_KEY).agg(F.max_by(F.struct(*others), "batch_id").alias("_r"))
-    return newest.select(*changes.SLOT_KEY, *[F.col("_r")[c].alias(c) for c in others])
+def create_accounts(users: DataFrame, users_path: str, phones: DataFrame | None = None, slots: DataFrame | None = None,
+                    servers: DataFrame | None = None, root: str | None = None, buckets: int = 64) -> Accounts | None:
+    """The initial tables of a shadow sync, as keyed tables."""
+    KeyedTable.create(users, users_path, "user_name", buckets=buckets)
+    if phones is None:
+        return None
+    out = Accounts(f"{root}/phones", f"{root}/slots", servers)
+    KeyedTable.create(phones, out.phones_path, "extension", buckets=buckets)
+    KeyedTable.create(slots, out.slots_path, "server_ip", changes.SLOT_KEY, buckets)
+    return out
+
+
+def _with_shadows(names: DataFrame, suffix: str) -> DataFrame:
+    """Names and their shadows' names."""
+    c = F.col(names.columns[0])
+    return names.select(F.explode(F.array(c, F.concat(c, F.lit(suffix)))).alias("name"))
 
 
 def sync_accounts(eligible: DataFrame, batch_id: int, accounts: Accounts, suffix: str = "_B") -> None:
     """Shadow phones and slots of one micro-batch's eligible agents; safe to replay."""
     spark = eligible.sparkSession
-    phones = spark.read.parquet(accounts.phones_path).where(F.col("batch_id") != batch_id).drop("batch_id")
-    changes.clone_phones(phones, eligible, suffix).write.mode("overwrite").parquet(f"{accounts.phones_path}/batch_id={batch_id}")
-    slots = current_slots(spark.read.parquet(accounts.slots_path).where(F.col("batch_id") != batch_id))
+    phones = KeyedTable.open(spark, accounts.phones_path)
+    known = phones.read(spark, _with_shadows(eligible.select("user_name"), suffix), batch_id)
+    phones.commit(changes.clone_phones(known, eligible, suffix), batch_id)
+    table = KeyedTable.open(spark, accounts.slots_path)
+    slots = table.read(spark, eligible.select("server_ip"), batch_id)
     plan = changes.assign_slots(eligible.select("user_name", "server_ip"), slots, accounts.servers, suffix)
-    taken = changes.apply_slot_assignments(slots, plan).where("change = 'update'").drop("change")
-    taken.write.mode("overwrite").parquet(f"{accounts.slots_path}/batch_id={batch_id}")
+    table.commit(changes.apply_slot_assignments(slots, plan).where("change = 'update'").drop("change"), batch_id)
 
 
 def start_sync_stream(users_stream: DataFrame, table_path: str, checkpoint: str, every: str = "5 minutes",
@@ -211,12 +224,11 @@ def stream_sync(users_stream: DataFrame, table_path: str, checkpoint: str, suffi
                 accounts: Accounts | None = None) -> None:
     """Shadow users for newly seen eligible agents, once each.
 
-    ``table_path`` holds the users table as ``batch_id=<n>`` Parquet folders
-    (the initial table under a negative id, e.g. ``batch_id=-1``).  Every
-    micro-batch takes the user rows of the stream (of several of one name in
-    a batch an active one), adds users the table does not have yet, clones the
-    eligible ones that have no shadow, and writes both to
-    ``table_path/batch_id=<n>`` (INSERT IGNORE semantics, replay-safe).  With
+    ``table_path`` holds the users as a keyed table (``create_accounts``).
+    Every micro-batch takes the user rows of the stream (of several of one
+    name in a batch an active one), looks up these names and their shadows,
+    adds users the table does not have yet, clones the eligible ones that have
+    no shadow, and commits both (INSERT IGNORE semantics, replay-safe).  With
     ``accounts`` their phones and slots follow in the same micro-batch.
     """
     def sync(batch: DataFrame, batch_id: int) -> None:
@@ -234,21 +246,22 @@ def sync_batch(batch: DataFrame, batch_id: int, table_path: str, suffix: str = "
                accounts: Accounts | None = None) -> None:
     """One micro-batch of ``stream_sync``; safe to replay.
 
-    The table is read without this batch's own folder, so a replayed batch
-    recomputes the same clones instead of finding them already present and
-    overwriting its folder with nothing.
+    The table is read as it was before this batch, so a replayed batch
+    recomputes the same clones instead of finding them already present; of the
+    table only the buckets of the batch's own names are read.
     """
     spark = batch.sparkSession
-    table = spark.read.parquet(table_path).where(F.col("batch_id") != batch_id).select(*USER_COLUMNS)
+    stored = KeyedTable.open(spark, table_path)
     # no state over the stream: a user that becomes active later is cloned then, from that row
     best = F.max_by(F.struct(*USER_COLUMNS), F.struct(F.coalesce(F.col("active") == "Y", F.lit(False)), *USER_COLUMNS[1:]))
     incoming = batch.groupBy("user_name").agg(best.alias("_r")).select(*[F.col("_r")[c].alias(c) for c in USER_COLUMNS])
+    table = stored.read(spark, _with_shadows(incoming.select("user_name"), suffix), batch_id).select(*USER_COLUMNS)
     # users first seen in the stream join the table (INSERT IGNORE by name)
     new_users = incoming.join(table.select("user_name"), "user_name", "left_anti")
     users = table.join(incoming.select("user_name"), "user_name", "left_anti").unionByName(incoming)
     eligible = filters.eligible_agents(incoming, suffix)
     clones = changes.clone_users(users, eligible, suffix)
-    new_users.unionByName(clones).write.mode("overwrite").parquet(f"{table_path}/batch_id={batch_id}")
+    stored.commit(new_users.unionByName(clones), batch_id)
     if accounts is not None:
         sync_accounts(eligible, batch_id, accounts, suffix)
 

@@ -99,16 +99,16 @@ def test_import_from_dump_files_keeps_the_first_line(spark):
 
 
 def test_sync_gives_phones_and_slots_and_can_be_replayed(spark):
-    users, phones, slots = (scratch_path(spark, n) for n in ("u", "p", "s"))
+    users = scratch_path(spark, "u")
     one = spark.createDataFrame([("100", "Agent", 2, "g", "Y", "ip")], S.USER_SCHEMA)
-    one.write.parquet(f"{users}/batch_id=-1")
-    spark.createDataFrame([("100", "100", "Y")], "extension string, dialplan_number string, active string").write.parquet(f"{phones}/batch_id=-1")
-    spark.createDataFrame([("ip", "confbridges", 7, None, "idle"), ("ip", "conferences", 6, "", "idle")],
-                          "server_ip string, slot_table string, conf_exten long, extension string, extension_status string"
-                          ).write.parquet(f"{slots}/batch_id=-1")
+    phones = spark.createDataFrame([("100", "100", "Y")], "extension string, dialplan_number string, active string")
+    slots = spark.createDataFrame([("ip", "confbridges", 7, None, "idle"), ("ip", "conferences", 6, "", "idle")],
+                                  "server_ip string, slot_table string, conf_exten long, extension string, extension_status string")
     servers = spark.createDataFrame([("ip", "CONFBRIDGE")], "server_ip string, conf_engine string")
+    accounts = S.create_accounts(one, users, phones, slots, servers, scratch_path(spark, "a"), buckets=4)
     for batch_id in (0, 0, 1):
-        S.sync_batch(one, batch_id, users, accounts=S.Accounts(phones, slots, servers))
-    assert sorted(r["extension"] for r in TB.read_table(spark, phones.rsplit("/", 1)[1], root=phones.rsplit("/", 1)[0]).collect()) == ["100", "100_B"]
-    got = sorted((r["slot_table"], r["conf_exten"], r["extension"]) for r in S.current_slots(spark.read.parquet(slots)).collect())
+        S.sync_batch(one, batch_id, users, accounts=accounts)
+    phones, slots = (S.KeyedTable.open(spark, p).read(spark) for p in (accounts.phones_path, accounts.slots_path))
+    assert sorted(r["extension"] for r in phones.collect()) == ["100", "100_B"]
+    got = sorted((r["slot_table"], r["conf_exten"], r["extension"]) for r in slots.collect())
     assert got == [("confbridges", 7, "SIP/100_B"), ("conferences", 6, "")]

@@ -45,11 +45,11 @@ def test_offset_of_digits_of_any_length(spark):
 def test_user_activated_later_is_cloned(spark):
     table, src, ckpt = (scratch_path(spark, n) for n in ("act-table", "act-in", "act-ckpt"))
     row = ("u1", "User One", 1, "AGENTS", "N", "10.0.0.1")
-    spark.createDataFrame([("u0", "Zero", 1, "ADMIN", "N", "10.0.0.1")], S.USER_SCHEMA).write.parquet(f"{table}/batch_id=-1")
+    S.create_accounts(spark.createDataFrame([("u0", "Zero", 1, "ADMIN", "N", "10.0.0.1")], S.USER_SCHEMA), table)
     for active in "NYY":
         spark.createDataFrame([(*row[:4], active, row[5])], S.USER_SCHEMA).write.mode("append").parquet(src)
         S.stream_sync(spark.readStream.schema(S.USER_SCHEMA).parquet(src), table, ckpt)
-    got = [(r["user_name"], r["active"]) for r in spark.read.parquet(table).collect()]
+    got = [(r["user_name"], r["active"]) for r in S.KeyedTable.open(spark, table).read(spark).collect()]
     assert sorted(got) == [("u0", "N"), ("u1", "N"), ("u1_B", "Y")]
 
 
