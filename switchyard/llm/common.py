@@ -44,3 +44,25 @@ def bounded_sample(rows: DataFrame, key: str, cls: str, per_class: int, seed: in
     joined = rows.join(F.broadcast(counts), F.col(cls).eqNullSafe(F.col("_cls")))
     return (joined.where(hashed < share * spread)
             .withColumn("weight", 1.0 / share).drop("_cls", "_n"))
+
+
+class Recent(dict):
+    """What ``compute`` gave for the texts met of late, about ``size`` of them; texts over ``longest`` are not kept.
+
+    Two generations of half the size: when the younger is full it becomes the
+    older, from which texts met again come back, so frequent ones stay.
+    """
+
+    def __init__(self, compute, size: int, longest: int = 64):
+        self.compute, self.size, self.longest = compute, size, longest
+        self.older: dict = {}
+
+    def __missing__(self, key: str):
+        if (got := self.older.get(key)) is None:
+            got = self.compute(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.size // 2:
+                self.older = dict(self)
+                self.clear()
+            self[key] = got
+        return got

@@ -194,5 +194,6 @@ def reordered(docs: DataFrame, shares: dict[str, int] | DataFrame, id_col: str =
     plan = mixed(docs, shares, id_col, source_col, block_rows).groupBy(
         F.col(id_col).alias("_id"), F.col("source").alias("_src")).agg(F.min("slot").alias("_slot"), F.min("nth_row").alias("_nth"))
     plan = written(plan, "mixing")
-    joined = docs.join(plan, docs[id_col].eqNullSafe(plan["_id"]) & docs[source_col].eqNullSafe(plan["_src"]), "left")
-    return joined.orderBy(F.col("_slot").asc_nulls_last(), F.col("_nth").asc_nulls_last()).drop("_id", "_src", "_slot", "_nth")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("i"), F.col(source_col).alias("s"))  # whatever its columns are called
+    joined = rows.join(plan, F.col("i").eqNullSafe(F.col("_id")) & F.col("s").eqNullSafe(F.col("_src")), "left")
+    return joined.orderBy(F.col("_slot").asc_nulls_last(), F.col("_nth").asc_nulls_last()).select("row.*")

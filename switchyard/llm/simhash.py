@@ -160,19 +160,23 @@ def links(prints: DataFrame, radius: int = 3, cell: int = 1024) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
-                    radius: int = 3) -> DataFrame:
-    """One row per row of ``docs``: ``id_col``, ``fp`` (signed) and ``component_id``.
+                    radius: int = 3, carry: Column | None = None) -> DataFrame:
+    """One row per row of ``docs``: ``id_col``, ``fp`` (signed), ``component_id``, ``component`` and ``carry``.
+
+    ``component`` is the same for all linked fingerprints and differs between
+    others, also where one id has texts in both.
 
     ``component_id`` is the smallest non-null id reachable over links of at
     most ``radius`` differing bits, the row's own included.  Null and empty
     texts have fingerprint zero and are linked like any other; repeated rows
     stay; a null id is in the component of its text.
     """
-    prints = written(docs.select(F.col(id_col).alias("id"), fingerprinted(F.col(text_col), shingle).alias("fp")), "simhash")
+    extra = [] if carry is None else [carry.alias("carry")]
+    prints = written(docs.select(F.col(id_col).alias("id"), fingerprinted(F.col(text_col), shingle).alias("fp"), *extra), "simhash")
     reps = written(prints.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-reps")
     comps = connected_components(links(reps.select("fp"), radius))
     roots = reps.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "rep", F.coalesce("component", "fp").alias("root"))
     smallest = written(roots.groupBy("root").agg(F.min("rep").alias("component_id")), "simhash-roots")
-    by_print = written(roots.join(smallest, "root").select("fp", "component_id"), "simhash-components")
-    return prints.join(by_print, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    by_print = written(roots.join(smallest, "root").select("fp", "component_id", F.col("root").alias("component")), "simhash-components")
+    return prints.join(by_print, "fp").select(F.col("id").alias(id_col), "fp", "component_id", "component", *(["carry"] if extra else []))

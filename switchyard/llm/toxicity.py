@@ -16,11 +16,13 @@ against all clean texts, and scoring reads every whole text.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -30,7 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, written
+from .common import Recent, bounded_sample, written
+from .tokens import blocks
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Words joined by digits or single symbols: "id1ot", "m0ron", "sc*m".
@@ -43,7 +46,8 @@ REPORT = frozenset("said says quote quoted quotes called word words term phrase
                    "sagte genannt wort zitat dit disait mot citation dijo palabra cita".split())
 ADDRESS = frozenset("you your youre u du dich dein deine ihr tu te toi ton vous usted tú eres".split())
 QUOTES = "\"'“”„‚‘’«»‹›`"
-BLOCK = 1 << 20
+MARKS = 1 << 27  # bits that say which ids may be labelled clean
+SEEN = 400_000  # words, and white-space tokens, that a worker remembers
 
 Scored = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("hits", T.LongType()),
                        T.StructField("quoted", T.LongType()), T.StructField("terms", T.ArrayType(T.StringType()))])
@@ -59,7 +63,6 @@ class Lexicon:
     nodes: list[dict[str, int]] = field(default_factory=lambda: [{}])
     ends: dict[int, str] = field(default_factory=dict)
     stem_ends: dict[int, str] = field(default_factory=dict)
-    budget: dict[int, int] = field(default_factory=dict)
 
     def __post_init__(self):
         for term in sorted(self.words):
@@ -67,11 +70,17 @@ class Lexicon:
             self.ends[node] = term
         for stem in sorted(self.stems):
             self.stem_ends[self._grow(stem)] = stem
+        self._restart()
+        self.seen = Recent(self._found, SEEN)
+        self.tokens = Recent(self._token, SEEN)
+
+    def _restart(self) -> None:
         self.states: dict[frozenset, int] = {}
         self.moves: list[dict[str, int]] = []
         self.sets: list[frozenset] = []
+        self.begun: list[str | None] = []  # of each state the stem that its letters are
+        self.ended: list[list[tuple[str, int]]] = []  # of each state the terms that end there, with their edits
         self.start = self._state({(0, 0): 0})
-        self.seen: dict[str, tuple[str, float, int] | None] = {}
 
     def _grow(self, term: str) -> int:
         node = 0
@@ -103,6 +112,8 @@ class Lexicon:
             self.states[key] = len(self.sets)
             self.sets.append(key)
             self.moves.append({})
+            self.begun.append(next((self.stem_ends[node] for node, e in key if e == 0 and node in self.stem_ends), None))
+            self.ended.append([(self.ends[node], e) for node, e in key if node in self.ends])
         return self.states[key]
 
     def _move(self, state: int, ch: str) -> int:
@@ -121,46 +132,43 @@ class Lexicon:
     def find(self, word: str) -> tuple[str, float, int] | None:
         """(term, weight, edits) of the heaviest term that ``word`` is a spelling of."""
         state, best = self.start, None
+        moves, begun, sets = self.moves, self.begun, self.sets
         for ch in word[:LONGEST + self.MOST + 1]:
-            nxt = self.moves[state].get(ch)
+            nxt = moves[state].get(ch)
             state = self._move(state, ch) if nxt is None else nxt
-            if not self.sets[state]:
-                break
-            for node, e in self.sets[state] if self.stem_ends else ():
-                if e == 0 and node in self.stem_ends:
-                    w = self.stems[self.stem_ends[node]]
-                    if best is None or w > best[1]:
-                        best = self.stem_ends[node] + "*", w, 0
-        if len(word) > LONGEST + self.MOST:
+            if not sets[state]:
+                return best
+            if (stem := begun[state]) is not None and (best is None or self.stems[stem] > best[1]):
+                best = stem + "*", self.stems[stem], 0
+        if len(word) > LONGEST + self.MOST or not self.ended[state]:
             return best
         other = sum(not ch.isalpha() for ch in word) if len(word) < 7 else 0  # one digit or symbol may stand in a short term, too
-        for node, e in self.sets[state]:
-            term = self.ends.get(node)
-            if term is not None and (e <= self.edits(term) or e == other == 1 and len(term) == 4) and (e == 0 or word not in self.benign):
+        for term, e in self.ended[state]:
+            if (e <= self.edits(term) or e == other == 1 and len(term) == 4) and (e == 0 or word not in self.benign):
                 w = self.words[term] * 0.5**e
                 if best is None or w > best[1]:
                     best = term, w, e
         return best
 
-    def lookup(self, word: str) -> tuple[str, float, int] | None:
-        if word not in self.seen:
-            if len(self.seen) >= 100_000:
-                self.seen.clear()
-            if len(self.sets) > 200_000:  # states are rebuilt when asked for again
-                self.__post_init__()
-            self.seen[word] = self.find(word)
+    def _found(self, word: str) -> tuple[str, float, int] | tuple[()]:
+        if len(self.sets) > 200_000:  # states are rebuilt when asked for again
+            self._restart()
+        return self.find(word) or ()
+
+    def lookup(self, word: str) -> tuple[str, float, int] | tuple[()]:
+        """What ``find`` says, remembered; empty for no term."""
         return self.seen[word]
 
+    def _token(self, token: str) -> tuple[int, bool]:
+        """The number of words of a token without white space, and whether it holds a term."""
+        words = WORD.findall(token)
+        return len(words), any(map(self.lookup, words)) or len(words) > 1 and bool(_joined(self, token))
 
-def _pieces(text: str) -> Iterator[tuple[str, int]]:
-    """(part, words before it): a very long text in parts that end where a word ends."""
-    at, before = 0, 0
-    while at < len(text):
-        end = at + BLOCK
-        while end < len(text) and text[end].isalpha():
-            end += 1
-        yield text[at:end], before
-        at = end
+    def parsed(self, token: str) -> list[tuple[str, tuple, bool]]:
+        """The words of a token, joined ones as one: (word, the term it spells or nothing, whether in quotation marks)."""
+        joined = _joined(self, token)
+        return [(w, joined.get(w) or self.lookup(w), 0 < start and end < len(token) and token[start - 1] in QUOTES and token[end] in QUOTES)
+                for w, start, end in _places(token, joined)]
 
 
 def _joined(lexicon: Lexicon, text: str) -> dict[str, tuple[str, float, int]]:
@@ -180,40 +188,81 @@ def _places(text: str, joined: dict) -> Iterator[tuple[str, int, int]]:
     yield from ((p.group(), p.start(), p.end()) for p in WORD.finditer(text, at))
 
 
+def _near(lexicon: Lexicon, tokens: Iterable[str]) -> list[list]:
+    """The words of the first tokens that hold ``WINDOW`` words, token by token."""
+    out, n = [], 0
+    for token in tokens:
+        if n >= WINDOW:
+            break
+        out.append(lexicon.parsed(token))
+        n += len(out[-1])
+    return out
+
+
+def _windows(lexicon: Lexicon, text: str) -> Iterator[tuple[int, list[tuple[str, tuple, bool, list]]]]:
+    """Of every block of a lower-case text the number of words, and its terms in order with the words around them.
+
+    Words, joined ones too, hold no white space, so a text is looked through
+    by its tokens; only those near a term are taken apart.  Windows reach over
+    the borders of blocks.
+    """
+    parts = map(str.split, blocks(text))
+    before: list[str] = []
+    here, after = next(parts, []), next(parts, None)
+    while True:
+        seen = [lexicon.tokens[t] for t in here]
+        found = []
+        for i in [i for i, (_, hot) in enumerate(seen) if hot]:
+            ahead = _near(lexicon, chain(islice(here, i + 1, None), after or ()))
+            behind = _near(lexicon, chain(islice(reversed(here), len(here) - i, None), reversed(before)))
+            left = [w for token in reversed(behind) for w in token][-WINDOW:]
+            own = lexicon.parsed(here[i])
+            line = left + own + [w for token in ahead for w in token][:WINDOW]
+            for k in range(len(left), len(left) + len(own)):
+                if line[k][1]:
+                    found.append((*line[k], line[max(0, k - WINDOW):k] + line[k + 1:k + 1 + WINDOW]))
+        yield sum(n for n, _ in seen), found
+        if after is None:
+            return
+        before, here, after = (here if sum(n for n, _ in seen) >= WINDOW else before + here), after, next(parts, None)
+
+
 def evidence(lexicon: Lexicon, text: str | None) -> tuple[float, float, int, int, int, list[str]]:
     """(abusive weight, quoted weight, words, hits, quoted hits, distinct terms) of a whole text."""
     abuse = quoted = 0.0
     words = hits = quotes = 0
-    terms: Counter[str] = Counter()
-    find = lexicon.lookup
-    for part, _ in _pieces((text or "").lower()):
-        found = WORD.findall(part)
-        words += len(found)
-        joined = _joined(lexicon, part)
-        hot = {w: f for w in set(found) if (f := find(w))} | joined
-        if not hot:
-            continue
-        at = list(_places(part, joined))
-        places = [i for i, w in enumerate(at) if w[0] in hot]
-        for i in places:
-            word, start, end = at[i]
-            weight = hot[word][1]
-            around = [w[0] for w in at[max(0, i - WINDOW):i] + at[i + 1:i + 1 + WINDOW]]
-            marked = part[start - 1:start] in QUOTES and part[end:end + 1] in QUOTES and start and end < len(part)
+    times: Counter[str] = Counter()
+    terms = set()
+    for n, found in _windows(lexicon, (text or "").lower()):
+        words += n
+        for word, (term, weight, _), marked, around in found:
             factor = 1.0
-            if any(w in hot for w in around):
+            if any(f for _, f, _ in around):
                 factor *= 1.25
-            if any(w in ADDRESS for w in around):
+            if any(w in ADDRESS for w, *_ in around):
                 factor *= 1.25
             hits += 1
-            terms[word] += 1
-            factor /= terms[word]  # a word said again adds less
-            if marked or any(w in REPORT for w in around[:WINDOW]):
+            times[word] += 1
+            terms.add(term)
+            factor /= times[word]  # a word said again adds less
+            if marked or any(w in REPORT for w, *_ in around[:WINDOW]):
                 quotes += 1
                 quoted += weight * factor
             else:
                 abuse += weight * factor
-    return abuse, quoted, words, hits, quotes, sorted({find(w)[0] for w in terms})
+    return abuse, quoted, words, hits, quotes, sorted(terms)
+
+
+_LEXICONS: dict[str, Lexicon] = {}
+
+
+def _lexicon(words: dict[str, float], stems: dict[str, float], benign: frozenset[str] = frozenset()) -> Lexicon:
+    """The lexicon of these terms, built once in a worker."""
+    key = hashlib.sha256(repr((sorted(words.items()), sorted(stems.items()), sorted(benign))).encode()).hexdigest()
+    if key not in _LEXICONS:
+        _LEXICONS.clear()  # a worker serves one model at a time
+        _LEXICONS[key] = Lexicon(words, stems, benign)
+    return _LEXICONS[key]
 
 
 def _features(abuse: float, quoted: float, words: int) -> list[float]:
@@ -231,9 +280,9 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), hits, quotes, terms
 
 
-def _sequence(text: str) -> int:
-    """A hash of the sequence of a text's words."""
-    return xxhash.xxh64_intdigest(" ".join(WORD.findall(text.lower()))) - (1 << 63)
+def _sequence(words: list[str]) -> int:
+    """A hash of a sequence of words."""
+    return xxhash.xxh64_intdigest(" ".join(words)) - (1 << 63)
 
 
 MIXERS = np.random.default_rng(7).integers(0, 1 << 62, 64, dtype=np.uint64) * 2 + 1
@@ -305,7 +354,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0) -
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", per_class: int = 20_000, support: int = 5,
-        sure: float = 0.7, chance: float = 24.0, max_terms: int = 4000) -> Model:
+        sure: float = 0.7, chance: float = 24.0) -> Model:
     """The model of ``docs(id, text)`` by ``labels(id, toxic)``, ``toxic`` 0 or 1 (of several labels the larger).
 
     The labels are sampled first: the sample has a proven bound, so it is
@@ -316,8 +365,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", per_class: i
     ``sure``: its log-odds less 2.5 standard errors; ``chance``: its G statistic,
     high enough for the many terms tried, both against all clean texts, also
     those that the sample leaves out: against a sample as small as the toxic
-    one a rare term would need more toxic texts; ``max_terms``: of the rest the
-    heaviest.  Without both labels no text is toxic.
+    one a rare term would need more toxic texts.  Terms are counted alike at
+    all sizes; the sample's vocabulary bounds their number.  Labels that are
+    null, neither 0 nor 1 or without an id or a text teach nothing.  Without
+    both labels no text is toxic.
     """
     known = (labels.where("toxic in (0, 1)").where(F.col(id_col).isNotNull())
              .groupBy(F.col(id_col).alias("id")).agg(F.max("toxic").cast("int").alias("toxic")))
@@ -327,7 +378,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", per_class: i
 
     @F.arrow_udf(T.LongType())
     def sequence(texts: pa.Array) -> pa.Array:
-        return pa.array([_sequence(t.as_py()) for t in texts], pa.int64())
+        return pa.array([_sequence(WORD.findall(t.as_py().lower())) for t in texts], pa.int64())
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def signature(texts: pa.Array) -> pa.Array:
@@ -359,14 +410,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", per_class: i
 
     a, b = F.col("a"), F.col("b")
     counted = chosen.mapInPandas(count, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(a >= support)
-    if chosen_ids.where("toxic = 0 and weight > 1").limit(1).count():  # the sample holds back clean texts: all of them are asked
-        likely = F.log((a + 0.5) / (n[1] + 1)) - F.log((b + 0.5) / (n[0] + 1)) >= sure  # the others hold too many texts to ask for
-        counted, n[0] = _asked(texts, known.where("toxic = 0"), counted.where(likely))
+    # all clean texts are asked for the terms that can still be sure of being toxic: those of the sample are among them,
+    # so a term is in b of them at least, and there are no more than their labels
+    clean = known.where("toxic = 0")
+    most = clean.count()
+    asked = counted.where(F.log((a + 0.5) / (n[1] + 1)) - F.log((b + 0.5) / (most + 1)) >= sure)
+    counted, n[0] = _asked(texts, clean, asked)
     odds = F.log((a + 0.5) / (n[1] + 1)) - F.log((b + 0.5) / (n[0] + 1))
     share = F.lit(n[1] / (n[0] + n[1]))
     surprise = 2 * (a * F.log(a / ((a + b) * share)) + F.when(b > 0, b * F.log(b / ((a + b) * (1 - share)))).otherwise(0.0))
     terms = (counted.where(surprise >= chance).withColumn("low", odds - 2.5 * F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))).where(F.col("low") >= sure)
-             .orderBy(F.desc("low"), "term").limit(max_terms).select("term", "low").collect())
+             .select("term", "low").collect())
     weights = {r["term"]: float(r["low"]) for r in terms}
     words = {t: w for t, w in weights.items() if not t.endswith("*")}
     stems = {t[:-1]: w for t, w in weights.items() if t.endswith("*")}
@@ -375,7 +429,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", per_class: i
     draft = chosen.sparkSession.sparkContext.broadcast((words, stems))
 
     def misspelt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon = Lexicon(*draft.value)
+        lexicon = _lexicon(*draft.value)
         for batch in batches:
             for text, toxic, weight in zip(batch["text"], batch["toxic"], batch["weight"]):
                 text = text.lower()
@@ -391,7 +445,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", per_class: i
     shared = chosen.sparkSession.sparkContext.broadcast((words, stems, frozenset(benign)))
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon = Lexicon(*shared.value)
+        lexicon = _lexicon(*shared.value)
         for batch in batches:
             got = [evidence(lexicon, t)[:3] for t in batch["text"]]
             yield pd.DataFrame({"abuse": [g[0] for g in got], "quoted": [g[1] for g in got], "words": [g[2] for g in got],
@@ -407,25 +461,50 @@ def _asked(texts: DataFrame, clean: DataFrame, counted: DataFrame) -> tuple[Data
     """``counted`` with b from all texts of ``clean``, and their number; of texts with the same words one counts.
 
     The terms asked for come from the toxic sample, which is bounded.  Texts
-    are not shuffled, only the numbers of the terms that they hold.
+    are not shuffled, only the numbers of the terms that they hold: a bitmap
+    of fixed size says which ids may be labelled clean, and the join of what
+    these texts hold with the labels says which are.
     """
-    rows = written(counted, "toxicity-counted").collect()
-    shared = texts.sparkSession.sparkContext.broadcast({r["term"]: i for i, r in enumerate(rows)})
-
-    @F.arrow_udf(T.StructType([T.StructField("sequence", T.LongType()), T.StructField("terms", T.ArrayType(T.IntegerType()))]))
-    def held(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        index = shared.value
-        for batch in batches:
-            of = [t.as_py() for t in batch]
-            yield pa.StructArray.from_arrays(
-                [pa.array([_sequence(t) for t in of], pa.int64()),
-                 pa.array([[index[f] for f in _forms(t) if f in index] for t in of], pa.list_(pa.int32()))], ["sequence", "terms"])
-
-    told = texts.select("id", held.asNondeterministic()("text").alias("h")).select("id", "h.sequence", "h.terms")
-    told = written(told.join(clean.select("id"), "id").groupBy("sequence").agg(F.first("terms").alias("terms")), "toxicity-clean")
-    b = {r["term"]: r["count"] for r in told.select(F.explode("terms").alias("term")).groupBy("term").count().collect()}
-    whole = [(r["term"], r["a"], b.get(i, 0)) for i, r in enumerate(rows)]
-    return texts.sparkSession.createDataFrame(whole, "term string, a long, b long"), told.count()
+    numbered = written(counted.select("term", "a").withColumn("i", F.monotonically_increasing_id()), "toxicity-counted")
+    index = {r["term"]: r["i"] for r in numbered.select("term", "i").collect()}
+    place = F.pmod(F.xxhash64("id"), F.lit(MARKS))
+    marked = clean.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    marks = np.zeros((MARKS >> 15) + 2, "V4096")  # a bucket has 32,768 bits
+    for r in marked.collect():
+        marks[r["bucket"]] = bytes(r["bits"])
+    shared = texts.sparkSession.sparkContext.broadcast((index, marks.tobytes()))
+
+    @F.arrow_udf(T.StructType([T.StructField("sequence", T.LongType()), T.StructField("terms", T.ArrayType(T.LongType()))]))
+    def held(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        index, marks = shared.value
+        marks = np.frombuffer(marks, np.uint8)
+
+        def terms_of(word: str) -> tuple[int, ...]:
+            """The numbers of the terms that a word speaks for."""
+            forms = [word, *(f"{word[:n]}*" for n in STEMS if len(word) > n)] if 3 <= len(word) <= LONGEST else []
+            return tuple(index[f] for f in forms if f in index)
+
+        of = Recent(terms_of, SEEN)
+        for buckets, positions, batch in batches:
+            bits = positions.to_numpy()
+            maybe = marks[buckets.to_numpy() * 4096 + bits // 8] >> (bits % 8) & 1
+            sequences, numbers = [], []
+            for asks, t in zip(maybe.tolist(), batch):
+                if not asks:
+                    sequences.append(None)
+                    numbers.append(None)
+                    continue
+                found = WORD.findall(t.as_py().lower())
+                sequences.append(_sequence(found))
+                numbers.append(list(set(chain.from_iterable(map(of.__getitem__, set(found))))))
+            yield pa.StructArray.from_arrays([pa.array(sequences, pa.int64()), pa.array(numbers, pa.list_(pa.int64()))], ["sequence", "terms"])
+
+    asked = held.asNondeterministic()(F.bitmap_bucket_number(place), F.bitmap_bit_position(place), "text")
+    told = texts.select("id", asked.alias("h")).where("h.sequence is not null").select("id", "h.sequence", "h.terms")
+    told = told.join(clean.select("id"), "id", "left_semi")
+    told = written(told.groupBy("sequence").agg(F.first("terms").alias("terms")), "toxicity-clean")
+    b = told.select(F.explode("terms").alias("i")).groupBy("i").agg(F.count(F.lit(1)).alias("b"))
+    return numbered.join(b, "i", "left").select("term", "a", F.coalesce("b", F.lit(0)).alias("b")), told.count()
 
 
 def _counted(of: tuple[Counter, Counter]) -> pd.DataFrame:
@@ -434,13 +513,18 @@ def _counted(of: tuple[Counter, Counter]) -> pd.DataFrame:
 
 
 def scored(spark, model: Model, text: Column) -> Column:
-    """A struct column (score, hits, quoted, terms) of every whole text; null and empty texts have no hit."""
+    """A struct column (score, hits, quoted, terms) of every whole text; null and empty texts have no hit.
+
+    A score depends on its text alone: equal texts have equal scores, other
+    columns are not looked at.  Windows and joined words of very long texts
+    are those of the whole text.
+    """
     shared = spark.sparkContext.broadcast((model.lexicon.words, model.lexicon.stems, model.lexicon.benign, model.coefficients))
 
     @F.arrow_udf(Scored)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        words, stems, benign, coefficients = shared.value  # bounded by max_terms
-        own = Model(Lexicon(words, stems, benign), coefficients)
+        words, stems, benign, coefficients = shared.value  # terms of the sample's vocabulary
+        own = Model(_lexicon(words, stems, benign), coefficients)
         for texts in batches:
             rows = [own.score(t.as_py()) for t in texts]
             yield pa.StructArray.from_arrays(

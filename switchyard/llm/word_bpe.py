@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Regex, normalizers, pre_tokenizers
 
+from .common import Recent
 from .tokens import Encoded, blocks, splitter
 
 CACHE = 500_000  # words, and pieces, that a worker remembers
-LONG = 64  # longer ones are not remembered
 
 #: Where NFC and lower case of the Unicode tables in use cannot differ: characters under U+0300.
 _PLAIN = regex.compile(r"[\x00-˿]*")
@@ -41,28 +41,6 @@ _CONTROLS = regex.compile(r"[\x1c-\x1f]")
 _SPACES = regex.compile(r"\p{White_Space}+")
 
 
-class _Recent(dict):
-    """What ``compute`` gave for the keys met of late.
-
-    Two generations of half the size: when the younger is full it becomes the
-    older, from which keys met again come back, so frequent ones stay.
-    """
-
-    def __init__(self, compute):
-        self.compute = compute
-        self.older: dict = {}
-
-    def __missing__(self, key: str):
-        if (got := self.older.get(key)) is None:
-            got = self.compute(key)
-        if len(key) <= LONG:
-            if len(self) >= CACHE // 2:
-                self.older = dict(self)
-                self.clear()
-            self[key] = got
-        return got
-
-
 def byte_letters() -> list[str]:
     """The visible character that stands for each byte: itself if printable Latin-1, else the next from U+0100."""
     own = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -98,8 +76,8 @@ class Codec:
         self.library_split = pre_tokenizers.Split(Regex(split["pattern"]["Regex"]), "removed", invert=True)
         self.library_normal = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.known = _Recent(self.encode_piece)
-        self.words = _Recent(self._encode_word)
+        self.known = Recent(self.encode_piece, CACHE)
+        self.words = Recent(self._encode_word, CACHE)
 
     def encode_piece(self, piece: str) -> list[int]:
         """Token ids of one piece of a word, as the merges make them."""

@@ -367,6 +367,79 @@ def test_copies_are_grouped_within_a_label():
     assert got.tolist() == [0, 1, 0]
 
 
+def plain_find(model, word):
+    """The heaviest term that a word spells, by edit distance to every term."""
+    best = None
+    for stem, w in model.stems.items():
+        if word.startswith(stem) and (best is None or w > best[1]):
+            best = stem + "*", w
+    other = sum(not c.isalpha() for c in word) if len(word) < 7 else 0
+    for term, weight in model.words.items():
+        row = list(range(len(term) + 1))
+        for i, c in enumerate(word):
+            row, last = [i + 1], row
+            for j, d in enumerate(term):
+                row.append(min(last[j] + (c != d), last[j + 1] + 1, row[j] + 1))
+        e = row[-1]
+        allowed = 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+        if (e <= allowed or e == other == 1 and len(term) == 4) and (e == 0 or word not in model.benign) and (best is None or weight * 0.5**e > best[1]):
+            best = term, weight * 0.5**e
+    return best
+
+
+def plain_toxicity(model, text, known):
+    """The score of a text from the list of all its words."""
+    def find(word):
+        if word not in known:
+            known[word] = plain_find(model.lexicon, word)
+        return known[word]
+
+    text = (text or "").lower()
+    words = len(re.findall(r"[^\W\d_]+", text))
+    line = []
+    for m in re.finditer(r"(?<![^\W\d_])[^\W\d_]++(?:(?:\d+|_|[^\w\s])[^\W\d_]+)*", text):
+        parts = list(re.finditer(r"[^\W\d_]+", m.group()))
+        whole = len(parts) > 1 and find(m.group()) and not any(find(p.group()) for p in parts)
+        for a, b in [m.span()] if whole else [(m.start() + p.start(), m.start() + p.end()) for p in parts]:
+            marked = a > 0 and b < len(text) and text[a - 1] in toxicity.QUOTES and text[b] in toxicity.QUOTES
+            line.append((text[a:b], marked))
+    times, abuse, quoted = {}, 0.0, 0.0
+    for k, (word, marked) in enumerate(line):
+        if found := find(word):
+            around = [w for w, _ in line[max(0, k - 5):k] + line[k + 1:k + 6]]
+            times[word] = times.get(word, 0) + 1
+            factor = (1.25 if any(map(find, around)) else 1) * (1.25 if any(w in toxicity.ADDRESS for w in around) else 1) / times[word]
+            if marked or any(w in toxicity.REPORT for w in around[:5]):
+                quoted += found[1] * factor
+            else:
+                abuse += found[1] * factor
+    z = np.dot(model.coefficients, [1.0, math.log1p(abuse), math.log1p(quoted), math.log1p(100 * abuse / (words + 10))])
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+
+def test_toxicity_scores_match_the_plain_rule(spark):
+    model = toxicity.fit(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), queries.training_labels(spark, SF))
+    scores, known = {r["doc_id"]: r["score"] for r in queries.op10_toxicity(spark, SF).collect()}, {}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    assert model.lexicon.words and len(scores) == len(docs)
+    for r in docs:
+        assert scores[r["doc_id"]] == pytest.approx(plain_toxicity(model, r["text"], known), abs=1e-9), r["doc_id"]
+
+
+def test_toxicity_windows_reach_over_blocks(monkeypatch):
+    lexicon = toxicity.Lexicon({"idiot": 4.0, "moron": 4.0, "scum": 4.0}, {})
+    rng = random.Random(4)
+    bits = ["idiot", "id1ot", "m0ron,", "scum***", "you", "said", "\"idiot\"", "the", "a-b", "###", "\n"]
+    text = " ".join(rng.choice(bits) for _ in range(6000))
+    whole = toxicity.evidence(lexicon, text)
+    cut = toxicity.blocks
+    monkeypatch.setattr(toxicity, "blocks", lambda t: cut(t, size=200))
+    assert toxicity.evidence(lexicon, text) == whole and whole[3] > 2000
+    monkeypatch.setattr(toxicity, "blocks", cut)
+    for pad in range(2**20 - 3, 2**20 + 1):
+        assert toxicity.evidence(lexicon, "x" * pad + " id1ot you")[5] == ["idiot"]
+
+
 def test_toxicity_of_odd_documents(spark, frame):
     docs = odd_documents(frame)
     model = toxicity.fit(docs, docs.select("doc_id", F.lit(0).alias("toxic")))  # one label only: nothing to learn

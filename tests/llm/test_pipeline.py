@@ -113,6 +113,24 @@ def test_pipeline_of_odd_documents(spark, frame):
     assert sorted((r["doc_id"] for r in docs.collect()), key=str) == sorted([3, 5, None], key=str)
 
 
+def test_other_texts_of_an_id_and_columns_of_any_name_stay(spark, frame):
+    """Rows that share an id are copies only if their texts are; no column is lost or overwritten."""
+    names = ["_language", "_toxicity", "_slot", "_id", "_src", "_nth", "row", "p", "t", "i", "h", "carry", "component", "id", "fp", "k", "other"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    texts = ["the cat and the dog of the house", "a wholly different text about the sea and of ships", "the third one of the lot is about bread"]
+    rows = [(1, texts[0], "en", "a", 1), (1, texts[1], "en", "a", 2), (1, texts[0], "en", "a", 1), (2, texts[0], "en", "b", 3), (2, texts[2], "en", "b", 4),
+            (3, texts[2], "en", "c", 5), (None, texts[2], "en", "c", 6)]
+    docs = frame([(*r, *[f"{n}{r[4]}" for n in names]) for r in rows], schema)
+    found = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, SF), f"names-{name}")
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *names]
+        found[name] = sorted((r["n_chars"] for r in docs.collect()))
+        assert all(r[n] == f"{n}{r['n_chars']}" for r in docs.collect() for n in names)
+    assert found["language_id"] == found["toxicity"] == [1, 1, 2, 3, 4, 5, 6]
+    assert found["simhash_dedup"] == found["source_mixing"] == [1, 2, 4, 6]
+
+
 @pytest.mark.parametrize("key", sorted(queries.ORACLES))
 def test_query_matches_its_sql(spark, key):
     for sf in (SF, "/root/testdata/sf0.001"):
