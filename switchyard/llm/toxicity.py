@@ -47,7 +47,7 @@ REPORT = frozenset("said says quote quoted quotes called word words term phrase
 ADDRESS = frozenset("you your youre u du dich dein deine ihr tu te toi ton vous usted tú eres".split())
 QUOTES = "\"'“”„‚‘’«»‹›`"
 MARKS = 1 << 27  # bits that say which ids may be labelled clean
-SEEN = 400_000  # words, and white-space tokens, that a worker remembers
+SEEN = 160_000  # white-space tokens, and a quarter as many words, that a worker remembers
 
 Scored = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("hits", T.LongType()),
                        T.StructField("quoted", T.LongType()), T.StructField("terms", T.ArrayType(T.StringType()))])
@@ -71,7 +71,7 @@ class Lexicon:
         for stem in sorted(self.stems):
             self.stem_ends[self._grow(stem)] = stem
         self._restart()
-        self.seen = Recent(self._found, SEEN)
+        self.seen = Recent(self._found, SEEN // 4)
         self.tokens = Recent(self._token, SEEN)
 
     def _restart(self) -> None:
@@ -410,12 +410,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", per_class: i
 
     a, b = F.col("a"), F.col("b")
     counted = chosen.mapInPandas(count, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(a >= support)
-    # all clean texts are asked for the terms that can still be sure of being toxic: those of the sample are among them,
-    # so a term is in b of them at least, and there are no more than their labels
-    clean = known.where("toxic = 0")
-    most = clean.count()
-    asked = counted.where(F.log((a + 0.5) / (n[1] + 1)) - F.log((b + 0.5) / (most + 1)) >= sure)
-    counted, n[0] = _asked(texts, clean, asked)
+    # all clean texts are asked for all terms with enough toxic texts: no estimate says beforehand which will be sure
+    counted, n[0] = _asked(texts, known.where("toxic = 0"), counted)
     odds = F.log((a + 0.5) / (n[1] + 1)) - F.log((b + 0.5) / (n[0] + 1))
     share = F.lit(n[1] / (n[0] + n[1]))
     surprise = 2 * (a * F.log(a / ((a + b) * share)) + F.when(b > 0, b * F.log(b / ((a + b) * (1 - share)))).otherwise(0.0))
@@ -465,7 +461,8 @@ def _asked(texts: DataFrame, clean: DataFrame, counted: DataFrame) -> tuple[Data
     of fixed size says which ids may be labelled clean, and the join of what
     these texts hold with the labels says which are.
     """
-    numbered = written(counted.select("term", "a").withColumn("i", F.monotonically_increasing_id()), "toxicity-counted")
+    numbered = counted.select("term", "a").repartition(1).withColumn("i", F.monotonically_increasing_id().cast("int"))  # from 0 on
+    numbered = written(numbered, "toxicity-counted")
     index = {r["term"]: r["i"] for r in numbered.select("term", "i").collect()}
     place = F.pmod(F.xxhash64("id"), F.lit(MARKS))
     marked = clean.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
@@ -474,7 +471,7 @@ def _asked(texts: DataFrame, clean: DataFrame, counted: DataFrame) -> tuple[Data
         marks[r["bucket"]] = bytes(r["bits"])
     shared = texts.sparkSession.sparkContext.broadcast((index, marks.tobytes()))
 
-    @F.arrow_udf(T.StructType([T.StructField("sequence", T.LongType()), T.StructField("terms", T.ArrayType(T.LongType()))]))
+    @F.arrow_udf(T.StructType([T.StructField("sequence", T.LongType()), T.StructField("terms", T.ArrayType(T.IntegerType()))]))
     def held(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         index, marks = shared.value
         marks = np.frombuffer(marks, np.uint8)
@@ -496,8 +493,8 @@ def _asked(texts: DataFrame, clean: DataFrame, counted: DataFrame) -> tuple[Data
                     continue
                 found = WORD.findall(t.as_py().lower())
                 sequences.append(_sequence(found))
-                numbers.append(list(set(chain.from_iterable(map(of.__getitem__, set(found))))))
-            yield pa.StructArray.from_arrays([pa.array(sequences, pa.int64()), pa.array(numbers, pa.list_(pa.int64()))], ["sequence", "terms"])
+                numbers.append(sorted(set(chain.from_iterable(map(of.__getitem__, set(found))))))
+            yield pa.StructArray.from_arrays([pa.array(sequences, pa.int64()), pa.array(numbers, pa.list_(pa.int32()))], ["sequence", "terms"])
 
     asked = held.asNondeterministic()(F.bitmap_bucket_number(place), F.bitmap_bit_position(place), "text")
     told = texts.select("id", asked.alias("h")).where("h.sequence is not null").select("id", "h.sequence", "h.terms")
