@@ -13,7 +13,7 @@ ALIASES = {
     "A": "operators.aggregates", "C": "operators.changes", "J": "operators.joins", "K": "operators.checks",
     "Fl": "operators.filters", "T": "operators.topk", "W": "operators.windows", "R": "operators.rules",
     "X": "functions.exprs", "TX": "sources.text", "SD": "sources.sql_dump", "TB": "sources.tables",
-    "FI": "sources.files", "EX": "sinks.export", "CK": "sinks.checksums", "S": "streaming.streams", "M": "plans.migration",
+    "FI": "sources.files", "EX": "sinks.export", "BL": "sinks.blocks", "CK": "sinks.checksums", "S": "streaming.streams", "M": "plans.migration",
 }
 CALL = re.compile(r"\b(" + "|".join(sorted(ALIASES, key=len, reverse=True)) + r")\.([a-z_]+)\(")
 
