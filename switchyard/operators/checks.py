@@ -79,9 +79,15 @@ def find_log_errors(lines: DataFrame, as_of: str, lookback: str = "5 minutes") -
     in_window = X.within("ts", as_of, lookback)
     c = lines.agg(F.count_if(line.rlike(DIALER_ERROR_PATTERN) & in_window).alias("dialer"),
                   F.count_if(line.rlike(AGI_ERROR_PATTERN)).alias("agi"))
+    return log_error_findings(c)
+
+
+def log_error_findings(counts: DataFrame) -> DataFrame:
+    """The findings of one row of counts, ``dialer`` inside the look-back and ``agi`` of all time."""
     d, a = F.col("dialer"), F.col("agi")
-    return snapshot_findings(c, [("dialer_errors", "SERVER", d, MSG["dialer_errors"], d > 0),
-                                 ("agi_errors", "SERVER", a, MSG["agi_errors"], a > 0)])
+    return snapshot_findings(counts, [("dialer_errors", "SERVER", d, MSG["dialer_errors"], d > 0),
+                                      ("agi_errors", "SERVER", a, MSG["agi_errors"], a > 0)])
+
 
 def slot_metrics(slots: DataFrame, as_of: str, stale: str = "10 minutes") -> DataFrame:
     """One pass: total, idle, in-use (LIA) and stale non-idle slots."""

@@ -107,8 +107,11 @@ def label_status(df: DataFrame, kind: str, status_col: str = "status", labels: D
     dim = dim.where(F.col("kind") == kind).select(
         F.col("status").alias("_code"), F.col("label").alias("_label"), F.col("severity").alias("_sev")
     )
-    # the built-in dimension is a literal table; a caller's table is size-checked
-    dim = F.broadcast(dim) if labels is None else dim
+    if labels is None:
+        dim = F.broadcast(dim)  # a literal table
+    else:
+        # a caller's table may repeat a code: the smallest (label, severity) counts, so no row is multiplied
+        dim = dim.groupBy("_code").agg(F.min(F.struct("_label", "_sev")).alias("_l")).select("_code", "_l.*")
     joined = df.join(dim, F.col(status_col) == F.col("_code"), "left")
     return joined.select(
         *[F.col(c) for c in df.columns],

@@ -1,9 +1,8 @@
 """Joins.
 
 Big sides are pre-aggregated before they meet a dimension, so the shuffle
-carries one row per key instead of every fact row.  Dimension sides are
-broadcast only behind a size check; beyond it the join stays a shuffle join
-and AQE decides at run time.
+carries one row per key instead of every fact row.  No side is hinted for
+broadcast: adaptive execution decides on measured bytes.
 """
 
 from __future__ import annotations

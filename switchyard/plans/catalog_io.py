@@ -11,17 +11,20 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..operators.aggregates import LOG_DIRS
+from ..operators.setops import union_all
 from ..sinks import blocks as BL
 from ..sinks import checksums as CK
 from ..sinks import export as EX
+from ..sinks import versioned as V
 from ..sources import files as FI
+from ..sources import log_zones as LZ
 from ..sources import sql_dump as SD
 from ..sources import tables as TB
 from ..sources import text as TX
 from . import fixtures as P
-from .catalog_checks import FINDINGS_SQL, healthcheck_findings
+from .catalog_checks import FIND_LOG_ERRORS_SQL, FINDINGS_SQL, healthcheck_findings
 from .registry import register
-from .sqlbits import kv_sql, sql_ts
+from .sqlbits import kv_sql, sql_ago, sql_ts, sql_within
 
 
 @register("src_table", section="2.1", oracle="select * from leads")
@@ -211,10 +214,49 @@ def snk_action_log(fx):
     return EX.append_audit(EX.cleanup_audit_row(fx.files, P.FILE_AS_OF), scratch_path(fx.spark, "audit"))
 
 
-@register("truncate_archive", section="2.1", oracle="""
-select count(*) as rows_before, cast(0 as bigint) as rows_after from call_log""")
+# what stands for each archive table, in the order of ARCHIVE_TABLES
+ARCHIVED_VIEWS = ("call_log", "leads", "alt_phones", "hopper", "peers", "metric_samples", "agent_events", "live_agents", "amd_log")
+
+
+@register("truncate_archive", section="2.1", oracle=" union all ".join(
+    f"select '{t}' as table_name, count(*) as rows_before, cast(0 as bigint) as rows_after from {v}"
+    for t, v in zip(V.ARCHIVE_TABLES, ARCHIVED_VIEWS)))
 def truncate_archive(fx):
-    path = scratch_path(fx.spark, "archive")
-    fx.call_log.write.mode("overwrite").parquet(path)
-    return EX.truncate_table(fx.spark, path)
+    """All nine archive tables emptied by one change; ``rows_after`` is counted in what is left."""
+    root = scratch_path(fx.spark, "archive")
+    V.commit_tables({t: fx.view(v) for t, v in zip(V.ARCHIVE_TABLES, ARCHIVED_VIEWS)}, root)
+    done = V.truncate_tables(fx.spark, root).drop("rows_after")
+    left = [V.read_committed(fx.spark, root, t).agg(F.lit(t).alias("table_name"), F.count(F.lit(1)).alias("rows_after"))
+            for t in V.ARCHIVE_TABLES]
+    return done.join(union_all(*left), "table_name")
+
+
+def _day_logs(fx):
+    """The service log as one file a day."""
+    path = scratch_path(fx.spark, "logs")
+    rows = fx.log_lines.select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "line")
+    EX.export_package({"logs": rows}, path, required=("logs",), fmt="text", by={"logs": ("day", ["line"])})
+    return f"{path}/logs"
 
+
+@register("src_log_window", section="2.1", oracle=f"""
+with t as (select line, try_strptime(regexp_extract(line, '{TX.LOG_RX}', 1), '%Y-%m-%d %H:%M:%S') as ts,
+  nullif(regexp_extract(line, '{TX.LOG_RX}', 2), '') as level,
+  nullif(regexp_extract(line, '{TX.LOG_RX}', 3), '') as component,
+  regexp_extract(line, '{TX.LOG_RX}', 4) as message, cast(ts as date) as day from log_lines),
+days as (select day, max(ts) > {sql_ago(P.AS_OF, P.LOG_LOOKBACK)} and min(ts) <= {sql_ts(P.AS_OF)} as is_in from t group by day)
+select line, ts, level, component, message, (select count(*) from days where is_in) as files_read
+from t where {sql_within('ts', P.AS_OF, P.LOG_LOOKBACK)}""")
+def src_log_window(fx):
+    """The look-back over a folder of daily logs, and how many of its files that takes."""
+    logs, root = _day_logs(fx), scratch_path(fx.spark, "log-zones")
+    LZ.update_zones(fx.spark, logs, root)
+    zones = V.read_committed(fx.spark, root, LZ.ZONES)
+    files = LZ.files_in_window(fx.spark, logs, zones, P.AS_OF, P.LOG_LOOKBACK).agg(F.count(F.lit(1))).scalar()
+    lines = LZ.read_window(fx.spark, logs, zones, P.AS_OF, P.LOG_LOOKBACK)
+    return lines.select("line", "ts", "level", "component", "message", files.alias("files_read"))
+
+
+@register("find_log_errors_files", section="2.9", oracle=FIND_LOG_ERRORS_SQL)
+def find_log_errors_files(fx):
+    return LZ.find_log_errors(fx.spark, _day_logs(fx), scratch_path(fx.spark, "log-zones"), P.AS_OF, P.LOG_LOOKBACK)

@@ -87,6 +87,12 @@ def list_names(spark: SparkSession, path: str) -> list[str]:
     return [f.getPath().getName() for f in p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)]  # noqa: SLF001
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Deletes a folder and all in it, through the Hadoop file system of the session."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)  # noqa: SLF001
+
+
 def local_fs_path(path: str) -> str:
     """Strip a ``file:`` scheme so a local path can be used by os functions."""
     return path[5:] if path.startswith("file:") else path

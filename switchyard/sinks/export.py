@@ -132,12 +132,3 @@ def cleanup_audit_row(files: DataFrame, as_of: str | None = None, threshold_mb:
         ts.alias("run_ts"), total.alias("total_bytes"), (mb100 / 100).alias("total_mb"),
         F.when(total > threshold_mb * 1024 * 1024, "Deleted file logs and truncated archives")
         .otherwise("Truncated archives only (file logs under threshold)").alias("action"))
-
-
-def truncate_table(spark: SparkSession, path: str) -> DataFrame:
-    """Empty the table stored at ``path``, keeping its schema; one row with
-    ``rows_before`` and ``rows_after``."""
-    table = spark.read.parquet(path)
-    before = table.count()
-    spark.createDataFrame([], table.schema).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path).agg(F.lit(before).cast("long").alias("rows_before"), F.count(F.lit(1)).alias("rows_after"))

@@ -70,7 +70,7 @@ def parse_log_lines(lines: DataFrame, line_col: str = "line", year: int | None =
     )
 
 
-def read_log_lines(spark: SparkSession, path: str, host: str | None = None, year: int | None = None) -> DataFrame:
+def read_log_lines(spark: SparkSession, path: str | list[str], host: str | None = None, year: int | None = None) -> DataFrame:
     """Log files as (line_no, host, line, ts, level, component, message, line_key).
 
     ``line_key`` = (file, split start, position) orders lines as they stand in
