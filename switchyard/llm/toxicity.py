@@ -48,6 +48,7 @@ ADDRESS = frozenset("you your youre u du dich dein deine ihr tu te toi ton vous
 QUOTES = "\"'“”„‚‘’«»‹›`"
 MARKS = 1 << 27  # bits that say which ids may be labelled clean
 SEEN = 160_000  # white-space tokens, and a quarter as many words, that a worker remembers
+COUNTED = 50_000  # terms that a worker counts before it hands them on
 
 Scored = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("hits", T.LongType()),
                        T.StructField("quoted", T.LongType()), T.StructField("terms", T.ArrayType(T.StringType()))])
@@ -402,10 +403,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", per_class: i
         for batch in batches:
             for text, toxic in zip(batch["text"], batch["toxic"]):
                 of[toxic].update(_forms(text))
-            if len(of[0]) + len(of[1]) > 500_000:
-                yield _counted(of)
-                of[0].clear()
-                of[1].clear()
+                if len(of[0]) + len(of[1]) > COUNTED:  # a worker holds no more at a time than these and one text's
+                    yield _counted(of)
+                    of = Counter(), Counter()
         yield _counted(of)
 
     a, b = F.col("a"), F.col("b")
