@@ -458,8 +458,8 @@ def _asked(texts: DataFrame, clean: DataFrame, counted: DataFrame) -> tuple[Data
 
     The terms asked for come from the toxic sample, which is bounded.  Texts
     are not shuffled, only the numbers of the terms that they hold: a bitmap
-    of fixed size says which ids may be labelled clean, and the join of what
-    these texts hold with the labels says which are.
+    of fixed size says which ids may be labelled clean, and the join of their
+    word sequences with the labels says which are.
     """
     numbered = counted.select("term", "a").repartition(1).withColumn("i", F.monotonically_increasing_id().cast("int"))  # from 0 on
     numbered = written(numbered, "toxicity-counted")
@@ -498,10 +498,12 @@ def _asked(texts: DataFrame, clean: DataFrame, counted: DataFrame) -> tuple[Data
 
     asked = held.asNondeterministic()(F.bitmap_bucket_number(place), F.bitmap_bit_position(place), "text")
     told = texts.select("id", asked.alias("h")).where("h.sequence is not null").select("id", "h.sequence", "h.terms")
-    told = told.join(clean.select("id"), "id", "left_semi")
-    told = written(told.groupBy("sequence").agg(F.first("terms").alias("terms")), "toxicity-clean")
-    b = told.select(F.explode("terms").alias("i")).groupBy("i").agg(F.count(F.lit(1)).alias("b"))
-    return numbered.join(b, "i", "left").select("term", "a", F.coalesce("b", F.lit(0)).alias("b")), told.count()
+    told = written(told, "toxicity-clean")
+    # the same words in order hold the same terms, so ids and labels meet without them, and they are shuffled once
+    sequences = written(told.select("id", "sequence").join(clean.select("id"), "id", "left_semi").select("sequence").distinct(), "toxicity-sequences")
+    once = told.groupBy("sequence").agg(F.first("terms").alias("terms")).join(sequences, "sequence", "left_semi")
+    b = once.select(F.explode("terms").alias("i")).groupBy("i").agg(F.count(F.lit(1)).alias("b"))
+    return numbered.join(b, "i", "left").select("term", "a", F.coalesce("b", F.lit(0)).alias("b")), sequences.count()
 
 
 def _counted(of: tuple[Counter, Counter]) -> pd.DataFrame:
