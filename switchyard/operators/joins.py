@@ -157,15 +157,27 @@ def zip_assign(needs: DataFrame, free: DataFrame, part: str | Sequence[str], nee
                free_order: Sequence[str]) -> DataFrame:
     """Pair the k-th need with the k-th free slot inside each ``part``.
 
-    Both sides are numbered with the skew-safe ``ranked`` (a few servers may
-    each hold a large share of rows); the pairing is then an equi-join on
-    (part, rank).  Needs without a slot keep NULL slot columns.
+    Both sides go through one skew-safe ``ranked`` (a few servers may each
+    hold a large share of rows), numbered apart inside each ``part``; the rows
+    of a (part, rank), two at most, then meet in an aggregate.  Needs without a
+    slot, or with a NULL in ``part``, keep NULL slot columns.
     """
     keys = [part] if isinstance(part, str) else list(part)
-    n = ranked(needs, keys, need_order, out="rn")
-    f = ranked(free, keys, free_order, out="rn")
-    f = f.select(*[F.col(c).alias(f"slot_{c}") if c not in (*keys, "rn") else F.col(c) for c in f.columns])
-    return n.join(f, [*keys, "rn"], "left")
+    need_cols, slot_cols = ([c for c in df.columns if c not in keys] for df in (needs, free))
+    need, slot = F.struct(*need_cols), F.struct(*slot_cols)
+    none = F.lit(None)
+    need_type, slot_type = needs.select(need).schema[0].dataType, free.select(slot).schema[0].dataType
+    both = needs.select(*keys, F.lit(0).alias("_side"), need.alias("_need"), none.cast(slot_type).alias("_slot")).unionByName(
+        free.select(*keys, F.lit(1).alias("_side"), none.cast(need_type).alias("_need"), slot.alias("_slot")))
+    order = [*[F.col("_need")[c] for c in need_order], *[F.col("_slot")[c] for c in free_order]]
+    numbered = ranked(both, [*keys, "_side"], order, out="rn")
+    pairs = numbered.groupBy(*keys, "rn").agg(F.first("_need", ignorenulls=True).alias("_need"), F.first("_slot", ignorenulls=True).alias("_slot"))
+    keyed = F.lit(True)
+    for k in keys:
+        keyed = keyed & F.col(k).isNotNull()
+    return pairs.where("_need is not null").select(
+        *keys, "rn", *[F.col("_need")[c].alias(c) for c in need_cols],
+        *[F.when(keyed, F.col("_slot")[c]).alias(f"slot_{c}") for c in slot_cols])
 
 
 def verify_import(lists: DataFrame, leads: DataFrame, hopper: DataFrame, ids: DataFrame) -> DataFrame:

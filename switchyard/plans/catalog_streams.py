@@ -40,9 +40,8 @@ def stream_disposition_mix(fx):
     spark = fx.spark
     src = S.stage_stream_input(fx.call_log, "calls-stream")
     calls = spark.readStream.schema(S.CALL_SCHEMA).parquet(src)
-    counts = S.stream_dispositions(calls, f"{WATERMARK_MINUTES} minutes")
-    out = S.run_available_now(counts, scratch_path(spark, "mix-out"), scratch_path(spark, "mix-ckpt"))
-    return S.window_shares(out.drop("batch_id"))
+    shares = S.stream_disposition_shares(calls, f"{WATERMARK_MINUTES} minutes")
+    return S.run_available_now(shares, scratch_path(spark, "mix-out"), scratch_path(spark, "mix-ckpt")).drop("batch_id")
 
 
 @register("stream_error_counts", section="2.11", oracle=f"""

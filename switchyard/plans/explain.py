@@ -17,10 +17,10 @@ HEADLINE = {
     "seed_hopper": "row_number() <= n planned with a partial WindowGroupLimit before the shuffle",
     "insert_ignore": "first incoming row per key by min(struct): partial aggregation, then anti join",
     "anti_null_aware": "NOT IN without broadcasting the subquery side: shuffle join on distinct keys + scalars",
-    "join_grade_rules": "rules folded per metric and broadcast (bounded); matched in-row, no shuffle of samples",
+    "join_grade_rules": "rules swept into disjoint segments (rules only); samples find theirs by binary search, no shuffle of samples",
     "retention_by_age": "policy matched in-row against a literal array: no join at all",
     "agg_component_presence": "one conditional-count pass per host, then unpivot: no host x component product",
-    "join_rank_zip": "skew-safe ranks per server (input proven small here: plain window; see windows.ranked)",
+    "join_rank_zip": "needs and free slots in one range-partitioned order, fixed once; ranks from prefix counts, pairs by an aggregate",
 }
 
 

@@ -46,27 +46,33 @@ def _wall(c):
     return F.timestamp_add("MICROSECOND", F.unix_micros(c), _epoch())
 
 
+def _window_counts(calls: DataFrame, watermark: str, window: str, slide: str) -> DataFrame:
+    ev = _event_time(calls, "call_date").withWatermark("_et", watermark)
+    return ev.groupBy(F.window("_et", window, slide).alias("w"), "status").agg(F.count(F.lit(1)).alias("count"))
+
+
 def stream_dispositions(calls: DataFrame, watermark: str = "10 minutes", window: str = "30 minutes",
                         slide: str = "5 minutes") -> DataFrame:
     """Sliding-window status counts; a window is final once the watermark passes its end."""
-    ev = _event_time(calls, "call_date").withWatermark("_et", watermark)
-    agg = ev.groupBy(F.window("_et", window, slide).alias("w"), "status").agg(F.count(F.lit(1)).alias("count"))
-    return agg.select(_wall(F.col("w.start")).alias("window_start"), _wall(F.col("w.end")).alias("window_end"),
-                      "status", "count")
+    return _window_counts(calls, watermark, window, slide).select(
+        _wall(F.col("w.start")).alias("window_start"), _wall(F.col("w.end")).alias("window_end"), "status", "count")
 
 
-def window_shares(counts: DataFrame) -> DataFrame:
-    """Share of each status inside its window, ROUND(count*100/total, 1).
+def stream_disposition_shares(calls: DataFrame, watermark: str = "10 minutes", window: str = "30 minutes",
+                              slide: str = "5 minutes") -> DataFrame:
+    """Status counts per sliding window with their share of it, ROUND(count*100/total, 1), in the stream itself.
 
-    Runs on the (small) final window counts; the window total is a grouped
-    sum joined back on the window key.
+    Two stateful operators in a chain: calls are counted per window and status,
+    and the counts of a window that the watermark has closed meet in a second
+    aggregate, which closes with the same watermark.  It holds one entry a
+    status and window (status codes, not calls), so a sink gets finished shares
+    once and never reads its own output again.
     """
-    from ..functions import exprs as X
-
-    totals = counts.groupBy("window_start", "window_end").agg(F.sum("count").alias("_total"))
-    j = counts.join(totals, ["window_start", "window_end"])
-    return j.select("window_start", "window_end", "status", "count",
-                    X.round_half_up_ratio(F.col("count") * 100, "_total").alias("pct"))
+    counts = _window_counts(calls, watermark, window, slide)
+    closed = counts.groupBy("w").agg(F.sum("count").alias("_total"), F.collect_list(F.struct("status", "count")).alias("_counts"))
+    return closed.select("w", "_total", F.inline("_counts")).select(
+        _wall(F.col("w.start")).alias("window_start"), _wall(F.col("w.end")).alias("window_end"), "status", "count",
+        X.round_half_up_ratio(F.col("count") * 100, "_total").alias("pct"))
 
 
 def stream_errors(lines: DataFrame, pattern: str = DIALER_ERROR_PATTERN, watermark: str = "10 minutes",
