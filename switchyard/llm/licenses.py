@@ -22,9 +22,45 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WORD = re.compile(r"[^\W_]+")
+CLAUSE = re.compile(r"(?<!\S)\d+\.(?=\s+[A-Z])")  # a clause's number: a copy may write (a), i. or none
 SHINGLE = 3
 BLOCK = 1 << 20
 
+#: How notices name a license.
+NOTICES = {
+    "mit": "the MIT License", "isc": "the ISC License", "unlicense": "the Unlicense",
+    "apache-2.0": "the Apache License, Version 2.0", "apache-2.0-short": "the Apache License 2.0",
+    "bsd-2-clause": "the BSD 2-Clause License", "bsd-3-clause": "the BSD 3-Clause License",
+    "gpl-2.0": "the GNU General Public License, version 2", "gpl-3.0": "the GNU General Public License, version 3",
+    "lgpl-2.1": "the GNU Lesser General Public License, version 2.1", "lgpl-3.0": "the GNU Lesser General Public License, version 3",
+    "agpl-3.0": "the GNU Affero General Public License, version 3", "mpl-2.0": "the Mozilla Public License, Version 2.0",
+    "epl-2.0": "the Eclipse Public License, Version 2.0", "cc0-1.0": "CC0 1.0", "cc-by-4.0": "CC BY 4.0", "cc-by-sa-4.0": "CC BY-SA 4.0",
+    "cc-by-nc-4.0": "CC BY-NC 4.0", "cc-by-nd-4.0": "CC BY-ND 4.0", "cc-by-nc-sa-4.0": "CC BY-NC-SA 4.0", "cc-by-nc-nd-4.0": "CC BY-NC-ND 4.0",
+    "cc-by-4.0-long": "a Creative Commons Attribution 4.0 International License",
+    "cc-by-sa-4.0-long": "a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "cc-by-nc-4.0-long": "a Creative Commons Attribution-NonCommercial 4.0 International License",
+}
+
+#: License identifiers of SPDX tags.
+SPDX_TAGS = (
+    "MIT", "MIT-0", "ISC", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only",
+    "GPL-3.0-or-later", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0",
+    "AGPL-3.0-only", "AGPL-3.0-or-later", "MPL-2.0", "EPL-2.0", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0",
+)
+
+_BSD_HEAD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+    "conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+    "following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+    "the following disclaimer in the documentation and/or other materials provided with the distribution. ")
+_BSD_TAIL = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, "
+    "BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT "
+    "SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL "
+    "DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS "
+    "INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE "
+    "OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+
 #: The wording of public licenses, without names and years.
 TEMPLATES = {
     "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
@@ -56,7 +92,28 @@ TEMPLATES = {
         "version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
         "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more "
         "details."),
+    "bsd-2-clause": _BSD_HEAD + _BSD_TAIL,
+    "bsd-3-clause": _BSD_HEAD + (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+        "derived from this software without specific prior written permission. ") + _BSD_TAIL,
+    "mpl-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    "epl-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 "
+        "which is available at https://www.eclipse.org/legal/epl-2.0"),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, "
+        "compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, "
+        "commercial or non-commercial, and by any means."),
+    "cc0-1.0": (
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
 }
+TEMPLATES |= {name: TEMPLATES["gpl-3.0-or-later"].replace("GNU General", f"GNU {kind}").replace("version 3", f"version {version}")
+              for name, kind, version in (("gpl-2.0-or-later", "General", "2"), ("lgpl-2.1-or-later", "Lesser General", "2.1"),
+                                          ("lgpl-3.0-or-later", "Lesser General", "3"), ("agpl-3.0-or-later", "Affero General", "3"))}
+TEMPLATES |= {f"{name}-notice": f"under {wording}" for name, wording in NOTICES.items()}
+TEMPLATES |= {f"spdx-{tag.lower()}": f"SPDX-License-Identifier: {tag}" for tag in SPDX_TAGS}
 
 Span = T.StructType([T.StructField("license", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()),
                      T.StructField("reduction", T.DoubleType()), T.StructField("missing", T.ArrayType(T.StringType())),
@@ -74,12 +131,19 @@ class Found:
 
 
 class Scanner:
-    """``differences``: of a template's words the share that may be missing or extra (one word at least if over ten)."""
+    """``differences``: of a template's words the share that may be missing or extra (one word at least if over ten).
+
+    Numbered clauses aside, a word with a digit is a version: none may be missing.
+    """
 
     def __init__(self, templates: dict[str, str], differences: float = 0.1):
         self.differences = differences
         self.words = {name: WORD.findall(text.lower()) for name, text in sorted(templates.items())}
         self.words = {name: w for name, w in self.words.items() if w}
+        self.clauses = {}
+        for name in self.words:
+            begins = {m.start() for m in CLAUSE.finditer(templates[name])}
+            self.clauses[name] = {i for i, m in enumerate(WORD.finditer(templates[name])) if m.start() in begins}
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
         self.with_template = {
             name: zstandard.ZstdCompressor(level=3, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(
@@ -117,6 +181,9 @@ class Scanner:
         missing = [w for i, w in enumerate(own) if i not in kept_own]
         extra = [block[i] for i in range(begin, stop) if i not in kept_block]
         most = int(self.differences * len(own))
+        versions = {i for i, w in enumerate(own) if any(c.isdigit() for c in w)} - self.clauses[name]
+        if not versions <= kept_own:
+            return None
         return (a + begin, a + stop, missing, extra) if len(missing) <= most and len(extra) <= most else None
 
     def scan_words(self, words: list[str]) -> list[tuple[str, int, int, float, list[str], list[str]]]:
@@ -126,17 +193,19 @@ class Scanner:
                 if s in self.shingles:
                     for name, places in self.shingles[s].items():
                         hits.setdefault(name, []).append((i, places))
+        ranks: dict[tuple[int, int], list] = {}  # a block's templates by reduction; templates that begin alike ask for the same block
         runs = sorted((first, last, name) for name, at in hits.items() for first, last in self._runs(at, len(self.words[name])))
         out = []
         for first, last, name in runs:
             slack = 1 + int(self.differences * len(self.words[name]))  # words at the ends that no shingle holds
             a, b = max(0, first - slack), min(len(words), last + SHINGLE + slack)
-            block = " ".join(words[first:last + SHINGLE]).encode()
-            alone = len(self.plain.compress(block))
-            # every template with shingles in this block competes for it
-            rivals = {other for f in range(first, last + 1) for other in self.shingles.get(tuple(words[f:f + SHINGLE]), {})} | {name}
-            ranked = sorted((-(1 - len(self.with_template[r].compress(block)) / alone), -len(self.words[r]), r) for r in rivals)
-            for reduction, _, winner in ranked:
+            if (first, last) not in ranks:
+                block = " ".join(words[first:last + SHINGLE]).encode()
+                alone = len(self.plain.compress(block))
+                # every template with shingles in this block competes for it
+                rivals = {other for f in range(first, last + 1) for other in self.shingles.get(tuple(words[f:f + SHINGLE]), {})} | {name}
+                ranks[first, last] = sorted((-(1 - len(self.with_template[r].compress(block)) / alone), -len(self.words[r]), r) for r in rivals)
+            for reduction, _, winner in ranks[first, last]:
                 if got := self._confirmed(winner, words, a, b):
                     if winner == name:
                         out.append((name, got[0], got[1], -reduction, got[2], got[3]))

@@ -558,6 +558,27 @@ def test_license_with_other_wording():
     assert scanner.scan(" ".join(mit.split()[:60])) == [] and scanner.scan("licensed under the moon") == []
 
 
+def test_every_template_finds_itself_and_no_other():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    for name, text in licenses.TEMPLATES.items():
+        (found,) = scanner.scan(f"Words before it.\n\n{text}\n\nAnd words behind it.")
+        assert (found.license, found.missing, found.extra) == (name, [], [])
+
+
+def test_no_license_is_confirmed_with_another_version():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    names = lambda text: [f.license for f in scanner.scan(text)]
+    assert names("This work is licensed under the GNU General Public License, version 2.") == ["gpl-2.0-notice"]
+    gpl = licenses.TEMPLATES["gpl-3.0-or-later"]
+    assert names(gpl.replace("version 3", "version 4")) == [] and names(gpl.replace("version 3", "version 2")) == ["gpl-2.0-or-later"]
+    assert names(gpl.replace("GNU General", "GNU Lesser General")) == ["lgpl-3.0-or-later"]
+    assert names("under the Apache License, Version 1.1") == [] and names("Licensed under the MIT License.") == ["mit-notice"]
+    assert names("# SPDX-License-Identifier: GPL-2.0-only") == ["spdx-gpl-2.0-only"] and names("under CC BY-SA 4.0") == ["cc-by-sa-4.0-notice"]
+    bsd = licenses.TEMPLATES["bsd-3-clause"].replace(" 1. ", " a) ").replace(" 2. ", " b) ")
+    (found,) = scanner.scan(bsd)
+    assert (found.license, found.missing, found.extra) == ("bsd-3-clause", ["1", "2"], ["a", "b"])
+
+
 def test_license_of_odd_documents(spark, frame):
     got = odd_documents(frame).select(licenses.scanned(spark, F.col("text")).alias("s")).collect()
     assert [r["s"] for r in got] == [[]] * 9
