@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import gc
+from collections.abc import Callable
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +51,29 @@ def bounded_sample(rows: DataFrame, key: str, cls: str, per_class: int, seed: in
             .withColumn("weight", 1.0 / share).drop("_cls", "_n"))
 
 
+_OWN: dict[str, Any] = {}
+
+
+def own(key: str, build: Callable[[], Any]) -> Any:
+    """What ``build`` gives, built once in a worker; a worker holds one such object at a time.
+
+    Workers outlive an operator: without this its codec or lexicon, with all
+    that it remembers, would stay in memory beside the next one's.
+    """
+    if key not in _OWN:
+        let_go()
+        _OWN[key] = build()
+    return _OWN[key]
+
+
+def let_go() -> None:
+    """Frees what a worker holds; for functions that need room and no such object."""
+    if _OWN:
+        _OWN.clear()
+        gc.collect()  # the objects refer to themselves, by what they remember
+    pa.default_memory_pool().release_unused()
+
+
 class Recent(dict):
     """What ``compute`` gave for the texts met of late, about ``size`` of them; texts over ``longest`` are not kept.
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample
+from .common import bounded_sample, let_go
 
 UNKNOWN = "und"
 SIZES = (3, 4)
@@ -133,6 +133,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", per_language: int = 5000, m
     sample = bounded_sample(rows, id_col, "lang", per_language).select("text", "lang")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         for batch in batches:
             for lang, texts in batch.groupby("lang")["text"]:
                 held: list[np.ndarray] = []
@@ -178,6 +179,7 @@ def predicted(spark, model: Filter, text: Column) -> Column:
 
     @F.arrow_udf(Prediction)
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        let_go()
         for texts in batches:
             rows = [shared.value.predict(t.as_py()) for t in texts]
             yield pa.StructArray.from_arrays(

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import let_go, written
 from .components import connected_components
 
 SEED = 42
@@ -56,6 +56,7 @@ def fingerprinted(text: Column, shingle: int = 3) -> Column:
 
     @F.arrow_udf(T.LongType())
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        let_go()
         for texts in batches:
             prints = np.array([fingerprint(t.as_py(), shingle) for t in texts], np.uint64)
             yield pa.array(prints.view(np.int64))

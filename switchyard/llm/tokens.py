@@ -26,6 +26,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import own
+
 Encoded = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
                         T.StructField("decoded_sha256", T.StringType())])
 CACHE = 600_000  # pieces a worker remembers
@@ -236,13 +238,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def _codec(key: str, ranks: dict[bytes, int], pattern: str) -> Codec:
-    if key not in _CODECS:  # once in a worker
-        _CODECS[key] = Codec(ranks, pattern)
-    return _CODECS[key]
+    return own(f"tokens {key}", lambda: Codec(ranks, pattern))
 
 
 def token_digests(spark, text: Column, ranks: dict[bytes, int], pattern: str) -> Column:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Recent, bounded_sample, written
+from .common import Recent, bounded_sample, let_go, own, written
 from .tokens import blocks
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -254,16 +254,10 @@ def evidence(lexicon: Lexicon, text: str | None) -> tuple[float, float, int, int
     return abuse, quoted, words, hits, quotes, sorted(terms)
 
 
-_LEXICONS: dict[str, Lexicon] = {}
-
-
 def _lexicon(words: dict[str, float], stems: dict[str, float], benign: frozenset[str] = frozenset()) -> Lexicon:
     """The lexicon of these terms, built once in a worker."""
     key = hashlib.sha256(repr((sorted(words.items()), sorted(stems.items()), sorted(benign))).encode()).hexdigest()
-    if key not in _LEXICONS:
-        _LEXICONS.clear()  # a worker serves one model at a time
-        _LEXICONS[key] = Lexicon(words, stems, benign)
-    return _LEXICONS[key]
+    return own(f"toxicity {key}", lambda: Lexicon(words, stems, benign))
 
 
 def _features(abuse: float, quoted: float, words: int) -> list[float]:
@@ -383,6 +377,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", per_class: i
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def signature(texts: pa.Array) -> pa.Array:
+        let_go()
         return pa.array([_signature(t.as_py()) for t in texts], pa.list_(pa.int32()))
 
     sample = written(sample.withColumn("_row", F.monotonically_increasing_id()).withColumn("sequence", sequence("text"))
@@ -392,13 +387,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", per_class: i
     signatures = np.array(keys["signature"].tolist(), np.int32).reshape(len(keys), len(MIXERS))
     keys["group"] = _copies(signatures, keys["sequence"].to_numpy(np.int64), keys["toxic"].to_numpy(np.int64))
     kept = keys.groupby("group", as_index=False).agg(_row=("_row", "first"), weight=("weight", "sum"))[["_row", "weight"]]
-    kept = sample.sparkSession.createDataFrame(kept, "_row long, weight double")
+    # an Arrow table: rows of Python objects would go through a second set of workers
+    kept = sample.sparkSession.createDataFrame(pa.table({"_row": kept["_row"].to_numpy(np.int64), "weight": kept["weight"].to_numpy(float)}))
     chosen = written(sample.drop("weight").join(F.broadcast(kept), "_row").select("text", "toxic", "weight"), "toxicity-texts")
     n = {r["toxic"]: r["count"] for r in chosen.groupBy("toxic").count().collect()}
     if len(n) < 2:
         return Model(Lexicon({}, {}), (-30.0, 0.0, 0.0, 0.0))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         of: tuple[Counter, Counter] = Counter(), Counter()
         for batch in batches:
             for text, toxic in zip(batch["text"], batch["toxic"]):
@@ -473,6 +470,7 @@ def _asked(texts: DataFrame, clean: DataFrame, counted: DataFrame) -> tuple[Data
 
     @F.arrow_udf(T.StructType([T.StructField("sequence", T.LongType()), T.StructField("terms", T.ArrayType(T.IntegerType()))]))
     def held(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        let_go()
         index, marks = shared.value
         marks = np.frombuffer(marks, np.uint8)
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Regex, normalizers, pre_tokenizers
 
-from .common import Recent
+from .common import Recent, own
 from .tokens import Encoded, blocks, splitter
 
 CACHE = 500_000  # words, and pieces, that a worker remembers
@@ -149,14 +149,9 @@ class Codec:
         return n, of_ids.hexdigest(), of_text.hexdigest()
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def _codec(definition: str) -> Codec:
     key = hashlib.sha256(definition.encode()).hexdigest()
-    if key not in _CODECS:  # once in a worker
-        _CODECS[key] = Codec(definition)
-    return _CODECS[key]
+    return own(f"word_bpe {key}", lambda: Codec(definition))
 
 
 def token_digests(spark, text: Column, definition: str) -> Column:

@@ -3,6 +3,7 @@
 import hashlib
 import os
 import sys
+import weakref
 
 import public_tokenizers
 import pytest
@@ -12,7 +13,7 @@ from oracle_compare import compare, duck
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
 import corpus_pipeline  # noqa: E402
-from switchyard.llm import mixing, queries, simhash, tokens  # noqa: E402
+from switchyard.llm import common, mixing, queries, simhash, tokens, toxicity  # noqa: E402
 from switchyard.llm.common import written  # noqa: E402
 
 SF = "/root/testdata/sf0.01"
@@ -90,6 +91,21 @@ def test_rows_of_the_pipeline_carry_the_order_of_the_mix(spark, stages):
             assert all(abs(done[s] - a * (slot + 1) / sum(shares.values())) < 1 for s, a in shares.items())
 
 
+def test_a_worker_holds_one_model_at_a_time():
+    """Workers are used again: a codec left from one stage would add to the memory of the next."""
+    ranks = {bytes([b]): b for b in range(256)}
+    codec = tokens._codec("a", ranks, r"\S+")
+    assert tokens._codec("a", ranks, r"\S+") is codec
+    gone = weakref.ref(codec)
+    del codec
+    lexicon = toxicity._lexicon({"abcd": 1.0}, {})
+    assert gone() is None and toxicity._lexicon({"abcd": 1.0}, {}) is lexicon
+    gone = weakref.ref(lexicon)
+    del lexicon
+    common.let_go()
+    assert gone() is None
+
+
 def test_token_stage_matches_tiktoken(stages):
     before, after, *_ = stages["byte_bpe"]
     ranks = tokens.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
