@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from switchyard.llm import language, mixing, simhash, tokens, toxicity
-from switchyard.llm.common import held_out, table, written
+from switchyard.llm.common import held_out, place, table, written
 from switchyard.llm.queries import BLOCK_ROWS, target_shares, training_labels
 
 MIN_LANGUAGE_SCORE = 0.2
@@ -50,21 +50,22 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the mix."""
-    return mixing.reordered(docs, target_shares(docs), block_rows=BLOCK_ROWS)
+    """All documents in the order of the mix; rows of one id and source by their texts' hashes."""
+    return mixing.reordered(docs, target_shares(docs), block_rows=BLOCK_ROWS, ties=[F.xxhash64("text")])
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document its place in the mix, the number of tokens and the digests of ids and decoded bytes.
 
-    Files that are read again keep no order, so the rows carry theirs:
-    ``(slot, nth_row)``, as ``mix_sources`` orders the same rows.
+    The place, ``(slot, nth_row)``, is that of the order in which the rows
+    come, ``mix_sources``'s: a scan keeps no order, but the names of files and
+    the rows' numbers in them do.
     """
     ranks = tokens.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    marked = docs.select("doc_id", "source", tokens.token_digests(spark, F.col("text"), ranks, public_tokenizers.PATTERN).alias("t"))
-    encoded = written(marked.select("doc_id", "source", "t.n_tokens", "t.ids_sha256", "t.decoded_sha256"), "pipeline-tokens")
+    marked = docs.select("doc_id", "source", place(docs).alias("at"), tokens.token_digests(spark, F.col("text"), ranks, public_tokenizers.PATTERN).alias("t"))
+    encoded = written(marked.select("doc_id", "source", "at", "t.n_tokens", "t.ids_sha256", "t.decoded_sha256"), "pipeline-tokens")
     digests = ["n_tokens", "ids_sha256", "decoded_sha256"]
-    placed = mixing.mixed(encoded, target_shares(encoded), block_rows=BLOCK_ROWS, carry=digests)
+    placed = mixing.in_order(encoded, target_shares(encoded), "at", block_rows=BLOCK_ROWS, carry=digests)
     return placed.select("doc_id", "source", "slot", "nth_row", *digests)
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from typing import Any
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +30,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def place(docs: DataFrame) -> Column:
+    """The place of each row of ``docs`` as a struct column that sorts in the order in which the rows were written.
+
+    For a frame read from files: the number of the part that wrote the file,
+    the file, and the row's number in it; a scan may deal out the files in any
+    order.  For any other frame: the order of its partitions.
+    """
+    try:
+        file = docs.metadataColumn("_metadata")
+    except AnalysisException:  # not read from files
+        zero = F.lit(0).cast("long")
+        return F.struct(zero.alias("part"), zero.alias("nth"), zero.alias("file"), F.monotonically_increasing_id().alias("row"))
+    numbers = [F.regexp_extract(file["file_name"], rule, 1).try_cast("long") for rule in (r"^part-(\d+)", r"-c(\d+)\.")]
+    part, nth = (F.coalesce(n, F.lit(0).cast("long")) for n in numbers)
+    return F.struct(part.alias("part"), nth.alias("nth"), F.xxhash64(file["file_path"]).alias("file"), file["row_index"].alias("row"))
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32(doc_id as text) mod 5 is 0; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..operators.windows import ranked as skew_safe_ranked
 from .common import written
 
+RUN = 16_384  # rows of a group that are ranked together
 MAX_SLOTS = 20_000  # sources x slots of a period stay a configuration, not data
 
 
@@ -71,19 +72,23 @@ def ranked(rows: DataFrame, group: str, order: list[Column]) -> DataFrame:
     The first digits of the hash cut a group into many runs that are ranked
     apart; a run's offset is the size of the runs before it.  So a group with
     a large share of all rows spans many tasks.  There is a run for about
-    every 16,384 rows, 256 at least.
+    every ``RUN`` rows, 256 at least.
     """
-    from pyspark.sql import Window
-
     total = rows.count()
     digits = 2
-    while 16 ** digits * 16_384 < total:
+    while 16 ** digits * RUN < total:
         digits += 1
-    runs = rows.withColumn("_run", F.substring("_hash", 1, digits))
+    return _ranked_in_runs(rows.withColumn("_run", F.substring("_hash", 1, digits)), group, [F.col("_hash"), *order])
+
+
+def _ranked_in_runs(runs: DataFrame, group: str, order: list[Column]) -> DataFrame:
+    """Adds ``_rank`` (from 0) of each row inside its group by ``_run``, which is dropped, then ``order``; runs are ranked apart."""
+    from pyspark.sql import Window
+
     sizes = runs.groupBy(group, "_run").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(group).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(F.col(group).alias("_g"), F.col("_run").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(group, "_run").orderBy("_hash", *order)
+    inside = Window.partitionBy(group, "_run").orderBy(*order)
     placed = runs.withColumn("_in", F.row_number().over(inside) - 1)
     return (placed.join(offsets, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_run") == F.col("_r")))
             .withColumn("_rank", (F.col("_offset") + F.col("_in")).cast("long")).drop("_g", "_r", "_run", "_offset", "_in"))
@@ -165,6 +170,24 @@ def mixed(docs: DataFrame, shares: dict[str, int] | DataFrame, id_col: str = "do
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("src"), *([F.struct(*carry).alias("_carry")] if carry else []))
     rows = rows.withColumn("_hash", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")))
     rows = ranked(rows, "src", [F.col("id"), *([F.col("_carry")] if carry else [])])
+    return _slotted(rows, shares, id_col, block_rows, carry)
+
+
+def in_order(docs: DataFrame, shares: dict[str, int] | DataFrame, at: str, id_col: str = "doc_id", source_col: str = "source",
+             block_rows: int = 64, carry: list[str] | None = None) -> DataFrame:
+    """As ``mixed``, but the rows of a source have the order that they are in by the column ``at``, as ``common.place`` gives it.
+
+    For the rows of ``reordered``, written and read again: the places that
+    its mix gave them.
+    """
+    carry = carry or []
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("src"), F.col(at).alias("_at"), *([F.struct(*carry).alias("_carry")] if carry else []))
+    run = F.struct("_at.part", "_at.nth", "_at.file", F.floor(F.col("_at.row") / RUN).alias("rows"))
+    return _slotted(_ranked_in_runs(rows.withColumn("_run", run), "src", [F.col("_at.row")]), shares, id_col, block_rows, carry)
+
+
+def _slotted(rows: DataFrame, shares: dict[str, int] | DataFrame, id_col: str, block_rows: int, carry: list[str]) -> DataFrame:
+    """What ``mixed`` returns, for rows ranked in their source ``src``."""
     if isinstance(shares, DataFrame):
         plan = shares.select(F.col("source").alias("_s"), "share", "slots", "period")
         rows = rows.join(plan, F.col("src") == F.col("_s"), "left").withColumn("block", F.when(F.col("share").isNotNull(), F.floor(F.col("_rank") / block_rows)))
@@ -172,7 +195,7 @@ def mixed(docs: DataFrame, shares: dict[str, int] | DataFrame, id_col: str = "do
         rows = rows.withColumn("slot", F.floor(F.col("block") / F.col("share")) * F.col("period") + F.get("slots", nth))
     elif shares:
         slots = sum(shares.values())
-        plan = F.broadcast(schedule(docs.sparkSession, shares).select(F.col("source").alias("_s"), "slot", "nth"))  # one period
+        plan = F.broadcast(schedule(rows.sparkSession, shares).select(F.col("source").alias("_s"), "slot", "nth"))  # one period
         share = F.create_map(*[F.lit(x) for s, a in sorted(shares.items()) for x in (s, a)])
         rows = rows.withColumn("block", F.when(F.col("src").isin(list(shares)), F.floor(F.col("_rank") / block_rows)))
         a = F.coalesce(F.try_element_at(share, F.col("src")), F.lit(1))
@@ -186,14 +209,17 @@ def mixed(docs: DataFrame, shares: dict[str, int] | DataFrame, id_col: str = "do
 
 
 def reordered(docs: DataFrame, shares: dict[str, int] | DataFrame, id_col: str = "doc_id", source_col: str = "source",
-              block_rows: int = 64) -> DataFrame:
+              block_rows: int = 64, ties: list[Column] | None = None) -> DataFrame:
     """All rows and columns of ``docs`` in mixing order: a range sort over slots, no row lost.
 
-    Rows of equal id and source lie side by side; null ids as well.
+    Rows of equal id and source lie side by side, in the order of ``ties``;
+    null ids as well.
     """
+    ties = ties or []
     plan = mixed(docs, shares, id_col, source_col, block_rows).groupBy(
         F.col(id_col).alias("_id"), F.col("source").alias("_src")).agg(F.min("slot").alias("_slot"), F.min("nth_row").alias("_nth"))
     plan = written(plan, "mixing")
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("i"), F.col(source_col).alias("s"))  # whatever its columns are called
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("i"), F.col(source_col).alias("s"),
+                       *[t.alias(f"t{k}") for k, t in enumerate(ties)])  # whatever its columns are called
     joined = rows.join(plan, F.col("i").eqNullSafe(F.col("_id")) & F.col("s").eqNullSafe(F.col("_src")), "left")
-    return joined.orderBy(F.col("_slot").asc_nulls_last(), F.col("_nth").asc_nulls_last()).select("row.*")
+    return joined.orderBy(F.col("_slot").asc_nulls_last(), F.col("_nth").asc_nulls_last(), *[f"t{k}" for k in range(len(ties))]).select("row.*")

@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 from oracle_compare import compare, duck
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
@@ -91,6 +92,23 @@ def test_rows_of_the_pipeline_carry_the_order_of_the_mix(spark, stages):
             assert all(abs(done[s] - a * (slot + 1) / sum(shares.values())) < 1 for s, a in shares.items())
 
 
+def test_places_of_the_last_stage_are_those_of_the_order_that_it_gets(spark, stages):
+    """Rows in another order than the mix's get other places; many small files, so that a scan deals them out as it likes."""
+    ids = {r["doc_id"]: (r["source"], r["text"]) for r in stages["byte_bpe"][0].values()}
+    docs = spark.createDataFrame([(i, t, s) for i, (s, t) in ids.items()], "doc_id long, text string, source string")
+    turned = written(docs.repartitionByRange(23, F.desc("doc_id")).sortWithinPartitions(F.desc("doc_id")), "test-turned")
+    got = corpus_pipeline.encode_tokens(spark, turned, SF).collect()
+    want, seen = {}, {}
+    for i in sorted(ids, reverse=True):
+        want[i] = seen[ids[i][0]] = seen.get(ids[i][0], -1) + 1
+    assert {r["doc_id"]: r["nth_row"] for r in got} == want
+    slots = {(r["source"], r["nth_row"]): r["slot"] for r in stages["byte_bpe"][1]}
+    assert all(r["slot"] == slots[r["source"], r["nth_row"]] for r in got)
+    # without files the order is that of the partitions
+    plain = corpus_pipeline.encode_tokens(spark, docs.repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id"), SF).collect()
+    assert all(r["nth_row"] == seen[r["source"]] - want[r["doc_id"]] for r in plain)
+
+
 def test_a_worker_holds_one_model_at_a_time():
     """Workers are used again: a codec left from one stage would add to the memory of the next."""
     ranks = {bytes([b]): b for b in range(256)}
