@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -531,6 +532,50 @@ def test_embedding_dedup_with_copies_shards_and_unusable_vectors(frame):
     assert hnsw.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_embedding_dedup_copies_nothing_for_each_pair_of_shards(frame, monkeypatch):
+    plans, write = {}, hnsw.written
+
+    def written(df, name):
+        plans[name] = df._jdf.queryExecution().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(hnsw, "written", written)
+    x = np.random.default_rng(3).standard_normal((400, 16)).astype(np.float32)
+    x[300:] = x[:100] + 0.05 * x[100:200]
+    docs = frame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r["n_links"] for r in hnsw.near_duplicates(docs, shard_rows=32, block_rows=16).collect()}
+    y = hnsw.unit(x)
+    assert got == dict(enumerate(((y @ y.T >= 0.9).sum(axis=1) - 1).tolist())) and max(got.values()) > 0
+    assert not [word for word in ("Exchange", "Generate") if word in plans["hnsw-links"]]
+
+
+def test_a_shard_asks_each_other_once():
+    for shards in range(1, 8):
+        dealt = hnsw.Dealt(16, 5, shards, 3, 100)
+        units = [dealt.unit(no) for no in range(100, 100 + dealt.units)]
+        pairs = [(min(to, shard), max(to, shard), block) for to, shard, block, _ in units if to is not None]
+        assert sorted(pairs) == [(a, b, block) for a in range(5, 5 + shards) for b in range(a, 5 + shards) for block in range(3)]
+
+
+def test_a_graph_is_built_in_little_memory():
+    x = hnsw.unit(np.random.default_rng(6).standard_normal((4096, 64)))
+    tracemalloc.start()
+    hnsw.Graph.built(x, 0.9)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+
+
+def test_all_of_a_crowd_are_found():
+    rng = np.random.default_rng(7)
+    base = rng.standard_normal((3000, 32))
+    crowds = np.repeat(base[:6], 60, 0) + 0.02 * rng.standard_normal((360, 32))
+    x = hnsw.unit(np.concatenate([base, crowds]))
+    true = x @ x.T >= 0.9
+    got = hnsw.Graph.built(x, 0.9).within(x[3000:], 0.9)
+    assert [set(rows) for rows in got] == [set(np.flatnonzero(row)) for row in true[3000:]]
+
+
 # ---------------------------------------------------------------- 3 licenses
 
 def test_license_lines_match_a_plain_search(spark, documents):
