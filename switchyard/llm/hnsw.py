@@ -263,28 +263,39 @@ class Graph:
         The links of a crowd of close rows lead to each other, and to some of
         them none: queries that find ``CROWD`` rows are compared with all rows.
         """
-        ask = len(queries) if self.beam < len(self.vectors) else 0
+        ask, slack = len(queries) if self.beam < len(self.vectors) else 0, self._slack()
         crowded = [np.arange(ask, len(queries))]
         for a in range(0, ask, BATCH):
             asked = np.arange(a, min(a + BATCH, ask))
             ids, sims = self.search(queries[asked], self.beam)
-            near = (sims >= least - 1e-5) & (ids >= 0)
+            near = (sims >= least - slack) & (ids >= 0)
             crowd = near.sum(axis=1) >= CROWD
             crowded.append(asked[crowd])
             near[crowd] = False
             q, k = np.nonzero(near)
-            yield self._verified(queries, asked[q], ids[q, k], least)
+            yield from self._verified(queries, asked[q], ids[q, k], sims[q, k], least)
         todo, some = np.concatenate(crowded), max(1, ROOM // len(self.vectors))
         for a in range(0, len(todo), some):
             asked = todo[a:a + some]
-            q, rows = np.nonzero(queries[asked].astype(np.float32) @ self.layers[0].points.T >= least - 1e-5)
-            yield self._verified(queries, asked[q], rows, least)
-
-    def _verified(self, queries: np.ndarray, q: np.ndarray, rows: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-        some = max(1, ROOM // (2 * queries.shape[1]))
-        good = [np.einsum("nd,nd->n", queries[q[a:a + some]], self.vectors[rows[a:a + some]]) >= least for a in range(0, len(q), some)]
-        good = np.concatenate(good) if good else np.zeros(0, bool)
-        return q[good], rows[good]
+            sims = queries[asked].astype(np.float32) @ self.layers[0].points.T
+            q, rows = np.nonzero(sims >= least - slack)
+            yield from self._verified(queries, asked[q], rows, sims[q, rows], least)
+
+    def _slack(self) -> float:
+        """More than single precision can be wrong by in a cosine."""
+        return max(1e-5, self.vectors.shape[1] * 2.0**-23)
+
+    def _verified(self, queries: np.ndarray, q: np.ndarray, rows: np.ndarray, sims: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The pairs that link: what single precision leaves open is computed in double precision."""
+        some = max(1, ROOM // (4 * queries.shape[1]))
+        good = sims >= least + self._slack()
+        unsure = np.flatnonzero(~good)
+        for a in range(0, len(unsure), some):
+            at = unsure[a:a + some]
+            good[at] = np.einsum("nd,nd->n", queries[q[at]], self.vectors[rows[at]]) >= least
+        for a in range(0, max(1, len(q)), ROOM // 4):
+            kept = good[a:a + ROOM // 4]
+            yield q[a:a + ROOM // 4][kept], rows[a:a + ROOM // 4][kept]
 
     def within(self, queries: np.ndarray, least: float) -> list[np.ndarray]:
         """Of each query the rows that ``pairs`` finds."""
